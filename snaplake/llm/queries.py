@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaplake.llm import chat, mixing, pii, quality, secrets
+from snaplake.llm import chat, lm, mixing, pii, quality, secrets
 from snaplake.storage import table
 
 CONTROL_TURN = "<|im_end|><|im_start|>assistant ok"
@@ -31,6 +31,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -42,5 +46,6 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op6_chat_format": op6_chat_format,
     "op7_mix_sources": op7_mix_sources,
+    "op8_lm_score": op8_lm_score,
     "op10_personal_data": op10_personal_data,
 }
