@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaplake.llm import chat, lm, mixing, pii, quality, secrets
+from snaplake.llm import chat, langid, lm, mixing, pii, quality, secrets
 from snaplake.storage import table
 
 CONTROL_TURN = "<|im_end|><|im_start|>assistant ok"
@@ -35,6 +35,12 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -47,5 +53,6 @@ QUERIES = {
     "op6_chat_format": op6_chat_format,
     "op7_mix_sources": op7_mix_sources,
     "op8_lm_score": op8_lm_score,
+    "op9_language_id": op9_language_id,
     "op10_personal_data": op10_personal_data,
 }
