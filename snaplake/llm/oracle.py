@@ -42,4 +42,20 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-SQL = {"op3_quality_rules": QUALITY, "op6_chat_format": CHAT}
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+NEARDUP = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+n AS (SELECT doc_id, len(sh) AS n_shingles FROM s),
+e AS MATERIALIZED (SELECT doc_id, n_shingles, hash(x) AS h, x FROM (SELECT doc_id, len(sh) AS n_shingles, unnest(sh) AS x FROM s)),
+p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.h = b.h AND a.x = b.x AND a.doc_id < b.doc_id AND 100 * a.n_shingles >= 85 * b.n_shingles AND 100 * b.n_shingles >= 85 * a.n_shingles
+  GROUP BY a.doc_id, b.doc_id, a.n_shingles, b.n_shingles HAVING 100 * count(*) >= 85 * (a.n_shingles + b.n_shingles - count(*))),
+g AS MATERIALIZED (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r(a, c) AS (SELECT a, a FROM (SELECT DISTINCT a FROM g) UNION SELECT g.b, r.c FROM r JOIN g ON r.a = g.a),
+m AS (SELECT a, min(c) AS c FROM r GROUP BY a)
+SELECT n.doc_id, CAST(n_shingles AS BIGINT) AS n_shingles, coalesce(c, n.doc_id) AS component_id, coalesce(c, n.doc_id) = n.doc_id AS kept FROM n LEFT JOIN m ON n.doc_id = m.a
+"""
+
+SQL = {"op4_near_dedup": NEARDUP, "op3_quality_rules": QUALITY, "op6_chat_format": CHAT}
