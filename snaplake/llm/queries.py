@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaplake.llm import chat, fingerprints, langid, lm, mixing, neardup, pii, quality, secrets
+from snaplake.llm import chat, fingerprints, langid, lm, mixing, neardup, pii, quality, sampling, secrets
 from snaplake.storage import table
 
 CONTROL_TURN = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = sampling.decode(sampling.encode(table(spark, sf_dir, "documents")))
+    return read.select("doc_id", "rank", F.size("ids").cast("long").alias("n_pieces"), "ids", "log_prob", "perturbed", "inclusion", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -56,6 +61,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_secret_scan": op2_secret_scan,
     "op3_quality_rules": op3_quality_rules,
     "op4_near_dedup": op4_near_dedup,
