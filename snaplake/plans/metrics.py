@@ -35,13 +35,8 @@ class MetricView:
         rows = self.source
         if where:
             shown = rows.select(*[c.alias(n) for n, c in self.dimensions.items()])
-            shown.where(where)  # fails on a name that is not a dimension
-            marked = rows.withColumns({f"__{n}": c for n, c in self.dimensions.items()})
-            pick = F.expr(where) if set(self.dimensions) <= set(rows.columns) else None
-            if pick is None:
-                marked = rows.withColumns(dict(self.dimensions))
-                pick = F.expr(where)
-            rows = marked.where(pick)
+            rows.sparkSession.createDataFrame([], shown.schema).where(where)  # fails on a name that is not a dimension
+            rows = rows.withColumns(dict(self.dimensions)).where(where)
         keys = [self.dimensions[d].alias(d) for d in dims]
         return rows.groupBy(*keys).agg(*[self.measures[m].alias(m) for m in measures])
 
