@@ -90,7 +90,7 @@ def paths(signatures: np.ndarray) -> np.ndarray:
     return out
 
 
-SKETCH = "doc_id long, n_shingles long, digest binary, thumb binary, keys array<long>"
+SKETCH = "doc_id long, text_key long, n_shingles long, digest binary, thumb binary, keys array<long>"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,14 +104,14 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 signatures.append(tokens(values))
         signatures = np.array(signatures, np.uint64).reshape(-1, COORDINATES)
         low = (B.mix(signatures) & np.uint64(255)).astype(np.uint8)
-        keys = paths(signatures).reshape(len(at), -1).view(np.int64)
+        keys = paths(signatures).reshape(len(at), TREES * LEVELS).view(np.int64)
         thumbs: list = [None] * len(sizes)
         for i, k in enumerate(at):
             thumbs[k] = low[i].tobytes()
         bounds = np.zeros(len(sizes) + 1, np.int32)
         bounds[np.array(at, np.int64) + 1] = keys.shape[1] if len(at) else 0
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum(bounds, dtype=np.int32)), pa.array(keys.ravel()))
-        yield pa.record_batch([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(thumbs, pa.binary()), lists], names=["doc_id", "n_shingles", "digest", "thumb", "keys"])
+        yield pa.record_batch([batch["doc_id"], batch["text_key"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(thumbs, pa.binary()), lists], names=["doc_id", "text_key", "n_shingles", "digest", "thumb", "keys"])
 
 
 def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,28 +284,39 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return found.unionByName(star).unionByName(rest)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of each row of ``docs``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, SKETCH)
+def _labelled(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_key, n_shingles, label, component_id`` of each row; ``label`` numbers components, null for empty sets."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(_sketch, SKETCH)
     sketches = stored(rows.withColumn("row_id", F.monotonically_increasing_id()), "neardup-sketches")
     heads = sketches.where("n_shingles > 0").groupBy("digest").agg(F.min("row_id").alias("cid"), F.min("doc_id").alias("least"))
     joined = sketches.join(heads.select("cid", "least"), F.col("row_id") == F.col("cid")).select("cid", "least", F.col("doc_id").alias("first"), "digest", "n_shingles", "thumb", "keys")
     classes = stored(joined, "neardup-classes")
     labels = components(links(docs, classes), "neardup-components")
-    labelled = classes.select("cid", "digest", "least").join(labels, F.col("cid") == F.col("id"), "left").select("digest", "least", F.coalesce("label", "cid").alias("component"))
-    named = labelled.join(labelled.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("digest", "component_id")
-    out = sketches.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    labelled = classes.select("cid", "digest", "least").join(labels, F.col("cid") == F.col("id"), "left").select("digest", "least", F.coalesce("label", "cid").alias("label"))
+    named = labelled.join(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("digest", "label", "component_id")
+    out = sketches.select("doc_id", "text_key", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "text_key", "n_shingles", "label", component.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of each row of ``docs``."""
+    return _labelled(docs).select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, all columns kept.
+    """``docs`` with one row of each component, all columns kept: its smallest ``doc_id``, and of its rows the first by text hash.
 
-    Dropped ids are joined away.  Only if ids repeat are rows of one id reduced to one; that needs the texts to be dealt by id.
+    Rows are named by id and text hash, and what goes is joined away.  Only if equal rows are in the table are they dealt by that name.
     """
-    found = stored(near_duplicates(docs), "neardup-result")
-    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
-    out = docs.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("__dropped")), "left_anti")
-    repeated = not found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").isEmpty()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    found = stored(_labelled(docs), "neardup-result")
+    name = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    best = found.where("label IS NOT NULL").groupBy("label").agg(F.min(name).alias("best")).select(F.col("label").alias("of"), "best")
+    others = found.join(best, F.col("label") == F.col("of")).where(name != F.col("best"))
+    dropped = others.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
+    out = docs.join(dropped, same, "left_anti")
+    equal = found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).count().where("count > 1").drop("count")
+    if equal.isEmpty():
+        return out
+    return out.join(equal, same, "left_anti").unionByName(out.join(equal, same, "left_semi").dropDuplicates(["doc_id", "text"]))
