@@ -105,26 +105,21 @@ def canonical_terms(phrases: DataFrame, column: str, vocabulary: Sequence[str],
     return phrases.join(found, F.col(column) == F.col("__phrase"), "left").drop("__phrase")
 
 
-def mentions(texts: DataFrame, key: str, column: str, terms: Mapping[str, str], longest: int = 3) -> DataFrame:
+def mentions(texts: DataFrame, key: str, column: str, terms: Mapping[str, str]) -> DataFrame:
     """Distinct ``key, term`` of the known terms that a text mentions as whole words.
 
-    Texts become runs of up to ``longest`` words and meet the terms by an equi-join, so the work grows with the words, not with
-    words times terms.  ``terms`` maps each spelling to its name; a spelling is letters, digits and single spaces.
+    ``terms`` maps each spelling (letters, digits and single spaces) to its name.  Single words meet the text's distinct words by an equi-join,
+    so that part grows with the words, not with words times terms; spellings of several words are looked for one by one.
     """
+    # a sign between two words is a token of its own, so no spelling reaches across it
+    plain = F.regexp_replace(F.regexp_replace(F.lower(column), r"[^a-z0-9\s]", f" {APART} "), r"\s+", " ")
+    rows = texts.select(key, F.concat(F.lit(" "), plain, F.lit(" ")).alias("t"))
     known = texts.sparkSession.createDataFrame(list(terms.items()), "spelling string, term string")
-    sizes = sorted({len(s.split(" ")) for s in terms})
-    if sizes and sizes[-1] > longest:
-        raise ValueError("a spelling has more words than longest")
-    # a sign between two words is a token of its own, so no run reaches across it
-    apart = F.regexp_replace(F.lower(column), r"[^a-z0-9\s]", f" {APART} ")
-    runs = words = F.split(apart, r"\s+")
-    grams = [words] if 1 in sizes else []
-    for n in range(2, longest + 1):
-        runs = F.zip_with(runs, F.slice(words, n, 1 << 30), lambda a, b: F.concat_ws(" ", a, b))
-        if n in sizes:
-            grams.append(runs)
-    found = F.array_distinct(F.concat(*grams)) if len(grams) > 1 else F.array_distinct(grams[0])
-    return texts.select(key, F.explode(found).alias("spelling")).join(F.broadcast(known), "spelling").select(key, "term").distinct()
+    longer = [F.when(F.contains("t", F.lit(f" {s} ")), F.lit(s)) for s in terms if " " in s]
+    found = F.array_distinct(F.split("t", " "))
+    if longer:
+        found = F.concat(found, F.filter(F.array(*longer), lambda x: x.isNotNull()))
+    return rows.select(key, F.explode(found).alias("spelling")).join(F.broadcast(known), "spelling").select(key, "term").distinct()
 
 
 def known_term(column: str, vocabulary: Sequence[str]) -> Column:

@@ -23,18 +23,36 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return what was written.
 
     The result survives the loss of any executor, does not recompute its inputs and never changes when it is
     read twice.  ``zstd`` keeps the files small.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables that go once a later one has been written, so that the shared folder holds what is still needed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(new_path(self.spark, name))
+        return stored(df, name, self.paths[-1])
+
+    def drop(self, keep: int = 0) -> None:
+        """Delete all but the last ``keep`` tables."""
+        gone = self.paths[: len(self.paths) - keep]
+        self.paths = self.paths[len(gone) :]
+        for path in gone:
+            drop_path(self.spark, path)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a table written by :func:`stored` or the streaming sinks, through Hadoop's own file system."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
