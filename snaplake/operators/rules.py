@@ -38,18 +38,35 @@ def whole_word(column: str | Column, word: str) -> Column:
 
 
 def first_match(rules: Sequence[tuple[str, str, Sequence[str]]], *texts: str) -> Column:
-    """``struct(name, part1, part2)`` of the first rule that is found in the first text, else of the first in the second, ...
+    """``struct(name, part1, part2, part3)`` of the first rule that is found in the first text, else of the first in the second, ...
 
-    A rule is (name, regex, captures to keep as ``part1``, ``part2``), where a capture is a group number as text.
+    A rule is (name, regex, captures to keep as parts), where a capture is a group number as text; missing parts are empty.
     """
     cases = []
     for text in texts:
         for name, pattern, captures in rules:
-            parts = [F.regexp_extract(text, pattern, int(g)) for g in captures] + [F.lit("")] * (2 - len(captures))
-            cases.append(F.when(F.col(text).rlike(pattern), F.struct(F.lit(name).alias("name"), parts[0].alias("part1"), parts[1].alias("part2"))))
+            parts = [F.regexp_extract(text, pattern, int(g)) for g in captures] + [F.lit("")] * (3 - len(captures))
+            cases.append(F.when(F.col(text).rlike(pattern), F.struct(F.lit(name).alias("name"), parts[0].alias("part1"), parts[1].alias("part2"), parts[2].alias("part3"))))
     return F.coalesce(*cases)
 
 
+# What careers platforms leave in addresses and pages, in the order in which they are tried.
+CAREER_PLATFORMS = [
+    ("workday", r"https?://([a-z0-9-]+)\.(wd[0-9]+)\.myworkday(?:jobs|site)\.com/(?:[a-z]{2}-[A-Z]{2}/)?(?:recruiting/[a-z0-9-]+/)?([A-Za-z0-9_-]+)", ["1", "2", "3"]),
+    ("oracle", r"https?://([a-z0-9-]+\.fa(?:\.[a-z0-9-]+)?\.oraclecloud\.com)/hcmUI/CandidateExperience/[a-z]{2}/sites/([A-Za-z0-9_]+)", ["1", "2"]),
+    ("greenhouse", r"(?:boards(?:-api)?\.greenhouse\.io/(?:embed/job_board\?for=|v1/boards/)?|job-boards\.greenhouse\.io/)([a-z0-9_-]+)", ["1"]),
+    ("lever", r"jobs\.lever\.co/([a-z0-9_-]+)", ["1"]),
+    ("smartrecruiters", r"(?:jobs|careers)\.smartrecruiters\.com/([A-Za-z0-9_-]+)", ["1"]),
+    ("eightfold", r"https?://([a-z0-9.-]+)/careers\?[^\"']*domain=([a-z0-9.-]+)|([a-z0-9-]+)\.eightfold\.ai", ["1", "2", "3"]),
+    ("successfactors", r"(career[0-9]*\.successfactors\.(?:com|eu)|rmkcdn\.successfactors\.com)", []),
+    ("icims", r"([a-z0-9-]+)\.icims\.com", []),
+    ("phenom", r"(phenompeople\.com|cdn\.phenompeople)", []),
+    ("avature", r"([a-z0-9-]+)\.avature\.net", []),
+    ("taleo", r"([a-z0-9-]+)\.taleo\.net", []),
+    ("darwinbox", r"([a-z0-9-]+)\.darwinbox\.in", []),
+]
+
+
 def ordered_case(cases: Sequence[tuple[str, Column]], otherwise: str | None = None) -> Column:
     """The label of the first condition that holds."""
     out = F.when(cases[0][1], F.lit(cases[0][0]))

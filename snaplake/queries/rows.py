@@ -34,11 +34,11 @@ PAGES = [("secure", "^https://([a-z0-9.-]+)/([a-z]*)", ["1", "2"]), ("plain", "^
 
 def _classify_sql() -> str:
     def case(text: str, rule) -> str:
-        parts = [f"regexp_extract({text}, '{rule[1]}', {g})" for g in rule[2]] + ["''"] * (2 - len(rule[2]))
-        return f"WHEN regexp_matches({text}, '{rule[1]}') THEN {{{{'name': '{rule[0]}', 'part1': {parts[0]}, 'part2': {parts[1]}}}}}"
+        parts = [f"regexp_extract({text}, '{rule[1]}', {g})" for g in rule[2]] + ["''"] * (3 - len(rule[2]))
+        return f"WHEN regexp_matches({text}, '{rule[1]}') THEN {{{{'name': '{rule[0]}', 'part1': {parts[0]}, 'part2': {parts[1]}, 'part3': {parts[2]}}}}}"
 
     cases = " ".join(case(text, rule) for text in ("url", "html") for rule in PAGES).replace("{{", "{ ").replace("}}", " }")
-    return f"WITH c AS (SELECT page_id, CASE {cases} END AS m FROM {{pages}}) SELECT page_id, m.name AS name, m.part1 AS part1, m.part2 AS part2 FROM c"
+    return f"WITH c AS (SELECT page_id, CASE {cases} END AS m FROM {{pages}}) SELECT page_id, m.name AS name, m.part1 AS part1, m.part2 AS part2, m.part3 AS part3 FROM c"
 
 
 @query("classify_pages", _classify_sql())

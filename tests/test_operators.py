@@ -92,6 +92,16 @@ def test_rules(spark):
     assert [r[0][:3] for r in ages] == ["New", "Rec", "Old", "Old"]
 
 
+def test_career_platforms(spark):
+    rows = [
+        ("https://acme.wd103.myworkdayjobs.com/en-US/Careers", "", ("workday", "acme", "wd103", "Careers")), ("https://acme.example/jobs", "<iframe src='https://jobs.lever.co/acme'>", ("lever", "acme", "", "")),
+        ("https://jobs.lever.co/one", "https://boards.greenhouse.io/two", ("lever", "one", "", "")), ("https://x.example", "nothing", None), (None, None, None),
+        ("https://acme.eightfold.ai/", "", ("eightfold", "", "", "acme")),
+    ]
+    found = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(rows)], "i int, u string, h string").select("i", rules.first_match(rules.CAREER_PLATFORMS, "u", "h").alias("m")).orderBy("i").collect()
+    assert [tuple(r["m"]) if r["m"] else None for r in found] == [w for _, _, w in rows]
+
+
 def test_upserts(spark):
     target = spark.createDataFrame([(1, "SHORTLISTED", 5), (2, "APPLIED", 5)], "k int, status string, score int")
     changes = spark.createDataFrame([(1, 9), (2, 9), (3, 9)], "k int, score int")
