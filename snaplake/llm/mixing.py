@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snaplake.storage import stored
+from snaplake.storage import Scratch, stored
 
 #: Weights of sources in order, repeating; total of the mix over the total of sizes; most copies of a document.
 WEIGHTS, TOTAL, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
@@ -124,13 +124,14 @@ PLAN = ["doc_id", "source", "key", "size", "rows", "source_size", "target", "rat
 
 
 def plan(docs: DataFrame, text: str = "text", source: str = "source", weights=WEIGHTS, total: float = TOTAL, most: float = MOST, block: int = BLOCK) -> DataFrame:
-    """``doc_id, source, key, size, rows, source_size, target, rate, copies``: a row for each distinct document.
+    """``doc_id, source, key, size, rows, source_size, target, rate, copies``: a row for each distinct document, written.
 
     The texts are read once for their word counts.  A hot source has as many blocks as its documents need, dealt by hash.
     """
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64("doc_id", text).alias("key"))
-    sizes = stored(sizes.groupBy("doc_id", "source", "key", "size").agg(F.count("*").alias("rows")), "mix-sizes")
-    histogram = stored(sizes.groupBy("source", "size").agg(F.sum("rows").alias("docs")), "mix-histogram")
+    scratch = Scratch(docs.sparkSession)
+    sizes = scratch.stored(sizes.groupBy("doc_id", "source", "key", "size").agg(F.count("*").alias("rows")), "mix-sizes")
+    histogram = scratch.stored(sizes.groupBy("source", "size").agg(F.sum("rows").alias("docs")), "mix-histogram")
     totals = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"), F.sum("docs").alias("n"))
     spark = docs.sparkSession
     goals = spark.createDataFrame(targets(totals, weights, total, most), "source string, source_size long, target double")
@@ -142,7 +143,9 @@ def plan(docs: DataFrame, text: str = "text", source: str = "source", weights=WE
     rated = sizes.join(F.broadcast(per), F.col("source").eqNullSafe(F.col("s"))).withColumn("rate", F.round(tilted(most), 9))
     dealt = rated.select(*PLAN, F.pmod(F.xxhash64("key"), "blocks").alias("block"))
     kinds = "doc_id long, source string, key long, size long, rows long, source_size long, target double, rate double, copies long"
-    return dealt.groupBy("source", "block").applyInPandas(_rounded(most), kinds)
+    done = stored(dealt.groupBy("source", "block").applyInPandas(_rounded(most), kinds), "mix-plan")
+    scratch.drop()
+    return done
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

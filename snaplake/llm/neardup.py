@@ -10,8 +10,9 @@
    block is first compared with itself and the first block; what is not linked to the cluster's largest part by then is compared with
    every block.  Links join classes to components.
 
-A pair at the threshold misses a tree's first level with probability 0.15, so of pairs in small leaves ``TREES`` = 14
-trees lose one in 10**11; where all levels are needed, one in 10**5.
+A pair at the threshold misses a tree's first level with probability 0.15, so of pairs in small leaves ``TREES`` = 16
+trees lose one in 10**13.  All ``LEVELS`` = 6 are needed only among classes that agree so often that a leaf stays large; there a pair
+is lost with probability (1 - 0.85**6)**16 = 0.0005, unless another class connects the two, as is usual in such groups.
 
 Cases: null, empty and blank texts have an empty set and are linked with nothing; a text of fewer words than a shingle is one
 shingle; rows that repeat a ``doc_id`` are documents of their own with that id; a null ``doc_id`` takes part, and its component
@@ -31,10 +32,12 @@ from pyspark.sql import functions as F
 
 from snaplake.llm import batches as B
 from snaplake.llm.components import components
-from snaplake.storage import stored
+from snaplake.storage import Scratch, stored
 
 WORDS, PERCENT = 5, 85
-COORDINATES, TREES, LEVELS, SMALL = 128, 14, 4, 24
+COORDINATES, TREES, LEVELS, SMALL = 128, 16, 6, 24
+#: A node is named by its first level's key (64 bits) and so many bits for each further level; if they collide, a node only holds more.
+STEP_BITS = 12
 #: Share of equal tokens below which a pair of larger sets is no candidate: 4.5 deviations under the threshold.
 LEAST_EQUAL, LARGE_SET = 0.71, 256
 BLOCK, COLUMNS = 256, 1 << 14
@@ -76,9 +79,9 @@ def tokens(values: np.ndarray) -> np.ndarray:
 
 
 def paths(signatures: np.ndarray) -> np.ndarray:
-    """Node keys of each signature: (rows, trees, levels)."""
+    """Two words for each signature and tree: the key of the first level, and the steps after it from high bits to low."""
     node = np.broadcast_to(B.mix(np.arange(1, TREES + 1, dtype=np.uint64)), (len(signatures), TREES))
-    out = np.empty((len(signatures), TREES, LEVELS), np.uint64)
+    out = np.zeros((len(signatures), TREES, 2), np.uint64)
     rows = np.arange(len(signatures))[:, None]
     for level in range(LEVELS):
         if level:
@@ -86,7 +89,10 @@ def paths(signatures: np.ndarray) -> np.ndarray:
         else:  # different trees start with different coordinates
             coordinate = np.broadcast_to((np.arange(TREES) * 9) % COORDINATES, node.shape)
         node = B.mix(node * np.uint64(31) + signatures[rows, coordinate.astype(np.int64)])
-        out[:, :, level] = node
+        if level:
+            out[:, :, 1] |= (node >> np.uint64(64 - STEP_BITS)) << np.uint64(64 - STEP_BITS * level)
+        else:
+            out[:, :, 0] = node
     return out
 
 
@@ -104,7 +110,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 signatures.append(tokens(values))
         signatures = np.array(signatures, np.uint64).reshape(-1, COORDINATES)
         low = (B.mix(signatures) & np.uint64(255)).astype(np.uint8)
-        keys = paths(signatures).reshape(len(at), TREES * LEVELS).view(np.int64)
+        keys = paths(signatures).reshape(len(at), 2 * TREES).view(np.int64)
         thumbs: list = [None] * len(sizes)
         for i, k in enumerate(at):
             thumbs[k] = low[i].tobytes()
@@ -149,24 +155,25 @@ def _compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array(np.minimum(cid[i], cid[j])), pa.array(np.maximum(cid[i], cid[j]))], names=["a", "b"])
 
 
-def leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def leaves(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Rows ``node, cid`` of small leaves with two or more classes, and of nodes that stay large."""
-    key = lambda t, level: F.col("keys")[t * LEVELS + level]
-    rows = classes.select("cid", F.explode(F.array(*[F.struct(*[key(t, i).alias(f"k{i}") for i in range(LEVELS)]) for t in range(TREES)])).alias("k")).select("cid", "k.*")
+    tree = lambda t: F.struct(F.col("keys")[2 * t].alias("key"), F.col("keys")[2 * t + 1].alias("steps"))
+    rows = classes.select("cid", F.explode(F.array(*map(tree, range(TREES)))).alias("k")).select("cid", "k.*")
     small = None
     for level in range(LEVELS):
-        name = f"k{level}"
-        counts = rows.groupBy(name).agg(F.count("*").alias("members")).where("members > 1")
-        met = stored(rows.join(counts, name), f"neardup-level-{level}")
-        done = met.where(F.col("members") <= SMALL).select(F.col(name).alias("node"), "cid")
+        # a node of this level: the first key and the steps down to here
+        named = rows.withColumn("node", F.xxhash64("key", F.shiftrightunsigned("steps", 64 - STEP_BITS * level)) if level else F.col("key"))
+        counts = named.groupBy("node").agg(F.count("*").alias("members")).where("members > 1")
+        met = scratch.stored(named.join(counts, "node"), f"neardup-level-{level}")
+        done = met.where(F.col("members") <= SMALL).select("node", "cid")
         small = done if small is None else small.unionByName(done)
-        rows = met.where(F.col("members") > SMALL).drop("members")
-    return small, rows.select(F.col(f"k{LEVELS - 1}").alias("node"), "cid").distinct()
+        rows = met.where(F.col("members") > SMALL).select("node", "cid", "key", "steps")
+    return small, rows.select("node", "cid").distinct()
 
 
-def candidates(classes: DataFrame) -> DataFrame:
+def candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """Candidate pairs ``a, b``: they connect all that may be similar, and are not all such pairs."""
-    small, large = leaves(classes)
+    small, large = leaves(classes, scratch)
     sketched = small.join(classes.select("cid", "n_shingles", "thumb"), "cid")
     dealt = sketched.repartition("node").sortWithinPartitions("node", "cid").select("node", "cid", "n_shingles", "thumb")
     pairs = dealt.mapInArrow(_close_pairs, "a long, b long")
@@ -228,9 +235,9 @@ def _cell(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": [cid[i] for i, _ in pairs], "b": [cid[j] for _, j in pairs]}, dtype="int64")
 
 
-def _in_cells(rows: DataFrame, name: str) -> DataFrame:
+def _in_cells(rows: DataFrame, name: str, scratch: Scratch) -> DataFrame:
     """Links of rows ``cell, cid, cluster, part, values``, compared within each cell."""
-    return stored(rows.groupBy("cell").applyInPandas(_cell, "a long, b long"), name)
+    return scratch.stored(rows.groupBy("cell").applyInPandas(_cell, "a long, b long"), name)
 
 
 def _set_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,61 +249,66 @@ def _set_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(digests, pa.binary()), pa.array(values, pa.binary())], names=["digest", "values"])
 
 
-def _sets(docs: DataFrame, classes: DataFrame, clusters: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, classes: DataFrame, clusters: DataFrame, scratch: Scratch) -> DataFrame:
     """``cid, cluster, values``: the full sets of all classes in clusters, from the texts of their first documents."""
-    wanted = stored(classes.join(clusters, F.col("cid") == F.col("id")).select("cid", "digest", F.col("first").alias("wanted"), F.col("label").alias("cluster")), "neardup-wanted")
+    wanted = scratch.stored(classes.join(clusters, F.col("cid") == F.col("id")).select("cid", "digest", F.col("first").alias("wanted"), F.col("label").alias("cluster")), "neardup-wanted")
     ids = wanted.select("wanted").distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
     values = texts.select("text").mapInArrow(_set_values, "digest binary, values binary")
-    return stored(values.join(wanted, "digest").select("cid", "cluster", "values").dropDuplicates(["cid"]), "neardup-sets")
+    return scratch.stored(values.join(wanted, "digest").select("cid", "cluster", "values").dropDuplicates(["cid"]), "neardup-sets")
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """Links ``a, b`` between classes that connect every component of similar sets."""
-    clusters = components(candidates(classes), "neardup-clusters")
-    sets = _sets(docs, classes, clusters)
+    levels = Scratch(docs.sparkSession)
+    clusters = components(candidates(classes, levels), "neardup-clusters")
+    levels.drop()
+    sets = _sets(docs, classes, clusters, scratch)
     sizes = sets.groupBy("cluster").agg(F.count("*").alias("members"))
     small_rows = sizes.where(F.col("members") <= BLOCK).agg(F.sum("members").alias("n")).first()["n"] or 0
     bins = max(1, small_rows // (BLOCK // 2))
     sized = sets.join(sizes, "cluster")
     # one block: many clusters share a cell, and only pairs within a cluster count
     small = sized.where(F.col("members") <= BLOCK).select(F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(bins))).alias("cell"), "cid", "cluster", F.col("cid").alias("part"), "values")
-    found = _in_cells(small, "neardup-links")
+    found = _in_cells(small, "neardup-links", scratch)
     large = sized.where(F.col("members") > BLOCK).withColumn("blocks", F.ceil(F.col("members") / (BLOCK // 2)).cast("long"))
     if large.isEmpty():
         return found
-    large = stored(large.withColumn("block", F.pmod(F.xxhash64("cid"), "blocks")), "neardup-large")
+    large = scratch.stored(large.withColumn("block", F.pmod(F.xxhash64("cid"), "blocks")), "neardup-large")
     cell = lambda a, b: F.concat_ws("-", F.lit("l"), "cluster", a, b)
     first = large.withColumn("with", F.explode(F.when(F.col("block") == 0, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))))
-    star = _in_cells(first.select(cell(F.lit(0), "with").alias("cell"), "cid", "cluster", F.col("cid").alias("part"), "values"), "neardup-star")
+    star = _in_cells(first.select(cell(F.lit(0), "with").alias("cell"), "cid", "cluster", F.col("cid").alias("part"), "values"), "neardup-star", scratch)
     parts = components(star, "neardup-parts").withColumnRenamed("id", "cid")
     large = large.join(parts, "cid", "left").withColumn("part", F.coalesce("label", "cid")).drop("label")
-    counted = stored(large.groupBy("cluster", "part").agg(F.count("*").alias("k")), "neardup-counts")
+    counted = scratch.stored(large.groupBy("cluster", "part").agg(F.count("*").alias("k")), "neardup-counts")
     main = counted.groupBy("cluster").agg(F.max(F.struct("k", "part")).alias("top"), F.sum("k").alias("all")).select(F.col("cluster").alias("of"), F.col("top.part").alias("main"), (F.col("all") - F.col("top.k")).alias("others"))
     open_ = large.join(main.where("others > 0"), F.col("cluster") == F.col("of")).withColumn("strips", F.ceil(F.col("others") / (BLOCK // 2)).cast("long"))
-    open_ = stored(open_.withColumn("strip", F.when(F.col("part") != F.col("main"), F.pmod(F.xxhash64("cid", F.lit(1)), "strips"))), "neardup-open")
+    open_ = scratch.stored(open_.withColumn("strip", F.when(F.col("part") != F.col("main"), F.pmod(F.xxhash64("cid", F.lit(1)), "strips"))), "neardup-open")
     up_to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     everyone = open_.withColumn("s", F.explode(up_to("strips"))).select("cluster", F.col("s").alias("i"), F.col("block").alias("j"), "cid", "part", "values")
     loose = open_.where(F.col("strip").isNotNull()).withColumn("t", F.explode(up_to("blocks"))).select("cluster", F.col("strip").alias("i"), F.col("t").alias("j"), "cid", "part", "values")
-    rest = _in_cells(everyone.unionByName(loose).select(cell("i", "j").alias("cell"), "cid", "cluster", "part", "values"), "neardup-rest")
+    rest = _in_cells(everyone.unionByName(loose).select(cell("i", "j").alias("cell"), "cid", "cluster", "part", "values"), "neardup-rest", scratch)
     return found.unionByName(star).unionByName(rest)
 
 
 def _labelled(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, n_shingles, label, component_id`` of each row; ``label`` numbers components, null for empty sets."""
+    """``doc_id, text_key, n_shingles, label, component_id`` of each row, written; ``label`` numbers components, null for empty sets."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(_sketch, SKETCH)
-    sketches = stored(rows.withColumn("row_id", F.monotonically_increasing_id()), "neardup-sketches")
+    scratch = Scratch(docs.sparkSession)
+    sketches = scratch.stored(rows.withColumn("row_id", F.monotonically_increasing_id()), "neardup-sketches")
     heads = sketches.where("n_shingles > 0").groupBy("digest").agg(F.min("row_id").alias("cid"), F.min("doc_id").alias("least"))
     joined = sketches.join(heads.select("cid", "least"), F.col("row_id") == F.col("cid")).select("cid", "least", F.col("doc_id").alias("first"), "digest", "n_shingles", "thumb", "keys")
-    classes = stored(joined, "neardup-classes")
-    labels = components(links(docs, classes), "neardup-components")
+    classes = scratch.stored(joined, "neardup-classes")
+    labels = components(links(docs, classes, scratch), "neardup-components")
     labelled = classes.select("cid", "digest", "least").join(labels, F.col("cid") == F.col("id"), "left").select("digest", "least", F.coalesce("label", "cid").alias("label"))
     named = labelled.join(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("digest", "label", "component_id")
     out = sketches.select("doc_id", "text_key", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "text_key", "n_shingles", "label", component.alias("component_id"))
+    done = stored(out.select("doc_id", "text_key", "n_shingles", "label", component.alias("component_id")), "neardup-result")
+    scratch.drop()
+    return done
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -309,7 +321,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Rows are named by id and text hash, and what goes is joined away.  Only if equal rows are in the table are they dealt by that name.
     """
-    found = stored(_labelled(docs), "neardup-result")
+    found = _labelled(docs)
     name = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     best = found.where("label IS NOT NULL").groupBy("label").agg(F.min(name).alias("best")).select(F.col("label").alias("of"), "best")
     others = found.join(best, F.col("label") == F.col("of")).where(name != F.col("best"))

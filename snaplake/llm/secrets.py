@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snaplake.llm import spans as S
-from snaplake.storage import stored
+from snaplake.storage import Scratch, stored
 
 KINDS = ["assign", "access", "hex", "cnn"]
 # The patterns that define base findings, and the least length of each.
@@ -237,7 +237,9 @@ def redact(docs: DataFrame, text: str = "text", **training) -> DataFrame:
 
     A first pass trains the network; the second finds and cuts row by row, so that no text is shuffled.
     """
-    net = train(stored(scan(docs.select("doc_id", F.col(text).alias("text"))), "secret-candidates"), **training)
+    scratch = Scratch(docs.sparkSession)
+    net = train(scratch.stored(scan(docs.select("doc_id", F.col(text).alias("text"))), "secret-candidates"), **training)
+    scratch.drop()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
