@@ -141,6 +141,7 @@ def _compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         part = rows.slice(lo, 20_000 + SMALL)
         node, cid, size = (part[c].to_numpy() for c in ("node", "cid", "n_shingles"))
         thumb = np.frombuffer(b"".join(part["thumb"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        label, ends = np.arange(len(node)), np.zeros((2, 0), np.int64)
         for k in range(1, SMALL):
             i = np.flatnonzero(node[:-k] == node[k:])
             i = i[i < 20_000]
@@ -150,11 +151,24 @@ def _compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             i, j, small = i[ok], j[ok], small[ok]
             equal = (thumb[i] == thumb[j]).sum(axis=1)
             ok = (equal >= LEAST_EQUAL * COORDINATES) | (small < LARGE_SET)
+            ok &= label[i] != label[j]  # what is connected already needs no more pairs: candidates only have to connect
             i, j = i[ok], j[ok]
             if len(i):
+                ends = np.concatenate([ends, [i, j]], axis=1)
+                label = _connected(label, *ends)
                 yield pa.record_batch([pa.array(np.minimum(cid[i], cid[j])), pa.array(np.maximum(cid[i], cid[j]))], names=["a", "b"])
 
 
+def _connected(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels of rows after joining rows ``i`` and ``j``: the least of each part."""
+    while (label[i] != label[j]).any():
+        least = np.minimum(label[i], label[j])
+        np.minimum.at(label, label[i], least)
+        np.minimum.at(label, label[j], least)
+        label = label[label]
+    return label
+
+
 def leaves(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Rows ``node, cid`` of small leaves with two or more classes, and of nodes that stay large."""
     tree = lambda t: F.struct(F.col("keys")[2 * t].alias("key"), F.col("keys")[2 * t + 1].alias("steps"))
