@@ -12,8 +12,8 @@ CONTROL_TURN = "<|im_end|><|im_start|>assistant ok"
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = sampling.decode(sampling.encode(table(spark, sf_dir, "documents")))
-    return read.select("doc_id", "rank", F.size("ids").cast("long").alias("n_pieces"), "ids", "log_prob", "perturbed", "inclusion", F.sha2("text", 256).alias("decoded_sha256"))
+    samples = sampling.encode(table(spark, sf_dir, "documents"), digests=True)
+    return samples.select("doc_id", "rank", F.size("ids").cast("long").alias("n_pieces"), "ids", "log_prob", "perturbed", "inclusion", "decoded_sha256")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ back every text exactly; empty tables give empty results; other columns are igno
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,11 +43,16 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - counts), counts)
 
 
-def uniform(*parts: np.ndarray | int) -> np.ndarray:
-    """Numbers in (0, 1) that are a hash of their parts."""
-    h = np.uint64(0)
+def stream(seed: np.ndarray, *parts: int) -> np.ndarray:
+    """Seeds of one purpose: a hash of each row's seed and ``parts``."""
     for p in parts:
-        h = B.mix(np.atleast_1d(np.asarray(p).astype(np.uint64)) + h * np.uint64(0x2545F4914F6CDD1D) + np.uint64(1))
+        seed = B.mix(seed * np.uint64(0x2545F4914F6CDD1D) + np.uint64(p + 1))
+    return seed
+
+
+def uniform(seed: np.ndarray, place: np.ndarray | int) -> np.ndarray:
+    """Numbers in (0, 1), a hash of a seed and a place."""
+    h = B.mix(seed + np.asarray(place).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return ((h >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
@@ -89,11 +95,18 @@ class Chunks:
         total = np.cumsum(self.share)
         self.upto = total - np.repeat(np.concatenate([[0.0], total])[self.first_edge[:-1]], counts)
         self.log_share = np.log(np.maximum(self.share, 1e-300))
+        # nothing is left where the node has no other edge; a share that is rounded to 1 leaves nothing either
+        rest = 1.0 - self.share
+        self.log_rest = np.where(rest > 1e-15, np.log(np.maximum(rest, 1e-300)), -np.inf)
 
 
-def _walk(c: Chunks, node: np.ndarray, seed: np.ndarray, turn: int, chunk: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Sample the edges from each node back to its chunk's root: their numbers, and (cursor, edge) step by step."""
+def _walk(c: Chunks, node: np.ndarray, seed: np.ndarray, turn: int, chunk: tuple[np.ndarray, np.ndarray], skip: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Sample the edges from each node back to its chunk's root: their numbers, and (cursor, edge) step by step.
+
+    ``chunk``: the text of each cursor, and the place of its chunk there.
+    """
     counts, steps = np.zeros(len(node), np.int64), []
+    own = B.mix(stream(seed, turn)[chunk[0]] + chunk[1].astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
     live = np.flatnonzero(node >= c.roots)
     node = node[live]
     k = 0
@@ -101,7 +114,7 @@ def _walk(c: Chunks, node: np.ndarray, seed: np.ndarray, turn: int, chunk: np.nd
         lo, hi = c.first_edge[node], c.first_edge[node + 1] - 1
         edge = lo.copy()
         many = np.flatnonzero(hi > lo)
-        u = uniform(seed[live[many]], turn, chunk[live[many]], skip[live[many]] + k)
+        u = uniform(own[live[many]], skip[live[many]] + k)
         while len(many):
             on = (u > c.upto[edge[many]]) & (edge[many] < hi[many])
             many, u = many[on], u[on]
@@ -131,18 +144,19 @@ class _Sample:
         run = np.concatenate([[0.0], np.cumsum(logs)])
         before = run[:-1] - run[self.bounds[:-1]][text]
         self.log_prob = run[self.bounds[1:]] - run[self.bounds[:-1]]
-        rest = 1.0 - c.share[self.edges]
+        rest = c.log_rest[self.edges]
         at = np.flatnonzero((self.start >= 0) & (self.start < counts))
         for column in range(self.barred.shape[1]):
             some = at[self.barred[at, column] >= 0]
-            rest[self.bounds[some] + self.start[some]] -= c.share[self.barred[some, column]]
+            where = self.bounds[some] + self.start[some]
+            left = np.exp(rest[where]) - c.share[self.barred[some, column]]
+            rest[where] = np.where(left > 1e-15, np.log(np.maximum(left, 1e-300)), -np.inf)
         place = np.arange(len(text)) - self.bounds[text]
-        # nothing is left where the node has no other edge; a share that is rounded to 1 leaves nothing either
-        rest = np.where((rest > 1e-15) & (place >= np.maximum(self.start, 0)[text]), rest, 0.0)
-        with np.errstate(divide="ignore", over="ignore"):
-            mass = before + np.log(rest)
-            noise = -np.log(uniform(seed[text], turn, place, 1 << 40))
-            self.gumbel = np.where(rest > 0, mass - np.log(np.exp(mass - self.value[text]) + noise), -np.inf)
+        rest[place < self.start[text]] = -np.inf
+        with np.errstate(over="ignore", invalid="ignore"):
+            mass = before + rest
+            noise = -np.log(uniform(stream(seed, turn, 1)[text], place))
+            self.gumbel = np.where(np.isfinite(rest), mass - np.log(np.exp(mass - self.value[text]) + noise), -np.inf)
 
     def best(self) -> np.ndarray:
         """The highest maximum of each text, -inf where there is no part."""
@@ -157,12 +171,12 @@ def top_k(c: Chunks, keys: np.ndarray, k: int) -> tuple[list[_Sample], list[np.n
     texts = len(c.text_first) - 1
     seed = B.mix(keys + np.uint64(0x51ED270B))
     chunks = len(c.text)
-    counts, steps = _walk(c, c.final, seed[c.text], 0, c.place, np.zeros(chunks, np.int64))
+    counts, steps = _walk(c, c.final, seed, 0, (c.text, c.place), np.zeros(chunks, np.int64))
     first = np.concatenate([[0], np.cumsum(counts)])
-    edges = np.empty(first[-1], np.int64)
+    edges = np.empty(first[-1], np.int32)
     for step, (cursor, edge) in enumerate(steps):
         edges[first[cursor] + step] = edge
-    value = -np.log(-np.log(uniform(seed, 0, 1 << 41)))
+    value = -np.log(-np.log(uniform(stream(seed, 0, 2), 0)))
     samples = [_Sample(edges, first, value, np.full(texts, -1), np.full((texts, k), -1))]
     have = [np.ones(texts, bool)]
     samples[0].split(c, 0, seed)
@@ -208,7 +222,7 @@ def _branch(c: Chunks, samples: list[_Sample], source: np.ndarray, value: np.nda
         run = np.cumsum(weight)
         base = np.concatenate([[0.0], run])[np.cumsum(many) - many]
         total = np.add.reduceat(weight, np.cumsum(many) - many)
-        u = uniform(seed[owner], turn, at[owner], 1 << 42) * total
+        u = uniform(stream(seed, turn, 3)[owner], at[owner]) * total
         hit = (run - base[row] >= u[row]) & (weight > 0)
         last = np.flatnonzero(weight > 0)
         rows, one = np.unique(row[np.flatnonzero(hit)], return_index=True)
@@ -221,7 +235,7 @@ def _branch(c: Chunks, samples: list[_Sample], source: np.ndarray, value: np.nda
     is_branch = chunk[fresh] == branch_chunk[c.text[fresh]]
     node = np.where(is_branch, c.origin[np.maximum(edge[c.text[fresh]], 0)], c.final[fresh])
     skip = np.where(is_branch, before[c.text[fresh]] + 1, 0)
-    more, steps = _walk(c, node, seed[c.text[fresh]], turn, c.place[fresh], skip)
+    more, steps = _walk(c, node, seed, turn, (c.text[fresh], c.place[fresh]), skip)
     counts = np.zeros(len(chunk), np.int64)
     counts[fresh] = more + skip
     copies = []
@@ -230,7 +244,7 @@ def _branch(c: Chunks, samples: list[_Sample], source: np.ndarray, value: np.nda
         counts[old] = np.diff(sample.first)[old]
         copies.append(old)
     first = np.concatenate([[0], np.cumsum(counts)])
-    edges = np.empty(first[-1], np.int64)
+    edges = np.empty(first[-1], np.int32)
     for step, (cursor, e) in enumerate(steps):
         edges[first[fresh[cursor]] + skip[cursor] + step] = e
     for s, sample in enumerate(samples):
@@ -273,7 +287,8 @@ def piece_ids(c: Chunks, sample: _Sample, vocabulary: Vocabulary) -> tuple[np.nd
 def alphabet(vocabulary: Vocabulary) -> np.ndarray:
     """1 for each code point that some piece holds; the last entry stands for all beyond."""
     out = np.zeros(0x110001, np.uint8)
-    plain = [p for i, p in enumerate(vocabulary.pieces) if np.isfinite(vocabulary.logp[i]) and i not in set(vocabulary.bytes.tolist()) and i != vocabulary.end]
+    spelled = {*vocabulary.bytes.tolist(), vocabulary.end}
+    plain = [p for i, p in enumerate(vocabulary.pieces) if np.isfinite(vocabulary.logp[i]) and i not in spelled]
     out[np.unique(np.frombuffer("".join(plain).encode("utf-32-le"), np.uint32))] = 1
     return out
 
@@ -291,13 +306,16 @@ def encode_texts(vocabulary: Vocabulary, letters: np.ndarray, texts: list[str],
     return out
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY, k: int = TOP_K) -> DataFrame:
-    """``doc_id, rank, ids, log_prob, perturbed, inclusion``: up to ``k`` rows for each row of ``docs``, rank 0 first."""
+def encode(docs: DataFrame, path: str = VOCABULARY, k: int = TOP_K, digests: bool = False) -> DataFrame:
+    """``doc_id, rank, ids, log_prob, perturbed, inclusion``: up to ``k`` rows for each row of ``docs``, rank 0 first.
+
+    With ``digests`` every sample is decoded where it is made, and ``decoded_sha256`` is the digest of that text.
+    """
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
-        letters = alphabet(v)
+        letters, decoder = alphabet(v), Decoder(v)
         for batch in batches:
             keys = batch["doc_id"].fill_null(-(1 << 62)).to_numpy().astype(np.int64).view(np.uint64)
             for lo, hi, _, _ in B.pieces(batch["text"], PIECE_BYTES):
@@ -306,10 +324,14 @@ def encode(docs: DataFrame, path: str = VOCABULARY, k: int = TOP_K) -> DataFrame
                 for rank, x in enumerate(encode_texts(v, letters, texts, keys[lo:hi], k)):
                     mine = pa.array(x["have"])
                     lists = pa.ListArray.from_arrays(pa.array(x["offsets"].astype(np.int32)), pa.array(x["ids"]))
-                    whole = pa.record_batch([ids, pa.array(np.full(hi - lo, rank, np.int32)), lists, *(pa.array(x[c]) for c in ("log_prob", "perturbed", "inclusion"))], names=["doc_id", "rank", "ids", "log_prob", "perturbed", "inclusion"])
+                    columns = {"doc_id": ids, "rank": pa.array(np.full(hi - lo, rank, np.int32)), "ids": lists} | {c: pa.array(x[c]) for c in ("log_prob", "perturbed", "inclusion")}
+                    if digests:
+                        data, at = decoder(x["ids"], x["offsets"])
+                        columns["decoded_sha256"] = pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)])
+                    whole = pa.record_batch(list(columns.values()), names=list(columns))
                     yield whole if x["have"].all() else whole.filter(mine)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SAMPLES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SAMPLES + (", decoded_sha256 string" if digests else ""))
 
 
 class Decoder:
@@ -326,14 +348,12 @@ class Decoder:
 
     def __call__(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of texts and their offsets; the space that stands in front of every text goes."""
-        size = self.size[ids]
-        run = np.concatenate([[0], np.cumsum(size)])
-        data = self.data[ragged(self.start[ids], size)]
-        ends = run[offsets]
-        keep = np.ones(len(data), bool)
-        front = ends[:-1][np.diff(ends) > 0]
-        keep[front] = data[front] != 32
-        return data[keep], np.concatenate([[0], np.cumsum(keep)])[ends]
+        size, start = self.size[ids], self.start[ids]
+        front = offsets[:-1][np.diff(offsets) > 0]
+        front = front[(size[front] > 0) & (self.data[np.minimum(start[front], len(self.data) - 1)] == 32)]
+        size[front] -= 1
+        start[front] += 1
+        return self.data[ragged(start, size)], np.concatenate([[0], np.cumsum(size)])[offsets]
 
 
 def decode(samples: DataFrame, path: str = VOCABULARY) -> DataFrame:
