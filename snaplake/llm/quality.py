@@ -3,7 +3,8 @@
 A line's key is its words (A-Z lowered) joined by one space.  Per host and line the distinct texts that hold it are
 counted, so exact copies count once.  A line held by more than ``limit`` texts of a host is boilerplate there and is
 removed from every document but the host's first (smallest ``doc_id``) that holds it.  A document that loses more than
-``max_removed`` percent of its words is depleted and rejected, as is one that fails the base rules.
+``max_removed`` percent of its words is depleted and rejected, as is one that fails the base rules.  ``line_verdicts`` judges,
+``keep_good`` selects rows as they are, ``cleaned`` also cuts the removed lines from the texts of the rows that stay.
 
 Cases: null text has no words and fails; a null host is a host of its own; rows with the same ``doc_id`` are judged each on
 its own text; a null ``doc_id`` is never the first; empty tables give empty results; other columns pass through.
@@ -60,16 +61,7 @@ def measure(texts: pa.Array) -> Iterator[tuple[int, int, dict[str, np.ndarray],
         out["n_words"] = np.diff(bounds)
         out["word_chars"] = chars[bounds[1:]] - chars[bounds[:-1]]
         out["n_symbols"] = symbols[offsets[1:]] - symbols[offsets[:-1]]
-        # lines: between line ends and row edges; a line is named by its exact bytes, or by its words alone
-        cuts = np.flatnonzero(data == 10)
-        first = np.unique(np.concatenate([offsets[:-1], cuts + 1]))
-        line_rows = np.searchsorted(offsets[1:], first, "right")
-        keep = line_rows < n
-        first, line_rows = first[keep], line_rows[keep]
-        last = np.minimum(np.append(cuts, len(data))[np.searchsorted(cuts, first)], offsets[1:][line_rows])
-        wa, wb = np.searchsorted(starts, first), np.searchsorted(starts, last)
-        full = (wb > wa) & (last > first)
-        first, last, wa, wb, line_rows = first[full], last[full], wa[full], wb[full], line_rows[full]
+        first, last, wa, wb, line_rows = _lines(data, offsets, starts)
         exact = B.span_hashes(data, first, last)
         place = _in_order(low, wa, wb)
         lines = []
@@ -86,6 +78,42 @@ def measure(texts: pa.Array) -> Iterator[tuple[int, int, dict[str, np.ndarray],
         yield lo, hi, out, lines
 
 
+def _lines(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(start, end, first word, end word, row) of the lines that hold words: between line ends and row edges.
+
+    A line is named by its exact bytes, or by its words alone.
+    """
+    cuts = np.flatnonzero(data == 10)
+    first = np.unique(np.concatenate([offsets[:-1], cuts + 1]))
+    line_rows = np.searchsorted(offsets[1:], first, "right")
+    keep = line_rows < len(offsets) - 1
+    first, line_rows = first[keep], line_rows[keep]
+    last = np.minimum(np.append(cuts, len(data))[np.searchsorted(cuts, first)], offsets[1:][line_rows])
+    wa, wb = np.searchsorted(starts, first), np.searchsorted(starts, last)
+    full = (wb > wa) & (last > first)
+    return first[full], last[full], wa[full], wb[full], line_rows[full]
+
+
+def without_lines(texts: pa.Array, cut: list[np.ndarray]) -> list[str]:
+    """Each text without the lines whose hash is in its ``cut``; other lines, blank ones too, stay as they are."""
+    out = []
+    for lo, hi, data, offsets in B.pieces(texts):
+        starts, ends, _ = B.word_spans(data, offsets)
+        first, last, wa, wb, line_rows = _lines(data, offsets, starts)
+        place = _in_order(B.span_hashes(B.lower_ascii(data), starts, ends), wa, wb).view(np.int64)
+        bounds = B.row_bounds(line_rows, hi - lo)
+        for i in range(hi - lo):
+            a, b = bounds[i], bounds[i + 1]
+            gone = set(first[a:b][np.isin(place[a:b], cut[lo + i])].tolist())
+            at, parts = int(offsets[i]), []
+            for line in data[offsets[i] : offsets[i + 1]].tobytes().split(b"\n"):
+                if at not in gone:
+                    parts.append(line)
+                at += len(line) + 1
+            out.append(b"\n".join(parts).decode())
+    return out
+
+
 def _in_order(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """A hash of each run ``words[first:last]``, in order."""
     up, down = B._powers(len(words) + 1)
@@ -106,7 +134,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def line_verdicts(docs: DataFrame, host: str = "source", min_limit: int = MIN_LIMIT, share: float = SHARE, max_removed: int = MAX_REMOVED) -> DataFrame:
-    """``doc_id``, the base figures, ``base_failed``, ``removed_words`` and ``kept`` of every row of ``docs``.
+    """``doc_id``, the base figures, ``base_failed``, ``kept``, ``removed_words`` and the hashes ``cut`` of the removed lines of every row of ``docs``.
 
     One pass over the texts; everything after it works on line hashes.  Counts are pre-aggregated by (host, line, text)
     before (host, line), so a hot line is never one task's work, and the join back is one that Spark can split.
@@ -120,11 +148,11 @@ def line_verdicts(docs: DataFrame, host: str = "source", min_limit: int = MIN_LI
     seen = lines.groupBy("host", "h").agg(F.count_distinct("digest").alias("texts"), F.min("doc_id").alias("first"))
     over = seen.where(F.col("texts") > min_limit).join(limits, "host").where(F.col("texts") > F.col("most")).select("host", "h", "first")
     hits = lines.join(over, ["host", "h"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    removed = hits.groupBy("row_id").agg(F.sum("w").alias("removed_words"))
+    removed = hits.groupBy("row_id").agg(F.sum("w").alias("removed_words"), F.collect_list("h").alias("cut"))
     judged = profile.drop("lines").join(removed, "row_id", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     kept = ~failed & (100 * F.col("removed_words") <= max_removed * F.col("n_words"))
-    return judged.select("doc_id", "host", "digest", *STATS, failed.alias("base_failed"), kept.alias("kept"), "removed_words")
+    return judged.select("doc_id", "host", "digest", *STATS, failed.alias("base_failed"), kept.alias("kept"), "removed_words", "cut")
 
 
 def keep_good(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
@@ -134,5 +162,35 @@ def keep_good(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     """
     rejected = line_verdicts(docs, host, **limits).where(~F.col("kept")).select("doc_id", "host", "digest").distinct()
     a, b = docs.alias("a"), rejected.alias("b")
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.coalesce(F.concat(F.lit("h"), F.col(f"a.{host}")), F.lit("")) == F.col("b.host")) & (F.xxhash64("a.text") == F.col("b.digest"))
-    return a.join(b, same, "left_anti")
+    return a.join(b, _same_row(host), "left_anti")
+
+
+def _same_row(host: str) -> F.Column:
+    """Rows ``a`` of the documents and ``b`` of the verdicts."""
+    return F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.coalesce(F.concat(F.lit("h"), F.col(f"a.{host}")), F.lit("")) == F.col("b.host")) & (F.xxhash64("a.text") == F.col("b.digest"))
+
+
+def _cut(names: list[str]):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, texts = batch[-1], batch[names.index("text")]
+            hit = np.flatnonzero(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False) > 0)
+            if len(hit):
+                out = texts.to_pylist()
+                for i, text in zip(hit.tolist(), without_lines(texts.take(pa.array(hit)), [np.array(lists[i].as_py(), np.int64) for i in hit.tolist()]), strict=True):
+                    out[i] = text
+                texts = pa.array(out, texts.type)
+            yield pa.record_batch([texts if name == "text" else batch[k] for k, name in enumerate(names)], names=names)
+
+    return cut
+
+
+def cleaned(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns and without the removed lines in ``text``.
+
+    Only rows that are rejected or lose lines are on the other side of the join, which has one row for equal rows.
+    """
+    changed = line_verdicts(docs, host, **limits).where(~F.col("kept") | F.col("cut").isNotNull()).groupBy("doc_id", "host", "digest").agg(F.first("kept").alias("kept"), F.first("cut").alias("cut"))
+    a, b = docs.alias("a"), changed.alias("b")
+    stay = a.join(b, _same_row(host), "left").where(F.col("b.kept").isNull() | F.col("b.kept"))
+    return stay.select("a.*", F.col("b.cut").alias("__cut")).mapInArrow(_cut(docs.columns), docs.schema)

@@ -31,6 +31,13 @@ def test_stages(spark, sf_dir):
     assert len(whole) == sum(r["count"] for r in out) and len(whole) < 6 * first.count()
 
 
+def test_quality_stage_cuts_lines(spark):
+    line = " ".join(f"shared{i}" for i in range(20))
+    rows = [(i, " ".join(f"w{i}n{k}" for k in range(60)) + f"\n{line}", "en", "a", 1) for i in range(30)]
+    got = {r["doc_id"]: r for r in cp.keep_good(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), None).collect()}
+    assert len(got) == 30 and all((line in r["text"]) == (d == 0) and r["n_chars"] == len(r["text"]) for d, r in got.items())
+
+
 def test_odd_rows(spark, odd, none, tmp_path):
     for docs in (odd, none):
         names = docs.columns

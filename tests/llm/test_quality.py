@@ -46,6 +46,22 @@ def test_frequent_lines(spark):
     assert all(got[i]["kept"] for i in range(200, 230))  # exact copies are one text
 
 
+def test_cleaned_texts(spark):
+    """Lines above limits go from the texts that stay, in whatever case and spacing; every other byte stays."""
+    shared = filler("s", 20)
+    rows = [(i, f"{filler(i)}\n\n {shared.upper() if i % 2 else shared}\t\né {filler(i, 5)}\n", "a") for i in range(30)]
+    rows += [(100 + i, f"{shared}\n{filler(100 + i)}", "b") for i in range(3)] + [(200, f"{filler(200)}\n{shared}", "a"), (200, f"{filler(200)}\n{shared}", "a"), (300, None, "a")]
+    got = sorted(map(tuple, quality.cleaned(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()))
+    want = [r if r[0] == 0 or r[2] == "b" else (r[0], "\n".join(x for x in r[1].split("\n") if " ".join(x.lower().split()) != shared), r[2]) for r in rows if r[1]]
+    assert got == sorted(want)
+    assert shared not in dict((d, t) for d, t, _ in got)[1].lower()
+
+
+def test_cleaned_odd_rows(odd, none):
+    kept, clean = quality.keep_good(odd), quality.cleaned(odd)
+    assert clean.columns == odd.columns and sorted(map(str, clean.collect())) == sorted(map(str, kept.collect())) and quality.cleaned(none).count() == 0
+
+
 def test_odd_rows(odd, none):
     got = quality.line_verdicts(odd).collect()
     assert len(got) == odd.count() and {r["doc_id"] for r in got if r["n_words"] == 0} == {2, 3, 4}
