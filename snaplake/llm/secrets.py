@@ -5,7 +5,8 @@ pooling, two dense layers) sees 32 characters before, the candidate (all of it u
 32) and 16 after.  It is trained on labelled findings: candidates that the fixed patterns confirm against candidates that they don't,
 at most ``MAX_FINDINGS`` of each label, chosen by hash.  The words before a finding are blanked in half of the training copies, so
 that the network learns the shape of keys and not just their names.  Scores are calibrated by Platt's method on
-held-out findings; the threshold is the highest that keeps ``MIN_RECALL`` of the held-out secrets.
+held-out findings; the threshold is the highest that keeps ``MIN_RECALL`` of the held-out secrets, however low it is.  The recall
+and precision of held-out findings at the threshold are kept with the network and logged.
 
 Cases: null and empty texts have no findings; without findings of both labels there is no network and only the fixed patterns
 count; repeated rows get a row each; empty tables give empty results; other columns are ignored.
@@ -13,6 +14,7 @@ count; repeated rows get a row each; empty tables give empty results; other colu
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Iterator
 
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from snaplake.llm import spans as S
 from snaplake.storage import Scratch, stored
 
+LOG = logging.getLogger(__name__)
 KINDS = ["assign", "access", "hex", "cnn"]
 # The patterns that define base findings, and the least length of each.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -35,7 +38,7 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]*[0-9][A-Za-z0-9
 MIN_CANDIDATE = 12
 BEFORE, HEAD, AFTER = 32, 32, 16
 WIDTH = BEFORE + 2 * HEAD + AFTER
-MAX_FINDINGS, MIN_RECALL, MIN_PROBABILITY = 2000, 0.98, 0.5
+MAX_FINDINGS, MIN_RECALL = 2000, 0.98
 #: What stands in place of a secret.
 MARK = "[secret]"
 
@@ -113,6 +116,7 @@ class CharCNN:
             "d": np.zeros(1),
         }
         self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
+        self.recall = self.precision = float("nan")
 
     def _forward(self, x: np.ndarray) -> dict[str, np.ndarray]:
         p = self.p
@@ -172,17 +176,26 @@ class CharCNN:
         z = self.logits(x)
         a, b = 1.0, 0.0
         target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-        for _ in range(50):
+        loss = lambda a, b: float(np.sum(np.logaddexp(0, a * z + b) - target * (a * z + b)))
+        for _ in range(100):
             q = 1 / (1 + np.exp(-np.clip(a * z + b, -50, 50)))
-            w, e = np.maximum(q * (1 - q), 1e-6), q - target
-            h = np.array([[np.sum(w * z * z) + 1e-3, np.sum(w * z)], [np.sum(w * z), np.sum(w) + 1e-3]])
-            step = np.linalg.solve(h, [np.sum(e * z), np.sum(e)])
-            a, b = a - step[0], b - step[1]
-            if np.abs(step).max() < 1e-6:
+            w, e = q * (1 - q), q - target
+            h = np.array([[np.sum(w * z * z) + 1e-9, np.sum(w * z)], [np.sum(w * z), np.sum(w) + 1e-9]])
+            g = np.array([np.sum(e * z), np.sum(e)])
+            step, t, now = np.linalg.solve(h, g), 1.0, loss(a, b)
+            while t > 1e-10 and loss(a - t * step[0], b - t * step[1]) > now - 1e-4 * t * (g @ step):
+                t /= 2  # a whole step overshoots where scores are far apart, and then all scores saturate
+            a, b = a - t * step[0], b - t * step[1]
+            if np.abs(t * step).max() < 1e-6:
                 break
         self.scale, self.shift = float(a), float(b)
-        q = np.sort(self.probability(x[y == 1]))
-        self.threshold = max(MIN_PROBABILITY, float(q[int(np.floor((1 - min_recall) * len(q)))]) - 1e-9) if len(q) else 1.1
+        p = self.probability(x)
+        q = np.sort(p[y == 1])
+        self.threshold = float(q[int(np.floor((1 - min_recall) * len(q)))]) if len(q) else 1.1
+        self.threshold -= min(1e-9, self.threshold / 2)  # the same score summed in another order is not below it
+        found = p >= self.threshold
+        self.recall = float(found[y == 1].mean()) if len(q) else float("nan")
+        self.precision = float(y[found].mean()) if found.any() else float("nan")
 
 
 def train(scanned: DataFrame, max_findings: int = MAX_FINDINGS, min_recall: float = MIN_RECALL) -> CharCNN | None:
@@ -201,6 +214,7 @@ def train(scanned: DataFrame, max_findings: int = MAX_FINDINGS, min_recall: floa
     net = CharCNN()
     net.fit(x[~held], y[~held])
     net.calibrate(x[held], y[held], min_recall)
+    LOG.info("secrets: threshold %.4g, held-out recall %.4f, precision %.4f of %d findings", net.threshold, net.recall, net.precision, held.sum())
     return net
 
 

@@ -70,6 +70,26 @@ def test_gradient():
         net.p[k][at] += 1e-6
 
 
+def test_threshold_keeps_recall():
+    """Secrets that are rare and look like the rest score low; the threshold follows them down."""
+    net, r = s.CharCNN(), np.random.default_rng(5)
+    x, y = r.integers(32, 127, (1000, s.WIDTH)), (np.arange(1000) < 50).astype(float)
+    net.calibrate(x, y, 0.98)
+    p = net.probability(x)
+    assert p[y == 1].max() < 0.5
+    assert net.recall == (p[y == 1] >= net.threshold).mean() >= 0.98
+    assert net.precision == y[p >= net.threshold].mean()
+
+
+def test_calibration_does_not_saturate():
+    """Scores that lie apart stay apart after calibration, so the recall threshold parts them."""
+    net, z = s.CharCNN(), np.concatenate([[0.47, 2.28], np.full(35, 2.98), np.linspace(-15, -7, 165), [-0.39]])
+    net.logits = lambda x: z
+    y = (z > 0).astype(float)
+    net.calibrate(np.zeros((len(z), 1)), y, 0.98)
+    assert net.scale < 100 and net.recall == net.precision == 1
+
+
 def test_redaction(spark):
     secret = "0123456789abcdef" * 3
     docs = spark.createDataFrame([(1, f"a token = {secret} b", 7), (2, None, 8), (3, "clean", 9)], "doc_id long, text string, extra int")
