@@ -1,10 +1,11 @@
 """Mixing sources to target weights by entropy balancing.
 
-Document rates ``r`` stay as close to 1 as possible in relative entropy while each source meets its constraints: its words
-times rates must equal its target, and its documents times rates must keep the same ratio, so that long documents are not
-favoured.  The convex dual has the solution ``r = min(2, exp(a_s + b_s * z))`` with ``z`` a document's size over its source's mean,
-and Newton's method finds ``a_s, b_s``: each step is one distributed sum over the histogram of (source, size), then a solve of 2 by 2
-for each source.  Rates are rounded into copies by carrying the rounding error in words from document to document, from long
+Document rates ``r`` stay as close to 1 as possible in relative entropy while each source meets its constraint: its words
+times rates must equal its target.  The convex dual has the solution ``r = min(2, exp(b_s * z))`` with ``z`` a document's size over
+its source's mean, so a source that must grow takes more of its long documents and one that must shrink fewer.  (A constraint on the
+number of documents by the same ratio would make every rate of a source the same.)  Newton's method on the logarithm of the words finds ``b_s``: each step
+is one distributed sum over the histogram of (source, size), then a division for each source; a step that leaves the bracket
+of the root is replaced by its middle.  Rates are rounded into copies by carrying the rounding error in words from document to document, from long
 to short, in blocks of bounded size, so each block's error ends below half of its shortest document.
 
 Cases: null text has no words and is never taken; a null source is a source of its own, ordered last; equal rows get equal
@@ -27,7 +28,8 @@ from snaplake.storage import Scratch, stored
 WEIGHTS, TOTAL, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 #: Documents rounded in one group.
 BLOCK = 4096
-STEPS = 12
+#: Most passes over the histogram; the tilt of a source of which nothing is taken.
+STEPS, NONE = 60, -1e9
 
 
 def word_count(text) -> F.Column:
@@ -58,51 +60,56 @@ def targets(totals: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: floa
 
 
 def balance(histogram: DataFrame, goals: DataFrame, steps: int = STEPS, most: float = MOST) -> DataFrame:
-    """``source, a, b, mean`` that solve the dual.
+    """``source, b, mean`` that solve the dual.
 
-    ``histogram``: ``source, size, docs``; ``goals``: ``source, source_size, target``, a row per source.  Capped rates count in the
-    curvature, so a step never overshoots; it ends when every source meets its target to a part in 10**9.
+    ``histogram``: ``source, size, docs``; ``goals``: ``source, source_size, target``, a row per source.  Words taken grow with ``b``,
+    so each sum also narrows a bracket of the root.  It ends when every source meets its target to a part in 10**9; a target that
+    only rates of ``most`` meet (``ratio`` at the cap) has the root where the shortest document with words reaches the cap.
     """
     spark = histogram.sparkSession
-    docs = histogram.groupBy("source").agg(F.sum("docs").alias("n"), F.sum(F.col("docs") * F.col("size")).alias("words"))
+    docs = histogram.groupBy("source").agg(F.sum("docs").alias("n"), F.sum(F.col("docs") * F.col("size")).alias("words"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
     state = {}
     goal = {r["source"]: r["target"] for r in goals.collect()}
     for r in docs.collect():
         ratio = goal[r["source"]] / r["words"] if r["words"] else 1.0
-        state[r["source"]] = {"a": 0.0, "b": 0.0, "mean": max(r["words"] / r["n"], 1e-9), "n": r["n"], "ratio": ratio}
-    schema = "source string, a double, b double, mean double"
-    frame = lambda: spark.createDataFrame([(s, v["a"], v["b"], v["mean"]) for s, v in state.items()], schema)
+        mean = max(r["words"] / r["n"], 1e-9)
+        full = math.log(most) * mean / r["least"] * (1 + 1e-9) if r["words"] else 0.0
+        v = {"b": 0.0, "low": -math.inf, "high": full, "mean": mean, "n": r["n"], "ratio": ratio, "done": not r["words"] or ratio <= 0}
+        if r["words"] and ratio >= most * (1 - 1e-9):
+            v |= {"b": full, "done": True}
+        elif r["words"] and ratio <= 0:
+            v |= {"b": NONE}
+        state[r["source"]] = v
+    schema = "source string, b double, mean double"
+    frame = lambda: spark.createDataFrame([(s, v["b"], v["mean"]) for s, v in state.items()], schema)
     for _ in range(steps):
+        if all(v["done"] for v in state.values()):
+            break
         now = histogram.join(F.broadcast(frame().withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
         z, rate = F.col("size") / F.col("mean"), tilted(most)
-        free = rate * F.col("docs")  # capped rates count, which only shortens the step
-        sums = now.groupBy("source").agg(
-            F.sum(rate * F.col("docs")).alias("g0"), F.sum(rate * z * F.col("docs")).alias("g1"), F.sum(free).alias("h0"), F.sum(free * z).alias("h1"), F.sum(free * z * z).alias("h2")
-        )
-        worst = 0.0
+        sums = now.groupBy("source").agg(F.sum(rate * z * F.col("docs")).alias("g"), F.sum(F.when(rate < most, rate * z * z * F.col("docs")).otherwise(0.0)).alias("h"))
         for r in sums.collect():
             v = state[r["source"]]
-            e0, e1 = r["g0"] - v["ratio"] * v["n"], r["g1"] - v["ratio"] * v["n"]
-            worst = max(worst, abs(e1) / max(v["n"], 1))
-            ridge = 1e-9 * v["n"]
-            h0, h1, h2 = r["h0"] + ridge, r["h1"], r["h2"] + ridge
-            det = h0 * h2 - h1 * h1
-            if det <= 1e-12 * h0 * h2:  # all sizes alike: one parameter is enough
-                da, db = e0 / h0, 0.0
-            else:
-                da, db = (h2 * e0 - h1 * e1) / det, (h0 * e1 - h1 * e0) / det
-            v["a"] = min(v["a"] - max(-1.0, min(1.0, da)), math.log(most))  # no further than where the cap begins
-            v["b"] -= max(-1.0, min(1.0, db))
-        if worst < 1e-9:
-            break
+            if v["done"]:
+                continue
+            error = r["g"] - v["ratio"] * v["n"]
+            if abs(error) < 1e-9 * v["ratio"] * v["n"]:
+                v["done"] = True
+                continue
+            v["low" if error < 0 else "high"] = v["b"]
+            step = v["b"] - math.log(r["g"] / (v["ratio"] * v["n"])) * r["g"] / r["h"] if r["g"] > 0 and r["h"] > 0 else math.inf
+            if not v["low"] < step < v["high"]:
+                low, high = v["low"], v["high"]
+                step = 2 * v["b"] - 1.0 if low == -math.inf else math.sqrt(low * high) if low > 0 else (low + high) / 2
+            v["b"] = step
     for v in state.values():  # sums may differ in their last bits from run to run; the tilt does not
-        v["a"], v["b"] = round(v["a"], 10), round(v["b"], 10)
+        v["b"] = round(v["b"], 10)
     return frame()
 
 
 def tilted(most: float = MOST) -> F.Column:
     """A document's rate under the tilt of its source."""
-    return F.least(F.lit(most), F.exp(F.col("a") + F.col("b") * F.col("size") / F.col("mean")))
+    return F.least(F.lit(most), F.exp(F.col("b") * F.col("size") / F.col("mean")))
 
 
 def _rounded(most: float):
@@ -139,7 +146,7 @@ def plan(docs: DataFrame, text: str = "text", source: str = "source", weights=WE
     counts = totals.select("source", F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("long").alias("blocks"))
     same = lambda x, y: F.col(f"{x}.source").eqNullSafe(F.col(f"{y}.source"))
     per = goals.alias("g").join(tilt.alias("t"), same("g", "t")).join(counts.alias("c"), same("g", "c"))
-    per = per.select(F.col("g.source").alias("s"), "source_size", "target", "a", "b", "mean", "blocks")
+    per = per.select(F.col("g.source").alias("s"), "source_size", "target", "b", "mean", "blocks")
     rated = sizes.join(F.broadcast(per), F.col("source").eqNullSafe(F.col("s"))).withColumn("rate", F.round(tilted(most), 9))
     dealt = rated.select(*PLAN, F.pmod(F.xxhash64("key"), "blocks").alias("block"))
     kinds = "doc_id long, source string, key long, size long, rows long, source_size long, target double, rate double, copies long"

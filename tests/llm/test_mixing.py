@@ -47,6 +47,35 @@ def test_targets_are_met(spark):
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, again), key=repr)
 
 
+def test_rates_are_tilted_by_size(spark):
+    """Rates solve the dual of the token constraint: log(rate) is in proportion to size up to the cap, and words times rates meet the target."""
+    rows = corpus()
+    size_of = {d: len(t.split()) for d, t, _ in rows}
+    source = {d: s for d, _, s in rows}
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA), total=0.9).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[source[r["doc_id"]]].append((size_of[r["doc_id"]], r["rate"], r["target"]))
+    varied = 0
+    for docs in by.values():
+        assert math.isclose(sum(n * rate for n, rate, _ in docs), docs[0][2], rel_tol=1e-6)
+        slopes = [math.log(rate) / n for n, rate, _ in docs if 1e-3 < rate < 2]
+        assert not slopes or max(slopes) - min(slopes) < 1e-5
+        varied += len({rate for _, rate, _ in docs}) > 1
+    assert varied >= 2
+
+
+def test_balance_of_long_tails(spark):
+    """Heavy tails at every ratio: the target is met to a part in a million."""
+    sizes = [int(math.exp(4 + 1.5 * (((i * 7919) % 997) / 997 * 6 - 3))) for i in range(997)]
+    ratios = [0.01, 0.3, 0.9, 1.0, 1.3, 1.9, 1.999, 2.0]
+    hist = spark.createDataFrame([(str(q), n, 1) for q in ratios for n in sizes], "source string, size long, docs long")
+    goals = spark.createDataFrame([(str(q), sum(sizes), q * sum(sizes)) for q in ratios], "source string, source_size long, target double")
+    for r in mixing.balance(hist, goals).collect():
+        got = sum(n * min(2.0, math.exp(min(1.0, r["b"] * n / r["mean"]))) for n in sizes)
+        assert math.isclose(got, float(r["source"]) * sum(sizes), rel_tol=1e-6), r
+
+
 def test_mixed_rows(spark):
     docs = spark.createDataFrame(corpus(), SCHEMA)
     plan = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect()}
