@@ -1,11 +1,15 @@
 """Personal data: fixed patterns, and identifiers discovered from their contexts by bootstrapping.
 
-The fixed patterns give seed entities.  Every identifier-like run that they don't cover (it holds a digit or ``@``) is an instance,
-named by its value; its patterns are the words around it: the two before, the one before with the one after, each with the
-shape of the value.  Patterns and instances form a graph.  Each round scores patterns by the share of their distinct
-instances that are trusted so far, smoothed so that rare patterns earn little, and instances by their best patterns; instances
-over the threshold are trusted in the next round.  After the last round, instances that patterns of high confidence hold are
-reported with the kind ``context``.
+The fixed patterns give seed entities.  Instances are named by their values: every other run of characters that holds ``@`` or 4
+digits, and every group of such items with digits that single spaces part (``555 123 4567``), of any length.  The patterns of an
+instance are the words around it: the two before, and the one before with the one after.  Patterns and instances form a
+graph.  Each round scores patterns by the share of their distinct instances that are trusted so far, smoothed so that rare patterns
+earn little, and instances by their best pattern; instances over the threshold are trusted in the next round.
+
+Then the texts are read again: every other word next to a trusted pattern is an instance too (few digits or none).  They count in
+the confidence that a pattern has for such words, which so falls where common words stand in its place.  Words of plain
+shape (letters or digits only) need both of their patterns, others one.  What patterns of high confidence hold is reported with
+the kind ``context``; a group and an item in it may both be.
 
 All counts are grouped by pattern and instance before they are joined, so a pattern that stands in a third of all
 rows is one row of the graph.
@@ -16,8 +20,10 @@ and count once in the graph, which holds distinct edges; empty tables give empty
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,6 +45,10 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Rounds; confidence a pattern needs; distinct instances it needs; what is added to its count; score an instance needs to be trusted.
 ROUNDS, MIN_CONFIDENCE, MIN_SUPPORT, SMOOTHING, MIN_TRUST = 3, 0.6, 5, 2.0, 0.6
 DIGIT = re.compile("[0-9]")
+#: What stands between two items of a group; shapes that any common word or number has; bits of the filter of patterns.
+BETWEEN = re.compile(r"\x20(?:[A-Z]{1,4}\x20)?")
+PLAIN = re.compile(r"[a'\u2019-]+|0")
+BITS = 1 << 22
 
 
 def luhn(digits: str) -> bool:
@@ -84,12 +94,54 @@ def instances(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
     out = [{"start": a, "end": b, "seed": True, "value": text[a:b].lower(), "patterns": contexts(text, a, b)} for _, a, b in base]
     if not ("@" in text or DIGIT.search(text)):
         return out
+    items = []
     for m in ITEM.finditer(text):
         value = m[0].strip(EDGES)
         a = m.start() + m[0].find(value) if value else 0
-        b = a + len(value)
-        if len(value) >= 5 and (sum(c in "0123456789" for c in value) >= 4 or "@" in value) and len(value) <= 64 and S.clear_of(a, b, base):
-            out.append({"start": a, "end": b, "seed": False, "value": value.lower(), "patterns": contexts(text, a, b)})
+        if value and S.clear_of(a, a + len(value), base):
+            items.append((a, a + len(value)))
+    for a, b in [*(x for x in items if strong(text[x[0] : x[1]])), *(x for x in groups(text, items) if strong(text[x[0] : x[1]]))]:
+        out.append({"start": a, "end": b, "seed": False, "value": text[a:b].lower(), "patterns": contexts(text, a, b)})
+    return out
+
+
+def strong(value: str) -> bool:
+    """Whether a value may be an identifier by itself."""
+    return "@" in value or len(DIGIT.findall(value)) >= 4
+
+
+def groups(text: str, items: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of two and more items with digits between which only a space, or a short word in capitals, stands."""
+    out, run = [], []
+    for a, b in items:
+        if "@" in text[a:b]:
+            continue
+        if run and BETWEEN.fullmatch(text, run[-1][1], a):
+            run.append((a, b))
+            continue
+        if len(run) > 1:
+            out.append((run[0][0], run[-1][1]))
+        run = [(a, b)]
+    if len(run) > 1:
+        out.append((run[0][0], run[-1][1]))
+    return out
+
+
+def weak_instances(text: str, taken: list[tuple[str, int, int]], heads: Callable[[str], bool], holds: Callable[[str], bool]) -> list[dict]:
+    """The words outside ``taken`` that stand next to a pattern which ``holds``; ``heads`` tells the words before such places."""
+    out, before = [], ""
+    for m in WORD.finditer(text):
+        word = m[0]
+        value = word.strip(EDGES)
+        lead = 0 if not value else word.find(value)
+        if value and heads("" if lead else before):
+            a = m.start() + lead
+            b = a + len(value)
+            if any(c.isalnum() for c in value) and not strong(value) and S.clear_of(a, b, taken):
+                patterns = contexts(text, a, b)
+                if any(map(holds, patterns)):
+                    out.append({"start": a, "end": b, "plain": PLAIN.fullmatch(shape(value)) is not None, "value": value.lower(), "patterns": patterns})
+        before = value.lower()
     return out
 
 
@@ -114,10 +166,10 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def induce(found: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """``pattern, confidence`` of the patterns that are trusted after ``rounds`` of scoring.
+    """``pattern, confidence, support, trusted`` of the patterns that are trusted after ``rounds`` of scoring.
 
     ``found`` has rows of instances ``value, seed, patterns``.  A pattern's confidence is the sum of its instances' scores
-    over their number plus ``SMOOTHING``; an instance's score is 1 for a seed, else the mean of its two best patterns.
+    over their number plus ``SMOOTHING``; an instance's score is 1 for a seed, else its best pattern's confidence.
     """
     edges = stored(found.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "pii-edges")
     scores = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"))
@@ -128,25 +180,72 @@ def induce(found: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_C
             .groupBy("pattern")
             .agg(F.count("*").alias("support"), F.sum(F.when(F.col("score") >= MIN_TRUST, F.col("score")).otherwise(0.0)).alias("trusted"))
             .where(F.col("trusted") > 0)
-            .select("pattern", "support", (F.col("trusted") / (F.col("support") + SMOOTHING)).alias("confidence"))
+            .select("pattern", "support", "trusted", (F.col("trusted") / (F.col("support") + SMOOTHING)).alias("confidence"))
         )
         patterns = stored(patterns, f"pii-patterns-{k}")
         if k + 1 < rounds:
             best = edges.join(patterns.where(F.col("support") >= min_support), "pattern").groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("seed"), F.max("confidence").alias("best"))
             scores = stored(edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("seed")).join(best.drop("seed"), "value", "left").select("value", F.greatest("seed", F.coalesce("best", F.lit(0.0))).alias("score")), f"pii-scores-{k}")
-    return patterns.where((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence)).select("pattern", "confidence")
+    return patterns.where((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence)).select("pattern", "confidence", "support", "trusted")
+
+
+WEAK = "array<struct<start: int, end: int, plain: boolean, value: string, patterns: array<string>>>"
+
+
+def _bits(words: DataFrame) -> bytes:
+    """A filter of the column ``w``: one bit for each word's CRC modulo ``BITS``, so its size does not grow with the words."""
+    at = F.crc32(F.encode("w", "UTF-8")) % BITS
+    found = words.select(F.shiftright(at, 5).alias("k"), F.expr("shiftleft(1L, CAST(crc32(encode(w, 'UTF-8')) % 32 AS INT))").alias("bit")).groupBy("k").agg(F.bit_or("bit").alias("bits")).collect()
+    out = bytearray(BITS // 8)
+    for r in found:
+        out[4 * r["k"] : 4 * r["k"] + 4] = r["bits"].to_bytes(4, "little")
+    return bytes(out)
+
+
+def _has(bits: bytes) -> Callable[[str], bool]:
+    def has(word: str) -> bool:
+        k = zlib.crc32(word.encode("utf-8", "replace")) % BITS
+        return bool(bits[k >> 3] >> (k & 7) & 1)
+
+    return has
+
+
+def _scan_all(head_bits: bytes, pattern_bits: bytes):
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("plain", pa.bool_()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))]))
+    some = any(pattern_bits)
+
+    def scan_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        has_head, holds = _has(head_bits), _has(pattern_bits)
+        for batch in batches:
+            done, weak, heads = next(_scan(iter([batch]))), [], functools.cache(has_head)
+            for text, found in zip(batch["text"], done["found"].to_pylist(), strict=True):
+                text = text.as_py() or ""
+                weak.append(weak_instances(text, [("", f["start"], f["end"]) for f in found], heads, holds) if some and text else [])
+            yield pa.record_batch([*done.columns, pa.array(weak, kind)], names=["doc_id", "base", "found", "weak"])
+
+    return scan_all
 
 
 def find_personal_data(docs: DataFrame, **limits) -> DataFrame:
     """``doc_id, base, spans`` of each row: base spans, and all spans with those that trusted patterns hold.
 
-    The texts are read once; rows of the written scan are numbered, and only instances take part in the graph.
+    The texts are read twice: for the graph, and for all that stands next to its trusted patterns.  Rows of the second scan are
+    written and numbered.  A filter of fixed size tells the second scan where patterns stand; joins by pattern decide.
     """
-    scanned = stored(scan(docs).withColumn("row_id", F.monotonically_increasing_id()), "pii-scan")
+    min_confidence = limits.get("min_confidence", MIN_CONFIDENCE)
+    trusted = stored(induce(scan(docs).select(F.explode("found").alias("f")).select("f.*"), **limits), "pii-trusted")
+    p = F.split("pattern", " ")  # the word before the open place, in either kind of pattern
+    heads = F.array(F.when(p[2] == "_", p[1]), F.when(p[1] == "_", p[0]))
+    bits = _bits(trusted.select(F.explode(heads).alias("w")).where("w IS NOT NULL").distinct()), _bits(trusted.select(F.col("pattern").alias("w")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scanned = stored(texts.mapInArrow(_scan_all(*bits), f"doc_id long, base array<{S.SPAN_DDL}>, found {FOUND}, weak {WEAK}").withColumn("row_id", F.monotonically_increasing_id()), "pii-scan")
     found = scanned.select("row_id", F.explode("found").alias("f")).select("row_id", "f.*")
-    trusted = induce(found, **limits)
-    new = found.where(~F.col("seed")).select("row_id", "start", "end", F.explode("patterns").alias("pattern")).join(trusted, "pattern")
-    added = new.groupBy("row_id").agg(F.collect_set(F.struct(F.lit("context").alias("kind"), "start", "end")).alias("added"))
+    new = found.where(~F.col("seed")).select("row_id", "start", "end", F.explode("patterns").alias("pattern")).join(trusted, "pattern").select("row_id", "start", "end")
+    weak = scanned.select("row_id", F.explode("weak").alias("f")).select("row_id", "f.start", "f.end", "f.plain", "f.value", F.explode("f.patterns").alias("pattern"))
+    fill = weak.groupBy("pattern", "value").agg(F.lit(1).alias("one")).groupBy("pattern").agg(F.count("*").alias("words"))
+    sure = trusted.join(fill, "pattern").where(F.col("trusted") / (F.col("support") + F.col("words") + SMOOTHING) >= min_confidence).select("pattern")
+    words = weak.join(sure, "pattern").groupBy("row_id", "start", "end", "plain").agg(F.count("*").alias("n")).where(~F.col("plain") | (F.col("n") > 1)).select("row_id", "start", "end")
+    added = new.unionAll(words).groupBy("row_id").agg(F.collect_set(F.struct(F.lit("context").alias("kind"), "start", "end")).alias("added"))
     every = F.concat("base", F.coalesce("added", F.expr(f"CAST(array() AS array<{S.SPAN_DDL}>)")))
     keyed = F.transform(F.array_sort(F.transform(every, lambda x: F.struct(x["start"].alias("start"), _rank(x["kind"]).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     return scanned.join(added, "row_id", "left").select("doc_id", "base", keyed.alias("spans"))

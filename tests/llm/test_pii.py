@@ -43,5 +43,20 @@ def test_discovery(spark):
     assert all([tuple(s) for s in got[d]["base"]] == brute(t) for d, t in rows)
 
 
+def test_discovery_of_any_form(spark):
+    """Grouped numbers, long values, few digits and none: whatever stands where known identifiers stand, and only there."""
+    values = ["555 123 4567", "DE89 3704 0044 0532 0130 00", "k" * 70 + "12345", "ab-1", "jane_roe", "42", "janeroe", "1234"]
+    rows = [(i, f"please write to my address user{i}@mail{i % 7}.example.com today") for i in range(60)]
+    rows += [(100 + i, f"please write to my address {v} today") for i, v in enumerate(values)]
+    rows += [(200 + i, f"we sold {v} at noon") for i, v in enumerate(values)]
+    rows += [(300 + i, f"my address {w} tomorrow") for i, w in enumerate(["is", "was", "book"])]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    for i, v in enumerate(values):
+        assert v in [text[100 + i][s["start"] : s["end"]] for s in got[100 + i] if s["kind"] == "context"], v
+        assert not got[200 + i]
+    assert not any(got[300 + i] for i in range(3))
+
+
 def test_odd_rows(odd, none):
     assert pii.find_personal_data(odd).count() == odd.count() and pii.find_personal_data(none).count() == 0
