@@ -20,8 +20,7 @@ SPACES[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BYTE_CODES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_PLACE, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def pieces(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -71,23 +70,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, at least ``n`` of them."""
-    if len(_POWERS[0]) < n:
-        size = max(n, PIECE_BYTES + 1)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS[0][:n], _POWERS[1][:n]
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs ``values[start:end]``; runs may not overlap.
+
+    Every value is mixed with its place in the run before the sum, so no algebra of powers makes different runs collide.
+    """
+    size = ends - starts
+    upto = np.cumsum(size)
+    first = upto - size
+    total = int(upto[-1]) if len(upto) else 0
+    place = np.arange(total, dtype=np.int64)
+    at = place + np.repeat(starts - first, size)
+    place -= np.repeat(first, size)
+    h = values[at] ^ (place.view(np.uint64) * _PLACE)
+    h *= _SPREAD
+    h ^= h >> np.uint64(32)
+    h *= _SPREAD
+    h ^= h >> np.uint64(29)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h)])
+    return mix(sums[upto] - sums[first] + size.astype(np.uint64))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans, equal wherever the bytes are equal."""
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_CODES[data] * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of the byte spans, which may not overlap, equal wherever the bytes are equal."""
+    return run_hashes(_BYTE_CODES[data], starts, ends)
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
@@ -98,3 +104,11 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 def row_bounds(rows: np.ndarray, n: int) -> np.ndarray:
     """Where each of ``n`` rows begins in the sorted ``rows``, and the end."""
     return np.searchsorted(rows, np.arange(n + 1))
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with more underscores where a column is called that already (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

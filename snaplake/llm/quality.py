@@ -1,8 +1,9 @@
 """Quality rules: how often lines recur across the documents of a host.
 
-A line's key is its words (A-Z lowered) joined by one space.  Per host and line the distinct texts that hold it are
-counted, so exact copies count once.  A line held by more than ``limit`` texts of a host is boilerplate there and is
-removed from every document but the host's first (smallest ``doc_id``) that holds it.  A document that loses more than
+A line's key is its words (A-Z lowered) joined by one space.  Per host and line the documents that hold it are counted
+(a document counts once however often it repeats a line; exact copies are documents).  A line held by more than ``limit``
+documents of a host is boilerplate there, however large the host is, and is removed from every document but the host's first
+(smallest ``doc_id``) that holds it.  A document that loses more than
 ``max_removed`` percent of its words is depleted and rejected, as is one that fails the base rules.  ``line_verdicts`` judges,
 ``keep_good`` selects rows as they are, ``cleaned`` also cuts the removed lines from the texts of the rows that stay.
 
@@ -21,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snaplake.llm import batches as B
-from snaplake.storage import stored
+from snaplake.storage import Scratch
 
-#: A line may be in this many texts of a host, or in this share of the host's texts, whichever is more.
-MIN_LIMIT, SHARE = 20, 0.005
+#: A line may be in this many documents of a host.
+LIMIT = 20
 #: Percent of its words that a document may lose.
 MAX_REMOVED = 70
 MIN_WORDS, MAX_REPEATED = 50, 50
@@ -62,14 +63,15 @@ def measure(texts: pa.Array) -> Iterator[tuple[int, int, dict[str, np.ndarray],
         out["word_chars"] = chars[bounds[1:]] - chars[bounds[:-1]]
         out["n_symbols"] = symbols[offsets[1:]] - symbols[offsets[:-1]]
         first, last, wa, wb, line_rows = _lines(data, offsets, starts)
-        exact = B.span_hashes(data, first, last)
-        place = _in_order(low, wa, wb)
+        whole = data.tobytes()
+        place = B.run_hashes(low, wa, wb)
         lines = []
         line_bounds = B.row_bounds(line_rows, n)
         for i in range(n):
             a, b = line_bounds[i], line_bounds[i + 1]
             if b > a:
-                out["n_dup_lines"][i] = b - a - len(np.unique(exact[a:b]))
+                if b > a + 1:  # by their bytes, not by a hash
+                    out["n_dup_lines"][i] = b - a - len({whole[x:y] for x, y in zip(first[a:b].tolist(), last[a:b].tolist(), strict=True)})
                 keys, inverse = np.unique(place[a:b], return_inverse=True)
                 lines.append((keys.view(np.int64), np.bincount(inverse, weights=(wb - wa)[a:b]).astype(np.int64)))
             else:
@@ -100,7 +102,7 @@ def without_lines(texts: pa.Array, cut: list[np.ndarray]) -> list[str]:
     for lo, hi, data, offsets in B.pieces(texts):
         starts, ends, _ = B.word_spans(data, offsets)
         first, last, wa, wb, line_rows = _lines(data, offsets, starts)
-        place = _in_order(B.span_hashes(B.lower_ascii(data), starts, ends), wa, wb).view(np.int64)
+        place = B.run_hashes(B.span_hashes(B.lower_ascii(data), starts, ends), wa, wb).view(np.int64)
         bounds = B.row_bounds(line_rows, hi - lo)
         for i in range(hi - lo):
             a, b = bounds[i], bounds[i + 1]
@@ -114,13 +116,6 @@ def without_lines(texts: pa.Array, cut: list[np.ndarray]) -> list[str]:
     return out
 
 
-def _in_order(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A hash of each run ``words[first:last]``, in order."""
-    up, down = B._powers(len(words) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)])])
-    return B.mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
-
-
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int64())]))
     for batch in batches:
@@ -133,20 +128,19 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch["row"], *(pa.array(figures[k], pa.int64()) for k in STATS), lists.cast(kind)], names=["row", *STATS, "lines"])
 
 
-def line_verdicts(docs: DataFrame, host: str = "source", min_limit: int = MIN_LIMIT, share: float = SHARE, max_removed: int = MAX_REMOVED) -> DataFrame:
+def line_verdicts(docs: DataFrame, host: str = "source", limit: int = LIMIT, max_removed: int = MAX_REMOVED, scratch: Scratch | None = None) -> DataFrame:
     """``doc_id``, the base figures, ``base_failed``, ``kept``, ``removed_words`` and the hashes ``cut`` of the removed lines of every row of ``docs``.
 
-    One pass over the texts; everything after it works on line hashes.  Counts are pre-aggregated by (host, line, text)
-    before (host, line), so a hot line is never one task's work, and the join back is one that Spark can split.
+    One pass over the texts; everything after it works on line hashes.  Counts by (host, line) are combined before the
+    shuffle, so a hot line is never one task's work, and the join back is one that Spark can split.
     """
+    scratch = scratch or Scratch(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("")).alias("host"), "text")
     keyed = rows.withColumn("row", F.struct("doc_id", "host", F.xxhash64("text").alias("digest")))
     profile = keyed.select("row", "text").mapInArrow(_profile, f"row struct<doc_id: long, host: string, digest: long>, {', '.join(k + ' long' for k in STATS)}, lines array<struct<h: long, w: long>>")
-    profile = stored(profile.select(F.monotonically_increasing_id().alias("row_id"), "row.*", *STATS, "lines"), "quality-lines")
-    lines = profile.select("row_id", "doc_id", "host", "digest", F.explode("lines").alias("line")).select("row_id", "doc_id", "host", "digest", "line.*")
-    limits = profile.groupBy("host").agg(F.count_distinct("digest").alias("texts")).select("host", F.greatest(F.lit(min_limit).cast("double"), F.col("texts") * share).alias("most"))
-    seen = lines.groupBy("host", "h").agg(F.count_distinct("digest").alias("texts"), F.min("doc_id").alias("first"))
-    over = seen.where(F.col("texts") > min_limit).join(limits, "host").where(F.col("texts") > F.col("most")).select("host", "h", "first")
+    profile = scratch.stored(profile.select(F.monotonically_increasing_id().alias("row_id"), "row.*", *STATS, "lines"), "quality-lines")
+    lines = profile.select("row_id", "doc_id", "host", F.explode("lines").alias("line")).select("row_id", "doc_id", "host", "line.*")
+    over = lines.groupBy("host", "h").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first")).where(F.col("documents") > limit).select("host", "h", "first")
     hits = lines.join(over, ["host", "h"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
     removed = hits.groupBy("row_id").agg(F.sum("w").alias("removed_words"), F.collect_list("h").alias("cut"))
     judged = profile.drop("lines").join(removed, "row_id", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
@@ -193,4 +187,4 @@ def cleaned(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     changed = line_verdicts(docs, host, **limits).where(~F.col("kept") | F.col("cut").isNotNull()).groupBy("doc_id", "host", "digest").agg(F.first("kept").alias("kept"), F.first("cut").alias("cut"))
     a, b = docs.alias("a"), changed.alias("b")
     stay = a.join(b, _same_row(host), "left").where(F.col("b.kept").isNull() | F.col("b.kept"))
-    return stay.select("a.*", F.col("b.cut").alias("__cut")).mapInArrow(_cut(docs.columns), docs.schema)
+    return stay.select("a.*", F.col("b.cut").alias(B.unused(docs.columns, "__cut"))).mapInArrow(_cut(docs.columns), docs.schema)

@@ -74,9 +74,7 @@ class Chunks:
             begin[edge[:-1][lengths > 0]] = True
         first = np.flatnonzero(begin)
         size = np.diff(np.append(first, len(code)))
-        up, down = B._powers(len(code) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(B.mix(code.astype(np.uint64) + np.uint64(1)) * up[: len(code)])])
-        hashes = B.mix((sums[first + size] - sums[first]) * down[first] + size.astype(np.uint64))
+        hashes = B.run_hashes(B.mix(code.astype(np.uint64) + np.uint64(1)), first, first + size)
         _, at, kind = np.unique(hashes, return_index=True, return_inverse=True)
         flat = code[ragged(first[at], size[at])]
         self.lattices = Lattices(vocabulary, flat, size[at])
