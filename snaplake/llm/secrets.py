@@ -1,12 +1,19 @@
-"""Secret scans: fixed patterns, and a character convolutional network over every other candidate in its context.
+"""Secret scans: fixed patterns, and a character convolutional network over every candidate in its context.
 
-Candidates are runs of key-like characters that hold a digit.  The network (numpy: embedding, one convolution, max and mean
-pooling, two dense layers) sees 32 characters before, the candidate (all of it up to 64 characters, else its first and last
-32) and 16 after.  It is trained on labelled findings: candidates that the fixed patterns confirm against candidates that they don't,
-at most ``MAX_FINDINGS`` of each label, chosen by hash.  The words before a finding are blanked in half of the training copies, so
-that the network learns the shape of keys and not just their names.  Scores are calibrated by Platt's method on
-held-out findings; the threshold is the highest that keeps ``MIN_RECALL`` of the held-out secrets, however low it is.  The recall
-and precision of held-out findings at the threshold are kept with the network and logged.
+Candidates are runs of at least ``MIN_CANDIDATE`` key-like characters that hold a digit, a change from small to capital letters, or
+``LONG_LETTERS`` characters (a shorter run of letters in one case is a word).  The network (numpy: embedding, one convolution, pooling
+over the candidate and over its context, two dense layers) sees 32 characters before, the candidate and 16 after; a candidate
+of more than 64 characters is seen whole in successive windows, of which the highest score counts.
+
+It is trained on labelled findings, at most ``MAX_FINDINGS`` of each label, chosen by hash: secrets are candidates that
+the fixed patterns confirm, the others are candidates that can't be secrets (words, numbers, dates, paths, version names).  What is
+neither is only scored.  So that the network learns the shape of keys and not the patterns, the words before most training secrets are
+blanked or taken from another finding, and copies of them change case, alphabet and length; negatives get copies made of dates,
+numbers and words of the corpus.  Scores are calibrated by Platt's method on held-out findings, each with and without
+the words before it; the threshold is the highest that keeps ``MIN_RECALL`` of the held-out secrets in both forms, however low it
+is.  The recall and precision of held-out findings at the threshold are kept with the network and logged.
+
+The network names the key itself (kind ``cnn``), also where a fixed pattern has found it with the words around it.
 
 Cases: null and empty texts have no findings; without findings of both labels there is no network and only the fixed patterns
 count; repeated rows get a row each; empty tables give empty results; other columns are ignored.
@@ -34,11 +41,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]*[0-9][A-Za-z0-9+/_=.-]*")
-MIN_CANDIDATE = 12
-BEFORE, HEAD, AFTER = 32, 32, 16
-WIDTH = BEFORE + 2 * HEAD + AFTER
+MIN_CANDIDATE, LONG_LETTERS = 8, 20
+RUN = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % MIN_CANDIDATE)
+MARKED = re.compile(r"[0-9]|[a-z][A-Z]|[A-Za-z0-9+/_=.-]{%d}" % LONG_LETTERS)
+#: A part of a value that is no key: a word, a capital word, a number, a few digits after a word, words joined by capitals.
+ORDINARY = re.compile(r"[A-Z]?[a-z]*|[A-Z]*|[0-9]*|[A-Za-z][a-z]*[0-9]{1,4}|[a-z]{3,}(?:[A-Z][a-z]{2,})+|(?:[A-Z][a-z]{2,})+")
+JOINTS = re.compile(r"[+/_=.-]+")
+BEFORE, SPAN, AFTER = 32, 64, 16
+WIDTH = BEFORE + SPAN + AFTER
 MAX_FINDINGS, MIN_RECALL = 2000, 0.98
+KEY_LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", np.uint8)
 #: What stands in place of a secret.
 MARK = "[secret]"
 
@@ -58,59 +70,68 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{%d,}" % MIN_HEX)
 
 
-def window(text: str, start: int, end: int) -> bytes:
-    """The network's view of a candidate, one byte a character; other alphabets are all one symbol."""
-    value = text[start:end]
-    if len(value) > 2 * HEAD:
-        value = value[:HEAD] + value[-HEAD:]
-    view = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0") + value.ljust(2 * HEAD, "\0") + text[end : end + AFTER].ljust(AFTER, "\0")
-    return view.encode("ascii", "replace").replace(b"\x7f", b"?")
+def views(text: str, start: int, end: int) -> list[bytes]:
+    """The network's views of a candidate, one for each 64 characters, one byte a character; other alphabets are all one symbol."""
+    flat = (text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0") + text[start : end + AFTER]).encode("ascii", "replace").replace(b"\x7f", b"?")
+    out = []
+    for lo in range(0, end - start, SPAN):
+        size = min(SPAN, end - start - lo)
+        at = BEFORE + lo + size
+        out.append(flat[lo : lo + BEFORE] + flat[BEFORE + lo : at].ljust(SPAN, b"\0") + flat[at : at + AFTER].ljust(AFTER, b"\0"))
+    return out
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
     """Candidates of a text; dots and dashes at the ends belong to the sentence."""
     out = []
-    if DIGIT.search(text):
-        for m in CANDIDATE.finditer(text):
+    if MARKED.search(text):
+        for m in RUN.finditer(text):
             value = m[0]
-            a, b = m.start() + len(value) - len(value.lstrip(".-=")), m.end() - (len(value) - len(value.rstrip(".-")))
-            if b - a >= MIN_CANDIDATE:
-                out.append((a, b))
+            if MARKED.search(value):
+                a, b = m.start() + len(value) - len(value.lstrip(".-=")), m.end() - (len(value) - len(value.rstrip(".-")))
+                if b - a >= MIN_CANDIDATE and MARKED.search(text, a, b):
+                    out.append((a, b))
     return out
 
 
-DIGIT = re.compile("[0-9]")
+def ordinary(value: str) -> bool:
+    """Whether a value can't be a secret: all of its parts are words or numbers."""
+    return all(ORDINARY.fullmatch(part) for part in JOINTS.split(value))
+
+
+FINDING = "array<struct<start: int, end: int, label: int, views: array<binary>>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    finding = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.int32()), ("view", pa.binary())]))
+    finding = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.int32()), ("views", pa.list_(pa.binary()))]))
     for batch in batches:
-        base, views = [], []
+        base, found = [], []
         for text in batch["text"]:
             text = text.as_py() or ""
             spans = base_spans(text)
             base.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans])
-            views.append([{"start": a, "end": b, "label": int(not S.clear_of(a, b, spans)), "view": window(text, a, b)} for a, b in candidates(text)])
-        yield pa.record_batch([batch["doc_id"], pa.array(base, pa.list_(S.SPAN)), pa.array(views, finding)], names=["doc_id", "base", "found"])
+            taken = S.Taken(spans)
+            found.append([{"start": a, "end": b, "label": 1 if not taken.clear(a, b) else 0 if ordinary(text[a:b]) else None, "views": views(text, a, b)} for a, b in candidates(text)])
+        yield pa.record_batch([batch["doc_id"], pa.array(base, pa.list_(S.SPAN)), pa.array(found, finding)], names=["doc_id", "base", "found"])
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``doc_id``, base spans, and every candidate with its view and label, of each whole text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, f"doc_id long, base array<{S.SPAN_DDL}>, found array<struct<start: int, end: int, label: int, view: binary>>")
+    """``doc_id``, base spans, and every candidate with its views and label (null: neither), of each whole text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, f"doc_id long, base array<{S.SPAN_DDL}>, found {FINDING}")
 
 
 class CharCNN:
-    """Embedding of 8, 24 filters of width 5, max and mean pooling over the candidate and over its context."""
+    """Embedding of 8, 24 filters of width 5; the highest and the mean over the candidate, and the highest over its context."""
 
-    EMBED, FILTERS, SPAN, HIDDEN = 8, 24, 5, 16
+    EMBED, FILTERS, REACH, HIDDEN = 8, 24, 5, 16
 
     def __init__(self, seed: int = 7):
         r = np.random.default_rng(seed)
         self.p = {
             "e": r.normal(0, 0.3, (128, self.EMBED)),
-            "w": r.normal(0, 0.2, (self.SPAN * self.EMBED, self.FILTERS)),
+            "w": r.normal(0, 0.2, (self.REACH * self.EMBED, self.FILTERS)),
             "b": np.zeros(self.FILTERS),
-            "u": r.normal(0, 0.2, (2 * self.FILTERS, self.HIDDEN)),
+            "u": r.normal(0, 0.2, (3 * self.FILTERS, self.HIDDEN)),
             "c": np.zeros(self.HIDDEN),
             "v": r.normal(0, 0.2, self.HIDDEN),
             "d": np.zeros(1),
@@ -118,58 +139,73 @@ class CharCNN:
         self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
         self.recall = self.precision = float("nan")
 
-    def _forward(self, x: np.ndarray) -> dict[str, np.ndarray]:
-        p = self.p
-        emb = p["e"][x]
-        cols = np.lib.stride_tricks.sliding_window_view(emb, self.SPAN, axis=1)  # row, place, embedding, offset
-        cols = cols.transpose(0, 1, 3, 2).reshape(len(x), -1, self.SPAN * self.EMBED)
+    def _forward(self, x: np.ndarray, p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        kind = p["e"].dtype
+        cols = np.lib.stride_tricks.sliding_window_view(p["e"][x], self.REACH, axis=1)  # row, place, embedding, offset
+        cols = cols.transpose(0, 1, 3, 2).reshape(len(x), -1, self.REACH * self.EMBED)
         act = np.maximum(cols @ p["w"] + p["b"], 0)
-        top = act.argmax(axis=1)
-        pooled = np.concatenate([np.take_along_axis(act, top[:, None], 1)[:, 0], act.mean(axis=1)], axis=1)
+        half = self.REACH // 2
+        here = x[:, half:-half] != 0
+        place = np.arange(half, WIDTH - half)
+        own = (place >= BEFORE) & (place < BEFORE + SPAN)
+        inner, outer = (here & own).astype(kind)[:, :, None], (here & ~own).astype(kind)[:, :, None]
+        mine, around = act * inner, act * outer
+        top, edge = mine.argmax(axis=1), around.argmax(axis=1)
+        size = np.maximum(inner.sum(axis=1), 1)
+        at = lambda a, i: np.take_along_axis(a, i[:, None], 1)[:, 0]
+        pooled = np.concatenate([at(mine, top), mine.sum(axis=1) / size, at(around, edge)], axis=1)
         hidden = np.maximum(pooled @ p["u"] + p["c"], 0)
-        return {"cols": cols, "act": act, "top": top, "pooled": pooled, "hidden": hidden, "logit": hidden @ p["v"] + p["d"][0]}
+        return {"cols": cols, "act": act, "inner": inner, "outer": outer, "top": top, "edge": edge, "size": size, "pooled": pooled, "hidden": hidden, "logit": hidden @ p["v"] + p["d"][0]}
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([self._forward(x[i : i + 512])["logit"] for i in range(0, len(x), 512)]) if len(x) else np.zeros(0)
+        p = {k: v.astype(np.float32) for k, v in self.p.items()}
+        return np.concatenate([self._forward(x[i : i + 256], p)["logit"] for i in range(0, len(x), 256)]).astype(float) if len(x) else np.zeros(0)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x) + self.shift, -50, 50)))
 
+    def highest(self, found: list[list[bytes]]) -> np.ndarray:
+        """The probability of each candidate: the highest of its windows."""
+        if not found:
+            return np.zeros(0)
+        counts = np.array([len(v) for v in found])
+        p = self.probability(as_rows([w for v in found for w in v]))
+        return np.maximum.reduceat(p, np.cumsum(counts) - counts)
+
     def _gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        p, f = self.p, self._forward(x)
+        p, f = self.p, self._forward(x, self.p)
         dl = (1 / (1 + np.exp(-np.clip(f["logit"], -50, 50))) - y) * weight / len(x)
         g = {"v": f["hidden"].T @ dl, "d": np.array([dl.sum()])}
         dh = np.outer(dl, p["v"]) * (f["hidden"] > 0)
         g |= {"u": f["pooled"].T @ dh, "c": dh.sum(axis=0)}
         dp = dh @ p["u"].T
         n, places, k = f["act"].shape
-        da = np.repeat(dp[:, None, k:] / places, places, axis=1)
+        da = f["inner"] * (dp[:, k : 2 * k] / f["size"])[:, None, :]
         rows, cols = np.meshgrid(np.arange(n), np.arange(k), indexing="ij")
-        da[rows, f["top"], cols] += dp[:, :k]
+        da[rows, f["top"], cols] += dp[:, :k] * f["inner"][rows, f["top"], 0]
+        da[rows, f["edge"], cols] += dp[:, 2 * k :] * f["outer"][rows, f["edge"], 0]
         da *= f["act"] > 0
         g |= {"w": f["cols"].reshape(-1, f["cols"].shape[-1]).T @ da.reshape(-1, k), "b": da.sum(axis=(0, 1))}
-        dc = (da @ p["w"].T).reshape(n, places, self.SPAN, self.EMBED)
-        de = np.zeros_like(p["e"])
-        for o in range(self.SPAN):
-            np.add.at(de, x[:, o : o + places].ravel(), dc[:, :, o].reshape(-1, self.EMBED))
+        dc = (da @ p["w"].T).reshape(n, places, self.REACH, self.EMBED)
+        # the gradient of an embedding is the sum over its places
+        code = np.concatenate([x[:, o : o + places].ravel() for o in range(self.REACH)])
+        each = np.concatenate([dc[:, :, o].reshape(-1, self.EMBED) for o in range(self.REACH)])
+        de = np.stack([np.bincount(code, each[:, j], len(p["e"])) for j in range(self.EMBED)], axis=1)
         return g | {"e": de}
 
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 500, rate: float = 0.01, seed: int = 7) -> None:
-        """Adam over balanced classes, ``steps`` batches of 64; half of the copies have no words before the candidate."""
-        epochs = -(-64 * steps // len(x))
-        r, m, v, t = np.random.default_rng(seed), {}, {}, 0
-        balance = np.where(y == 1, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, (1 - y).sum())))
-        for _ in range(epochs):
-            order = r.permutation(len(x))
-            for i in range(0, len(x), 64):
-                at = order[i : i + 64]
-                xs = x[at].copy()
-                xs[r.random(len(at)) < 0.5, :BEFORE] = 0
-                t += 1
-                for k, g in self._gradient(xs, y[at], balance[at]).items():
-                    m[k] = 0.9 * m.get(k, 0) + 0.1 * g
-                    v[k] = 0.999 * v.get(k, 0) + 0.001 * g * g
-                    self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 600, rate: float = 0.01, seed: int = 7) -> None:
+        """Adam over ``steps`` batches of 32 secrets and 32 others, each a new :func:`copies` of them."""
+        r, m, v = np.random.default_rng(seed), {}, {}
+        yes, no = x[y == 1], x[y == 0]
+        plain = plain_values(no, r)
+        labels = np.repeat([1.0, 0.0], 32)
+        for t in range(1, steps + 1):
+            batch = np.concatenate(copies(yes[r.integers(len(yes), size=32)], no[r.integers(len(no), size=32)], plain, r))
+            step = rate * (1 if t < steps / 2 else 0.3)
+            for k, g in self._gradient(batch, labels, np.ones(64)).items():
+                m[k] = 0.9 * m.get(k, 0) + 0.1 * g
+                v[k] = 0.999 * v.get(k, 0) + 0.001 * g * g
+                self.p[k] = self.p[k] - step * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, min_recall: float) -> None:
         """Platt's two parameters by Newton steps, then the highest threshold that keeps ``min_recall`` of the secrets."""
@@ -198,13 +234,88 @@ class CharCNN:
         self.precision = float(y[found].mean()) if found.any() else float("nan")
 
 
+def as_rows(found: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(found), np.uint8).reshape(-1, WIDTH)
+
+
+def plain_values(no: np.ndarray, r: np.random.Generator, n: int = 2000) -> list[bytes]:
+    """Values that are no secrets, made of numbers and of the words in and around the findings ``no``."""
+    words = sorted({w for row in no for w in re.findall(rb"[A-Za-z]{3,12}", row.tobytes())}) or [b"word"]
+    word = lambda: words[r.integers(len(words))]
+    digits = lambda k: b"".join(b"%d" % d for d in r.integers(0, 10, k))
+    made = []
+    for i in range(n):
+        joint = [b"-", b"/", b"_", b".", b"="][r.integers(5)]
+        kind = i % 6
+        if kind == 0:
+            value = digits(int(r.integers(8, 20)))
+        elif kind == 1:
+            value = b"%d-%02d-%02dT%02d" % (r.integers(1900, 2100), r.integers(1, 13), r.integers(1, 29), r.integers(24))
+        elif kind == 2:
+            value = joint.join(word() for _ in range(r.integers(2, 7)))
+        elif kind == 3:
+            value = joint.join(word() if r.random() < 0.6 else digits(int(r.integers(1, 5))) for _ in range(r.integers(2, 7)))
+        elif kind == 4:
+            value = word().lower() + b"".join(word().title() for _ in range(r.integers(1, 4)))
+        else:
+            value = b"".join(word() for _ in range(r.integers(2, 5)))
+            value = value.lower() if r.random() < 0.5 else value.upper()
+        made.append(value[:SPAN].ljust(SPAN, b"\0") if len(value) >= MIN_CANDIDATE else (value + digits(MIN_CANDIDATE)).ljust(SPAN, b"\0"))
+    return made
+
+
+def copies(yes: np.ndarray, no: np.ndarray, plain: list[bytes], r: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Changed copies of findings: other case, alphabet and length, other values, other words before them or none."""
+    yes, no = yes.copy(), no.copy()
+    value = slice(BEFORE, BEFORE + SPAN)
+    for row in yes:
+        kind = r.random()
+        if kind < 0.25:
+            row[value] = np.where((row[value] >= 97) & (row[value] <= 122), row[value] - 32, row[value])
+        elif kind < 0.75:
+            letters = KEY_LETTERS[: r.choice([36, 62, 64])] if r.random() < 0.8 else KEY_LETTERS[26:62]
+            size = int(r.integers(16, SPAN + 1))
+            row[value] = 0
+            row[BEFORE : BEFORE + size] = letters[r.integers(len(letters), size=size)]
+        elif kind < 0.85:
+            row[BEFORE + int(r.integers(20, SPAN + 1)) : BEFORE + SPAN] = 0
+    for row in no:
+        if r.random() < 0.6:
+            row[value] = np.frombuffer(plain[r.integers(len(plain))], np.uint8)
+    # a third of the secrets keep their context, a third have another finding's and a third none; quotes are around either
+    other, which = no[r.integers(len(no), size=len(yes))], r.random((len(yes), 1))
+    for part in (slice(0, BEFORE), slice(BEFORE + SPAN, WIDTH)):
+        yes[:, part] = np.where(which < 1 / 3, yes[:, part], np.where(which < 2 / 3, other[:, part], 0))
+        no[r.random(len(no)) < 1 / 3, part] = 0
+    for rows, may in ((yes, which[:, 0] >= 1 / 3), (no, np.ones(len(no), bool))):
+        quoted = may & (r.random(len(rows)) < 1 / 4)
+        rows[quoted, BEFORE - 1] = rows[quoted, BEFORE + SPAN] = 34
+    return yes, no
+
+
+def forms(x: np.ndarray, y: np.ndarray, seed: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Held-out findings as they are, without their context, and as two changed copies."""
+    r = np.random.default_rng(seed)
+    bare = x.copy()
+    bare[:, :BEFORE] = bare[:, BEFORE + SPAN :] = 0
+    yes, no = x[y == 1], x[y == 0]
+    plain = plain_values(no, r)
+    more = [part for _ in range(2) for part in zip((1.0, 0.0), (z[np.resize(np.arange(len(z)), max(len(yes), len(no)))] for z in (yes, no)), strict=True)] if len(yes) and len(no) else []
+    xs, ys = [x, bare], [y, y]
+    for (_, a), (_, b) in zip(more[::2], more[1::2], strict=True):
+        a, b = copies(a, b, plain, r)
+        xs += [a[: len(yes)], b[: len(no)]]
+        ys += [np.ones(len(yes)), np.zeros(len(no))]
+    return np.concatenate(xs), np.concatenate(ys)
+
+
 def train(scanned: DataFrame, max_findings: int = MAX_FINDINGS, min_recall: float = MIN_RECALL) -> CharCNN | None:
-    """Fit on at most ``max_findings`` distinct findings of each label, every fourth of them held out for calibration."""
-    views = scanned.select(F.explode("found").alias("f")).select("f.label", "f.view").distinct()
+    """Fit on at most ``max_findings`` distinct findings of each label (the first window of a long one), every fourth of them held out for calibration."""
+    seen = scanned.select(F.explode("found").alias("f")).where("f.label IS NOT NULL").select("f.label", F.col("f.views")[0].alias("view")).distinct()
     rows = []
     for label in (0, 1):
-        rows += views.where(F.col("label") == label).orderBy(F.xxhash64("view"), "view").limit(max_findings).collect()
-    x = np.array([np.frombuffer(r["view"], np.uint8) for r in rows]).reshape(-1, WIDTH)
+        rows += seen.where(F.col("label") == label).orderBy(F.xxhash64("view"), "view").limit(max_findings).collect()
+    x = as_rows([bytes(r["view"]) for r in rows])
     y = np.array([r["label"] for r in rows], float)
     held = np.zeros(len(y), bool)
     for label in (0, 1):
@@ -213,7 +324,7 @@ def train(scanned: DataFrame, max_findings: int = MAX_FINDINGS, min_recall: floa
         return None
     net = CharCNN()
     net.fit(x[~held], y[~held])
-    net.calibrate(x[held], y[held], min_recall)
+    net.calibrate(*forms(x[held], y[held]), min_recall)
     LOG.info("secrets: threshold %.4g, held-out recall %.4f, precision %.4f of %d findings", net.threshold, net.recall, net.precision, held.sum())
     return net
 
@@ -228,14 +339,14 @@ def find_secrets(docs: DataFrame, **training) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            base, found = batch["base"].to_pylist(), batch["found"].to_pylist()
+            flat = [f for row in found for f in row] if net is not None else []
+            sure = iter((net.highest([f["views"] for f in flat]) >= net.threshold).tolist() if flat else [])
             spans = []
-            for base, found in zip(batch["base"].to_pylist(), batch["found"].to_pylist(), strict=True):
-                own = [(s["kind"], s["start"], s["end"]) for s in base]
-                rest = [f for f in found if not f["label"]]
-                if net is not None and rest:
-                    p = net.probability(np.array([np.frombuffer(f["view"], np.uint8) for f in rest]))
-                    own += [("cnn", f["start"], f["end"]) for f, q in zip(rest, p, strict=True) if q >= net.threshold]
-                spans.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in S.ordered(own, KINDS)])
+            for own, row in zip(base, found, strict=True):
+                all_ = [(s["kind"], s["start"], s["end"]) for s in own]
+                all_ += [("cnn", f["start"], f["end"]) for f in row if next(sure, False)]
+                spans.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in S.ordered(all_, KINDS)])
             yield pa.record_batch([batch["doc_id"], batch["base"], pa.array(spans, pa.list_(S.SPAN))], names=["doc_id", "base", "spans"])
 
     return scanned.mapInArrow(score, f"doc_id long, base array<{S.SPAN_DDL}>, spans array<{S.SPAN_DDL}>")
@@ -262,7 +373,7 @@ def redact(docs: DataFrame, text: str = "text", **training) -> DataFrame:
                 value = value.as_py()
                 if value:
                     spans = base_spans(value)
-                    spans += network_spans(net, value, spans)
+                    spans += network_spans(net, value)
                     done, parts = 0, []
                     for _, a, b in S.ordered(spans, KINDS):
                         if b > done:
@@ -276,10 +387,8 @@ def redact(docs: DataFrame, text: str = "text", **training) -> DataFrame:
     return docs.mapInArrow(cut, docs.schema)
 
 
-def network_spans(net: CharCNN | None, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """What the network adds to the base spans of one text."""
-    rest = [c for c in candidates(text) if S.clear_of(*c, base)] if net is not None else []
-    if not rest:
-        return []
-    p = net.probability(np.array([np.frombuffer(window(text, *c), np.uint8) for c in rest]))
-    return [("cnn", *c) for c, q in zip(rest, p, strict=True) if q >= net.threshold]
+def network_spans(net: CharCNN | None, text: str) -> list[tuple[str, int, int]]:
+    """What the network finds in one text."""
+    found = candidates(text) if net is not None else []
+    sure = net.highest([views(text, *c) for c in found]) if found else []
+    return [("cnn", *c) for c, q in zip(found, sure, strict=True) if q >= net.threshold]

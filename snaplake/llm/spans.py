@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 
@@ -24,6 +26,15 @@ def digest(spans: list[tuple[str, int, int]]) -> str:
     return hashlib.sha256(joined(spans).encode()).hexdigest()
 
 
-def clear_of(start: int, end: int, spans: list[tuple[str, int, int]]) -> bool:
-    """Whether a span overlaps none of ``spans``."""
-    return all(end <= a or start >= b for _, a, b in spans)
+class Taken:
+    """Spans to keep clear of, in any order; a question costs a binary search."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        by_start = sorted((a, b) for _, a, b in spans)
+        self.starts = [a for a, _ in by_start]
+        self.tops = list(accumulate((b for _, b in by_start), max))
+
+    def clear(self, start: int, end: int) -> bool:
+        """Whether a span overlaps none of them."""
+        i = bisect_left(self.starts, end)
+        return i == 0 or self.tops[i - 1] <= start
