@@ -2,8 +2,8 @@
 
 The fixed patterns give seed entities.  Instances are named by their values: every other run of characters that holds ``@`` or 4
 digits, and every group of such items with digits that single spaces part (``555 123 4567``), of any length.  The patterns of an
-instance are the words around it: the two before, and the one before with the one after.  Patterns and instances form a
-graph.  Each round scores patterns by the share of their distinct instances that are trusted so far, smoothed so that rare patterns
+instance are the names around it (parts of words between signs, however far): the two before, and the one before with the one
+after; at an end of the text, where one is missing, there is no such pattern.  Patterns and instances form a graph.  Each round scores patterns by the share of their distinct instances that are trusted so far, smoothed so that rare patterns
 earn little, and instances by their best pattern; instances over the threshold are trusted in the next round.
 
 Then the texts are read again: every other word next to a trusted pattern is an instance too (few digits or none).  They count in
@@ -23,6 +23,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -30,18 +31,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snaplake.llm import spans as S
-from snaplake.storage import stored
+from snaplake.llm.spans import Taken
+from snaplake.storage import Scratch, stored
 
 KINDS = ["email", "ip", "card", "phone", "context"]
-# The patterns that define base findings.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# The patterns that define base findings.  Emails and addresses are matched piece by piece (``emails``, ``ips``), as
+# a search by the whole pattern takes time in the square of a long run's length:
+#   email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+     ip [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-ITEM = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
-EDGES = ".,;:!?()[]{}<>\"'`*#$%&|"
+EDGES = ".,;:!?()[]{}<>\"'`*#$%&|="
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: What contexts are made of: parts of words between signs.
+NAME = re.compile(r"[^\x20\x09-\x0D" + re.escape(EDGES) + "]+")
 #: Rounds; confidence a pattern needs; distinct instances it needs; what is added to its count; score an instance needs to be trusted.
 ROUNDS, MIN_CONFIDENCE, MIN_SUPPORT, SMOOTHING, MIN_TRUST = 3, 0.6, 5, 2.0, 0.6
 DIGIT = re.compile("[0-9]")
@@ -59,14 +65,43 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Leftmost matches: at each ``@`` the run of local characters before it, from the last match on, and the domain after it."""
+    out, done, at = [], 0, text.find("@")
+    while at >= 0:
+        start = done + len(text[done:at].rstrip(LOCAL))
+        domain = DOMAIN.match(text, at + 1) if start < at else None
+        done = at + 1
+        if domain:
+            out.append((start, domain.end()))
+            done = domain.end()
+        at = text.find("@", done)
+    return out
+
+
+def ips(text: str) -> list[tuple[int, int]]:
+    """Leftmost matches: in each run of numbers that dots join, four at a time; those with a part above 255 fail."""
+    out = []
+    for m in DOTTED.finditer(text):
+        parts = m[0].split(".")
+        at = m.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in four):
+                out.append((at, end))
+            at = end + 1
+    return out
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """What the fixed patterns find.  A pattern is tried only where a character that it needs occurs."""
     found = []
     if "@" in text:
-        found += [("email", m.start(), m.end()) for m in EMAIL.finditer(text)]
+        found += [("email", *m) for m in emails(text)]
     if DIGIT.search(text):
         if "." in text:
-            found += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))]
+            found += [("ip", *m) for m in ips(text)]
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 12 <= len(digits) <= 19 and luhn(digits):
@@ -81,28 +116,41 @@ def shape(value: str) -> str:
     return re.sub(r"0+", "0", re.sub(r"a+", "a", re.sub(r"[^\W\d_]", "a", re.sub(r"[0-9]", "0", value))))
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns around a span."""
-    before = [w.strip(EDGES).lower() for w in WORD.findall(text[max(0, start - 80) : start])[-2:]]
-    after = next(iter(WORD.findall(text[end : end + 60])), "").strip(EDGES).lower()
-    before = ["", "", *before][-2:]
-    return [f"{before[0]} {before[1]} _", f"{before[1]} _ {after}"]
+class Names:
+    """The names of a text in order, and the patterns around its spans: two names before; one before and one after."""
+
+    def __init__(self, text: str):
+        found = [(m.start(), m.end()) for m in NAME.finditer(text)]
+        self.text, self.starts, self.ends = text, [a for a, _ in found], [b for _, b in found]
+
+    def name(self, k: int) -> str:
+        return self.text[self.starts[k] : self.ends[k]].lower()
+
+    def patterns(self, start: int, end: int) -> list[str]:
+        """Patterns of whole names outside the span; where a name is missing there is no pattern."""
+        before, after = bisect_right(self.ends, start), bisect_left(self.starts, end)
+        out = [f"{self.name(before - 2)} {self.name(before - 1)} _"] if before > 1 else []
+        return out + ([f"{self.name(before - 1)} _ {self.name(after)}"] if before and after < len(self.starts) else [])
 
 
 def instances(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
     """Seeds and other identifier-like items with their patterns."""
-    out = [{"start": a, "end": b, "seed": True, "value": text[a:b].lower(), "patterns": contexts(text, a, b)} for _, a, b in base]
     if not ("@" in text or DIGIT.search(text)):
-        return out
-    items = []
-    for m in ITEM.finditer(text):
-        value = m[0].strip(EDGES)
-        a = m.start() + m[0].find(value) if value else 0
-        if value and S.clear_of(a, a + len(value), base):
-            items.append((a, a + len(value)))
-    for a, b in [*(x for x in items if strong(text[x[0] : x[1]])), *(x for x in groups(text, items) if strong(text[x[0] : x[1]]))]:
-        out.append({"start": a, "end": b, "seed": False, "value": text[a:b].lower(), "patterns": contexts(text, a, b)})
-    return out
+        return []
+    items, taken = [], Taken(base)
+    for m in WORD.finditer(text):
+        word = m[0]
+        if "@" in word or DIGIT.search(word):
+            value = word.strip(EDGES)
+            a = m.start() + len(word) - len(word.lstrip(EDGES))
+            if value and taken.clear(a, a + len(value)):
+                items.append((a, a + len(value)))
+    found = [(a, b, False) for a, b in items if strong(text[a:b])] + [(a, b, False) for a, b in groups(text, items) if strong(text[a:b])]
+    found += [(a, b, True) for _, a, b in base]
+    if not found:
+        return []
+    names = Names(text)
+    return [{"start": a, "end": b, "seed": seed, "value": text[a:b].lower(), "patterns": names.patterns(a, b)} for a, b, seed in found]
 
 
 def strong(value: str) -> bool:
@@ -128,20 +176,19 @@ def groups(text: str, items: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def weak_instances(text: str, taken: list[tuple[str, int, int]], heads: Callable[[str], bool], holds: Callable[[str], bool]) -> list[dict]:
-    """The words outside ``taken`` that stand next to a pattern which ``holds``; ``heads`` tells the words before such places."""
-    out, before = [], ""
+    """The words outside ``taken`` that stand next to a pattern which ``holds``; ``heads`` tells the names before such places."""
+    out, names, taken_, k = [], Names(text), Taken(taken), 0
     for m in WORD.finditer(text):
-        word = m[0]
-        value = word.strip(EDGES)
-        lead = 0 if not value else word.find(value)
-        if value and heads("" if lead else before):
-            a = m.start() + lead
+        while k < len(names.starts) and names.starts[k] < m.start():
+            k += 1  # the first name of this word
+        if 0 < k < len(names.starts) and names.starts[k] < m.end() and heads(names.name(k - 1)):
+            value = m[0].strip(EDGES)
+            a = m.start() + len(m[0]) - len(m[0].lstrip(EDGES))
             b = a + len(value)
-            if any(c.isalnum() for c in value) and not strong(value) and S.clear_of(a, b, taken):
-                patterns = contexts(text, a, b)
+            if any(c.isalnum() for c in value) and not strong(value) and taken_.clear(a, b):
+                patterns = names.patterns(a, b)
                 if any(map(holds, patterns)):
                     out.append({"start": a, "end": b, "plain": PLAIN.fullmatch(shape(value)) is not None, "value": value.lower(), "patterns": patterns})
-        before = value.lower()
     return out
 
 
@@ -168,25 +215,29 @@ def scan(docs: DataFrame) -> DataFrame:
 def induce(found: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_support: int = MIN_SUPPORT) -> DataFrame:
     """``pattern, confidence, support, trusted`` of the patterns that are trusted after ``rounds`` of scoring.
 
-    ``found`` has rows of instances ``value, seed, patterns``.  A pattern's confidence is the sum of its instances' scores
-    over their number plus ``SMOOTHING``; an instance's score is 1 for a seed, else its best pattern's confidence.
+    ``found`` has rows of instances ``value, seed, patterns``.  A pattern's confidence is the sum of its trusted instances' scores
+    over the number of its instances plus ``SMOOTHING``, if it has at least ``min_support`` of them; an instance's score is 1 for a seed, else its best pattern's confidence.
     """
-    edges = stored(found.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "pii-edges")
-    scores = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    patterns = None
+    scratch = Scratch(found.sparkSession)
+    edges = scratch.stored(found.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "pii-edges")
+    seeds = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"))
+    scores = seeds
     for k in range(rounds):
         patterns = (
             edges.join(scores, "value")
             .groupBy("pattern")
             .agg(F.count("*").alias("support"), F.sum(F.when(F.col("score") >= MIN_TRUST, F.col("score")).otherwise(0.0)).alias("trusted"))
-            .where(F.col("trusted") > 0)
+            .where((F.col("trusted") > 0) & (F.col("support") >= min_support))
             .select("pattern", "support", "trusted", (F.col("trusted") / (F.col("support") + SMOOTHING)).alias("confidence"))
         )
-        patterns = stored(patterns, f"pii-patterns-{k}")
-        if k + 1 < rounds:
-            best = edges.join(patterns.where(F.col("support") >= min_support), "pattern").groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("seed"), F.max("confidence").alias("best"))
-            scores = stored(edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("seed")).join(best.drop("seed"), "value", "left").select("value", F.greatest("seed", F.coalesce("best", F.lit(0.0))).alias("score")), f"pii-scores-{k}")
-    return patterns.where((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence)).select("pattern", "confidence", "support", "trusted")
+        if k + 1 == rounds:
+            break
+        patterns = scratch.stored(patterns, f"pii-patterns-{k}")
+        best = edges.join(patterns, "pattern").groupBy("value").agg(F.max("confidence").alias("best"))
+        scores = scratch.stored(seeds.join(best, "value", "left").select("value", F.greatest("score", F.coalesce("best", F.lit(0.0))).alias("score")), f"pii-scores-{k}")
+    done = stored(patterns.where(F.col("confidence") >= min_confidence).select("pattern", "confidence", "support", "trusted"), "pii-trusted")
+    scratch.drop()
+    return done
 
 
 WEAK = "array<struct<start: int, end: int, plain: boolean, value: string, patterns: array<string>>>"
@@ -233,8 +284,8 @@ def find_personal_data(docs: DataFrame, **limits) -> DataFrame:
     written and numbered.  A filter of fixed size tells the second scan where patterns stand; joins by pattern decide.
     """
     min_confidence = limits.get("min_confidence", MIN_CONFIDENCE)
-    trusted = stored(induce(scan(docs).select(F.explode("found").alias("f")).select("f.*"), **limits), "pii-trusted")
-    p = F.split("pattern", " ")  # the word before the open place, in either kind of pattern
+    trusted = induce(scan(docs).select(F.explode("found").alias("f")).select("f.*"), **limits)
+    p = F.split("pattern", " ")  # the name before the open place, in either kind of pattern
     heads = F.array(F.when(p[2] == "_", p[1]), F.when(p[1] == "_", p[0]))
     bits = _bits(trusted.select(F.explode(heads).alias("w")).where("w IS NOT NULL").distinct()), _bits(trusted.select(F.col("pattern").alias("w")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

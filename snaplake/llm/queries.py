@@ -11,6 +11,10 @@ from snaplake.storage import table
 CONTROL_TURN = "<|im_end|><|im_start|>assistant ok"
 
 
+def _n_spans() -> F.Column:
+    return F.size("spans").cast("long").alias("n_spans")
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = sampling.encode(table(spark, sf_dir, "documents"), digests=True)
     return samples.select("doc_id", "rank", F.size("ids").cast("long").alias("n_pieces"), "ids", "log_prob", "perturbed", "inclusion", "decoded_sha256")
@@ -19,7 +23,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.span_text("base"), 256).alias("base_sha256"), secrets.span_text("spans").alias("spans"))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.span_text("base"), 256).alias("base_sha256"), secrets.span_text("spans").alias("spans"), _n_spans(), F.size(F.filter("spans", lambda s: s["kind"] == "cnn")).cast("long").alias("n_cnn"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +61,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, pii.KINDS[:4]), F.sha2(secrets.span_text("base"), 256).alias("base_sha256"), secrets.span_text("spans").alias("spans"))
+    return found.select("doc_id", *map(count, pii.KINDS[:4]), F.sha2(secrets.span_text("base"), 256).alias("base_sha256"), secrets.span_text("spans").alias("spans"), _n_spans())
 
 
 QUERIES = {

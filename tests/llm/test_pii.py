@@ -1,4 +1,7 @@
+import math
+import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -58,5 +61,61 @@ def test_discovery_of_any_form(spark):
     assert not any(got[300 + i] for i in range(3))
 
 
+def test_induction(spark):
+    """Patterns, their support and their confidence, against plain loops over distinct edges."""
+    r = random.Random(3)
+    rows = [(f"v{r.randrange(60)}", r.random() < 0.3, [f"p{r.randrange(12)}", f"q{r.randrange(6)}"]) for _ in range(400)]
+    rows += [(f"s{i}", True, ["sure _"]) for i in range(9)] + [(f"n{i}", False, ["sure _", "far _"]) for i in range(2)] + [(f"m{i}", False, ["far _"]) for i in range(3)]
+    edges = {(p, v) for v, _, ps in rows for p in ps}
+    seed = {v: max(float(s) for w, s, _ in rows if w == v) for v, _, _ in rows}
+    score, want = dict(seed), {}
+    for _ in range(pii.ROUNDS):
+        want = {}
+        for p in {p for p, _ in edges}:
+            own = [score[v] for q, v in edges if q == p]
+            sure = sum(x for x in own if x >= pii.MIN_TRUST)
+            if sure > 0 and len(own) >= pii.MIN_SUPPORT:
+                want[p] = (sure / (len(own) + pii.SMOOTHING), len(own), sure)
+        score = {v: max([seed[v], *(want[p][0] for p, w in edges if w == v and p in want)]) for v in seed}
+    want = {p: x for p, x in want.items() if x[0] >= pii.MIN_CONFIDENCE}
+    got = {x["pattern"]: (x["confidence"], x["support"], x["trusted"]) for x in pii.induce(spark.createDataFrame(rows, "value string, seed boolean, patterns array<string>")).collect()}
+    assert got.keys() == want.keys() and "sure _" in got and all(all(math.isclose(a, b) for a, b in zip(got[p], want[p], strict=True)) for p in want)
+
+
+def test_planted_identifiers(spark):
+    """Recall and precision of identifiers of unseen forms, among numbers and words in other places."""
+    r = random.Random(8)
+    words = [f"w{a}{b}" for a in "abcdefgh" for b in "klmnop"]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    cues = ["please write to my address {} today", "the patient with contact number {} called", "send mail to account {} now"]
+    seeds = [f"user{i}@mail{i % 9}.example.com" for i in range(200)]
+    rows = [(i, f"{prose(20)} {r.choice(cues).format(v)} {prose(20)}") for i, v in enumerate(seeds)]
+    unseen = {1000 + i: r.choice([f"DE{r.randrange(10**8, 10**9)}", f"u-{r.randrange(100)}-{r.randrange(10)}", f"{r.randrange(10**6, 10**7)}", f"jane_{r.randrange(9)}x", f"{r.randrange(100, 999)} {r.randrange(1000, 9999)}"]) for i in range(60)}
+    rows += [(d, f"{prose(20)} {r.choice(cues).format(v)} {prose(20)}") for d, v in unseen.items()]
+    rows += [(2000 + i, f"{prose(20)} we counted {r.randrange(10**5, 10**6)} ships in {r.randrange(1900, 2020)} {prose(20)}") for i in range(100)]
+    text = dict(rows)
+    got = {x["doc_id"]: {text[x["doc_id"]][s["start"] : s["end"]] for s in x["spans"] if s["kind"] == "context"} for x in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = sum(v in got[d] for d, v in unseen.items())
+    found = sum(map(len, got.values()))
+    right = sum(any(s in v for v in (unseen.get(d, ""),)) for d, ss in got.items() for s in ss)
+    assert hit >= 0.9 * len(unseen) and right >= 0.95 * found, (hit, right, found)
+
+
+def test_contexts():
+    names = pii.Names("Call  me, (Jane): 555-1234; or else")
+    assert names.patterns(18, 26) == ["me jane _", "jane _ or"] and names.patterns(0, 4) == [] and pii.Names("x").patterns(0, 1) == []
+    far = pii.Names("first second " + " " * 500 + "1234567" + " " * 500 + "third")
+    assert far.patterns(513, 520) == ["first second _", "second _ third"]
+
+
+def test_long_runs_take_linear_time():
+    for text in ("a" * 10**6 + " @", "1" * 10**6 + " .", "a" * 10**6 + " 1", "aB3/" * 250_000, "a@" * 300_000, "1." * 300_000, "+123456789" * 60_000, "a@b.c," * 80_000, "a1," * 200_000):
+        began = time.perf_counter()
+        base = pii.base_spans(text)
+        pii.instances(text, base)
+        pii.weak_instances(text, base, lambda h: True, lambda p: True)
+        assert time.perf_counter() - began < 20
+
+
 def test_odd_rows(odd, none):
     assert pii.find_personal_data(odd).count() == odd.count() and pii.find_personal_data(none).count() == 0
