@@ -4,11 +4,14 @@
 2. A class has ``COORDINATES`` minwise tokens (one-permutation hashing, empty bins filled from others).  In each of ``TREES`` trees a
    node picks one coordinate by its own hash and branches its documents by their token there.  A class finds its path alone; nodes are
    counted level by level, and a node of at most ``SMALL`` classes is a leaf.
-3. Small leaves compare all their pairs by tokens; a node that is still large at ``LEVELS`` holds classes that agree again and
-   again, which are all taken as candidates of its first one.  Candidates form clusters (connected components).
-4. Clusters are compared exhaustively on full sets, by matrix products in blocks of bounded size.  In a cluster of several blocks each
-   block is first compared with itself and the first block; what is not linked to the cluster's largest part by then is compared with
-   every block.  Links join classes to components.
+3. Small leaves test all their pairs by sketches.  Sets of fewer than ``BITS_BELOW`` shingles have a vector of parities, 1 bit for
+   each of 1024 buckets of shingles: each bit in which two vectors differ stands for a shingle that only one set has, so the test
+   never refuses a similar pair.  Larger sets are tested by their tokens.  A node that is still large at ``LEVELS`` holds classes
+   that agree again and again, which are all taken as candidates of its first one.  Candidates form clusters (connected components).
+4. Clusters are compared exhaustively on full sets, by matrix products in cells of bounded rows and bytes.  In a cluster of several
+   blocks each block is first compared with itself and the first block, then every candidate pair between parts that are still
+   apart is confirmed on its two sets, and only what is not linked to the cluster's largest part by then is compared with every
+   block.  Links join classes to components.
 
 A pair at the threshold misses a tree's first level with probability 0.15, so of pairs in small leaves ``TREES`` = 16
 trees lose one in 10**13.  All ``LEVELS`` = 6 are needed only among classes that agree so often that a leaf stays large; there a pair
@@ -38,9 +41,12 @@ WORDS, PERCENT = 5, 85
 COORDINATES, TREES, LEVELS, SMALL = 128, 16, 6, 24
 #: A node is named by its first level's key (64 bits) and so many bits for each further level; if they collide, a node only holds more.
 STEP_BITS = 12
+#: Sets of fewer shingles have parities, of at least as many have tokens; similar sets have one of them in common.
+BITS_BELOW, TOKENS_FROM, BITS = 2410, 2048, 1024
 #: Share of equal tokens below which a pair of larger sets is no candidate: 4.5 deviations under the threshold.
-LEAST_EQUAL, LARGE_SET = 0.71, 256
-BLOCK, COLUMNS = 256, 1 << 14
+LEAST_EQUAL = 0.71
+#: Classes and bytes of sets in one cell, at about twice of which a cluster is compared in blocks; columns of a matrix product.
+BLOCK, CELL_BYTES, COLUMNS = 256, 32 << 20, 1 << 14
 #: Ids are broadcast up to this many (8 bytes each); beyond, the texts are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _FACTORS = B.mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -96,15 +102,22 @@ def paths(signatures: np.ndarray) -> np.ndarray:
     return out
 
 
-SKETCH = "doc_id long, text_key long, n_shingles long, digest binary, thumb binary, keys array<long>"
+SKETCH = "doc_id long, text_key long, n_shingles long, digest binary, parities binary, thumb binary, keys array<long>"
+
+
+def parities(values: np.ndarray) -> bytes:
+    """For each bucket of shingles, whether it holds an odd number of them."""
+    odd = np.bincount((values & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, digests, signatures, at = [], [], [], []
+        sizes, digests, bits, signatures, at = [], [], [], [], []
         for i, values in enumerate(shingle_sets(batch["text"])):
             sizes.append(len(values))
             digests.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None)
+            bits.append(parities(values) if 0 < len(values) < BITS_BELOW else None)
             if len(values):
                 at.append(i)
                 signatures.append(tokens(values))
@@ -113,11 +126,11 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = paths(signatures).reshape(len(at), 2 * TREES).view(np.int64)
         thumbs: list = [None] * len(sizes)
         for i, k in enumerate(at):
-            thumbs[k] = low[i].tobytes()
+            thumbs[k] = low[i].tobytes() if sizes[k] >= TOKENS_FROM else None
         bounds = np.zeros(len(sizes) + 1, np.int32)
         bounds[np.array(at, np.int64) + 1] = keys.shape[1] if len(at) else 0
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum(bounds, dtype=np.int32)), pa.array(keys.ravel()))
-        yield pa.record_batch([batch["doc_id"], batch["text_key"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(thumbs, pa.binary()), lists], names=["doc_id", "text_key", "n_shingles", "digest", "thumb", "keys"])
+        yield pa.record_batch([batch["doc_id"], batch["text_key"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), pa.array(thumbs, pa.binary()), lists], names=["doc_id", "text_key", "n_shingles", "digest", "parities", "thumb", "keys"])
 
 
 def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +153,8 @@ def _compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     for lo in range(0, rows.num_rows, 20_000):
         part = rows.slice(lo, 20_000 + SMALL)
         node, cid, size = (part[c].to_numpy() for c in ("node", "cid", "n_shingles"))
-        thumb = np.frombuffer(b"".join(part["thumb"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        none = bytes(COORDINATES)
+        thumb, odd = (np.frombuffer(b"".join(v or none for v in part[c].to_pylist()), t).reshape(len(node), -1) for c, t in (("thumb", np.uint8), ("parities", np.uint64)))
         label, ends = np.arange(len(node)), np.zeros((2, 0), np.int64)
         for k in range(1, SMALL):
             i = np.flatnonzero(node[:-k] == node[k:])
@@ -148,10 +162,12 @@ def _compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             j = i + k
             small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
             ok = 100 * small >= PERCENT * large
-            i, j, small = i[ok], j[ok], small[ok]
-            equal = (thumb[i] == thumb[j]).sum(axis=1)
-            ok = (equal >= LEAST_EQUAL * COORDINATES) | (small < LARGE_SET)
             ok &= label[i] != label[j]  # what is connected already needs no more pairs: candidates only have to connect
+            i, j, both, large = i[ok], j[ok], (small + large)[ok], large[ok]
+            # similar sets differ in at most (100 - PERCENT) / (100 + PERCENT) of their shingles
+            near = (100 + PERCENT) * np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64) <= (100 - PERCENT) * both
+            alike = (thumb[i] == thumb[j]).sum(axis=1) >= LEAST_EQUAL * COORDINATES
+            ok = np.where(large < BITS_BELOW, near, alike)
             i, j = i[ok], j[ok]
             if len(i):
                 ends = np.concatenate([ends, [i, j]], axis=1)
@@ -178,7 +194,7 @@ def leaves(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
         # a node of this level: the first key and the steps down to here
         named = rows.withColumn("node", F.xxhash64("key", F.shiftrightunsigned("steps", 64 - STEP_BITS * level)) if level else F.col("key"))
         counts = named.groupBy("node").agg(F.count("*").alias("members")).where("members > 1")
-        met = scratch.stored(named.join(counts, "node"), f"neardup-level-{level}")
+        met = scratch.stored(named.join(counts.hint("merge"), "node"), f"neardup-level-{level}")  # a sort merge join, which Spark splits at a hot node
         done = met.where(F.col("members") <= SMALL).select("node", "cid")
         small = done if small is None else small.unionByName(done)
         rows = met.where(F.col("members") > SMALL).select("node", "cid", "key", "steps")
@@ -188,11 +204,11 @@ def leaves(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
 def candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """Candidate pairs ``a, b``: they connect all that may be similar, and are not all such pairs."""
     small, large = leaves(classes, scratch)
-    sketched = small.join(classes.select("cid", "n_shingles", "thumb"), "cid")
-    dealt = sketched.repartition("node").sortWithinPartitions("node", "cid").select("node", "cid", "n_shingles", "thumb")
+    sketched = small.join(classes.select("cid", "n_shingles", "parities", "thumb"), "cid")
+    dealt = sketched.repartition("node").sortWithinPartitions("node", "cid").select("node", "cid", "n_shingles", "parities", "thumb")
     pairs = dealt.mapInArrow(_close_pairs, "a long, b long")
     heads = large.groupBy("node").agg(F.min("cid").alias("a"))
-    stars = large.join(heads, "node").select("a", F.col("cid").alias("b")).where("a != b")
+    stars = large.join(heads.hint("merge"), "node").select("a", F.col("cid").alias("b")).where("a != b")
     return pairs.unionByName(stars).distinct()
 
 
@@ -254,6 +270,26 @@ def _in_cells(rows: DataFrame, name: str, scratch: Scratch) -> DataFrame:
     return scratch.stored(rows.groupBy("cell").applyInPandas(_cell, "a long, b long"), name)
 
 
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs ``a, b`` whose full sets ``x, y`` are similar."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch["x"], batch["y"], strict=True):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            both = len(x) + len(y) - len(np.union1d(x, y))
+            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+        yield pa.record_batch([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _between_parts(pairs: DataFrame, large: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links among the candidate ``pairs`` whose classes are in ``large`` and in different parts, confirmed on their sets."""
+    part = large.select("cid", "part")
+    apart = pairs.join(part.select(F.col("cid").alias("a"), F.col("part").alias("p")), "a").join(part.select(F.col("cid").alias("b"), F.col("part").alias("q")), "b").where("p != q").select("a", "b")
+    sets = large.select("cid", "values")
+    full = scratch.stored(apart, "neardup-apart").join(sets.select(F.col("cid").alias("a"), F.col("values").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("values").alias("y")), "b")
+    return scratch.stored(full.select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long"), "neardup-confirmed")
+
+
 def _set_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         digests, values = [], []
@@ -277,25 +313,28 @@ def _sets(docs: DataFrame, classes: DataFrame, clusters: DataFrame, scratch: Scr
 def links(docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """Links ``a, b`` between classes that connect every component of similar sets."""
     levels = Scratch(docs.sparkSession)
-    clusters = components(candidates(classes, levels), "neardup-clusters")
+    pairs = scratch.stored(candidates(classes, levels), "neardup-pairs")
     levels.drop()
+    clusters = components(pairs, "neardup-clusters")
     sets = _sets(docs, classes, clusters, scratch)
-    sizes = sets.groupBy("cluster").agg(F.count("*").alias("members"))
-    small_rows = sizes.where(F.col("members") <= BLOCK).agg(F.sum("members").alias("n")).first()["n"] or 0
-    bins = max(1, small_rows // (BLOCK // 2))
+    sizes = sets.groupBy("cluster").agg(F.count("*").alias("members"), F.sum(F.length("values")).alias("bytes"))
+    one_cell = (F.col("members") <= BLOCK) & (F.col("bytes") <= 2 * CELL_BYTES)
+    total = sizes.where(one_cell).agg(F.sum("members").alias("n"), F.sum("bytes").alias("bytes")).first()
+    bins = max(1, (total["n"] or 0) // (BLOCK // 2), (total["bytes"] or 0) // CELL_BYTES)
     sized = sets.join(sizes, "cluster")
     # one block: many clusters share a cell, and only pairs within a cluster count
-    small = sized.where(F.col("members") <= BLOCK).select(F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(bins))).alias("cell"), "cid", "cluster", F.col("cid").alias("part"), "values")
+    small = sized.where(one_cell).select(F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(bins))).alias("cell"), "cid", "cluster", F.col("cid").alias("part"), "values")
     found = _in_cells(small, "neardup-links", scratch)
-    large = sized.where(F.col("members") > BLOCK).withColumn("blocks", F.ceil(F.col("members") / (BLOCK // 2)).cast("long"))
+    large = sized.where(~one_cell).withColumn("blocks", F.ceil(F.greatest(F.col("members") / (BLOCK // 2), F.col("bytes") / (CELL_BYTES // 2))).cast("long"))
     if large.isEmpty():
         return found
     large = scratch.stored(large.withColumn("block", F.pmod(F.xxhash64("cid"), "blocks")), "neardup-large")
     cell = lambda a, b: F.concat_ws("-", F.lit("l"), "cluster", a, b)
     first = large.withColumn("with", F.explode(F.when(F.col("block") == 0, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))))
     star = _in_cells(first.select(cell(F.lit(0), "with").alias("cell"), "cid", "cluster", F.col("cid").alias("part"), "values"), "neardup-star", scratch)
-    parts = components(star, "neardup-parts").withColumnRenamed("id", "cid")
-    large = large.join(parts, "cid", "left").withColumn("part", F.coalesce("label", "cid")).drop("label")
+    with_parts = lambda edges: large.join(components(edges, "neardup-parts").withColumnRenamed("id", "cid"), "cid", "left").withColumn("part", F.coalesce("label", "cid")).drop("label")
+    star = star.unionByName(_between_parts(pairs, with_parts(star), scratch))
+    large = with_parts(star)
     counted = scratch.stored(large.groupBy("cluster", "part").agg(F.count("*").alias("k")), "neardup-counts")
     main = counted.groupBy("cluster").agg(F.max(F.struct("k", "part")).alias("top"), F.sum("k").alias("all")).select(F.col("cluster").alias("of"), F.col("top.part").alias("main"), (F.col("all") - F.col("top.k")).alias("others"))
     open_ = large.join(main.where("others > 0"), F.col("cluster") == F.col("of")).withColumn("strips", F.ceil(F.col("others") / (BLOCK // 2)).cast("long"))
@@ -313,7 +352,7 @@ def _labelled(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     sketches = scratch.stored(rows.withColumn("row_id", F.monotonically_increasing_id()), "neardup-sketches")
     heads = sketches.where("n_shingles > 0").groupBy("digest").agg(F.min("row_id").alias("cid"), F.min("doc_id").alias("least"))
-    joined = sketches.join(heads.select("cid", "least"), F.col("row_id") == F.col("cid")).select("cid", "least", F.col("doc_id").alias("first"), "digest", "n_shingles", "thumb", "keys")
+    joined = sketches.join(heads.select("cid", "least"), F.col("row_id") == F.col("cid")).select("cid", "least", F.col("doc_id").alias("first"), "digest", "n_shingles", "parities", "thumb", "keys")
     classes = scratch.stored(joined, "neardup-classes")
     labels = components(links(docs, classes, scratch), "neardup-components")
     labelled = classes.select("cid", "digest", "least").join(labels, F.col("cid") == F.col("id"), "left").select("digest", "least", F.coalesce("label", "cid").alias("label"))
@@ -339,10 +378,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     name = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     best = found.where("label IS NOT NULL").groupBy("label").agg(F.min(name).alias("best")).select(F.col("label").alias("of"), "best")
     others = found.join(best, F.col("label") == F.col("of")).where(name != F.col("best"))
-    dropped = others.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
-    out = docs.join(dropped, same, "left_anti")
-    equal = found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).count().where("count > 1").drop("count")
+    own_id, own_key = B.unused(docs.columns, "__id"), B.unused(docs.columns, "__key")
+    named = lambda rows: rows.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(own_key))
+    out = docs.join(named(others).distinct(), same, "left_anti")
+    equal = named(found.where("n_shingles > 0")).groupBy(own_id, own_key).count().where("count > 1").drop("count")
     if equal.isEmpty():
         return out
     return out.join(equal, same, "left_anti").unionByName(out.join(equal, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -103,6 +103,25 @@ def test_tokens_are_members(values):
     assert len(t) == nd.COORDINATES and np.isin(t, values).all()
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 2600), st.integers(0, 400), st.integers(0, 400), st.integers(0, 9))
+def test_sketches_refuse_no_similar_pair(both, left, right, seed):
+    """Of small sets whose share is at the threshold or above, every pair passes the test in a leaf."""
+    import pyarrow as pa
+
+    values = np.random.default_rng(seed).integers(0, 1 << 63, both + left + right, dtype=np.uint64)
+    a, b = np.unique(values[: both + left]), np.unique(np.concatenate([values[:both], values[both + left :]]))
+    n = len(np.intersect1d(a, b))
+    sizes = [len(a), len(b)]
+    thumbs = [(nd.B.mix(nd.tokens(v)) & np.uint64(255)).astype(np.uint8).tobytes() if len(v) >= nd.TOKENS_FROM else None for v in (a, b)]
+    rows = pa.table({"node": [1, 1], "cid": [5, 6], "n_shingles": sizes, "parities": pa.array([nd.parities(v) if len(v) < nd.BITS_BELOW else None for v in (a, b)], pa.binary()), "thumb": pa.array(thumbs, pa.binary())})
+    found = [p for t in nd._compare(rows) for p in zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True)]
+    if 100 * n >= 85 * (sum(sizes) - n):
+        assert found == [(5, 6)]
+    elif 100 * n < 40 * (sum(sizes) - n):
+        assert not found or max(sizes) < 40
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, j) for j in range(101, 160)] + [(200, 300), (7, 7)]
     got = {r["id"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
