@@ -1,6 +1,9 @@
 import math
 from collections import defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 from snaplake.llm import mixing
 
 SCHEMA = "doc_id long, text string, source string"
@@ -21,7 +24,8 @@ def brute_targets(size, weights=(3, 1, 2), total=1.5, most=2):
     fixed, left = {}, total * sum(size.values())
     while True:
         rest = [s for s in order if s not in fixed]
-        share = {s: (left - sum(fixed.values())) * w[s] / sum(w[r] for r in rest) for s in rest}
+        level = (left - sum(fixed.values())) / sum(w[r] for r in rest)
+        share = {s: level * w[s] for s in rest}
         over = [s for s in rest if share[s] > most * size[s]]
         if not over:
             return fixed | share
@@ -76,6 +80,30 @@ def test_balance_of_long_tails(spark):
         assert math.isclose(got, float(r["source"]) * sum(sizes), rel_tol=1e-6), r
 
 
+def test_many_sources(spark):
+    """100,000 sources: the state is a table, every target is met, and weights follow the order of code points."""
+    hist = spark.range(200_000).selectExpr("CASE WHEN id DIV 2 = 7 THEN NULL ELSE lpad(CAST(id DIV 2 AS STRING), 6, '0') END AS source", "CAST(5 + (id * 7919) % 300 AS BIGINT) AS size", "CAST(50 AS BIGINT) AS docs")
+    totals = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"))
+    goals = mixing.targets(totals)
+    size = {r["source"]: r["source_size"] for r in totals.collect()}
+    want = brute_targets(size)
+    assert all(math.isclose(r["target"], want[r["source"]], rel_tol=1e-9) for r in goals.collect()) and len(size) == 100_000
+    tilt = mixing.balance(hist, goals)
+    off = hist.join(tilt.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).groupBy("s").agg(F.sum(mixing.tilted() * F.col("size") * F.col("docs")).alias("got"), F.first("target").alias("target")).where("abs(got - target) > 1e-6 * target")
+    assert tilt.count() == 100_000 and off.count() == 0
+
+
+def test_extreme_target(spark):
+    """A millionth of a source is a solved target; one that is not reached in the steps given is an error."""
+    hist = spark.createDataFrame([("a", n, 1) for n in range(1, 2000)], "source string, size long, docs long")
+    words = sum(range(1, 2000))
+    goals = spark.createDataFrame([("a", words, words / 1e6)], "source string, source_size long, target double")
+    (r,) = mixing.balance(hist, goals).collect()
+    assert math.isclose(sum(n * math.exp(r["b"] * n / r["mean"]) for n in range(1, 2000)), words / 1e6, rel_tol=1e-5)
+    with pytest.raises(RuntimeError):
+        mixing.balance(hist, goals, steps=2)
+
+
 def test_mixed_rows(spark):
     docs = spark.createDataFrame(corpus(), SCHEMA)
     plan = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect()}
