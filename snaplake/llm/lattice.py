@@ -113,59 +113,70 @@ class Lattices:
         logp = v.logp if logp is None else logp
         self.order = np.argsort(-lengths, kind="stable")
         self.lengths = lengths[self.order]
-        first = np.concatenate([[0], np.cumsum(lengths)])[:-1][self.order]
         longest = int(self.lengths[0]) if n else 0
         many = n - np.searchsorted(self.lengths[::-1], np.arange(longest + 1), "left") if n else np.zeros(1, np.int64)  # words of at least e characters
         self.many, self.base = many, np.concatenate([[0], np.cumsum(many)])
         self.alpha = np.full(int(self.base[-1]), -np.inf)
         self.alpha[: many[0]] = 0.0
-        self.edges, self.unknown = [None], []
-        known: dict[int, int] = {}
-        extra: list[float] = []
-        active: list[tuple[int, np.ndarray, np.ndarray]] = []
-        every = np.arange(n)
+        self.unknown: list[list[int]] = []
+        node, origin, piece, extra = self._edges(flat, lengths, logp)
+        weights = np.concatenate([logp, extra]) if extra else logp
+        first = np.searchsorted(node, np.arange(len(self.alpha) + 1))  # of each node's edges, which lie together
+        self.edges = [None]
         for e in range(1, longest + 1):
-            m = int(many[e])
-            code = flat[first[:m] + e - 1].astype(np.uint64)
-            active.append((e - 1, every[:m], np.zeros(m, np.uint64)))
-            kept, words_, starts, pieces = [], [], [], []
-            for s, w, h in active:
-                k = np.searchsorted(w, m)
-                w, h = w[:k], h[:k] * MULTIPLIER + code[w[:k]] + np.uint64(1)
-                value = v.find(h)
-                hit = value >= 0
-                if s == e - 1 and not hit.all():
-                    own = np.flatnonzero(~hit)
-                    for c in np.unique(code[own]).tolist():
-                        if c not in known:
-                            known[c] = len(v.pieces) + len(self.unknown)
-                            self.unknown.append(v.byte_pieces(c))
-                            extra.append(float(logp[self.unknown[-1]].sum()))
-                    words_.append(w[own])
-                    starts.append(np.full(len(own), s))
-                    pieces.append(np.array([known[c] for c in code[own].tolist()], np.int64))
-                at = np.flatnonzero(hit)
-                words_.append(w[at])
-                starts.append(np.full(len(at), s))
-                pieces.append(value[at].astype(np.int64))
-                more = np.flatnonzero(value != -2)
-                if len(more) and e - s < v.longest:
-                    kept.append((s, w[more], h[more]))
-            active = kept
-            w, s, p = (np.concatenate(x) for x in (words_, starts, pieces))
-            o = np.argsort(w, kind="stable")
-            w, s, p = w[o], s[o], p[o]
-            from_ = self.base[s] + w
-            weights = np.concatenate([logp, extra]) if extra else logp
+            lo, hi = int(self.base[e]), int(self.base[e] + many[e])
+            a, b = int(first[lo]), int(first[hi])
+            groups = first[lo : hi + 1] - a
+            from_, p, size = origin[a:b], piece[a:b], np.diff(groups)
             value = self.alpha[from_] + weights[p]
-            groups = np.searchsorted(w, np.arange(m + 1))
             top = np.maximum.reduceat(value, groups[:-1])
-            part = np.exp(value - np.repeat(top, np.diff(groups)))
+            part = np.exp(value - np.repeat(top, size))
             total = np.add.reduceat(part, groups[:-1])
-            self.alpha[self.base[e] : self.base[e] + m] = top + np.log(total)
-            self.edges.append((from_, p, part / np.repeat(total, np.diff(groups)), groups))
+            self.alpha[lo:hi] = top + np.log(total)
+            self.edges.append((from_, p, part / np.repeat(total, size), groups))
         self.final = self.base[self.lengths] + np.arange(n)
 
+    def _edges(self, flat: np.ndarray, lengths: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]]:
+        """End node, start node and piece of all edges by end node, from long pieces to short, and the weights of unknown characters.
+
+        All places of all words look up their next one, two, ... characters together, as long as these begin some piece.
+        """
+        v, n = self.vocabulary, len(lengths)
+        first = (np.cumsum(lengths) - lengths)[self.order]
+        word = np.repeat(np.arange(n), self.lengths)
+        place = np.arange(len(word)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        code = flat[first[word] + place].astype(np.uint64)
+        left = self.lengths[word] - place
+        at, h = np.arange(len(word)), np.zeros(len(word), np.uint64)
+        ends, sizes, pieces, extra = [], [], [], []
+        for size in range(1, v.longest + 1):
+            h = h * MULTIPLIER + code[at + size - 1] + np.uint64(1)
+            value = v.find(h)
+            hit = np.flatnonzero(value >= 0)
+            ends.append(at[hit])
+            pieces.append(value[hit].astype(np.int64))
+            sizes.append(np.full(len(hit), size))
+            if size == 1 and len(hit) < len(at):
+                own = np.flatnonzero(value < 0)
+                letters, kind = np.unique(code[own], return_inverse=True)
+                self.unknown = [v.byte_pieces(int(c)) for c in letters]
+                extra = [float(logp[ids].sum()) for ids in self.unknown]
+                ends.append(at[own])
+                pieces.append(len(v.pieces) + kind)
+                sizes.append(np.ones(len(own), np.int64))
+            go = np.flatnonzero((value != -2) & (left[at] > size))
+            at, h = at[go], h[go]
+            if not len(at):
+                break
+        if not ends:
+            z = np.zeros(0, np.int64)
+            return z, z, z, extra
+        at, size, piece = (np.concatenate(x) for x in (ends, sizes, pieces))
+        node = self.base[place[at] + size] + word[at]
+        order = np.argsort(node * (v.longest + 1) + (v.longest - size))
+        origin = self.base[place[at]] + word[at]
+        return node[order], origin[order], piece[order], extra
+
     def log_probabilities(self) -> np.ndarray:
         """Log of the summed weight of all segmentations of each word, in the order given."""
         out = np.empty(len(self.lengths))
@@ -177,12 +188,14 @@ class Lattices:
         v = self.vocabulary
         node = np.zeros(len(self.alpha))
         node[self.final] = times[self.order]
-        counts = np.zeros(len(v.pieces) + len(self.unknown))
+        flows = []
         for e in range(len(self.edges) - 1, 0, -1):
             from_, p, share, groups = self.edges[e]
             flow = share * np.repeat(node[self.base[e] : self.base[e] + self.many[e]], np.diff(groups))
             node[from_] += flow
-            counts += np.bincount(p, flow, len(counts))
+            flows.append((p, flow))
+        size = len(v.pieces) + len(self.unknown)
+        counts = np.bincount(np.concatenate([p for p, _ in flows]), np.concatenate([f for _, f in flows]), size) if flows else np.zeros(size)
         for k, ids in enumerate(self.unknown):
             np.add.at(counts, ids, counts[len(v.pieces) + k])
         return counts[: len(v.pieces)]

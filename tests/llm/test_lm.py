@@ -1,5 +1,6 @@
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -79,18 +80,36 @@ def test_scores(spark, vocabulary):
         base = sum(math.log10((c + 0.1) / (n + 0.1 * (v + 1))) for c in [*(counts[w] for w in words[d]), len(train)])
         assert math.isclose(r["base_score"], base) and r["n_tokens"] == len(words[d]) + 1 and r["train_tokens"] == n
         assert r["n_known"] == sum(w in counts for w in words[d]) + 1 and r["held_out"] == (d not in train)
-    # the model itself, from the same parts: one round of expected counts over distinct words, then the mixture
-    pieces = lm.PRIOR * np.exp(vocabulary.logp)
-    for w in counts:
+    # the model itself, from the same parts: one round of expected counts over the training words, then the marginal
+    pieces = np.zeros(len(vocabulary.pieces))
+    for w, k in counts.items():
         for p, x in sums(vocabulary, MARKER + w)[1].items():
-            pieces[p] += x
-    pieces[vocabulary.end] += 1
+            pieces[p] += k * x
+    pieces[vocabulary.end] += len(train)
     with np.errstate(divide="ignore"):
-        logp = np.log(pieces / pieces.sum())
-    for d in (0, 7, 1001):
-        score = sum(math.log10((counts[w] + v * math.exp(sums(vocabulary, MARKER + w, logp)[0])) / (n + v)) for w in words[d])
-        score += math.log10((len(train) + v * math.exp(logp[vocabulary.end])) / (n + v))
-        assert math.isclose(got[d]["score"], score, rel_tol=1e-9)
+        logp = np.log((1 - lm.PRIOR) * pieces / pieces.sum() + lm.PRIOR * np.exp(vocabulary.logp))
+    for d in (0, 7, 1001, 1002):
+        spelled = [sums(vocabulary, MARKER + w, logp)[0] for w in words[d]]
+        score = (sum(spelled) + logp[vocabulary.end]) / math.log(10)
+        mixed = sum(math.log10((counts[w] + v * math.exp(x)) / (n + v)) for w, x in zip(words[d], spelled, strict=True))
+        mixed += math.log10((len(train) + v * math.exp(logp[vocabulary.end])) / (n + v))
+        assert math.isclose(got[d]["score"], score, rel_tol=1e-9) and math.isclose(got[d]["mixture_score"], mixed, rel_tol=1e-9)
+
+
+def test_vocabulary_alone(spark, vocabulary):
+    """Without rounds the score is the marginal under the vocabulary's own scores."""
+    got = lm.score(spark.createDataFrame([(1, "Hello the naïve"), (2, "x")], "doc_id long, text string"), rounds=0).collect()
+    for r in got:
+        words = {1: ["hello", "the", "naïve"], 2: ["x"]}[r["doc_id"]]
+        want = sum(sums(vocabulary, MARKER + w)[0] for w in words) + vocabulary.logp[vocabulary.end]
+        assert math.isclose(r["score"], want / math.log(10), rel_tol=1e-9)
+
+
+def test_long_word_in_linear_time(vocabulary):
+    flat, lengths = codes([MARKER + "abcdefgh" * 5000])
+    began = time.perf_counter()
+    value = Lattices(vocabulary, flat, lengths).log_probabilities()[0]
+    assert math.isfinite(value) and time.perf_counter() - began < 12
 
 
 def test_held_out_text_is_likelier_than_noise(spark):
