@@ -2,8 +2,8 @@
 
 Canonical form: Unicode normalisation (NFKC), full case folding, normalisation again (folding can undo it), each run of white
 space one space, none at the ends.  A fingerprint is two chained 64-bit xxhashes of it.  Documents are grouped by fingerprint, and in
-groups of two or more the canonical bytes are compared with those of the group's first document; a document that
-differs there gets its SHA-256 appended, so equal fingerprints mean equal bytes.
+groups of two or more the canonical bytes are compared: where the least and the greatest of a group differ, its members whose bytes
+are not the least get their SHA-256 appended, so equal fingerprints mean equal bytes.  Edited texts are named by the same rule.
 
 Cases: null text counts as empty; a null ``doc_id`` comes last in descending order; rows with one ``doc_id`` are ordered by text hash; the
 only row of a table is its own next document; empty tables give empty results; other columns are ignored.
@@ -16,7 +16,7 @@ from math import ceil, isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snaplake.storage import stored
+from snaplake.storage import Scratch, stored
 
 #: Rows dealt together to find each row's next; most such ranges.
 RANGE_ROWS, MOST_RANGES = 2000, 1 << 16
@@ -81,35 +81,53 @@ def edited(text: Column, other: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(other, F.lit(1), half))
 
 
-def _differing(docs: DataFrame, hashed: DataFrame) -> DataFrame:
-    """``doc_id, hash, digest`` of documents whose canonical bytes are not those of the first with the same hash."""
-    groups = hashed.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("head")).where("n > 1").drop("n")
-    members = stored(hashed.join(groups, "hash").select("doc_id", "hash", "head"), "fingerprint-groups")
-    ids = members.select(F.col("doc_id").alias("member")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("member")), "left_semi")
-    forms = own.select("doc_id", canonical(F.col("text")).alias("form")).withColumn("hash", wide_hash(F.col("form")))
-    heads = members.select("head").distinct()
-    firsts = forms.join(heads, F.col("doc_id") == F.col("head"), "left_semi").groupBy("hash", "doc_id").agg(F.min("form").alias("head_form"))
-    least = members.select("hash", "head").distinct()
-    firsts = firsts.join(least.withColumnRenamed("hash", "h"), (F.col("hash") == F.col("h")) & (F.col("doc_id") == F.col("head"))).select(F.col("hash").alias("h"), "head_form")
-    return forms.join(firsts, F.col("hash") == F.col("h")).where(F.encode("form", "UTF-8") != F.encode("head_form", "UTF-8")).select("doc_id", "hash", F.sha2("form", 256).alias("digest"))
+def _forms(docs: DataFrame, light: DataFrame) -> DataFrame:
+    """``doc_id, form, hash`` of the documents whose hash another document shares."""
+    groups = light.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    scratch = Scratch(docs.sparkSession)
+    members = scratch.stored(light.join(groups.select("hash").hint("merge"), "hash").select(F.col("doc_id").alias("member")).distinct(), "fingerprint-members")
+    if members.count() <= BROADCAST_IDS:
+        members = F.broadcast(members)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, F.col("doc_id").eqNullSafe(F.col("member")), "left_semi")
+    return own.select("doc_id", canonical(F.col("text")).alias("form")).withColumn("hash", wide_hash(F.col("form")))
+
+
+def _collisions(forms: DataFrame) -> DataFrame:
+    """``hash, head``: the hashes that stand for different canonical bytes, and the digest of the least of these.
+
+    Each bucket's bytes are compared by their least and greatest.  Both are combined before the shuffle, so a bucket that holds a third of
+    all documents sends a row a task.
+    """
+    return forms.groupBy("hash").agg(F.min("form").alias("least"), F.max("form").alias("most")).where("least != most").select("hash", F.sha2("least", 256).alias("head"))
+
+
+def named(hash_: Column, digest: Column, head: Column) -> Column:
+    """A fingerprint: the hash, and the digest of the bytes too where ``head`` says that the hash stands for others as well."""
+    return F.when(head.isNull() | (digest == head), hash_).otherwise(F.concat_ws("-", hash_, digest))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, n_chars, fingerprint, edited_sha256, edited_fingerprint, near_edited, near_next`` of each row.
 
-    An exact fingerprint is like another or it isn't: likeness is 1 where fingerprints are equal, else 0.
+    An exact fingerprint is like another or it isn't: likeness is 1 where the canonical bytes are equal, else 0.
     """
     pairs = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    light = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "hash", wide_hash(canonical(F.col("edited"))).alias("edited_hash"), "next_hash")
+    pairs = pairs.withColumn("edited_form", canonical(F.col("edited"))).withColumn("edited_hash", wide_hash(F.col("edited_form")))
+    # bytes are compared where hashes are equal
+    like = lambda h, other: F.when(F.col("hash") != F.col(h), F.lit(0.0)).otherwise((canonical(F.col("text")) == other).cast("double"))
+    light = pairs.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "hash", F.sha2("text", 256).alias("text_sha256"), "edited_hash", F.sha2("edited_form", 256).alias("edited_digest"),
+        like("edited_hash", F.col("edited_form")).alias("near_edited"), like("next_hash", canonical(F.col("next_text"))).alias("near_next"),
+    )
     light = stored(light, "fingerprints")
-    odd = stored(_differing(docs, light.select("doc_id", "hash")), "fingerprint-differing")
-    if not odd.isEmpty():
-        found = odd.distinct().select(F.col("doc_id").alias("o"), F.col("hash").alias("oh"), "digest")
-        light = light.join(found, F.col("doc_id").eqNullSafe(F.col("o")) & (F.col("hash") == F.col("oh")), "left").withColumn("fingerprint", F.concat_ws("-", "hash", "digest"))
-    else:
-        light = light.withColumn("fingerprint", F.col("hash"))
-    like = lambda a: (F.col("hash") == F.col(a)).cast("double")
-    return light.select("doc_id", "n_chars", "edited_sha256", "fingerprint", F.col("edited_hash").alias("edited_fingerprint"), like("edited_hash").alias("near_edited"), like("next_hash").alias("near_next"))
+    collisions = stored(_collisions(_forms(docs, light)), "fingerprint-collisions")
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    if collisions.isEmpty():
+        return light.withColumns({"fingerprint": F.col("hash"), "edited_fingerprint": F.col("edited_hash")}).select(*names)
+    # rare: the digests of the documents in such buckets, by the text they were made of
+    inside = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    inside = inside.select(F.sha2("text", 256).alias("t"), canonical(F.col("text")).alias("form")).withColumn("h", wide_hash(F.col("form"))).join(collisions.select(F.col("hash").alias("h")), "h", "left_semi")
+    digests = inside.select("t", F.sha2("form", 256).alias("digest")).distinct()
+    heads = lambda h, name: collisions.select(F.col("hash").alias(h), F.col("head").alias(name))
+    light = light.join(digests, F.col("text_sha256") == F.col("t"), "left").join(heads("oh", "own_head"), F.col("hash") == F.col("oh"), "left").join(heads("eh", "edited_head"), F.col("edited_hash") == F.col("eh"), "left")
+    return light.withColumns({"fingerprint": named(F.col("hash"), F.col("digest"), F.col("own_head")), "edited_fingerprint": named(F.col("edited_hash"), F.col("edited_digest"), F.col("edited_head"))}).select(*names)

@@ -50,8 +50,14 @@ def test_many_ranges(spark, monkeypatch):
 def test_unequal_bytes_in_a_bucket_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(fp, "wide_hash", lambda form: F.lit("same"))
     rows = [(1, "a"), (2, "b"), (3, "A"), (4, "b ")]
-    got = {r["doc_id"]: r["fingerprint"] for r in fp.fingerprints(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got[1] == got[3] != got[2] == got[4]
+    rows += [(5, "xy"), (6, "yx")]
+    all_ = {r["doc_id"]: r for r in fp.fingerprints(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {d: r["fingerprint"] for d, r in all_.items()}
+    assert got[1] == got[3] != got[2] == got[4] and len(set(got.values())) == 4
+    # an edited text that equals a document has its fingerprint: half of one character is none; 6 (yx) takes the x of 5 (xy)
+    assert all(all_[d]["edited_fingerprint"] == got[d] and all_[d]["near_edited"] == 1 for d in (1, 2, 3))
+    assert all_[6]["near_edited"] == (all_[6]["edited_fingerprint"] == got[6]) and all_[5]["edited_fingerprint"] not in (got[5], got[6])
+    assert all_[3]["near_next"] == 0 and all_[2]["near_next"] == 0
 
 
 def test_odd_rows(odd, none):
@@ -62,5 +68,5 @@ def test_odd_rows(odd, none):
 
 
 def test_plan_has_no_python(spark, odd):
-    plan = fp.with_next(odd)._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+    for rows in (fp.with_next(odd), fp.fingerprints(odd), fp._collisions(fp._forms(odd, fp.with_next(odd)))):
+        assert not re.search("Python|Pandas|Arrow", rows._jdf.queryExecution().toString())
