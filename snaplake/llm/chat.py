@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Bytes of turns assembled at once; a conversation that is longer spans several parts.
 PART_BYTES = 4 << 20
+#: A segment of this many bytes is copied as a whole; bytes that one set of scatter indices covers.
+LONG_SEGMENT, SCATTER_BYTES = 1 << 12, 1 << 18
 FORMATTED = "conv_id long, part int, body binary, loss_starts array<int>, loss_ends array<int>"
 
 
@@ -58,28 +60,44 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
-def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of all turns in one buffer, where each turn starts (and the end), and (start, end) of its text.
+def _scatter(body: np.ndarray, to: np.ndarray, source: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+    """Copy ``source[start:start + size]`` to ``body[to:]`` for each segment: long ones whole, others by scatter indices, a few at a time."""
+    long = size >= LONG_SEGMENT
+    for t, a, n in zip(to[long].tolist(), start[long].tolist(), size[long].tolist(), strict=True):
+        body[t : t + n] = source[a : a + n]
+    to, start, size = to[~long], start[~long], size[~long]
+    upto = np.cumsum(size)
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + SCATTER_BYTES, "right")))
+        n = size[lo:hi]
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        body[place + np.repeat(to[lo:hi], n)] = source[place + np.repeat(start[lo:hi], n)]
+        lo = hi
 
-    Five segments a turn: opener, role, line end, text, closer.  Their lengths give the offsets by one cumulative sum,
-    and one gather fills the buffer.
+
+def assemble(roles: pa.Array, texts: pa.Array) -> tuple[pa.Buffer, np.ndarray, np.ndarray]:
+    """All turns in one Arrow buffer, where each turn starts (and the end), and (start, end) of its text.
+
+    Five segments a turn: opener, role, line end, text, closer.  Their lengths give the offsets by one cumulative sum, which
+    gives the size of the buffer; headers and contents are then copied into their places in it.
     """
     n = len(texts)
-    fixed = [np.frombuffer(x.encode(), np.uint8) for x in (START, "\n", END)]
     (role_bytes, role_at), (text_bytes, text_at) = _buffers(roles), _buffers(texts)
-    sources = [*fixed, role_bytes, text_bytes]
-    base = np.cumsum([0, *map(len, sources)])
-    start, length = np.empty((n, 5), np.int64), np.empty((n, 5), np.int64)
-    for column, source in ((0, 0), (2, 1), (4, 2)):
-        start[:, column], length[:, column] = base[source], len(fixed[source])
-    start[:, 1], length[:, 1] = base[3] + role_at[:-1], np.diff(role_at)
-    start[:, 3], length[:, 3] = base[4] + text_at[:-1], np.diff(text_at)
-    length_flat = length.ravel()
-    to = np.concatenate([[0], np.cumsum(length_flat)])
-    index = np.arange(to[-1]) + np.repeat(start.ravel() - to[:-1], length_flat)
-    body = np.concatenate(sources)[index]
-    turn_at = to[::5]
-    return body, turn_at, np.stack([to[3::5], to[4::5]], axis=1) if n else np.zeros((0, 2), np.int64)
+    fixed = {column: np.frombuffer(x.encode(), np.uint8) for column, x in ((0, START), (2, "\n"), (4, END))}
+    length = np.empty((n, 5), np.int64)
+    for column, x in fixed.items():
+        length[:, column] = len(x)
+    length[:, 1], length[:, 3] = np.diff(role_at), np.diff(text_at)
+    to = np.concatenate([[0], np.cumsum(length.ravel())])
+    out = pa.allocate_buffer(int(to[-1]))
+    body = np.frombuffer(out, np.uint8)
+    begin = to[:-1].reshape(n, 5)
+    for column, x in fixed.items():
+        body[begin[:, column, None] + np.arange(len(x))] = x
+    _scatter(body, begin[:, 1], role_bytes, role_at[:-1], length[:, 1])
+    _scatter(body, begin[:, 3], text_bytes, text_at[:-1], length[:, 3])
+    return out, to[::5], np.stack([to[3::5], to[4::5]], axis=1) if n else np.zeros((0, 2), np.int64)
 
 
 def _runs(keys: list) -> list[int]:
@@ -109,7 +127,7 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             masked = np.concatenate([[0], np.cumsum(assistant)])[runs]
             within = (text_at - np.repeat(offsets[:-1], np.diff(runs))[:, None])[assistant].astype(np.int32)
             lists = pa.array(masked, pa.int32())
-            column = pa.Array.from_buffers(pa.binary(), len(runs) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(body)])
+            column = pa.Array.from_buffers(pa.binary(), len(runs) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), body])
             yield pa.record_batch([pa.array([ids[i] for i in runs[:-1]], pa.int64()), pa.array(parts, pa.int32()), column, pa.ListArray.from_arrays(lists, pa.array(within[:, 0])), pa.ListArray.from_arrays(lists, pa.array(within[:, 1]))], schema=schema)
             lo = hi
 

@@ -15,12 +15,23 @@ tricky = st.text(alphabet="<|\\>im_startend\n aé😀", max_size=30)
 def test_round_trip(turns):
     roles, texts = (pa.array([t[i] for t in turns]) for i in (0, 1))
     body, at, spans = chat.assemble(chat.escape_roles(roles), chat.escape_texts(texts))
-    body = body.tobytes()
+    body = body.to_pybytes()
     assert chat.read_back(body) == [(r.encode(), t.encode()) for r, t in turns]
     assert body.count(b"<|im_start|>") == len(turns) and at[-1] == len(body)
     assert [chat.unescape_text(body[a:b]).decode() for a, b in spans] == [t for _, t in turns]
 
 
+def test_long_and_short_segments(monkeypatch):
+    """Whole copies, and scatter indices over several sets, give the same bytes as joining strings."""
+    monkeypatch.setattr(chat, "LONG_SEGMENT", 50)
+    monkeypatch.setattr(chat, "SCATTER_BYTES", 64)
+    turns = [("user" if i % 2 else "assistant", "é" * (i * 7 % 61)) for i in range(60)] + [("", "")]
+    body, at, spans = chat.assemble(*(pa.array([t[i] for t in turns]) for i in (0, 1)))
+    assert body.to_pybytes().decode() == "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in turns)
+    assert [body.to_pybytes()[a:b].decode() for a, b in spans] == [t for _, t in turns] and at[-1] == body.size
+    assert chat.assemble(pa.array([], pa.string()), pa.array([], pa.string()))[0].size == 0
+
+
 def expected(turns):
     h, loss, shown = hashlib.sha256(), "", ""
     for role, text in turns:
