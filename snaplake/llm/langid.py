@@ -1,14 +1,14 @@
 """Language identification by a string kernel, Nyström landmarks and kernel ridge regression.
 
-A text's features are the hashed character n-grams of 1 to 4 code points that occur in it (blended spectrum, presence only), over A-Z
-lowered text.  The kernel of two texts is the number of shared features over the geometric mean of their numbers.  Landmarks
+A text's features are the hashed character n-grams of 1 to 4 code points that occur in it (blended spectrum, presence only), over
+lower-cased text.  The kernel of two texts is the number of shared features over the geometric mean of their numbers.  Landmarks
 and training rows are bounded samples, chosen by hash and spread over the languages; one-versus-rest ridge regression on the landmark
 kernel gives each language a function of the landmarks.  A batch is scored by two matrix products: features by
 landmarks, then landmarks by languages.
 
 Cases: null text and text without a letter are ``und`` with score 0; a null or unlabelled row trains nothing but is predicted;
 without training rows every text is ``und``; with one language every text with a letter has it; repeated rows get a row each; empty
-tables give empty results; other columns are ignored.
+tables give empty results; of rows with one ``doc_id`` the least (lang, text) trains; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from snaplake.llm import batches as B
@@ -96,13 +96,15 @@ def train(docs: DataFrame, rows: int = TRAINING, landmarks: int = LANDMARKS) ->
     Only ids and languages are sorted; the texts of the chosen rows are fetched by a join with their ids.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    languages = [r["lang"] for r in own.select("lang").distinct().orderBy("lang").collect()]
-    ids = [r["doc_id"] for x in languages for r in own.where(F.col("lang") == x).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(1, rows // len(languages))).collect()]
+    languages = own.select("lang").distinct().count()
+    per = max(1, rows // max(1, languages))
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")  # Spark keeps the first rows of each partition before it shuffles
+    ids = [r["doc_id"] for r in own.select("lang", "doc_id").withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= per).select("doc_id").distinct().collect()]
     if not ids:
         return None
     wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long").distinct()
-    got = own.join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "lang").dropDuplicates(["doc_id"]).where(F.col("text").rlike(r"\p{L}"))
-    fitted = [r for r in got.collect()]
+    got = own.join(F.broadcast(wanted), "doc_id").where(F.col("text").rlike(r"\p{L}")).groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("least"))
+    fitted = got.select("doc_id", "least.*").collect()
     fitted.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
     return Model([r["text"] for r in fitted], [r["lang"] for r in fitted], landmarks) if fitted else None
 

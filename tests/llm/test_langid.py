@@ -31,6 +31,29 @@ def test_kernel_is_the_spectrum_kernel():
     assert (langid.presence(texts) == alone).all()  # neighbours in a batch don't matter
 
 
+def test_ridge_is_the_plain_solution():
+    """Weights and margins against a solution by loops over the kernel of texts."""
+    rows = docs(40)
+    texts, langs = [t for _, t, _ in rows], [x for *_, x in rows]
+    model = langid.Model(texts, langs, landmarks=12, ridge=0.01)
+    names = sorted(set(langs))
+    chosen = [i for x in names for i in [j for j, a in enumerate(langs) if a == x][:3]]
+    k = np.array([[kernel(t, texts[c]) for c in chosen] for t in texts])
+    w = np.array([1 / langs.count(a) for a in langs])
+    y = np.array([[1.0 if a == x else -1.0 for x in names] for a in langs])
+    left = sum(w[i] * np.outer(k[i], k[i]) for i in range(len(k))) + 0.01 * k[chosen] + 1e-8 * np.eye(len(chosen))
+    margin = k @ np.linalg.solve(left, sum(w[i] * np.outer(k[i], y[i]) for i in range(len(k))))
+    got = model._kernel(texts) @ model.weights
+    assert (got.argmax(axis=1) == margin.argmax(axis=1)).mean() > 0.95 and np.abs(got - margin).mean() < 0.1
+
+
+def test_repeated_ids_train_alike(spark):
+    """Of rows with one doc_id the same one trains in every run."""
+    rows = docs(40) + [(i, t + " x", "zz") for i, t, _ in docs(40)]
+    a, b = (langid.train(spark.createDataFrame(r, "doc_id long, text string, lang string").repartition(n)) for r, n in ((rows, 3), (rows[::-1], 5)))
+    assert a.languages == b.languages and np.array_equal(a.weights, b.weights)
+
+
 def test_held_out_accuracy(spark):
     rows = docs(400)
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
