@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the cluster's ``spark.checkpoint.dir``, else one below the warehouse.
+    """The folder for intermediate tables: the session's ``spark.checkpoint.dir``.
 
-    The session's setting always wins.  The warehouse is the fallback because it is shared by definition.
+    Without that setting a session on one machine uses its warehouse; on a cluster it is an error, as a default folder
+    may be one of a single machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return base.rstrip("/")
 
@@ -31,10 +36,28 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = path or new_path(spark, name)
+    for paths in _WATCHED:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_WATCHED: list[list[str]] = []
+
+
+@contextmanager
+def only_result_stays(spark: SparkSession) -> Iterator[None]:
+    """Delete what :func:`stored` has written in this block once it ends, but for the last table."""
+    paths: list[str] = []
+    _WATCHED.append(paths)
+    try:
+        yield
+    finally:
+        _WATCHED.remove(paths)
+    for path in paths[:-1]:
+        drop_path(spark, path)
+
+
 class Scratch:
     """Written tables that go once a later one has been written, so that the shared folder holds what is still needed."""
 
