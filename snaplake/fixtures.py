@@ -32,7 +32,7 @@ FROM {events}""",
     # requirement phrases, two words each
     "req": """
 SELECT l.l_orderkey AS job_key, p.p_name AS phrase, split_part(p.p_name, ' ', 1) AS s1, split_part(p.p_name, ' ', 2) AS s2,
-       CASE WHEN l.l_returnflag = 'R' THEN 'nice' ELSE 'must' END AS requirement
+       CASE WHEN l.l_returnflag = 'R' THEN 'nice' ELSE 'must' END AS requirement, l.l_linenumber * 1000000 + l.l_partkey AS line
 FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey""",
     "reqmeta": """
 SELECT o.o_orderkey AS job_key, CASE WHEN o.o_orderkey % 4 = 0 THEN NULL ELSE CAST(o.o_orderkey % 12 AS DOUBLE) END AS years_min,
@@ -41,7 +41,7 @@ SELECT o.o_orderkey AS job_key, CASE WHEN o.o_orderkey % 4 = 0 THEN NULL ELSE CA
 FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey""",
     # what a model has said about two thirds of the postings
     "facts": """
-SELECT job_key, seniority, domain, work_mode, years_min, fit_score,
+SELECT job_key, seniority, domain, work_mode, years_min, cloud, must_have_skills, fit_score,
   CASE WHEN fit_score >= 70 THEN 'APPLY' WHEN fit_score >= 50 THEN 'STRETCH' ELSE 'SKIP' END AS recommendation FROM (
 SELECT DISTINCT concat('k', user_id, '-', event_id % 5) AS job_key,
   CASE user_id % 8 WHEN 0 THEN 'Senior' WHEN 1 THEN 'Sr. level' WHEN 2 THEN 'Lead, Principal' WHEN 3 THEN 'mid-level' WHEN 4 THEN 'Entry level'
@@ -50,8 +50,14 @@ SELECT DISTINCT concat('k', user_id, '-', event_id % 5) AS job_key,
        WHEN 4 THEN 'retail' WHEN 5 THEN 'intermediate goods' WHEN 6 THEN 'data and ai' WHEN 7 THEN 'N/A' WHEN 8 THEN 'agriculture' WHEN 9 THEN '' ELSE NULL END AS domain,
   CASE user_id % 3 WHEN 1 THEN 'hybrid' WHEN 2 THEN 'remote' ELSE NULL END AS work_mode,
   CASE WHEN user_id % 4 = 0 THEN NULL ELSE CAST(user_id % 12 AS DOUBLE) END AS years_min,
+  CASE user_id % 5 WHEN 0 THEN split('azure,aws', ',') WHEN 1 THEN split('gcp', ',') ELSE NULL END AS cloud, split(concat('sql,python,s', user_id % 4), ',') AS must_have_skills,
   CAST((user_id * 37 + (event_id % 5) * 11) % 1000 AS DOUBLE) / 10 AS fit_score
 FROM {events} WHERE user_id % 3 <> 0) f""",
+    # what the profile makes of most of them
+    "fits": """
+SELECT job_key, fit_score, recommendation, CASE WHEN fit_score >= 60 THEN split('sql,python', ',') ELSE split('sql', ',') END AS matched_skills,
+  CASE WHEN fit_score >= 60 THEN NULL ELSE split('python,scala', ',') END AS missing_skills, CASE WHEN fit_score >= 30 THEN NULL ELSE split('scala', ',') END AS learning_gaps
+FROM {facts} WHERE job_key NOT LIKE '%-4'""",
     # one row per board and run
     "runs": """
 SELECT company, source, CAST(snapshot_day AS DATE) AS snapshot_day, count(*) AS postings,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 
 MIN_KEPT_CHARS = 400
 EDGE = " .,;:()"
-APART = "\x01"
 
 
 @F.pandas_udf(T.StringType())
@@ -22,13 +21,27 @@ def _unescaped(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: html.unescape(html.unescape(t)) if t else t)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _all_unescaped(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda ts: ts if ts is None else [html.unescape(html.unescape(t)) for t in ts])
+
+
 def html_to_text(column: str | Column) -> Column:
     """Plain text of (perhaps escaped) HTML: entities decoded twice, block ends as line ends, items as "- ", no tags, blanks squeezed.
 
     Only texts with an ``&`` leave the JVM, in Arrow batches.
     """
     c = F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
-    c = F.when(F.contains(c, F.lit("&")), _unescaped(c)).otherwise(c)
+    return _without_tags(F.when(F.contains(c, F.lit("&")), _unescaped(c)).otherwise(c))
+
+
+def html_to_texts(column: Column) -> Column:
+    """:func:`html_to_text` of each string of an array."""
+    c = F.transform(column, lambda x: F.coalesce(x, F.lit("")))
+    return F.transform(F.when(F.exists(c, lambda x: F.contains(x, F.lit("&"))), _all_unescaped(c)).otherwise(c), _without_tags)
+
+
+def _without_tags(c: Column) -> Column:
     steps = [(r"(?i)<\s*(br|/p|/li|/h[0-9])\s*/?>", "\n"), (r"(?i)<li[^>]*>", "- "), (r"<[^>]+>", " "), (r"[ \t]+", " "), (r"\n(?U:\s)*\n+", "\n")]
     return F.regexp_replace(reduce(lambda x, s: F.regexp_replace(x, *s), steps, c), r"(?U)^\s+|\s+$", "")
 
@@ -59,67 +72,75 @@ def with_alias(column: str | Column, aliases: Mapping[str, str]) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv]), c), c)
 
 
-def _claim(text: str, terms: list[tuple[str, str, re.Pattern]]) -> list[str]:
-    """Canonical names in reading order; longer terms claim their characters first, equal lengths by the alphabet."""
-    free, hits = bytearray(b"\1") * len(text), []
-    for term, name, pattern in terms:
-        if term not in text:
-            continue
-        for m in pattern.finditer(text):
-            if all(free[m.start() : m.end()]):
-                free[m.start() : m.end()] = bytes(m.end() - m.start())
-                hits.append((m.start(), name))
-    return [name for _, name in sorted(hits)]
+def pieces(column: str | Column) -> Column:
+    """A lowered text, blanks squeezed, as words of ``a-z0-9`` and what stands between them, in turn."""
+    squeezed = F.btrim(F.regexp_replace(F.lower(column), r"(?U)\s+", " "))
+    return F.regexp_extract_all(squeezed, F.lit("[a-z0-9]+|[^a-z0-9]+"), F.lit(0))
+
+
+def occurrences(cut: str, spellings: Sequence[str]) -> Column:
+    """Where a text has known spellings: ``array<struct<at, size, term>>`` of places in the :func:`pieces` column ``cut``.
+
+    A spelling starts and ends at the edge of a word, and may hold signs or blanks.  Only places where a first word of
+    some spelling stands are looked at, in the lengths that spellings with signs or blanks have.
+    """
+    cuts = [re.findall("[a-z0-9]+|[^a-z0-9]+", s) for s in spellings]
+    for s, parts in zip(spellings, cuts, strict=True):
+        if s != " ".join(s.lower().split()) or len(parts) % 2 == 0 or not parts[0].isalnum():
+            raise ValueError(f"a spelling is lower-case and starts and ends with a letter or digit: {s!r}")
+    sizes = F.array(*[F.lit(n) for n in sorted({len(parts) for parts in cuts})])
+    have = F.size(cut)
+    places = F.filter(F.when(have > 0, F.sequence(F.lit(1), have)), lambda i: F.element_at(cut, i).isin(sorted({parts[0] for parts in cuts})))
+    at = lambda i, n: F.struct(i.alias("at"), n.alias("size"), F.when(i + n - 1 <= have, F.array_join(F.slice(cut, i, n), "")).alias("term"))
+    spans = F.flatten(F.transform(places, lambda i: F.transform(sizes, lambda n: at(i, n))))
+    return F.coalesce(F.filter(spans, lambda s: s["term"].isin(list(spellings))), F.array().cast("array<struct<at: int, size: int, term: string>>"))
+
+
+def _named(term: Column, spellings: Mapping[str, str]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in spellings.items() for x in kv]), term)
 
 
 def canonical_terms(phrases: DataFrame, column: str, vocabulary: Sequence[str], aliases: Mapping[str, str]) -> DataFrame:
     """``phrases`` with ``terms``: the known names in each phrase, or the cleaned phrase if there is none.
 
-    Works on the dictionary of distinct phrases, which is joined back; the vocabulary is configuration.
+    A phrase that is a name or an alias stands for that alone.  Else of the spellings in it the longest is taken first (equal lengths
+    by the alphabet), then every other that does not overlap a taken one; names come in reading order, each once.  Works on the
+    distinct phrases, which are joined back; the vocabulary is configuration.
     """
-    known = set(vocabulary) | set(aliases.values())
-    spelled = {v: v for v in known} | dict(aliases)
-    terms = [(t, spelled[t], re.compile(rf"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])")) for t in sorted(spelled, key=lambda t: (-len(t), t))]
-
-    def tidied(text: str) -> str:
-        s = re.sub(r"\s+", " ", text.strip()).strip(EDGE)
-        return aliases.get(s, s)
-
-    def find(text: str) -> list[str]:
-        text = re.sub(r"\s+", " ", text.lower()).strip()
-        if not text:
-            return []
-        exact = tidied(text)
-        found = [exact] if exact in known else _claim(text, terms)
-        if not found:
-            cleaned = tidied(re.sub(r"\(.*?\)", " ", text))
-            found = [cleaned] if cleaned else []
-        return list(dict.fromkeys(found))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(terms=[find(t) for t in batch["phrase"]])
-
-    distinct = phrases.select(F.col(column).alias("phrase")).where(F.col("phrase").isNotNull()).distinct()
-    found = distinct.mapInPandas(run, "phrase string, terms array<string>").withColumnRenamed("phrase", "__phrase")
-    return phrases.join(found, F.col(column) == F.col("__phrase"), "left").drop("__phrase")
+    known = {*vocabulary, *aliases.values()}
+    spelled = {name: name for name in known} | dict(aliases)
+    low = F.btrim(F.regexp_replace(F.lower("phrase"), r"(?U)\s+", " "))
+    rows = phrases.select(F.col(column).alias("phrase")).where(F.col("phrase").isNotNull()).distinct().withColumn("cut", pieces("phrase"))
+    ranked = F.sort_array(F.transform(occurrences("cut", sorted(spelled)), lambda s: F.struct((-F.length(s["term"])).alias("least"), s["term"].alias("term"), s["at"].alias("at"), s["size"].alias("size"))))
+    rows = rows.withColumn("ranked", ranked)
+    none = F.array().cast("array<struct<at: int, size: int, term: string>>")
+    apart = lambda a, b: (a["at"] + a["size"] <= b["at"]) | (b["at"] + b["size"] <= a["at"])
+    as_taken = lambda s: F.struct(s["at"].alias("at"), s["size"].alias("size"), s["term"].alias("term"))
+    taken = F.aggregate("ranked", none, lambda got, s: F.when(F.forall(got, lambda t: apart(t, s)), F.concat(got, F.array(as_taken(s)))).otherwise(got))
+    names = F.array_distinct(F.transform(F.sort_array(taken), lambda s: _named(s["term"], spelled)))
+    rows = rows.withColumns({"whole": with_alias("phrase", aliases), "cleaned": with_alias(F.regexp_replace(low, r"\(.*?\)", " "), aliases), "names": names})
+    found = (
+        F.when(low == "", F.array().cast("array<string>"))
+        .when(F.col("whole").isin(sorted(known)), F.array("whole"))
+        .when(F.size("names") > 0, F.col("names"))
+        .otherwise(F.filter(F.array("cleaned"), lambda c: c != ""))
+    )
+    return phrases.join(rows.select(F.col("phrase").alias("__phrase"), found.alias("terms")), F.col(column) == F.col("__phrase"), "left").drop("__phrase")
+
+
+def mentioned(cut: str, spellings: Mapping[str, str]) -> Column:
+    """The distinct names that a text's :func:`pieces` column mentions, longer spellings and those inside them alike."""
+    return F.array_distinct(F.transform(occurrences(cut, sorted(spellings)), lambda s: _named(s["term"], spellings)))
 
 
 def mentions(texts: DataFrame, key: str, column: str, terms: Mapping[str, str]) -> DataFrame:
     """Distinct ``key, term`` of the known terms that a text mentions as whole words.
 
-    ``terms`` maps each spelling (letters, digits and single spaces) to its name.  Single words meet the text's distinct words by an equi-join,
-    so that part grows with the words, not with words times terms; spellings of several words are looked for one by one.
+    ``terms`` maps each spelling to its name.  A text is cut into words once, and the work after that grows with the words that begin a spelling,
+    not with words times terms.
     """
-    # a sign between two words is a token of its own, so no spelling reaches across it
-    plain = F.regexp_replace(F.regexp_replace(F.lower(column), r"[^a-z0-9\s]", f" {APART} "), r"\s+", " ")
-    rows = texts.select(key, F.concat(F.lit(" "), plain, F.lit(" ")).alias("t"))
-    known = texts.sparkSession.createDataFrame(list(terms.items()), "spelling string, term string")
-    longer = [F.when(F.contains("t", F.lit(f" {s} ")), F.lit(s)) for s in terms if " " in s]
-    found = F.array_distinct(F.split("t", " "))
-    if longer:
-        found = F.concat(found, F.filter(F.array(*longer), lambda x: x.isNotNull()))
-    return rows.select(key, F.explode(found).alias("spelling")).join(F.broadcast(known), "spelling").select(key, "term").distinct()
+    rows = texts.select(key, pieces(column).alias("__cut"))
+    return rows.select(key, F.explode(mentioned("__cut", terms)).alias("term")).distinct()
 
 
 def known_term(column: str, vocabulary: Sequence[str]) -> Column:

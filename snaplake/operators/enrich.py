@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from snaplake.operators.upsert import upsert_all
 from snaplake.storage import stored
@@ -26,7 +26,7 @@ def gave_up(errors: DataFrame, version: str, model: str, attempts: int = MAX_ATT
 
 def candidates(texts: DataFrame, done: DataFrame, failed: DataFrame, version: str, model: str) -> DataFrame:
     """``job_key, text_hash, reason, given_up`` of the records whose fingerprint is new or has changed."""
-    now = texts.select("job_key", F.sha2("raw_text", 256).alias("text_hash"))
+    now = texts.select("job_key", F.col("text_hash") if "text_hash" in texts.columns else F.sha2("raw_text", 256).alias("text_hash"))
     old = done.select("job_key", F.col("text_hash").alias("old_hash"), "prompt_version", "llm_model", F.lit(True).alias("known"))
     rows = now.join(old, "job_key", "left").join(failed.withColumn("given_up", F.lit(True)), ["job_key", "text_hash"], "left")
     reason = (
@@ -47,27 +47,31 @@ def prompt(instruction: str, text: str | Column, most: int = MAX_CHARS) -> Colum
     return F.concat(F.lit(instruction), F.left(F.col(text) if isinstance(text, str) else text, F.lit(most)))
 
 
+def fingerprint(prompt_text: str, fields: str = FIELDS, schema: str = "") -> str:
+    """A short name for all that shapes a model's answer: pin it in a test, so that a change of any of them changes the version too."""
+    return hashlib.sha256("\x00".join((prompt_text, schema, fields)).encode()).hexdigest()[:12]
+
+
 def infer(rows: DataFrame, column: str, model: Callable[[str], str | None], name: str = "replies") -> DataFrame:
     """``rows`` with ``r``: a reply or an error for each row, asked once.
 
-    The result is a written table, since asking again would cost again and may answer differently.
+    The result is a written table, since asking again would cost again and may answer differently.  Only the prompts leave the JVM.
     """
-    fields = rows.columns
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(REPLY)
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             results, errors = [], []
-            for text in batch[column]:
+            for text in batch:
                 try:
                     results.append(model(text))
                     errors.append(None)
                 except Exception as e:  # one bad row must not fail the batch
                     results.append(None)
                     errors.append(str(e) or type(e).__name__)
-            yield batch.assign(result=results, errorMessage=errors)
+            yield pd.DataFrame({"result": pd.Series(results, dtype=object), "errorMessage": pd.Series(errors, dtype=object)})
 
-    asked = rows.mapInPandas(ask, T.StructType([*rows.schema.fields, T.StructField("result", T.StringType()), T.StructField("errorMessage", T.StringType())]))
-    return stored(asked.select(*fields, F.struct("result", "errorMessage").alias("r")), name)
+    return stored(rows.select("*", ask.asNondeterministic()(column).alias("r")), name)
 
 
 def parsed(replies: DataFrame, fields: str = FIELDS) -> DataFrame:

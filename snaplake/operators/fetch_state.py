@@ -2,26 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snaplake.operators.lifecycle import recency
+from snaplake.operators.upsert import publish
 
 KEYS = ("job_key", "source", "company", "list_ref")
+# The platforms that need a call for each posting, which is what the state saves.
+PLATFORMS = ["workday", "oracle", "eightfold", "successfactors"]
 
 
-def fetch_state(rows: DataFrame, as_of: Column, keep_days: int = 14, order: Column | None = None) -> DataFrame:
-    """Latest facts of every listing seen in the last ``keep_days`` days that was fetched in full once.
+def fetch_state(rows: DataFrame, as_of: Column, keep_days: int = 14, order: Column | None = None, platforms: Sequence[str] = PLATFORMS) -> DataFrame:
+    """Latest facts of every listing of ``platforms`` seen in the last ``keep_days`` days that was fetched in full once.
 
-    A row without a list reference is listed under its key.  Manual rows are not fetched.
+    A row without a list reference can't be listed again and is left out.
     """
     order = order if order is not None else recency()
     full = ~F.col("fetch_mode").eqNullSafe("seen")
     last = lambda c: F.max_by(c, F.when(full, order)).alias(c)
-    state = rows.where("source <> 'manual'").groupBy(*KEYS).agg(last("title"), last("location"), last("url"), last("posted_at"), F.max("snapshot_day").alias("last_seen"), F.max(F.when(full, F.col("snapshot_day"))).alias("last_full"))
+    state = rows.where(F.col("source").isin(list(platforms)) & F.col("list_ref").isNotNull()).groupBy(*KEYS).agg(last("source_id"), last("title"), last("location"), last("url"), last("posted_at"), F.max("snapshot_day").alias("last_seen"), F.max(F.when(full, F.col("snapshot_day"))).alias("last_full"))
     return state.where(F.col("last_full").isNotNull() & (F.col("last_seen") >= F.date_sub(as_of, keep_days)))
 
 
+def export_state(state: DataFrame, root: str, landing: str, version: str) -> str:
+    """Publish the state as a JSON version below ``root``, which may not lie in the landing folder: what is landed is ingested."""
+    inside = f"{root.rstrip('/')}/".startswith(f"{landing.rstrip('/')}/")
+    if inside:
+        raise ValueError(f"{root} lies in the landing folder {landing}")
+    return publish(state, root, version, "json")
+
+
 def fetch_plan(listing: DataFrame, state: DataFrame, today: Column, refresh_days: int = 7, boards: DataFrame | None = None) -> DataFrame:
     """``listing`` with ``fetch_mode``: ``seen`` if the text is young enough, else ``fetch``, and the cached facts of seen rows.
 
@@ -31,7 +44,7 @@ def fetch_plan(listing: DataFrame, state: DataFrame, today: Column, refresh_days
     rows = listing.join(known, ["source", "company", "list_ref"], "left")
     days: Column = F.lit(refresh_days)
     if boards is not None:
-        rows = rows.join(F.broadcast(boards.select("source", "company", F.col("refresh_days").alias("__days"))), ["source", "company"], "left")
+        rows = rows.join(boards.select("source", "company", F.col("refresh_days").alias("__days")), ["source", "company"], "left")
         days = F.coalesce("__days", days)
     young = F.coalesce(F.datediff(today, "last_full") < days, F.lit(False))
     seen = lambda c: F.when(young, F.col(f"known_{c}")).alias(c)

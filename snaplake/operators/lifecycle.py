@@ -60,11 +60,13 @@ def blank(c: str) -> Column:
     return F.col(c).isNull() | (F.trim(c) == "")
 
 
-def error_rules(min_chars: int = 200) -> list[Rule]:
+def error_rules(min_chars: int = 200, chars: Column | None = None) -> list[Rule]:
+    """``chars`` is the length of the text, by default of ``raw_text``."""
+    chars = chars if chars is not None else F.length("raw_text")
     return [
         Rule("missing_title", blank("title")),
         Rule("missing_company", blank("company")),
-        Rule("short_description", F.col("raw_text").isNull() | (F.length("raw_text") < min_chars)),
+        Rule("short_description", chars.isNull() | (chars < min_chars)),
     ]
 
 
@@ -79,9 +81,10 @@ def flags(rules: Sequence[Rule]) -> Column:
 
 
 def postings(rows: DataFrame, order: Column | None = None) -> DataFrame:
-    """One row per posting with lifetime, state, latest text and flags.
+    """One row per posting with lifetime, state, the length and version of the latest text, and flags.
 
-    One shuffle by key gives everything: conditional aggregates stand for the second aggregate and its join.
+    One shuffle by key gives everything: conditional aggregates stand for the second aggregate and its join.  Texts stay where
+    they are; :func:`with_texts` fetches those of the rows that are shown.
     """
     order = order if order is not None else recency()
     full = ~F.col("fetch_mode").eqNullSafe("seen")
@@ -90,12 +93,24 @@ def postings(rows: DataFrame, order: Column | None = None) -> DataFrame:
         F.min("snapshot_day").alias("first_seen"),
         F.max("snapshot_day").alias("last_seen"),
         F.count_distinct("snapshot_day").alias("days_seen"),
-        F.max_by(F.struct("raw_text", "posted_at"), F.when(full, order)).alias("f"),
+        F.max_by(F.struct(F.length("raw_text").alias("text_chars"), "posted_at", order.alias("text_version")), F.when(full, order)).alias("f"),
         F.max(F.when(full, F.col("snapshot_day"))).alias("last_full_fetch"),
     )
-    wide = one.crossJoin(F.broadcast(latest_board_day(rows))).select("job_key", "v.*", "first_seen", "last_seen", "days_seen", "f.raw_text", F.left("f.posted_at", F.lit(10)).try_cast("date").alias("posted_date"), "last_full_fetch", "board_day")
+    wide = one.crossJoin(F.broadcast(latest_board_day(rows))).select("job_key", "v.*", "first_seen", "last_seen", "days_seen", "f.text_chars", "f.text_version", F.left("f.posted_at", F.lit(10)).try_cast("date").alias("posted_date"), "last_full_fetch", "board_day")
     wide = wide.withColumn("is_open", is_open()).drop("board_day")
-    return wide.withColumns({"dq_errors": flags(error_rules()), "dq_warnings": flags(warning_rules())})
+    return wide.withColumns({"dq_errors": flags(error_rules(chars=F.col("text_chars"))), "dq_warnings": flags(warning_rules())})
+
+
+def with_texts(found: DataFrame, rows: DataFrame, order: Column | None = None) -> DataFrame:
+    """Postings with ``raw_text`` in place of ``text_version``: one text of each posting is moved, whatever the days it was seen.
+
+    Rows that agree in the whole order can't be told apart; of these the greatest text counts.
+    """
+    order = order if order is not None else recency()
+    full = rows.where(~F.col("fetch_mode").eqNullSafe("seen") & F.col("raw_text").isNotNull()).select(F.col("job_key").alias("__key"), order.alias("__version"), "raw_text")
+    wanted = found.where("text_chars IS NOT NULL").select("job_key", "text_version")
+    texts = full.join(wanted, (F.col("__key") == F.col("job_key")) & (F.col("__version") == F.col("text_version")), "left_semi").groupBy("__key").agg(F.max("raw_text").alias("raw_text"))
+    return found.join(texts, F.col("job_key") == F.col("__key"), "left").drop("__key", "text_version")
 
 
 def clean(all_postings: DataFrame) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from snaplake.functions.text import canonical_terms
+
 # Weights and thresholds of the score.
 WEIGHTS = {"must": 0.55, "nice": 0.15, "years": 0.15, "location": 0.10, "domain": 0.05}
 APPLY, STRETCH, MIN_YEARS = 70, 50, 0.6
@@ -63,18 +65,20 @@ def rounded(x: Column, places: int) -> Column:
 
 
 def fit(skills: DataFrame, meta: DataFrame, profile: Profile) -> DataFrame:
-    """Score, recommendation, parts and skill lists of each posting of ``skills`` (``job_key, requirement, skill``, distinct).
+    """Score, recommendation, parts and skill lists of each posting of ``skills`` (``job_key, requirement, skill, place``, distinct by the first three).
 
-    ``meta``: ``job_key, years_min, location, work_mode, domain``.  One grouping by posting; no row leaves the JVM.
+    Lists keep the order of ``place``, must before nice; a covered skill of both is matched twice.  ``meta``: ``job_key, years_min, location,
+    work_mode, domain``.  One grouping by posting; no row leaves the JVM.
     """
     is_must, ok = F.col("requirement") == "must", covered("skill", profile.have, profile.equivalent)
+    in_order = lambda which: F.transform(F.sort_array(F.collect_list(F.when(which, F.struct(~is_must, "place", "skill")))), lambda s: s["skill"])
     n = skills.groupBy("job_key").agg(
         F.count_if(is_must).alias("must_all"),
         F.count_if(is_must & ok).alias("must_ok"),
         F.count_if(~is_must).alias("nice_all"),
         F.count_if(~is_must & ok).alias("nice_ok"),
-        F.sort_array(F.collect_list(F.when(ok, F.col("skill")))).alias("matched"),
-        F.sort_array(F.collect_list(F.when(is_must & ~ok, F.col("skill")))).alias("missing"),
+        in_order(ok).alias("matched"),
+        in_order(is_must & ~ok).alias("missing"),
     )
     rows = n.join(meta, "job_key")
     part = lambda kind: F.col(f"{kind}_ok") / F.nullif(F.col(f"{kind}_all"), F.lit(0))
@@ -93,6 +97,12 @@ def fit(skills: DataFrame, meta: DataFrame, profile: Profile) -> DataFrame:
     return rows.select("job_key", "fit_score", verdict.alias("recommendation"), rounded(F.col("must_part"), 3).alias("must_coverage"), rounded(F.col("nice_part"), 3).alias("nice_coverage"), "years_part", "location_part", "domain_part", F.col("matched").alias("matched_skills"), F.col("missing").alias("missing_skills"), gaps.alias("learning_gaps"))
 
 
+def canonical_skills(phrases: DataFrame, vocabulary: Sequence[str], aliases: Mapping[str, str]) -> DataFrame:
+    """``job_key, requirement, skill, place`` from rows ``job_key, requirement, place, phrase``: the known names in each posting's phrases, each once, where first seen."""
+    found = canonical_terms(phrases, "phrase", vocabulary, aliases).select("job_key", "requirement", "place", F.posexplode("terms").alias("within", "skill"))
+    return found.groupBy("job_key", "requirement", "skill").agg(F.min(F.struct("place", "within")).alias("place"))
+
+
 def demand_rows(skills: DataFrame, profile: Profile) -> DataFrame:
     """Demand with what the profile says of each skill."""
     return skills.select("job_key", "skill", "requirement", covered("skill", profile.have, profile.equivalent).alias("in_profile"), F.col("skill").isin(list(profile.learning)).alias("on_learning_list"), F.col("skill").isin(list(profile.vocabulary)).alias("known_skill"))
@@ -105,7 +115,7 @@ def skill_counts(demand: DataFrame) -> DataFrame:
 
 
 def actions(counts: DataFrame, profile: Profile) -> DataFrame:
-    """An action for each skill.  ``counts`` has a row per skill, so ranking the shown ones is a small job."""
+    """An action for each skill, the most useful first.  ``counts`` has a row per skill, so ranking the shown ones is a small job."""
     have, shown = covered("skill", profile.have, profile.equivalent), covered("skill", profile.shown, profile.equivalent)
     ranked = counts.where(have & shown).orderBy(F.desc("must_postings"), F.desc("all_postings"), "skill").limit(LEAD).select(F.col("skill").alias("lead"))
     rows = counts.join(F.broadcast(ranked), F.col("skill") == F.col("lead"), "left")
@@ -120,9 +130,11 @@ def actions(counts: DataFrame, profile: Profile) -> DataFrame:
     status = F.when(have, "Have it").when(F.col("skill").isin(list(profile.learning)), "Learning").otherwise("Gap")
     rows = rows.withColumn("priority", priority)
     label = F.element_at(F.create_map(*[F.lit(x) for kv in ACTIONS.items() for x in kv]), F.col("priority"))
-    return rows.select("skill", "must_postings", "all_postings", status.alias("status"), label.alias("action"), "priority")
+    rows = rows.select("skill", "must_postings", "all_postings", status.alias("status"), label.alias("action"), "priority")
+    return rows.orderBy("priority", F.desc("must_postings"), F.desc("all_postings"), "skill")
 
 
 def leads(counts: DataFrame, k: int = LEAD) -> DataFrame:
-    rank = F.row_number().over(Window.orderBy(F.desc("must_postings"), F.desc("all_postings"), "skill"))
-    return counts.withColumn("lead", rank <= k)
+    """``counts`` with ``lead``: whether a skill is among the first ``k``, which alone are sent around."""
+    first = counts.orderBy(F.desc("must_postings"), F.desc("all_postings"), "skill").limit(k).select(F.col("skill").alias("__skill"))
+    return counts.join(F.broadcast(first), F.col("skill") == F.col("__skill"), "left").withColumn("lead", F.col("__skill").isNotNull()).drop("__skill")

@@ -1,14 +1,15 @@
 """Keyed changes to plain tables: every function returns the new version of the target.
 
 Write the result to a new path and publish that (:func:`publish`); never overwrite what is being read.
-Changes must have one row per key; :func:`one_per_key` picks the newest.
+Changes must have one row per key, or the write fails; :func:`one_per_key` picks the newest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -18,15 +19,18 @@ def one_per_key(changes: DataFrame, key: str, *order: Column) -> DataFrame:
 
 
 def assert_unique(changes: DataFrame, key: str) -> DataFrame:
-    """``changes``, or an error that names a repeated key."""
-    twice = changes.groupBy(key).count().where("count > 1").first()
-    if twice is not None:
-        raise ValueError(f"{key} {twice[key]!r} occurs {twice['count']} times")
-    return changes
+    """``changes``; where a key repeats, the job that reads them fails and names it.
+
+    The count is dealt by the key, as the join that follows is, so it costs no shuffle of its own.
+    """
+    n = F.count("*").over(Window.partitionBy(key))
+    once = F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit(f"{key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(" occurs more than once"))).cast("boolean")).otherwise(True)
+    return changes.withColumn("__n", n).where(once).drop("__n")
 
 
 def upsert_all(target: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Changed rows replace, new rows join."""
+    changes = assert_unique(changes, key)
     return target.join(changes.select(key), key, "left_anti").unionByName(changes)
 
 
@@ -41,7 +45,7 @@ def upsert_guarded(target: DataFrame, changes: DataFrame, key: str, guard: Colum
     ``guard`` reads the target's columns.  Without ``inserts`` new keys are left out.
     """
     old = target.withColumn("__allowed", guard).withColumn("__old", F.lit(True))
-    new = changes.select(F.col(key), *[F.col(c).alias(f"__new_{c}") for c in changes.columns if c != key], F.lit(True).alias("__new"))
+    new = assert_unique(changes, key).select(F.col(key), *[F.col(c).alias(f"__new_{c}") for c in changes.columns if c != key], F.lit(True).alias("__new"))
     both = old.join(new, key, "full" if inserts else "left")
     insert = insert or {}
 
@@ -65,7 +69,7 @@ def update_matching(target: DataFrame, changes: DataFrame, on: Column, order: li
 
 def transition(target: DataFrame, changes: DataFrame, key: str, now: Column, final: str = "APPLIED") -> DataFrame:
     """Apply status changes: a missing note keeps the old one, and the time of ``final`` is set once."""
-    new = changes.select(key, F.col("status").alias("__status"), F.col("note").alias("__note"))
+    new = assert_unique(changes, key).select(key, F.col("status").alias("__status"), F.col("note").alias("__note"))
     met = target.join(new, key, "left")
     first = (F.col("__status") == final) & F.col("applied_at").isNull()
     columns = {"status": F.coalesce("__status", "status"), "note": F.coalesce("__note", "note"), "applied_at": F.when(first, now).otherwise(F.col("applied_at"))}
@@ -93,18 +97,33 @@ def append_log(rows: DataFrame, name: str) -> None:
     rows.write.mode("append").saveAsTable(name)
 
 
+POINTER = "seq long, version string, form string"
+
+
 def publish(rows: DataFrame, root: str, version: str, form: str = "parquet") -> str:
     """Write a version beside the others, then point to it.
 
-    The pointer is a one-row table that is replaced after the version is whole, so a reader sees the old or the new.
+    The pointer is a log of one-row files, numbered in the order of publication, and is written after the version is whole, so a
+    reader sees the old or the new.  One writer publishes at a time.
     """
-    path = f"{root.rstrip('/')}/versions/{version}"
+    root, spark = root.rstrip("/"), rows.sparkSession
+    path = f"{root}/versions/{version}"
     rows.write.mode("errorifexists").format(form).save(path)
-    rows.sparkSession.createDataFrame([(version, form)], "version string, form string").coalesce(1).write.mode("append").json(f"{root.rstrip('/')}/pointer")
+    try:
+        last = _last(spark, root)["seq"]
+    except AnalysisException:  # nothing is published yet
+        last = 0
+    spark.createDataFrame([(last + 1, version, form)], POINTER).coalesce(1).write.mode("append").json(f"{root}/pointer")
     return path
 
 
-def published(spark: SparkSession, root: str) -> DataFrame:
-    """The latest published version; versions are ordered by name."""
-    last = spark.read.schema("version string, form string").json(f"{root.rstrip('/')}/pointer").orderBy(F.desc("version")).first()
-    return spark.read.format(last["form"]).load(f"{root.rstrip('/')}/versions/{last['version']}")
+def _last(spark: SparkSession, root: str) -> Row:
+    return spark.read.schema(POINTER).json(f"{root}/pointer").orderBy(F.desc("seq")).first()
+
+
+def published(spark: SparkSession, root: str, schema: str | None = None) -> DataFrame:
+    """The version published last, whatever its name; ``schema`` keeps columns that JSON leaves out where they are null."""
+    root = root.rstrip("/")
+    last = _last(spark, root)
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.format(last["form"]).load(f"{root}/versions/{last['version']}")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snaplake.functions.text import inflated, numbers
+from snaplake.functions.text import inflated, mentioned, numbers, pieces, with_alias
 
 MAX_BULLET, MAX_HEADLINE = 260, 110
 # Words of rank.
@@ -22,27 +22,24 @@ def problems(*found: Column) -> Column:
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def words_of(column: str, known: Sequence[str]) -> Column:
-    """Known single-word terms in a text."""
-    return F.array_intersect(F.filter(F.split(F.lower(F.coalesce(column, F.lit(""))), "[^a-z0-9]+"), lambda w: w != ""), F.array(*map(F.lit, known)))
-
-
-def check_texts(rows: DataFrame, text: str, source: str, tools: Sequence[str], most: int = MAX_BULLET) -> DataFrame:
+def check_texts(rows: DataFrame, text: str, source: str, tools: Mapping[str, str], most: int = MAX_BULLET, tags: str | None = None) -> DataFrame:
     """``rows`` with ``problems`` and ``final``: a text with new numbers or tools, without content or too long gives way to its source.
 
-    A row whose source is null names an unknown source and has no final text.
+    ``tools`` maps spellings, of one word or several, to names.  Tools that the source mentions or that are listed in its ``tags`` (a
+    column of arrays of tidy names) are not new.  A row whose source is null names an unknown source and has no final text.
     """
-    t = F.btrim(F.coalesce(text, F.lit("")))
-    rows = rows.withColumn("__t", t)
+    rows = rows.withColumn("__t", F.btrim(F.coalesce(text, F.lit(""))))
+    rows = rows.withColumns({"__a": pieces("__t"), "__b": pieces(F.coalesce(source, F.lit("")))})
+    allowed = mentioned("__b", tools) if tags is None else F.array_union(mentioned("__b", tools), F.coalesce(F.transform(tags, lambda t: with_alias(t, tools)), F.array().cast("array<string>")))
     found = problems(
         F.when(F.col(source).isNull(), F.lit("unknown source")),
         F.when(F.col("__t") == "", F.lit("empty text")),
         _problem("new numbers", F.array_except(numbers("__t"), numbers(F.coalesce(source, F.lit(""))))),
-        _problem("new tools", F.array_except(words_of("__t", tools), words_of(source, tools))),
+        _problem("new tools", F.array_except(mentioned("__a", tools), allowed)),
         F.when(F.length("__t") > most, F.lit("too long")),
     )
     rows = rows.withColumn("problems", found)
-    return rows.withColumn("final", F.when(F.size("problems") > 0, F.col(source)).otherwise(F.col("__t"))).drop("__t")
+    return rows.withColumn("final", F.when(F.size("problems") > 0, F.col(source)).otherwise(F.col("__t"))).drop("__t", "__a", "__b")
 
 
 def check_headlines(rows: DataFrame, headline: str, titles: str, most: int = MAX_HEADLINE) -> DataFrame:

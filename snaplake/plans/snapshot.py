@@ -61,7 +61,7 @@ def roles(market: DataFrame, k: int = 15) -> DataFrame:
 def top_members(rows: DataFrame, member: str, key: str, k: int) -> DataFrame:
     """Rows of the ``k`` members that most distinct keys have."""
     best = rows.groupBy(member).agg(F.count_distinct(key).alias("n")).orderBy(F.desc("n"), member).limit(k).select(member)
-    return rows.join(F.broadcast(best), member, "left_semi")
+    return rows.join(best, member, "left_semi")
 
 
 def export(results: Mapping[str, DataFrame], gate: DataFrame, root: str, version: str) -> dict[str, str]:

@@ -10,8 +10,9 @@ from snaplake.operators import enrich as e
 from snaplake.queries.registry import Source, query, text_dates
 
 VERSION, MODEL = "v1", "m1"
+INSTRUCTION = "Name the requirements of this text; leave out what it does not say.\n\n"
 NOW = "d AS (SELECT doc_id AS job_key, text, sha256(text) AS text_hash FROM {documents})"
-STORED = "st AS (SELECT job_key, CASE WHEN job_key % 4 = 2 THEN 'old' ELSE text_hash END AS text_hash, 'v1' AS prompt_version, CASE WHEN job_key % 8 = 1 THEN 'm0' ELSE 'm1' END AS llm_model FROM d WHERE job_key % 4 < 3)"
+STORED = "st AS (SELECT job_key, CASE WHEN job_key % 4 = 2 THEN 'old' ELSE text_hash END AS text_hash, CASE WHEN job_key % 12 = 4 THEN 'v0' ELSE 'v1' END AS prompt_version, CASE WHEN job_key % 8 = 1 THEN 'm0' ELSE 'm1' END AS llm_model FROM d WHERE job_key % 4 < 3)"
 FAILED = "gu AS (SELECT job_key, text_hash FROM d WHERE job_key % 4 = 3 AND job_key % 5 = 0)"
 
 
@@ -21,17 +22,17 @@ def _texts(s: Source):
 
 def _candidates(s: Source):
     d, k = _texts(s), F.col("job_key")
-    done = d.where(k % 4 < 3).select("job_key", F.when(k % 4 == 2, "old").otherwise(F.col("text_hash")).alias("text_hash"), F.lit(VERSION).alias("prompt_version"), F.when(k % 8 == 1, "m0").otherwise(MODEL).alias("llm_model"))
+    done = d.where(k % 4 < 3).select("job_key", F.when(k % 4 == 2, "old").otherwise(F.col("text_hash")).alias("text_hash"), F.when(k % 12 == 4, "v0").otherwise(VERSION).alias("prompt_version"), F.when(k % 8 == 1, "m0").otherwise(MODEL).alias("llm_model"))
     log = d.where((k % 4 == 3) & (k % 5 < 2)).select("job_key", "text_hash", F.lit(VERSION).alias("prompt_version"), F.lit(MODEL).alias("llm_model"), F.explode(F.sequence(F.lit(1), F.when(k % 5 == 0, 3).otherwise(2))).alias("n"))
     return e.candidates(d, done, e.gave_up(log, VERSION, MODEL), VERSION, MODEL)
 
 
-@query("extract_candidates", f"WITH {NOW}, {STORED}, {FAILED} SELECT d.job_key, d.text_hash, CASE WHEN st.job_key IS NULL THEN 'new' WHEN st.text_hash <> d.text_hash THEN 'text_changed' ELSE 'model_changed' END AS reason, gu.job_key IS NOT NULL AS given_up FROM d LEFT JOIN st USING (job_key) LEFT JOIN gu ON d.job_key = gu.job_key AND d.text_hash = gu.text_hash WHERE st.job_key IS NULL OR st.text_hash <> d.text_hash OR st.llm_model <> 'm1'")
+@query("extract_candidates", f"WITH {NOW}, {STORED}, {FAILED} SELECT d.job_key, d.text_hash, CASE WHEN st.job_key IS NULL THEN 'new' WHEN st.text_hash <> d.text_hash THEN 'text_changed' WHEN st.prompt_version <> 'v1' THEN 'prompt_changed' ELSE 'model_changed' END AS reason, gu.job_key IS NOT NULL AS given_up FROM d LEFT JOIN st USING (job_key) LEFT JOIN gu ON d.job_key = gu.job_key AND d.text_hash = gu.text_hash WHERE st.job_key IS NULL OR st.text_hash <> d.text_hash OR st.prompt_version <> 'v1' OR st.llm_model <> 'm1'")
 def _(s: Source):
     return _candidates(s)
 
 
-@query("priority_batch", f"WITH {NOW}, {STORED}, {FAILED}, x AS (SELECT d.job_key, CASE WHEN st.job_key IS NULL THEN 'new' WHEN st.text_hash <> d.text_hash THEN 'text_changed' ELSE 'model_changed' END AS reason FROM d LEFT JOIN st USING (job_key) WHERE (st.job_key IS NULL OR st.text_hash <> d.text_hash OR st.llm_model <> 'm1') AND d.job_key NOT IN (SELECT job_key FROM gu)) SELECT * FROM x ORDER BY reason = 'new' DESC, job_key DESC LIMIT 150")
+@query("priority_batch", f"WITH {NOW}, {STORED}, {FAILED}, x AS (SELECT d.job_key, CASE WHEN st.job_key IS NULL THEN 'new' WHEN st.text_hash <> d.text_hash THEN 'text_changed' WHEN st.prompt_version <> 'v1' THEN 'prompt_changed' ELSE 'model_changed' END AS reason FROM d LEFT JOIN st USING (job_key) WHERE (st.job_key IS NULL OR st.text_hash <> d.text_hash OR st.prompt_version <> 'v1' OR st.llm_model <> 'm1') AND d.job_key NOT IN (SELECT job_key FROM gu)) SELECT * FROM x ORDER BY reason = 'new' DESC, job_key DESC LIMIT 150")
 def _(s: Source):
     return e.batch_of(_candidates(s), 150, F.desc("job_key")).select("job_key", "reason")
 
@@ -48,7 +49,7 @@ def arithmetic_model(text: str) -> str | None:
 
 
 def _replies(s: Source):
-    rows = _texts(s).select("job_key", "text_hash", F.concat(F.col("job_key").cast("string"), F.lit(":"), e.prompt("", "raw_text", 50)).alias("prompt"))
+    rows = _texts(s).select("job_key", "text_hash", F.concat(F.col("job_key").cast("string"), F.lit(":"), e.prompt(INSTRUCTION, "raw_text")).alias("prompt"))
     return e.infer(rows, "prompt", arithmetic_model, "enrichment")
 
 

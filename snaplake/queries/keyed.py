@@ -56,14 +56,14 @@ def _(s: Source):
     return u.update_matching(leads, seen, F.rtrim("url", F.lit("/")), [F.desc("found")], F.col("status") == "NEEDS_JD", {"status": "state", "job": "found"})
 
 
-@query("published_version", "SELECT n_nationkey, n_name FROM {nation}")
+@query("published_version", "SELECT o_orderkey, o_orderstatus FROM {orders}")
 def _(s: Source):
     from snaplake.storage import new_path
 
     root = new_path(s.spark, "published")
-    rows = s["nation"].select("n_nationkey", "n_name")
-    u.publish(rows.where("n_nationkey < 5"), root, "v1")
-    u.publish(rows, root, "v2")
+    rows = s["orders"].select("o_orderkey", "o_orderstatus")
+    u.publish(rows.where("o_orderstatus = 'O'"), root, "v9")
+    u.publish(rows, root, "v10")
     return u.published(s.spark, root)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,3 +51,63 @@ def _(s: Source):
     body = F.to_json(F.struct(F.array(F.struct(F.col("page_id").alias("id"), F.concat(F.lit(" Page "), "page_id").alias("title"), F.struct(F.lit("Pune").alias("name")).alias("location"), F.col("url").alias("absolute_url"), F.col("html").alias("content"))).alias("jobs")))
     raw = s["pages"].select(F.concat(F.lit("c"), F.col("page_id") % 10).alias("company"), body.alias("body"))
     return payloads.normalise(raw, payloads.GREENHOUSE).select("job_key", "source_id", "url", "title", "location")
+
+
+# responses of each vendor shape over documents: plain signs, escaped markup, dates in the vendor's form
+DAY_OF = "CAST(DATE '2026-01-01' + CAST(doc_id % 300 AS INTEGER) AS VARCHAR)"
+KEY_OF = "substr(sha1(lower(concat('{source}|c', doc_id % 10, '|', doc_id))), 1, 16) AS job_key"
+
+
+def _responses(s: Source, body) -> DataFrame:
+    docs = s["documents"].select("doc_id", F.concat(F.lit("n"), F.length("text").cast("string")).alias("n"), F.date_add(F.lit("2026-01-01").cast("date"), (F.col("doc_id") % 300).cast("int")).alias("day"))
+    return docs.select(F.concat(F.lit("c"), F.col("doc_id") % 10).alias("company"), F.lit("h.example").alias("host"), F.lit("S1").alias("site"), F.to_json(body).alias("body"))
+
+
+def _record_sql(source: str, location: str, text: str, posted: str, url: str) -> str:
+    return f"SELECT {KEY_OF.format(source=source)}, CAST(doc_id AS VARCHAR) AS source_id, concat('T', doc_id) AS title, {location} AS location, {text} AS raw_text, {posted} AS posted_at, {url} AS url, 'full' AS fetch_mode FROM (SELECT doc_id, concat('n', length(text)) AS n FROM {{documents}})"
+
+
+def _records(raw: DataFrame, shape: payloads.Shape) -> DataFrame:
+    return payloads.normalise(raw, shape).select("job_key", "source_id", "title", "location", "raw_text", "posted_at", "url", "fetch_mode")
+
+
+def _named(**fields) -> F.Column:
+    return F.struct(*[(c if isinstance(c, F.Column) else F.lit(c)).alias(k) for k, c in fields.items()])
+
+
+MARKUP = "&lt;p&gt;a &amp;amp; b&lt;/p&gt;"
+
+
+@query("payload_lever", _record_sql("lever", "'Pune'", "concat('x < 5, > 3 ', n, chr(10), 'Need', chr(10), '- one', chr(10), '- two', chr(10), 'y &amp; z')", f"concat({DAY_OF}, 'T00:00:00+00:00')", "'u'"))
+def _(s: Source):
+    millis = F.unix_timestamp(F.col("day").cast("timestamp")) * 1000
+    lists = F.array(_named(text="Need", content="&lt;li&gt;one&lt;/li&gt;<li>two</li>"))
+    item = _named(id=F.col("doc_id").cast("string"), text=F.concat(F.lit("T"), "doc_id"), categories=_named(location="Pune"), hostedUrl="u", descriptionPlain=F.concat(F.lit("x < 5, > 3 "), "n"), lists=lists, additionalPlain="y &amp; z", createdAt=millis)
+    return _records(_responses(s, F.array(item)), payloads.LEVER)
+
+
+@query("payload_workday", _record_sql("workday", "CASE WHEN doc_id % 2 = 0 THEN 'Pune, India' ELSE 'Remote - India' END", "concat('a & b', chr(10), ' ', n)", DAY_OF, "'u'"))
+def _(s: Source):
+    place = F.when(F.col("doc_id") % 2 == 0, "Pune").otherwise("Remote - India")
+    info = _named(title=F.concat(F.lit(" T"), "doc_id"), jobDescription=F.concat(F.lit(MARKUP), F.lit("<p>"), "n", F.lit("</p>")), location=place, startDate=F.col("day").cast("string"), jobReqId=F.col("doc_id").cast("string"), externalUrl="u", country=_named(descriptor="India"))
+    return _records(_responses(s, _named(jobPostingInfo=info)), payloads.WORKDAY)
+
+
+@query("payload_amazon", _record_sql("amazon", "CASE WHEN doc_id % 2 = 0 THEN 'Pune, India' ELSE 'Pune, INDIA' END", "concat('a & b', chr(10), n, chr(10), 'q')", DAY_OF, "concat('https://www.amazon.jobs/j/', doc_id)"))
+def _(s: Source):
+    where = F.when(F.col("doc_id") % 2 == 0, "Pune, IND").otherwise("Pune, INDIA")
+    job = _named(id_icims=F.col("doc_id").cast("string"), title=F.concat(F.lit("T"), "doc_id"), normalized_location=where, city="Pune", country_code="IND", description=MARKUP, basic_qualifications=F.col("n"), preferred_qualifications="<b>q</b>", job_path=F.concat(F.lit("/j/"), "doc_id"), posted_date=F.date_format("day", "MMMM  d, yyyy"))
+    return _records(_responses(s, _named(jobs=F.array(job))), payloads.AMAZON)
+
+
+@query("payload_eightfold", _record_sql("eightfold", "'Pune, India'", "concat('a & b', chr(10), ' ', n)", DAY_OF, "'u'"))
+def _(s: Source):
+    own = F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")).otherwise("")
+    body = _named(id=F.col("doc_id"), name=F.concat(F.lit("T"), "doc_id"), location="Pune,India", t_create=F.unix_timestamp(F.col("day").cast("timestamp")), ats_job_id=own, canonicalPositionUrl="u", job_description=F.concat(F.lit(MARKUP), F.lit("<p>"), "n", F.lit("</p>")))
+    return _records(_responses(s, body), payloads.EIGHTFOLD)
+
+
+@query("payload_oracle", _record_sql("oracle", "'Pune'", "concat('a & b', chr(10), n)", DAY_OF, "concat('https://h.example/hcmUI/CandidateExperience/en/sites/S1/job/', doc_id)"))
+def _(s: Source):
+    item = _named(Id=F.col("doc_id").cast("string"), Title=F.concat(F.lit("T"), "doc_id"), PrimaryLocation="Pune", ExternalPostedStartDate=F.concat(F.col("day").cast("string"), F.lit("T10:00:00+00:00")), ExternalDescriptionStr=MARKUP, ExternalResponsibilitiesStr=F.col("n"))
+    return _records(_responses(s, _named(items=F.array(item, item))), payloads.ORACLE)

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from snaplake.operators import enrich
 from snaplake.operators import fetch_state as fs
 from snaplake.operators import lifecycle as lc
 from snaplake.operators import rules
 from snaplake.plans import quality_gate as gate
+from snaplake.operators.upsert import published
 from snaplake.queries.registry import Source, query, text_dates
+from snaplake.storage import new_path
 
 ORDER = "loaded_at DESC, snapshot_day DESC, seq DESC"
 V = f"v AS (SELECT * FROM {{snap}} QUALIFY row_number() OVER (PARTITION BY job_key ORDER BY {ORDER}) = 1)"
@@ -52,12 +55,12 @@ def _(s: Source):
 
 @query("silver_all", f"WITH {ALL} SELECT {SHOW} FROM allp")
 def _(s: Source):
-    return text_dates(lc.postings(s["snap"]))
+    return text_dates(lc.with_texts(lc.postings(s["snap"]), s["snap"]).drop("text_chars"))
 
 
 @query("dq_clean", f"WITH {ALL} SELECT {SHOW} FROM good")
 def _(s: Source):
-    return text_dates(lc.clean(lc.postings(s["snap"])))
+    return text_dates(lc.with_texts(lc.clean(lc.postings(s["snap"])), s["snap"]).drop("text_chars"))
 
 
 @query("dq_quarantine", f"WITH {ALL} SELECT job_key, source, company, title, url, CAST(first_seen AS VARCHAR) AS first_seen, CAST(last_seen AS VARCHAR) AS last_seen, array_to_string(dq_errors, ', ') AS reason, array_to_string(dq_errors, '|') AS dq_errors FROM allp WHERE len(dq_errors) > 0")
@@ -107,29 +110,40 @@ def daily_activity(s: Source):
     return text_dates(lc.daily_activity(s["snap"], lc.clean(lc.postings(s["snap"]))))
 
 
-STATE = f"""r AS (SELECT *, concat('r-', job_key) AS list_ref FROM {{snap}} WHERE source <> 'manual'),
+STATE = f"""r AS (SELECT *, concat('r-', job_key) AS list_ref, concat('s', seq % 3) AS source_id FROM {{snap}} WHERE source IN ('workday', 'oracle') AND seq % 13 > 0),
 k AS (SELECT job_key, source, company, list_ref, max(snapshot_day) AS last_seen, max(snapshot_day) FILTER (fetch_mode IS DISTINCT FROM 'seen') AS last_full FROM r GROUP BY ALL),
 z AS (SELECT * FROM r WHERE fetch_mode IS DISTINCT FROM 'seen' QUALIFY row_number() OVER (PARTITION BY job_key, source, company, list_ref ORDER BY {ORDER}) = 1),
-state AS (SELECT k.job_key, k.source, k.company, k.list_ref, z.title, z.location, z.url, z.posted_at, last_seen, last_full FROM k JOIN z USING (job_key, source, company, list_ref)
+state AS (SELECT k.job_key, k.source, k.company, k.list_ref, z.source_id, z.title, z.location, z.url, z.posted_at, last_seen, last_full FROM k JOIN z USING (job_key, source, company, list_ref)
   WHERE last_full IS NOT NULL AND last_seen >= (SELECT max(CAST(ts AS DATE)) FROM {{events}}) - INTERVAL 14 DAY)"""
 
 
 def _state(s: Source):
-    rows = s["snap"].withColumn("list_ref", F.concat(F.lit("r-"), "job_key"))
+    rows = s["snap"].withColumns({"list_ref": F.when(F.col("seq") % 13 > 0, F.concat(F.lit("r-"), "job_key")), "source_id": F.concat(F.lit("s"), F.col("seq") % 3)})
     return fs.fetch_state(rows, s.as_of())
 
 
-@query("fetch_state", f"WITH {STATE} SELECT job_key, source, company, list_ref, title, location, url, posted_at, CAST(last_seen AS VARCHAR) AS last_seen, CAST(last_full AS VARCHAR) AS last_full FROM state")
+STATE_SQL = f"WITH {STATE} SELECT job_key, source, company, list_ref, source_id, title, location, url, posted_at, CAST(last_seen AS VARCHAR) AS last_seen, CAST(last_full AS VARCHAR) AS last_full FROM state"
+
+
+@query("fetch_state", STATE_SQL)
 def _(s: Source):
     return text_dates(_state(s))
 
 
+@query("exported_state", STATE_SQL)
+def _(s: Source):
+    root = new_path(s.spark, "fetch-state")
+    fs.export_state(text_dates(_state(s)), root, new_path(s.spark, "landing"), "day-9")
+    fs.export_state(text_dates(_state(s)), root, new_path(s.spark, "landing"), "day-10")
+    return published(s.spark, root, "job_key string, source string, company string, list_ref string, source_id string, title string, location string, url string, posted_at string, last_seen string, last_full string")
+
+
 @query("fetch_plan", f"""WITH {STATE}, i AS (SELECT DISTINCT source, company, concat('r-', job_key) AS list_ref FROM {{snap}} WHERE source <> 'manual'),
-j AS (SELECT i.*, s.title, s.location, s.url, s.posted_at, coalesce(date_diff('day', s.last_full, (SELECT max(CAST(ts AS DATE)) FROM {{events}})) < CASE WHEN i.source = 'lever' THEN 3 ELSE 7 END, false) AS young FROM i LEFT JOIN state s USING (source, company, list_ref))
+j AS (SELECT i.*, s.title, s.location, s.url, s.posted_at, coalesce(date_diff('day', s.last_full, (SELECT max(CAST(ts AS DATE)) FROM {{events}})) < CASE WHEN i.source = 'oracle' THEN 3 ELSE 7 END, false) AS young FROM i LEFT JOIN state s USING (source, company, list_ref))
 SELECT source, company, list_ref, CASE WHEN young THEN 'seen' ELSE 'fetch' END AS fetch_mode, CASE WHEN young THEN title END AS title, CASE WHEN young THEN location END AS location, CASE WHEN young THEN url END AS url, CASE WHEN young THEN posted_at END AS posted_at, CAST(NULL AS VARCHAR) AS raw_text FROM j""")
 def _(s: Source):
     listing = s["snap"].where("source <> 'manual'").select("source", "company", F.concat(F.lit("r-"), "job_key").alias("list_ref")).distinct()
-    boards = s.spark.createDataFrame([("lever", f"c{i}", 3) for i in range(12)], "source string, company string, refresh_days int")
+    boards = s.spark.createDataFrame([("oracle", f"c{i}", 3) for i in range(12)], "source string, company string, refresh_days int")
     return fs.fetch_plan(listing, _state(s), s.as_of(), 7, boards)
 
 
@@ -184,13 +198,16 @@ def _(s: Source):
 
 @query("quality_checks", f"""WITH {ALL}, a AS (SELECT max(CAST(ts AS DATE)) AS as_of FROM {{events}}),
 gu AS (SELECT user_id FROM {{events}} WHERE event_type = 'error' GROUP BY user_id HAVING count(*) >= 3),
-c AS (SELECT 'fresh_board_snapshot_days' AS check_name, CAST(date_diff('day', (SELECT max(snapshot_day) FROM {{snap}} WHERE source <> 'manual'), (SELECT as_of FROM a)) AS DOUBLE) AS value, 2.0 AS threshold, true AS blocking
-UNION ALL SELECT 'quarantine_rate', count(*) FILTER (len(dq_errors) > 0) / count(*), 0.25, true FROM allp UNION ALL SELECT 'warning_rate', count(*) FILTER (len(dq_warnings) > 0) / count(*), 0.25, false FROM allp
-UNION ALL SELECT 'enrichment_error_rate_24h', count(*) FILTER (event_type = 'error') / count(*), 0.2, true FROM {{events}} WHERE ts >= (SELECT as_of FROM a) - INTERVAL 1 DAY
-UNION ALL SELECT 'enrichment_given_up', CAST(count(*) AS DOUBLE), 0.0, false FROM gu
-UNION ALL SELECT 'open_postings_without_score', CAST(count(*) AS DOUBLE), 0.0, false FROM good WHERE is_open AND job_key NOT IN (SELECT job_key FROM {{facts}})
-UNION ALL SELECT 'duplicate_postings_in_silver', CAST(count(*) - count(DISTINCT job_key) AS DOUBLE), 0.0, true FROM good)
-SELECT check_name, value, CAST(threshold AS DOUBLE) AS threshold, value <= threshold AS passed, blocking FROM c""")
+ra AS (SELECT count(*) AS n, count(*) FILTER (len(dq_errors) > 0) AS bad FROM allp), rg AS (SELECT count(*) AS n, count(*) FILTER (len(dq_warnings) > 0) AS bad FROM good),
+re AS (SELECT count(*) AS n, count(*) FILTER (event_type = 'error') AS bad FROM {{events}} WHERE ts >= (SELECT as_of FROM a) - INTERVAL 1 DAY),
+c AS (SELECT 'fresh_board_snapshot_days' AS check_name, CAST(date_diff('day', (SELECT max(snapshot_day) FROM {{snap}} WHERE source <> 'manual'), (SELECT as_of FROM a)) AS DOUBLE) AS value, 2.0 AS threshold, true AS blocking, 'days since the latest board snapshot' AS detail
+UNION ALL SELECT 'quarantine_rate', bad / n, 0.25, true, concat(bad, ' of ', n, ' postings quarantined') FROM ra
+UNION ALL SELECT 'warning_rate', bad / n, 0.25, false, concat(bad, ' of ', n, ' clean postings have a warning') FROM rg
+UNION ALL SELECT 'enrichment_error_rate_24h', bad / n, 0.2, true, concat(bad, ' errors, ', n - bad, ' successes') FROM re
+UNION ALL SELECT 'enrichment_given_up', CAST(count(*) AS DOUBLE), 0.0, false, 'skipped after repeated failures' FROM gu
+UNION ALL SELECT 'open_postings_without_score', CAST(count(*) AS DOUBLE), 0.0, false, 'waiting for a score' FROM good WHERE is_open AND job_key NOT IN (SELECT job_key FROM {{facts}})
+UNION ALL SELECT 'duplicate_postings_in_silver', CAST(count(*) - count(DISTINCT job_key) AS DOUBLE), 0.0, true, 'should be none' FROM good)
+SELECT check_name, value, CAST(threshold AS DOUBLE) AS threshold, value <= threshold AS passed, blocking, detail FROM c""")
 def _(s: Source):
     every, as_of = lc.postings(s["snap"]), s.as_of()
     log = s["events"].where(F.col("ts") >= F.date_sub(as_of, 1)).select((F.col("event_type") == "error").alias("failed"))
@@ -198,9 +215,10 @@ def _(s: Source):
     return gate.run(gate.standard_checks(every, lc.clean(every), log, s["facts"], failed, s["snap"], as_of))
 
 
-@query("gave_up", "SELECT user_id, count(*) AS n FROM {events} WHERE event_type = 'error' GROUP BY user_id HAVING count(*) >= 3")
+@query("gave_up", "SELECT user_id AS job_key, concat('h', event_id % 2) AS text_hash FROM {events} WHERE event_type = 'error' AND event_id % 5 > 0 GROUP BY ALL HAVING count(*) >= 3")
 def _(s: Source):
-    return s["events"].where("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("n")).where("n >= 3")
+    log = s["events"].where("event_type = 'error'").select(F.col("user_id").alias("job_key"), F.concat(F.lit("h"), F.col("event_id") % 2).alias("text_hash"), F.when(F.col("event_id") % 5 > 0, "v1").otherwise("v0").alias("prompt_version"), F.lit("m1").alias("llm_model"))
+    return enrich.gave_up(log, "v1", "m1")
 
 
 @query("unscored", f"WITH {ALL} SELECT job_key, company FROM good WHERE is_open AND job_key NOT IN (SELECT job_key FROM {{facts}})")

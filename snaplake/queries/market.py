@@ -24,11 +24,11 @@ def _market_sql() -> str:
     groups = ", ".join(f"CASE WHEN regexp_matches(lower(f.domain), '{p}') THEN '{n}' END" for n, p in r.INDUSTRIES)
     blank = ", ".join(f"'{x}'" for x in r.NOT_STATED)
     return f"""{ALL}, today AS (SELECT max(CAST(ts AS DATE)) AS as_of FROM {{events}}),
-g2 AS (SELECT p.*, f.work_mode, f.years_min AS years_required, f.domain AS domain_detail, f.fit_score, f.recommendation, f.job_key IS NOT NULL AS is_enriched,
+g2 AS (SELECT p.*, f.work_mode, f.years_min AS years_required, f.domain AS domain_detail, f.cloud, f.must_have_skills, t.fit_score, t.recommendation, t.missing_skills, t.learning_gaps, t.matched_skills, f.job_key IS NOT NULL AND t.job_key IS NOT NULL AS is_enriched,
   {_cases("p.location", r.CITIES)} ELSE 'Other' END AS city,
   coalesce({_cases("f.seniority", r.LEVELS_STATED)} END, {_cases("p.title", r.LEVELS_IN_TITLE)} END, 'Not stated') AS seniority,
   list_filter([{groups}], lambda x: x IS NOT NULL) AS gs, date_diff('day', coalesce(p.posted_date, p.first_seen), as_of) AS days_since_posted
-  FROM good p LEFT JOIN {{facts}} f ON p.job_key = f.job_key CROSS JOIN today),
+  FROM good p LEFT JOIN {{facts}} f ON p.job_key = f.job_key LEFT JOIN {{fits}} t ON p.job_key = t.job_key CROSS JOIN today),
 big AS (SELECT company FROM good WHERE is_open GROUP BY company ORDER BY count(*) DESC, company LIMIT 1),
 market AS (SELECT g2.*, CASE WHEN len(gs) > 1 THEN 'Multiple industries' WHEN len(gs) = 1 THEN gs[1] WHEN regexp_matches(lower(domain_detail), '{r.TECHNOLOGY}') THEN 'Technology & software'
   WHEN domain_detail IS NULL OR trim(lower(domain_detail)) IN ({blank}) THEN 'Not stated' ELSE 'Other' END AS domain,
@@ -48,10 +48,10 @@ MEASURES = {
 
 
 def market(s: Source):
-    return mk.market_view(lc.clean(lc.postings(s["snap"])), s["facts"], s.as_of())
+    return mk.market_view(lc.clean(lc.postings(s["snap"])), s["facts"], s["fits"], s.as_of())
 
 
-@query("market_view", f"""WITH {MARKET} SELECT job_key, company, title, city, location, work_mode, seniority, years_required, domain, domain_detail, fit_score, recommendation, is_open, CAST(first_seen AS VARCHAR) AS first_seen, CAST(last_seen AS VARCHAR) AS last_seen,
+@query("market_view", f"""WITH {MARKET} SELECT job_key, company, title, city, location, work_mode, seniority, years_required, domain, domain_detail, array_to_string(cloud, '|') AS cloud, array_to_string(must_have_skills, '|') AS must_have_skills, fit_score, recommendation, array_to_string(missing_skills, '|') AS missing_skills, array_to_string(learning_gaps, '|') AS learning_gaps, array_to_string(matched_skills, '|') AS matched_skills, is_open, CAST(first_seen AS VARCHAR) AS first_seen, CAST(last_seen AS VARCHAR) AS last_seen,
   days_seen, source, url, is_enriched, CAST(posted_date AS VARCHAR) AS posted_date, days_since_posted, posting_age, CAST(last_full_fetch AS VARCHAR) AS last_full_fetch, from_largest_company FROM market""")
 def _(s: Source):
     return text_dates(market(s))
@@ -142,12 +142,12 @@ def _(s: Source):
     return snapshot.roles(market(s))
 
 
-@query("apply_list", f"""WITH {MARKET} SELECT job_key, company, title, city, round(fit_score) AS fit_score, CASE recommendation WHEN 'APPLY' THEN 'Apply' ELSE 'Worth a try' END AS fit_band, array_to_string(string_split(title, ' ')[1:6], ', ') AS highlight,
+@query("apply_list", f"""WITH {MARKET} SELECT job_key, company, title, city, round(fit_score) AS fit_score, CASE recommendation WHEN 'APPLY' THEN 'Apply' ELSE 'Worth a try' END AS fit_band, array_to_string(matched_skills[1:6], ', ') AS highlight,
   years_required, CAST(posted_date AS VARCHAR) AS posted_date, days_since_posted, url FROM market WHERE is_open AND recommendation IN ('APPLY', 'STRETCH') AND days_since_posted <= 30""")
 def _(s: Source):
     rows = market(s).where("is_open AND recommendation IN ('APPLY', 'STRETCH') AND days_since_posted <= 30").orderBy("recommendation", F.desc("fit_score"), F.desc("first_seen"), "job_key")
     band = F.when(F.col("recommendation") == "APPLY", "Apply").otherwise("Worth a try")
-    return text_dates(rows.select("job_key", "company", "title", "city", F.round("fit_score").alias("fit_score"), band.alias("fit_band"), F.array_join(F.slice(F.split("title", " "), 1, 6), ", ").alias("highlight"), "years_required", "posted_date", "days_since_posted", "url"))
+    return text_dates(rows.select("job_key", "company", "title", "city", F.round("fit_score").alias("fit_score"), band.alias("fit_band"), F.array_join(F.slice("matched_skills", 1, 6), ", ").alias("highlight"), "years_required", "posted_date", "days_since_posted", "url"))
 
 
 @query("ready_list", f"WITH {MARKET} SELECT job_key, company, city, fit_score, applied.n AS applications FROM market JOIN (SELECT concat('k', user_id, '-', event_id % 5) AS job_key, count(*) AS n FROM {{events}} WHERE event_type = 'purchase' GROUP BY 1) applied USING (job_key) WHERE is_open AND is_enriched")
@@ -188,8 +188,8 @@ def _(s: Source):
     return snapshot.skill_flags(rows, scoring.market_demand(s), {"tools": ["rod"], "parts": ["hot", "gear"]})
 
 
-@query("top20_members", f"WITH {scoring.DEMAND}, t AS (SELECT skill FROM demand WHERE requirement = 'must' GROUP BY skill ORDER BY count(DISTINCT job_key) DESC, skill LIMIT 5) SELECT job_key, skill, skill_status FROM demand WHERE requirement = 'must' AND skill IN (SELECT skill FROM t)")
+@query("top20_members", f"WITH {scoring.DEMAND}, t AS (SELECT skill FROM demand WHERE requirement = 'must' GROUP BY skill ORDER BY count(DISTINCT job_key) DESC, skill LIMIT 20) SELECT job_key, skill, skill_status FROM demand WHERE requirement = 'must' AND skill IN (SELECT skill FROM t)")
 def _(s: Source):
     rows = scoring.market_demand(s).where("requirement = 'must'")
     status = F.when(F.col("in_profile"), "Have it").when(F.col("on_learning_list"), "Learning").otherwise("Gap")
-    return snapshot.top_members(rows, "skill", "job_key", 5).select("job_key", "skill", status.alias("skill_status"))
+    return snapshot.top_members(rows, "skill", "job_key", 20).select("job_key", "skill", status.alias("skill_status"))

@@ -19,6 +19,7 @@ class Source:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._day = None
 
     def __getitem__(self, name: str) -> DataFrame:
         return fixtures.frame(self.spark, self.sf_dir, name)
@@ -27,8 +28,10 @@ class Source:
         return self["events"].agg(F.max(F.col("ts").cast("date")).alias("as_of"))
 
     def as_of(self) -> F.Column:
-        """The last day of the snapshots, which stands for today: one value, read once."""
-        return F.lit(self.latest_day().first()["as_of"])
+        """The last day of the snapshots, which stands for today: one value, read once a call of a query."""
+        if self._day is None:
+            self._day = self.latest_day().first()["as_of"]
+        return F.lit(self._day)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Callable[[Source], DataFrame]], Callable[[Source], DataFrame]]:

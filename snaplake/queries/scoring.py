@@ -84,9 +84,13 @@ _PLACES = " OR ".join(f"contains(place, '{p}')" for p in PROFILE.places)
 _DOMAINS = " OR ".join(f"contains(lower(domain), '{d}')" for d in PROFILE.domains)
 
 
-@query("fit_score", f"""WITH {ROWS}, n AS (SELECT job_key, count(*) FILTER (requirement = 'must') AS ma, count(*) FILTER (requirement = 'must' AND skill IN {HAVE}) AS mo, count(*) FILTER (requirement = 'nice') AS na, count(*) FILTER (requirement = 'nice' AND skill IN {HAVE}) AS no,
-  coalesce(string_agg(skill, '|' ORDER BY skill) FILTER (skill IN {HAVE}), '') AS matched_skills, coalesce(string_agg(skill, '|' ORDER BY skill) FILTER (requirement = 'must' AND skill NOT IN {HAVE}), '') AS missing_skills,
-  coalesce(string_agg(skill, '|' ORDER BY skill) FILTER (requirement = 'must' AND skill NOT IN {HAVE} AND skill IN {LEARN}), '') AS learning_gaps FROM rr GROUP BY job_key),
+# phrases to known names: every first word is one, so the words that are known are the names
+FOUND = f"rr AS (SELECT job_key, requirement, skill, min(line * 10 + i) AS place FROM (SELECT job_key, requirement, line, unnest([s1, s2]) AS skill, unnest([0, 1]) AS i FROM {{req}}) WHERE skill IN {KNOWN} GROUP BY job_key, requirement, skill)"
+
+
+@query("fit_score", f"""WITH {FOUND}, n AS (SELECT job_key, count(*) FILTER (requirement = 'must') AS ma, count(*) FILTER (requirement = 'must' AND skill IN {HAVE}) AS mo, count(*) FILTER (requirement = 'nice') AS na, count(*) FILTER (requirement = 'nice' AND skill IN {HAVE}) AS no,
+  coalesce(string_agg(skill, '|' ORDER BY requirement, place) FILTER (skill IN {HAVE}), '') AS matched_skills, coalesce(string_agg(skill, '|' ORDER BY place) FILTER (requirement = 'must' AND skill NOT IN {HAVE}), '') AS missing_skills,
+  coalesce(string_agg(skill, '|' ORDER BY place) FILTER (requirement = 'must' AND skill NOT IN {HAVE} AND skill IN {LEARN}), '') AS learning_gaps FROM rr GROUP BY job_key),
 m AS (SELECT n.*, domain, trim(lower(coalesce(location, ''))) AS place, coalesce(mo / nullif(ma, 0), no / nullif(na, 0), 0.5) AS must_part,
   CASE WHEN years_min IS NULL OR years_min - 5 <= 0 THEN 1.0 WHEN years_min - 5 <= 1 THEN 0.6 WHEN years_min - 5 <= 2 THEN 0.3 ELSE 0.0 END AS years_part FROM n JOIN {{reqmeta}} USING (job_key)),
 q AS (SELECT *, coalesce(no / nullif(na, 0), must_part) AS nice_part, CASE WHEN place = '' THEN 0.5 WHEN {_PLACES} THEN 1.0 ELSE 0.0 END AS location_part, CASE WHEN {_DOMAINS} THEN 1.0 ELSE 0.0 END AS domain_part FROM m),
@@ -94,7 +98,8 @@ z AS (SELECT *, CAST(round(CAST(100.0::DOUBLE * (0.55::DOUBLE * must_part + 0.15
 SELECT job_key, fit_score, CASE WHEN fit_score >= 70 AND years_part >= 0.6 AND location_part > 0 THEN 'APPLY' WHEN fit_score >= 50 THEN 'STRETCH' ELSE 'SKIP' END AS recommendation,
   CAST(round(CAST(must_part AS DECIMAL(18,9)), 3) AS DOUBLE) AS must_coverage, CAST(round(CAST(nice_part AS DECIMAL(18,9)), 3) AS DOUBLE) AS nice_coverage, CAST(years_part AS DOUBLE) AS years_part, CAST(location_part AS DOUBLE) AS location_part, CAST(domain_part AS DOUBLE) AS domain_part, matched_skills, missing_skills, learning_gaps FROM z""")
 def _(s: Source):
-    return text_dates(sc.fit(skills(s), s["reqmeta"].withColumn("work_mode", F.lit("")), PROFILE))
+    phrases = s["req"].select("job_key", "requirement", F.col("line").alias("place"), F.upper("phrase").alias("phrase"))
+    return text_dates(sc.fit(sc.canonical_skills(phrases, PROFILE.vocabulary, {}), s["reqmeta"].withColumn("work_mode", F.lit("")), PROFILE))
 
 
 @query("phrase_canon", f"""SELECT p_partkey, p_name, CASE WHEN len(list_filter(string_split(p_name, ' '), lambda w: w IN {KNOWN})) = 0 THEN p_name ELSE array_to_string(list_filter(string_split(p_name, ' '), lambda w: w IN {KNOWN}), '|') END AS terms FROM {{part}}""")

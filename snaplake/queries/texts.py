@@ -11,16 +11,27 @@ from snaplake.queries.registry import Source, query, text_dates
 CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<\s*(br|/p|/li|/h[0-9])\s*/?>', chr(10), 'gi'), '<li[^>]*>', '- ', 'gi'), '<[^>]+>', ' ', 'g'), '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10), 'g'), chr(10) || chr(9) || chr(13) || ' ')"""
 
 
-@query("clean_pages", f"SELECT page_id, {CLEAN} AS text FROM {{pages}} WHERE NOT contains(html, '&')")
-def _(s: Source):
-    return s["pages"].where(~F.contains("html", F.lit("&"))).select("page_id", t.html_to_text("html").alias("text"))
+def _decoded(html: str) -> str:
+    """One pass over the entities that the given pages hold; what ``&amp;`` was part of is for the next pass."""
+    for entity, sign in (("middot", "·"), ("copy", "©"), ("quot", '"'), ("amp", "&")):
+        html = f"regexp_replace({html}, '&{entity};?', '{sign}', 'g')"
+    return html
+
+
+CLEAN = CLEAN.replace("(html,", f"({_decoded(_decoded('html'))},", 1)
 
 
-@query("clean_pages_all")
+@query("clean_pages", f"SELECT page_id, {CLEAN} AS text FROM {{pages}}")
 def _(s: Source):
     return s["pages"].select("page_id", t.html_to_text("html").alias("text"))
 
 
+@query("clean_pages_all", f"SELECT page_id, length({CLEAN}) AS chars, sha256({CLEAN}) AS text_sha256 FROM {{pages}}")
+def _(s: Source):
+    text = t.html_to_text("html")
+    return s["pages"].select("page_id", text.alias("text")).select("page_id", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("boilerplate", """WITH p AS (SELECT doc_id, text, list_min(list_filter([instr(text, m) FOR m IN ['License', ' token', ' for the', 'Licensed']], lambda i: i > 1)) AS pos FROM {documents})
 SELECT doc_id, CASE WHEN pos - 1 >= 400 THEN trim(left(text, pos - 1)) ELSE trim(text) END AS kept FROM p""")
 def _(s: Source):
@@ -38,7 +49,7 @@ def _(s: Source):
     return s["part"].select("p_partkey", t.with_alias(padded, {"red bolt": "crimson bolt", "old rod": "vintage rod"}).alias("name"))
 
 
-TERMS = {"license": "license", "gnu": "gnu", "mail": "mail", "the": "article", "token": "token", "und": "and", "public license": "public license", "de la": "de la"}
+TERMS = {"license": "license", "gnu": "gnu", "mail": "mail", "the": "article", "token": "token", "und": "and", "public license": "public license", "de la": "de la", "by-nc": "by-nc"}
 
 
 @query("mentions", " UNION ALL ".join(f"SELECT doc_id, '{n}' AS term FROM {{documents}} WHERE regexp_matches(lower(text), '(^|[^a-z0-9]){w.replace(' ', '[ 	' + chr(10) + ']+')}($|[^a-z0-9])')" for w, n in TERMS.items()))
@@ -59,9 +70,9 @@ def _(s: Source):
 
 
 PAIRS = "pr AS (SELECT a.doc_id, a.text AS candidate, b.text AS source FROM {documents} a LEFT JOIN {documents} b ON a.doc_id - 1 = b.doc_id)"
-TOOLS = ["token", "mail", "the", "license", "und", "que"]
+TOOLS = {"token": "token", "mail": "mail", "the": "the", "license": "license", "und": "und", "que": "que", "de la": "de la", "public license": "license", "by-nc": "by-nc"}
 _NUMS = "list_distinct(regexp_extract_all({c}, '[0-9]+(?:\\.[0-9]+)?'))"
-_WORDS = "list_filter(list_distinct(string_split_regex(lower({c}), '[^a-z0-9]+')), lambda w: w IN (" + ", ".join(f"'{w}'" for w in TOOLS) + "))"
+_WORDS = "list_distinct(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(regexp_replace(lower({{c}}), '\\s+', ' ', 'g'), '(^|[^a-z0-9]){k}($|[^a-z0-9])') THEN '{n}' END" for k, n in TOOLS.items()) + "], lambda w: w IS NOT NULL))"
 
 
 def _new(f: str) -> str:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snaplake.functions.text import html_to_text, without_boilerplate
+from snaplake.functions.text import html_to_text, html_to_texts, without_boilerplate
 from snaplake.operators.rules import place, stable_key, whole_word
 
 FIELDS = ["job_key", "source", "source_id", "company", "title", "location", "url", "raw_text", "posted_at", "list_ref", "fetch_mode"]
@@ -64,10 +64,12 @@ GREENHOUSE = Shape(
 
 
 def _lever_fields() -> dict[str, Column]:
-    lists = F.flatten(F.transform(F.coalesce("i.lists", F.array().cast("array<struct<text: string, content: string>>")), lambda p: F.array(_blank(p["text"]), _blank(p["content"]))))
+    given = F.coalesce("i.lists", F.array().cast("array<struct<text: string, content: string>>"))
+    # list contents are markup; plain parts are not, and a sign like < in them is part of the text
+    contents = html_to_texts(F.transform(given, lambda p: p["content"]))
+    lists = F.flatten(F.zip_with(F.transform(given, lambda p: _blank(p["text"])), contents, lambda a, b: F.array(a, b)))
     body = F.concat(F.array(_blank("i.descriptionPlain")), lists, F.array(_blank("i.additionalPlain")))
-    # list contents are markup, plain parts hold none, so one pass over the joined text serves both
-    return {"source_id": F.col("i.id"), "title": F.col("i.text"), "location": F.col("i.categories.location"), "url": F.col("i.hostedUrl"), "raw_text": html_to_text(F.array_join(F.filter(body, lambda p: p != ""), "\n")), "posted_at": F.when(F.col("i.createdAt") != 0, _iso(F.col("i.createdAt")))}
+    return {"source_id": F.col("i.id"), "title": F.col("i.text"), "location": F.col("i.categories.location"), "url": F.col("i.hostedUrl"), "raw_text": F.array_join(F.filter(body, lambda p: p != ""), "\n"), "posted_at": F.when(F.col("i.createdAt") != 0, _iso(F.col("i.createdAt")))}
 
 
 LEVER = Shape(
@@ -153,18 +155,34 @@ def detail_pages(raw: DataFrame, countries: dict[str, str] | None = None) -> Dat
     return rows.select(stable_key("source", "company", "source_id").alias("job_key"), *FIELDS[1:9], F.col("source_id").alias("list_ref"), F.lit("full").alias("fetch_mode"))
 
 
-FACETS = "facets array<struct<facetParameter: string, values: array<struct<descriptor: string, id: string, facetParameter: string, values: array<struct<descriptor: string, id: string>>>>>>"
+#: Groups of facets in groups that are looked into.
+FACET_DEPTH = 6
+
+
+def _facet_values(depth: int) -> str:
+    """The schema of a facet's values: places, or groups that have values themselves."""
+    inner = "" if depth == 0 else f", facetParameter: string, values: array<struct<{_facet_values(depth - 1)}>>"
+    return f"descriptor: string, id: string{inner}"
 
 
 def country_facets(raw: DataFrame, country: str = "India") -> DataFrame:
     """``company, parameter, ids``: the value that is the country, else all values of the facet that holds most places in it.
 
-    Facets nest once: a group has facets for values.
+    A value that has values is a group, whose own parameter is theirs; groups nest up to ``FACET_DEPTH`` times.
     """
-    top = raw.select("company", F.posexplode(F.from_json("body", FACETS)["facets"]).alias("p", "f")).select("company", "p", F.col("f.facetParameter").alias("outer"), F.posexplode("f.values").alias("q", "v"))
-    flat = top.where(F.col("v.values").isNull()).select("company", "p", "q", F.lit(0).alias("r"), F.col("outer").alias("parameter"), F.col("v.descriptor").alias("name"), F.col("v.id").alias("id"))
-    nested = top.where(F.col("v.values").isNotNull()).select("company", "p", "q", F.col("v.facetParameter").alias("parameter"), F.posexplode("v.values").alias("r", "w")).select("company", "p", "q", "r", "parameter", F.col("w.descriptor").alias("name"), F.col("w.id").alias("id"))
-    every = flat.unionByName(nested).withColumn("exact", F.lower(F.btrim("name")) == country.lower()).where(F.col("exact") | whole_word("name", country))
-    per = every.groupBy("company", "parameter").agg(F.count_if(~F.col("exact")).alias("n"), F.min(F.struct("p", "q", "r")).alias("first"), F.min(F.when(F.col("exact"), F.struct("p", "q", "r", "id"))).alias("hit"), F.sort_array(F.collect_list(F.when(~F.col("exact"), F.struct("p", "q", "r", "id")))).alias("places"))
-    best = per.groupBy("company").agg(F.min_by(F.struct("parameter", "hit"), F.when(F.col("hit").isNotNull(), F.col("hit"))).alias("e"), F.max_by(F.struct("parameter", "places"), F.struct("n", -F.col("first.p"), -F.col("first.q"), -F.col("first.r"))).alias("m"))
+    schema = f"facets array<struct<facetParameter: string, values: array<struct<{_facet_values(FACET_DEPTH)}>>>>"
+    level = raw.select("company", F.posexplode(F.from_json("body", schema)["facets"]).alias("p", "f")).select("company", F.array("p").alias("path"), F.col("f.facetParameter").alias("parameter"), F.col("f.values").alias("values"))
+    every = None
+    for depth in range(FACET_DEPTH + 1):
+        one = level.select("company", "path", "parameter", F.posexplode("values").alias("q", "v")).withColumn("path", F.concat("path", F.array("q")))
+        leaf = one if depth == FACET_DEPTH else one.where(F.col("v.values").isNull())
+        leaf = leaf.select("company", "path", "parameter", F.col("v.descriptor").alias("name"), F.col("v.id").alias("id"))
+        every = leaf if every is None else every.unionByName(leaf)
+        if depth < FACET_DEPTH:
+            level = one.where(F.col("v.values").isNotNull()).select("company", "path", F.col("v.facetParameter").alias("parameter"), F.col("v.values").alias("values"))
+    every = every.withColumn("exact", F.lower(F.btrim("name")) == country.lower()).where(F.col("exact") | whole_word("name", country))
+    place = F.struct("path", "id")
+    per = every.groupBy("company", "parameter").agg(F.count_if(~F.col("exact")).alias("n"), F.min("path").alias("first"), F.min(F.when(F.col("exact"), place)).alias("hit"), F.sort_array(F.collect_list(F.when(~F.col("exact"), place))).alias("places"))
+    before = F.transform("first", lambda i: -i)
+    best = per.groupBy("company").agg(F.min_by(F.struct("parameter", "hit"), F.when(F.col("hit").isNotNull(), F.col("hit"))).alias("e"), F.max_by(F.struct("parameter", "places"), F.struct("n", before)).alias("m"))
     return best.select("company", F.coalesce("e.parameter", "m.parameter").alias("parameter"), F.when(F.col("e.parameter").isNotNull(), F.array("e.hit.id")).otherwise(F.transform("m.places", lambda x: x["id"])).alias("ids"))

@@ -9,6 +9,10 @@ from pyspark.sql import types as T
 from snaplake.sources.landing import by_contract, snapshot_day, with_lineage
 
 
+#: Files of a landed day.
+FILES = 4
+
+
 def stream_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """New JSON-lines files below ``path``, parsed by a declared schema, with rescued lines and lineage.
 
@@ -46,5 +50,9 @@ def full_refresh(spark: SparkSession, landing: str, table: str, checkpoint: str,
 
 
 def land(rows: DataFrame, path: str, day: str = "snapshot_date") -> None:
-    """Write rows as JSON lines, a folder a day; null fields are left out, as sources do."""
-    rows.withColumn("__day", F.col(day)).repartition("__day").write.partitionBy("__day").mode("append").json(path)
+    """Write rows as JSON lines, a folder a day; null fields are left out, as sources do.
+
+    A day is dealt over ``FILES`` tasks, each of which writes it a file.
+    """
+    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(FILES))
+    rows.withColumn("__day", F.col(day)).repartition("__day", spread).write.partitionBy("__day").mode("append").json(path)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from snaplake.functions import text as t
+from snaplake.functions import vocabulary
 from snaplake.operators import enrich, fetch_state, lifecycle, rules, score, upsert, validate
 from snaplake.plans import metrics, quality_gate, snapshot
 from snaplake.storage import new_path
@@ -29,18 +30,25 @@ def snap(spark):
 
 
 def test_lifecycle(snap):
-    got = {r["job_key"]: r for r in lifecycle.postings(snap).collect()}
+    got = {r["job_key"]: r for r in lifecycle.with_texts(lifecycle.postings(snap), snap).collect()}
     assert got["a"]["title"] is None and got["a"]["raw_text"] == "x" * 250  # the newest null wins, but not over a text
     assert got["a"]["dq_errors"] == ["missing_title"] and got["a"]["is_open"] and not got["b"]["is_open"]
     assert got["m"]["is_open"]
     assert got["late"]["title"] == "backfilled" and got["late"]["first_seen"] == dt.date(2026, 1, 2) and got["late"]["days_seen"] == 2
 
 
+def test_postings_move_no_texts(snap):
+    """The one shuffle by key holds lengths, not texts."""
+    plan = lifecycle.postings(snap).select("job_key", "is_open", "dq_errors")._jdf.queryExecution().executedPlan().toString()
+    shuffled = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+    assert len(shuffled) == 1 and "max(raw_text" not in plan and "struct(raw_text" not in plan
+
+
 def test_clean_and_quarantine_are_complements(snap):
     every = lifecycle.postings(snap)
     good, bad = (set(r["job_key"] for r in x.collect()) for x in (lifecycle.clean(every), lifecycle.quarantine(every)))
     assert good | bad == {"a", "b", "m", "late"} and not good & bad
-    assert lifecycle.drop_failing(every, lifecycle.error_rules()).count() == len(good)
+    assert lifecycle.drop_failing(every, lifecycle.error_rules(chars=F.col("text_chars"))).count() == len(good)
 
 
 def test_postings_without_rows(spark):
@@ -107,8 +115,8 @@ def test_upserts(spark):
     changes = spark.createDataFrame([(1, 9), (2, 9), (3, 9)], "k int, score int")
     got = upsert.upsert_guarded(target, changes, "k", F.col("status") == "SHORTLISTED", ["score"], {"status": F.lit("SHORTLISTED")})
     assert sorted(map(tuple, got.collect())) == [(1, "SHORTLISTED", 9), (2, "APPLIED", 5), (3, "SHORTLISTED", 9)]
-    with pytest.raises(ValueError, match="occurs 2 times"):
-        upsert.assert_unique(changes.union(changes.where("k = 1")), "k")
+    with pytest.raises(Exception, match="k 1 occurs more than once"):
+        upsert.assert_unique(changes.union(changes.where("k = 1")), "k").collect()
     assert upsert.insert_new(target.select("k", "score"), changes.union(changes), "k").count() == 3
 
 
@@ -124,7 +132,7 @@ def test_columns_are_added(spark):
 
 def test_score_thresholds(spark):
     p = score.Profile(have=["a", "b"], learning=["l"], shown=["a"], equivalent={"c": ["b"]}, years=5, places=["pune"], domains=["bank"])
-    skills = spark.createDataFrame([(1, "must", "a"), (1, "must", "c"), (2, "must", "l"), (2, "nice", "a"), (3, "nice", "x")], "job_key int, requirement string, skill string")
+    skills = spark.createDataFrame([(1, "must", "a", 1), (1, "must", "c", 2), (2, "must", "l", 1), (2, "nice", "a", 1), (3, "nice", "x", 1)], "job_key int, requirement string, skill string, place int")
     meta = spark.createDataFrame([(1, 5.0, "Pune", "", "Banking"), (2, 8.0, None, None, None), (3, float("nan"), "Oslo", "", "")], "job_key int, years_min double, location string, work_mode string, domain string")
     got = {r["job_key"]: r for r in score.fit(skills, meta, p).collect()}
     assert got[1]["fit_score"] == 100.0 and got[1]["recommendation"] == "APPLY" and got[1]["matched_skills"] == ["a", "c"]
@@ -141,13 +149,92 @@ def test_actions(spark):
 
 def test_generated_texts(spark):
     rows = spark.createDataFrame([(1, "cut 20 with spark", "cut 20"), (2, "cut 30", "cut 20"), (3, " ", "s"), (4, "x", None), (5, "fine", "also fine"), (6, "y" * 261, "s")], "i int, c string, s string")
-    got = {r["i"]: (r["problems"], r["final"]) for r in validate.check_texts(rows, "c", "s", ["spark"]).collect()}
+    got = {r["i"]: (r["problems"], r["final"]) for r in validate.check_texts(rows, "c", "s", {"spark": "spark"}).collect()}
     assert got[1] == (["new tools spark"], "cut 20") and got[2] == (["new numbers 30"], "cut 20") and got[3] == (["empty text"], "s")
     assert got[4][0] == ["unknown source"] and got[4][1] is None and got[5] == ([], "fine") and got[6] == (["too long"], "s")
     heads = spark.createDataFrame([("Senior engineer", "engineer"), ("engineer", "engineer")], "h string, t string")
     assert [r["final"] for r in validate.check_headlines(heads, "h", "t").collect()] == ["engineer", "engineer"]
 
 
+def test_tools_of_several_words(spark):
+    tools = vocabulary.tool_spellings("medallion architecture")
+    rows = spark.createDataFrame(
+        [(1, "built structured streaming", "built jobs", []), (2, "used Power BI", "used powerbi", []), (3, "in Unity  Catalog", "in it", ["UC"]), (4, "with spark streaming", "with spark", []), (5, "tuned sparks", "tuned", [])],
+        "i int, c string, s string, tags array<string>",
+    )
+    got = {r["i"]: r["problems"] for r in validate.check_texts(rows, "c", "s", tools, tags="tags").collect()}
+    assert got == {1: ["new tools structured streaming"], 2: [], 3: [], 4: ["new tools structured streaming"], 5: []}
+
+
+# phrases as postings write them, and the names they stand for
+GOLDEN = {
+    "Databricks SQL": ["sql warehouse"], "Delta Lake tables": ["delta lake"], "Apache Spark (PySpark)": ["spark", "pyspark"], "Spark/PySpark": ["spark", "pyspark"], "Azure Data Lake Storage": ["azure"],
+    "Unity Catalog governance": ["unity catalog"], "Python programming": ["python"], "Strong SQL": ["sql"], "Medallion architecture (Bronze/Silver/Gold)": ["medallion architecture"], "Databricks Workflows": ["databricks workflows"],
+    "ETL pipelines": ["etl"], "Lakehouse architecture": ["databricks"], "Data Lakehouse": ["databricks"], "Azure Databricks": ["databricks"], "PySpark": ["pyspark"], "Databricks Asset Bundles (DABs)": ["databricks asset bundles"],
+    "CI/CD pipelines": ["ci/cd"], "Git/GitHub": ["git"], "Performance optimization": ["performance tuning"], "Query optimization": ["performance tuning"], "Data quality frameworks": ["data quality"],
+    "Dimensional data modeling": ["dimensional modelling"], "Kimball": ["dimensional modelling"], "Power BI dashboards": ["power bi"], "Healthcare data": ["healthcare"], "HIPAA compliance": ["hipaa"],
+    "Big Data technologies": ["big data"], "Databricks Genie": ["databricks", "genie"], "LLM integration": ["llm"], "Delta Live Tables": ["delta live tables"], "Synapse": ["synapse"], "Kafka": ["kafka"], "Spark Streaming": ["structured streaming"],
+    "Some Niche Tool": ["some niche tool"], "spark sql warehouse": ["spark", "sql warehouse"],
+}
+
+
+def test_golden_phrases(spark):
+    rows = spark.createDataFrame(list(GOLDEN.items()), "p string, want array<string>")
+    got = {r["p"]: r["terms"] for r in t.canonical_terms(rows, "p", [*vocabulary.MARKET_TERMS], vocabulary.ALIASES).collect()}
+    assert got == GOLDEN
+
+
+def test_mentions_of_signs(spark):
+    rows = spark.createDataFrame([(1, "We use CI/CD, and\n ci  cd"), (2, "T-SQL"), (3, "ci/cdx"), (4, "pl/sql")], "k int, x string")
+    spelled = {"ci/cd": "ci/cd", "sql": "sql", "t-sql": "sql", "pl/sql": "sql"}
+    assert {tuple(r) for r in t.mentions(rows, "k", "x", spelled).collect()} == {(1, "ci/cd"), (2, "sql"), (4, "sql")}
+    with pytest.raises(ValueError, match="c\\+\\+"):
+        t.mentions(rows, "k", "x", {"c++": "c++"})
+
+
+def test_phrases_to_score(spark):
+    """Names in the order of the phrases, one that is asked for twice matched twice."""
+    rows = spark.createDataFrame([(1, "must", 1, "Kafka or Spark/PySpark"), (1, "must", 2, "Strong SQL"), (1, "must", 3, "apache spark"), (1, "nice", 1, "SQL, Power BI")], "job_key int, requirement string, place int, phrase string")
+    skills = score.canonical_skills(rows, vocabulary.MARKET_TERMS, vocabulary.ALIASES)
+    p = score.Profile(have=["pyspark", "sql"], learning=["kafka"], shown=[], equivalent=vocabulary.EQUIVALENT, years=3, places=["pune"], domains=[])
+    meta = spark.createDataFrame([(1, 3.0, "Pune", "", "")], "job_key int, years_min double, location string, work_mode string, domain string")
+    (r,) = score.fit(skills, meta, p).collect()
+    assert r["matched_skills"] == ["spark", "pyspark", "sql", "sql"] and r["missing_skills"] == ["kafka"] and r["learning_gaps"] == ["kafka"]
+    assert r["must_coverage"] == 0.75 and r["nice_coverage"] == 0.5
+
+
+def test_changes_name_a_key_once(spark):
+    target = spark.createDataFrame([(1, "a", None, None)], "k int, status string, note string, applied_at string")
+    twice = spark.createDataFrame([(1, "b", "n"), (1, "c", "n")], "k int, status string, note string")
+    for new in (lambda: upsert.upsert_all(target.select("k", "status", "note"), twice, "k"), lambda: upsert.upsert_guarded(target, twice, "k", F.lit(True), ["status"]), lambda: upsert.transition(target, twice, "k", F.lit("x"))):
+        with pytest.raises(Exception, match="k 1 occurs more than once"):
+            new().collect()
+
+
+def test_the_last_published_version_counts(spark):
+    root = new_path(spark, "versions")
+    for n in (9, 10):
+        upsert.publish(spark.range(n), root, f"v{n}")
+    assert upsert.published(spark, root).count() == 10
+    with pytest.raises(ValueError, match="landing"):
+        fetch_state.export_state(spark.range(1), f"{root}/in/state", f"{root}/in", "v1")
+
+
+def test_warnings_are_of_clean_postings(spark):
+    rows = spark.createDataFrame([("a", ["x"], ["w"], True), ("b", [], ["w"], True), ("c", [], [], True), ("d", [], [], False)], "job_key string, dq_errors array<string>, dq_warnings array<string>, is_open boolean")
+    none = spark.createDataFrame([], "failed boolean")
+    snap = spark.createDataFrame([("lever", None)], "source string, snapshot_day date")
+    checks = quality_gate.standard_checks(rows, rows.where("size(dq_errors) = 0"), none, rows.where("job_key = 'b'"), none, snap, F.lit("2026-01-01").cast("date"))
+    got = {r["check_name"]: (round(r["value"], 3), r["detail"]) for r in quality_gate.log_rows(quality_gate.run(checks)).collect()}
+    assert got["warning_rate"] == (0.333, "1 of 3 clean postings have a warning") and got["quarantine_rate"] == (0.25, "1 of 4 postings quarantined")
+    assert got["open_postings_without_score"][0] == 1 and got["fresh_board_snapshot_days"][0] == 999 and got["enrichment_error_rate_24h"] == (0.0, "0 errors, 0 successes")
+
+
+def test_fingerprint():
+    """The version has to change with the prompt, the schema or the fields: so does this name."""
+    assert enrich.fingerprint("a") != enrich.fingerprint("b") != enrich.fingerprint("b", "x STRING") != enrich.fingerprint("b", "x STRING", "s") and len(enrich.fingerprint("a")) == 12
+
+
 def test_metric_names_are_checked(spark):
     view = metrics.MetricView(spark.createDataFrame([("a", 1), ("b", 2)], "g string, secret int"), {"g": F.col("g")}, {"n": F.count("*")})
     assert view.query(["g"], ["n"], "g = 'a'").collect() == [("a", 1)]

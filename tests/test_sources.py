@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from snaplake.plans import daily
 from snaplake.sources import landing, payloads
 from snaplake.storage import drop_path, new_path
 from snaplake.streaming import bronze
@@ -23,6 +24,23 @@ def test_stream_twice(spark):
     drop_path(spark, table)
 
 
+def test_daily_run(spark):
+    """Streams to days; a day that lands late extends a lifetime, and what was loaded last is the latest."""
+    files, audits, root = (new_path(spark, n) for n in ("in", "runs-in", "house"))
+    row = lambda d, title: (title, d, "lever", "c", "t" * 300, f"https://x/{d}", "Pune", "k")
+    write = lambda rows: spark.createDataFrame(rows, "title string, snapshot_date string, source string, company string, raw_text string, url string, location string, job_key string").write.mode("append").json(files)
+    spark.createDataFrame([("c", "lever", "2026-01-03", 1)], "company string, source string, snapshot_date string, postings int").write.json(audits)
+    write([row("2026-01-03", "new")])
+    day = daily.run(spark, files, audits, root)
+    assert [(r["title"], r["days_seen"], r["is_open"]) for r in day.clean.collect()] == [("new", 1, True)] and day.runs.count() == 1
+    write([row("2026-01-01", "late")])
+    day = daily.run(spark, files, audits, root)
+    (r,) = day.postings.collect()
+    assert (r["title"], str(r["first_seen"]), str(r["last_seen"]), r["days_seen"]) == ("late", "2026-01-01", "2026-01-03", 2)
+    assert day.quarantine.count() == 0 and sorted((str(r["snapshot_day"]), r["new_postings"]) for r in day.daily.collect()) == [("2026-01-01", 1), ("2026-01-03", 0)]
+    assert "raw_text" not in day.postings.columns
+
+
 def test_rescue(spark):
     lines = ['{"company": "c", "postings": 1}', '{"company": "c", "postings": "many"}', '{"company": "c", "new": 1}', '{"company": "c"', "{}"]
     got = landing.by_contract(spark.createDataFrame([(x,) for x in lines], "value string"), landing.RUN).collect()
@@ -45,6 +63,8 @@ def test_board_shapes(spark):
     assert (g["source_id"], g["title"], g["raw_text"], g["fetch_mode"]) == ("7", "Dev", "hi", "full")
     (v,) = records(spark, "lever", [{"id": "x", "text": "T", "categories": {"location": "L"}, "descriptionPlain": "d", "lists": [{"text": "Need", "content": "<li>a</li><li>b</li>"}], "additionalPlain": "z", "createdAt": 1767225600000}])
     assert v["raw_text"] == "d\nNeed\n- a\n- b\nz" and v["posted_at"] == "2026-01-01T00:00:00+00:00"
+    (v,) = records(spark, "lever", [{"id": "x", "text": "T", "descriptionPlain": "experience < 5 years, > 3", "lists": [{"content": None}, {"text": "a <b", "content": "&lt;p&gt;c&lt;/p&gt;"}]}])
+    assert v["raw_text"] == "experience < 5 years, > 3\na <b\nc" and v["posted_at"] is None
     w = records(spark, "workday", *[{"jobPostingInfo": {"title": "T", "location": c, "jobReqId": "R1", "country": {"descriptor": "India"}, "jobDescription": "<p>x</p>"}} for c in ("Pune", "Hyderabad, India", None)])
     assert [r["location"] for r in w] == ["Pune, India", "Hyderabad, India", "India"]
     a = records(spark, "amazon", {"jobs": [{"id_icims": "1", "title": "T", "normalized_location": "Pune, IND", "city": "Pune", "country_code": "IND", "description": "d", "basic_qualifications": "b", "job_path": "/x", "posted_date": "January  5, 2026"}]})
@@ -69,10 +89,11 @@ def test_facets(spark):
     bodies = {
         "exact": {"facets": [{"facetParameter": "cities", "values": [place("Pune, India", "p")]}, {"facetParameter": "group", "values": [{"facetParameter": "country", "descriptor": "C", "values": [place("India", "i")]}]}]},
         "cities": {"facets": [{"facetParameter": "one", "values": [place("India - X", "a")]}, {"facetParameter": "two", "values": [place("Y, India", "b"), place("India Z", "c"), place("Indiana", "d")]}]},
+        "deep": {"facets": [{"facetParameter": "g", "values": [{"facetParameter": "h", "values": [{"facetParameter": "k", "values": [place("Pune, India", "p"), place("Goa, India", "q")]}]}]}]},
         "none": {"facets": [{"facetParameter": "one", "values": [place("Oslo", "o")]}]},
     }
     raw = spark.createDataFrame([(k, json.dumps(v)) for k, v in bodies.items()], "company string, body string")
-    assert {r["company"]: (r["parameter"], r["ids"]) for r in payloads.country_facets(raw).collect()} == {"exact": ("country", ["i"]), "cities": ("two", ["b", "c"])}
+    assert {r["company"]: (r["parameter"], r["ids"]) for r in payloads.country_facets(raw).collect()} == {"exact": ("country", ["i"]), "cities": ("two", ["b", "c"]), "deep": ("k", ["p", "q"])}
 
 
 def test_small_tables(spark):
