@@ -37,6 +37,9 @@ def whole_word(column: str | Column, word: str) -> Column:
     return F.lower(column).rlike(f"(?<![a-z]){quoted}(?![a-z])")
 
 
+# In the patterns of this module digits are [0-9]: Java, Python and DuckDB disagree on which other digits \d takes.
+
+
 def first_match(rules: Sequence[tuple[str, str, Sequence[str]]], *texts: str) -> Column:
     """``struct(name, part1, part2, part3)`` of the first rule that is found in the first text, else of the first in the second, ...
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from snaplake.operators.upsert import publish
 from snaplake.plans import metrics
-from snaplake.plans.quality_gate import require_passed
+from snaplake.plans.quality_gate import gate_state, require_passed
 
 
 def top(rows: DataFrame, k: int | None, *order: Column | str) -> DataFrame:
@@ -64,6 +64,15 @@ def top_members(rows: DataFrame, member: str, key: str, k: int) -> DataFrame:
     return rows.join(best, member, "left_semi")
 
 
+def results(market: DataFrame, demand: DataFrame, days: DataFrame, checks: DataFrame, as_of: Column, groups: Mapping[str, list[str]]) -> dict[str, DataFrame]:
+    """All public result sets by name.  ``checks`` is the quality log; nothing else about the run or the profile goes in."""
+    state = gate_state(checks, F.desc("checked_at"))
+    return {
+        "quality": state, "kpis": kpis(market, as_of), "skill_flags": skill_flags(market, demand, groups), "daily": daily(days, as_of), "skills": skills(demand),
+        "cities": cities(market, as_of), "domains": domains(market, as_of), "roles": roles(market), "sources": sources(market, as_of),
+    }
+
+
 def export(results: Mapping[str, DataFrame], gate: DataFrame, root: str, version: str) -> dict[str, str]:
     """Write each named result as a JSON version and point to it, unless the gate is shut."""
     require_passed(gate)

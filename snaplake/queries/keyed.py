@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from snaplake.operators import upsert as u
@@ -71,3 +73,40 @@ def _(s: Source):
 def _(s: Source):
     rows = s["orders"].select("o_custkey", "o_orderkey", "o_orderdate")
     return text_dates(u.one_per_key(rows, "o_custkey", F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_custkey", "o_orderkey"))
+
+
+def _new_table(s: Source, columns: dict[str, str]) -> str:
+    name = f"t_{uuid.uuid4().hex}"
+    u.ensure_columns(s.spark, name, columns)
+    return name
+
+
+@query("gold_write", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM {orders}")
+def _(s: Source):
+    """An older load, then all rows over it, in another order of columns."""
+    rows = s["orders"].select("o_totalprice", "o_orderstatus", "o_orderkey")
+    name = _new_table(s, {"o_orderkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double"})
+    for load in (rows.where("o_orderstatus = 'F'"), rows):
+        u.overwrite_by_name(load, name)
+    return s.spark.table(name)
+
+
+@query("columns_added", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END AS priority FROM {orders}")
+def _(s: Source):
+    """Rows from before a column was added have none of it."""
+    name = _new_table(s, {"O_ORDERKEY": "bigint"})
+    rows = s["orders"].select("o_orderkey", F.col("o_orderpriority").alias("priority"))
+    u.append_log(rows.join(s["orders"].where("o_orderstatus <> 'O'"), "o_orderkey", "left_semi").select(F.col("o_orderkey").alias("O_ORDERKEY")), name)
+    u.ensure_columns(s.spark, name, {"o_orderkey": "bigint", "priority": "string"})
+    u.append_log(rows.join(s["orders"].where("o_orderstatus = 'O'"), "o_orderkey", "left_semi").select(F.col("o_orderkey").alias("O_ORDERKEY"), "priority"), name)
+    return s.spark.table(name).select(F.col("O_ORDERKEY").alias("o_orderkey"), "priority")
+
+
+@query("log_appended", "SELECT o_orderstatus AS check_name, 2 * count(*) AS n FROM {orders} GROUP BY 1")
+def _(s: Source):
+    """A log keeps what each run wrote."""
+    name = _new_table(s, {"check_name": "string", "n": "bigint"})
+    counts = s["orders"].groupBy(F.col("o_orderstatus").alias("check_name")).agg(F.count("*").alias("n"))
+    for _run in range(2):
+        u.append_log(counts, name)
+    return s.spark.table(name).groupBy("check_name").agg(F.sum("n").alias("n"))

@@ -27,6 +27,25 @@ def _(s: Source):
     return text_dates(again.select(*names, "snapshot_day", F.col("rescued").isNotNull().alias("rescued")))
 
 
+@query("full_refresh", "SELECT CAST(snapshot_day AS VARCHAR) AS snapshot_day, count(*) AS n FROM {snap} GROUP BY snapshot_day")
+def _(s: Source):
+    """All files again, into a table and a checkpoint of their own."""
+    files, table, checkpoint = (new_path(s.spark, n) for n in ("refresh-landing", "refresh", "refresh-checkpoint"))
+    rows = s["snap"].select("job_key", "source", F.date_format("snapshot_day", "yyyy-MM-dd").alias("snapshot_date"))
+    bronze.land(rows.withColumn("day", F.col("snapshot_date")), files, "day")
+    schema = T.StructType([*landing.POSTING.fields, DAY])
+    bronze.ingest_postings(s.spark, files, table, checkpoint, schema)
+    again = bronze.full_refresh(s.spark, files, table, checkpoint, schema, "v2")
+    return text_dates(again.groupBy("snapshot_day").agg(F.count("*").alias("n")))
+
+
+@query("csv_source", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, coalesce(CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END, '') AS segment FROM {customer}")
+def _(s: Source):
+    path = new_path(s.spark, "csv")
+    s["customer"].select("c_custkey", F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")).alias("segment")).write.csv(path, header=True)
+    return landing.csv_table(s.spark, path, ["c_custkey", "segment"])
+
+
 @query("fetch_runs", "SELECT company, source, CAST(snapshot_day AS VARCHAR) AS snapshot_day, CAST(postings AS INTEGER) AS postings, CAST(fetched_full AS INTEGER) AS fetched_full, CAST(reused AS INTEGER) AS reused, seconds FROM {runs}")
 def _(s: Source):
     files, table, checkpoint = (new_path(s.spark, n) for n in ("run-landing", "runs", "runs-checkpoint"))

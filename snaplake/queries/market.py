@@ -134,6 +134,20 @@ def _(s: Source):
     return snapshot.sources(market(s), s.as_of())
 
 
+@query("snapshot_export", f"WITH {MARKET} SELECT city, count(*) AS open_postings FROM market WHERE is_open GROUP BY city")
+def _(s: Source):
+    """The whole snapshot behind the gate, and one of its sets read back."""
+    from snaplake.operators.upsert import published
+    from snaplake.plans.quality_gate import gate_state
+    from snaplake.storage import new_path
+
+    root, log = new_path(s.spark, "snapshot"), s["checks"].where("passed")
+    demand, snap = scoring.market_demand(s).withColumn("job_key", F.col("job_key").cast("string")), s["snap"]
+    days = lc.daily_activity(snap, lc.clean(lc.postings(snap)))
+    snapshot.export(snapshot.results(market(s), demand, days, log, s.as_of(), {"tools": ["rod"], "parts": ["hot", "gear"]}), gate_state(log, F.desc("checked_at")), root, "v1")
+    return published(s.spark, f"{root}/cities").select("city", "open_postings")
+
+
 ROLES = "job_key, company, title, city, round(fit_score) AS fit_score, recommendation, url"
 
 

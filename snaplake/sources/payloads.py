@@ -131,7 +131,12 @@ ORACLE = Shape(
 SHAPES = {s.source: s for s in (GREENHOUSE, LEVER, WORKDAY, AMAZON, EIGHTFOLD, ORACLE)}
 
 
-def search_rows(pages: DataFrame, html: str, row: str = r'<tr[^>]*class="data-row', link: str = r'(?s)<a[^>]*class="jobTitle-link[^"]*"[^>]*href="([^"]+)"[^>]*>(.*?)</a>', where: str = r'(?s)<span class="jobLocation[^"]*">\s*([^<]*?)\s*</span>') -> DataFrame:
+# How the pages of one platform mark rows, links, places, descriptions and their closing lines.
+ROW, LINK, WHERE = r'<tr[^>]*class="data-row', r'(?s)<a[^>]*class="jobTitle-link[^"]*"[^>]*href="([^"]+)"[^>]*>(.*?)</a>', r'(?s)<span class="jobLocation[^"]*">\s*([^<]*?)\s*</span>'
+DESCRIPTION = r'(?s)<span class="jobdescription">(.*?)</span>\s*</div>'
+
+
+def search_rows(pages: DataFrame, html: str, row: str = ROW, link: str = LINK, where: str = WHERE) -> DataFrame:
     """Result rows of an HTML page: ``path, title, location``, in page order."""
     rows = pages.select("*", F.posexplode(F.slice(F.split(html, row), 2, 1 << 30)).alias("place", "part")).where(F.col("part").rlike(link))
     squeeze = lambda c: F.btrim(F.regexp_replace(c, r"(?U)\s+", " "))
@@ -147,7 +152,7 @@ def item_property(html: str, name: str) -> Column:
 def detail_pages(raw: DataFrame, countries: dict[str, str] | None = None) -> DataFrame:
     """Records of HTML detail pages (``company, host, path, html``)."""
     names = F.create_map(*[F.lit(x) for kv in (countries or {"IN": "India"}).items() for x in kv])
-    text = without_boilerplate(html_to_text(F.regexp_extract("html", r'(?s)<span class="jobdescription">(.*?)</span>\s*</div>', 1)), [F.concat(F.lit("What "), F.col("company"), F.lit(" offers")), F.concat(F.col("company"), F.lit(" | Building a better")), "Equal Opportunity Employer"])
+    text = without_boilerplate(html_to_text(F.regexp_extract("html", DESCRIPTION, 1)), [F.concat(F.lit("What "), F.col("company"), F.lit(" offers")), F.concat(F.col("company"), F.lit(" | Building a better")), "Equal Opportunity Employer"])
     code = item_property("html", "addressCountry")
     # the weekday in front can't be parsed and says nothing
     day = F.try_to_timestamp(F.regexp_replace(item_property("html", "datePosted"), r"^\w+\s+", ""), F.lit("MMM dd HH:mm:ss zzz yyyy")).cast("date").cast("string")
