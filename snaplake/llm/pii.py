@@ -3,13 +3,15 @@
 The fixed patterns give seed entities.  Instances are named by their values: every other run of characters that holds ``@`` or 4
 digits, and every group of such items with digits that single spaces part (``555 123 4567``), of any length.  The patterns of an
 instance are the names around it (parts of words between signs, however far): the two before, and the one before with the one
-after; at an end of the text, where one is missing, there is no such pattern.  Patterns and instances form a graph.  Each round scores patterns by the share of their distinct instances that are trusted so far, smoothed so that rare patterns
+after; at an end of the text, where one is missing, there is no such pattern.  Patterns and instances form a graph.  Each round
+scores patterns by the share of their distinct instances that are trusted so far, smoothed so that rare patterns
 earn little, and instances by their best pattern; instances over the threshold are trusted in the next round.
 
-Then the texts are read again: every other word next to a trusted pattern is an instance too (few digits or none).  They count in
-the confidence that a pattern has for such words, which so falls where common words stand in its place.  Words of plain
-shape (letters or digits only) need both of their patterns, others one.  What patterns of high confidence hold is reported with
-the kind ``context``; a group and an item in it may both be.
+A second read of the texts counts how often any word at all stands in the place of each trusted pattern: one that common words
+fill as well says nothing about identifiers.  Patterns whose trusted instances make up enough of these are specific.  A third read
+finds what stands next to a specific pattern: instances, and every other word (few digits or none), of which words of plain
+shape (letters or digits only) need both of their patterns, others one.  They are reported with the kind ``context``; a
+group and an item in it may both be.
 
 All counts are grouped by pattern and instance before they are joined, so a pattern that stands in a third of all
 rows is one row of the graph.
@@ -20,12 +22,13 @@ and count once in the graph, which holds distinct edges; empty tables give empty
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +57,8 @@ DIGIT = re.compile("[0-9]")
 #: What stands between two items of a group; shapes that any common word or number has; bits of the filter of patterns.
 BETWEEN = re.compile(r"\x20(?:[A-Z]{1,4}\x20)?")
 PLAIN = re.compile(r"[a'\u2019-]+|0")
-BITS = 1 << 22
+#: A prime, by which pattern numbers are folded into the filter.
+BITS = 4_194_301
 
 
 def luhn(digits: str) -> bool:
@@ -175,20 +179,62 @@ def groups(text: str, items: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def weak_instances(text: str, taken: list[tuple[str, int, int]], heads: Callable[[str], bool], holds: Callable[[str], bool]) -> list[dict]:
-    """The words outside ``taken`` that stand next to a pattern which ``holds``; ``heads`` tells the names before such places."""
+def number(pattern: str) -> int:
+    """A pattern as 63 bits from the CRCs of its two names, and a sign for its kind; :func:`pattern_number` in Spark."""
+    one, two, three = pattern.split(" ")
+    first, second = (zlib.crc32(w.encode()) for w in ((one, two) if three == "_" else (one, three)))
+    h = (first % (1 << 31) << 32) + second
+    return h if three == "_" else -h - 1
+
+
+def pattern_number(pattern: str) -> F.Column:
+    p = F.split(pattern, " ")
+    crc = lambda w: F.crc32(F.encode(w, "UTF-8"))
+    h = (crc(p[0]) % (1 << 31)) * F.lit(1 << 32) + crc(F.when(p[2] == "_", p[1]).otherwise(p[2]))
+    return F.when(p[2] == "_", h).otherwise(-h - 1)
+
+
+class Slots:
+    """The numbers of the patterns that stand around every word of a text."""
+
+    MOST = 1 << 18
+
+    def __init__(self):
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def _names(self, word: str) -> tuple[int, ...]:
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= self.MOST:
+                self.known.clear()
+            found = self.known[word] = tuple(zlib.crc32(n.lower().encode()) for n in NAME.findall(word))
+        return found
+
+    def __call__(self, text: str) -> np.ndarray:
+        parts = [p for p in map(self._names, WORD.findall(text)) if p]
+        if len(parts) < 2:
+            return np.zeros(0, np.int64)
+        crc = np.fromiter(chain.from_iterable(parts), np.int64)
+        first = np.cumsum([0, *map(len, parts)])[:-1]
+        join = lambda a, b: (a % (1 << 31) << 32) + b
+        two, one = first[first > 1], first[1:-1]
+        return np.concatenate([join(crc[two - 2], crc[two - 1]), -join(crc[one - 1], crc[first[2:]]) - 1])
+
+
+def weak_instances(text: str, taken: list[tuple[str, int, int]], holds: Callable[[str], bool]) -> list[dict]:
+    """The words outside ``taken`` that stand next to a pattern which ``holds``."""
     out, names, taken_, k = [], Names(text), Taken(taken), 0
     for m in WORD.finditer(text):
         while k < len(names.starts) and names.starts[k] < m.start():
             k += 1  # the first name of this word
-        if 0 < k < len(names.starts) and names.starts[k] < m.end() and heads(names.name(k - 1)):
+        if 0 < k < len(names.starts) and names.starts[k] < m.end():
             value = m[0].strip(EDGES)
             a = m.start() + len(m[0]) - len(m[0].lstrip(EDGES))
             b = a + len(value)
             if any(c.isalnum() for c in value) and not strong(value) and taken_.clear(a, b):
-                patterns = names.patterns(a, b)
-                if any(map(holds, patterns)):
-                    out.append({"start": a, "end": b, "plain": PLAIN.fullmatch(shape(value)) is not None, "value": value.lower(), "patterns": patterns})
+                patterns = [p for p in names.patterns(a, b) if holds(p)]
+                if patterns:
+                    out.append({"start": a, "end": b, "plain": PLAIN.fullmatch(shape(value)) is not None, "patterns": patterns})
     return out
 
 
@@ -213,90 +259,109 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def induce(found: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """``pattern, confidence, support, trusted`` of the patterns that are trusted after ``rounds`` of scoring.
+    """``pattern, confidence, support, trusted`` of the patterns that are trusted after ``rounds`` of scoring, and their ``times`` in the texts, with any and
+    with trusted instances.
 
     ``found`` has rows of instances ``value, seed, patterns``.  A pattern's confidence is the sum of its trusted instances' scores
     over the number of its instances plus ``SMOOTHING``, if it has at least ``min_support`` of them; an instance's score is 1 for a seed, else its best pattern's confidence.
     """
     scratch = Scratch(found.sparkSession)
-    edges = scratch.stored(found.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "pii-edges")
+    edges = scratch.stored(found.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("times")), "pii-edges")
     seeds = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    scores = seeds
+    scores, sure = seeds, F.col("score") >= MIN_TRUST
     for k in range(rounds):
         patterns = (
             edges.join(scores, "value")
             .groupBy("pattern")
-            .agg(F.count("*").alias("support"), F.sum(F.when(F.col("score") >= MIN_TRUST, F.col("score")).otherwise(0.0)).alias("trusted"))
+            .agg(F.count("*").alias("support"), F.sum(F.when(sure, F.col("score")).otherwise(0.0)).alias("trusted"), F.sum("times").alias("times"), F.sum(F.when(sure, F.col("times")).otherwise(0)).alias("trusted_times"))
             .where((F.col("trusted") > 0) & (F.col("support") >= min_support))
-            .select("pattern", "support", "trusted", (F.col("trusted") / (F.col("support") + SMOOTHING)).alias("confidence"))
+            .select("pattern", "support", "trusted", "times", "trusted_times", (F.col("trusted") / (F.col("support") + SMOOTHING)).alias("confidence"))
         )
         if k + 1 == rounds:
             break
         patterns = scratch.stored(patterns, f"pii-patterns-{k}")
         best = edges.join(patterns, "pattern").groupBy("value").agg(F.max("confidence").alias("best"))
         scores = scratch.stored(seeds.join(best, "value", "left").select("value", F.greatest("score", F.coalesce("best", F.lit(0.0))).alias("score")), f"pii-scores-{k}")
-    done = stored(patterns.where(F.col("confidence") >= min_confidence).select("pattern", "confidence", "support", "trusted"), "pii-trusted")
+    done = stored(patterns.where(F.col("confidence") >= min_confidence).select("pattern", "confidence", "support", "trusted", "times", "trusted_times"), "pii-trusted")
     scratch.drop()
     return done
 
 
-WEAK = "array<struct<start: int, end: int, plain: boolean, value: string, patterns: array<string>>>"
+FILLED = "array<struct<start: int, end: int, plain: boolean, patterns: array<string>>>"
 
 
-def _bits(words: DataFrame) -> bytes:
-    """A filter of the column ``w``: one bit for each word's CRC modulo ``BITS``, so its size does not grow with the words."""
-    at = F.crc32(F.encode("w", "UTF-8")) % BITS
-    found = words.select(F.shiftright(at, 5).alias("k"), F.expr("shiftleft(1L, CAST(crc32(encode(w, 'UTF-8')) % 32 AS INT))").alias("bit")).groupBy("k").agg(F.bit_or("bit").alias("bits")).collect()
-    out = bytearray(BITS // 8)
+def _bits(numbers: DataFrame) -> bytes:
+    """A filter of the column ``h``: one bit for each number modulo ``BITS``, so its size does not grow with the numbers."""
+    at = F.pmod("h", F.lit(BITS))
+    found = numbers.select(F.shiftright(at, 5).alias("k"), F.expr(f"shiftleft(1L, CAST(pmod(h, {BITS}) % 32 AS INT))").alias("bit")).groupBy("k").agg(F.bit_or("bit").alias("bits")).collect()
+    out = np.zeros(BITS // 32 + 1, "<u4")
     for r in found:
-        out[4 * r["k"] : 4 * r["k"] + 4] = r["bits"].to_bytes(4, "little")
-    return bytes(out)
+        out[r["k"]] = r["bits"]
+    return out.tobytes()
+
+
+def _member(bits: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)
+
 
+def _count(bits: bytes):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        member, slots = _member(bits), Slots()
+        for batch in batches:
+            found = [h[member[h % BITS]] for text in batch["text"] if (h := slots(text.as_py() or "")).size]
+            h, n = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
+            yield pa.record_batch([pa.array(h), pa.array(n)], names=["h", "n"])
+
+    return count
 
-def _has(bits: bytes) -> Callable[[str], bool]:
-    def has(word: str) -> bool:
-        k = zlib.crc32(word.encode("utf-8", "replace")) % BITS
-        return bool(bits[k >> 3] >> (k & 7) & 1)
 
-    return has
+def specific(docs: DataFrame, trusted: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """The ``pattern`` rows of ``trusted`` whose place is filled by trusted instances often enough, of all words that stand there; written."""
+    numbered = trusted.withColumn("h", pattern_number("pattern"))
+    filled = docs.select("text").mapInArrow(_count(_bits(numbered)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    times = F.greatest("times", F.coalesce("n", F.lit(0)))
+    return stored(numbered.join(filled, "h", "left").where(F.col("trusted_times") / (times + SMOOTHING) >= min_confidence).select("pattern", "h"), "pii-specific")
 
 
-def _scan_all(head_bits: bytes, pattern_bits: bytes):
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("plain", pa.bool_()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))]))
-    some = any(pattern_bits)
+def _scan_filled(bits: bytes):
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("plain", pa.bool_()), ("patterns", pa.list_(pa.string()))]))
+    some = any(bits)
 
-    def scan_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        has_head, holds = _has(head_bits), _has(pattern_bits)
+    def scan_filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        member, slots = _member(bits), Slots()
+        holds = lambda p: bool(member[number(p) % BITS])
         for batch in batches:
-            done, weak, heads = next(_scan(iter([batch]))), [], functools.cache(has_head)
-            for text, found in zip(batch["text"], done["found"].to_pylist(), strict=True):
+            base, filled = [], []
+            for text in batch["text"]:
                 text = text.as_py() or ""
-                weak.append(weak_instances(text, [("", f["start"], f["end"]) for f in found], heads, holds) if some and text else [])
-            yield pa.record_batch([*done.columns, pa.array(weak, kind)], names=["doc_id", "base", "found", "weak"])
+                spans = base_spans(text)
+                base.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans])
+                out = []
+                if some and text:
+                    found = instances(text, spans)
+                    out = [{"start": f["start"], "end": f["end"], "plain": False, "patterns": ps} for f in found if not f["seed"] and (ps := [p for p in f["patterns"] if holds(p)])]
+                    if member[slots(text) % BITS].any():
+                        out += weak_instances(text, spans + [("", f["start"], f["end"]) for f in found], holds)
+                filled.append(out)
+            yield pa.record_batch([batch["doc_id"], pa.array(base, pa.list_(S.SPAN)), pa.array(filled, kind)], names=["doc_id", "base", "filled"])
 
-    return scan_all
+    return scan_filled
 
 
 def find_personal_data(docs: DataFrame, **limits) -> DataFrame:
-    """``doc_id, base, spans`` of each row: base spans, and all spans with those that trusted patterns hold.
+    """``doc_id, base, spans`` of each row: base spans, and all spans with those that specific patterns hold.
 
-    The texts are read twice: for the graph, and for all that stands next to its trusted patterns.  Rows of the second scan are
-    written and numbered.  A filter of fixed size tells the second scan where patterns stand; joins by pattern decide.
+    The texts are read for the graph, for how its trusted patterns are filled, and for what stands next to specific patterns.  Rows
+    of the last read are written and numbered.  Filters of fixed size tell where patterns stand; joins by pattern decide.
     """
-    min_confidence = limits.get("min_confidence", MIN_CONFIDENCE)
-    trusted = induce(scan(docs).select(F.explode("found").alias("f")).select("f.*"), **limits)
-    p = F.split("pattern", " ")  # the name before the open place, in either kind of pattern
-    heads = F.array(F.when(p[2] == "_", p[1]), F.when(p[1] == "_", p[0]))
-    bits = _bits(trusted.select(F.explode(heads).alias("w")).where("w IS NOT NULL").distinct()), _bits(trusted.select(F.col("pattern").alias("w")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scanned = stored(texts.mapInArrow(_scan_all(*bits), f"doc_id long, base array<{S.SPAN_DDL}>, found {FOUND}, weak {WEAK}").withColumn("row_id", F.monotonically_increasing_id()), "pii-scan")
-    found = scanned.select("row_id", F.explode("found").alias("f")).select("row_id", "f.*")
-    new = found.where(~F.col("seed")).select("row_id", "start", "end", F.explode("patterns").alias("pattern")).join(trusted, "pattern").select("row_id", "start", "end")
-    weak = scanned.select("row_id", F.explode("weak").alias("f")).select("row_id", "f.start", "f.end", "f.plain", "f.value", F.explode("f.patterns").alias("pattern"))
-    fill = weak.groupBy("pattern", "value").agg(F.lit(1).alias("one")).groupBy("pattern").agg(F.count("*").alias("words"))
-    sure = trusted.join(fill, "pattern").where(F.col("trusted") / (F.col("support") + F.col("words") + SMOOTHING) >= min_confidence).select("pattern")
-    words = weak.join(sure, "pattern").groupBy("row_id", "start", "end", "plain").agg(F.count("*").alias("n")).where(~F.col("plain") | (F.col("n") > 1)).select("row_id", "start", "end")
-    added = new.unionAll(words).groupBy("row_id").agg(F.collect_set(F.struct(F.lit("context").alias("kind"), "start", "end")).alias("added"))
+    trusted = induce(scan(docs).select(F.explode("found").alias("f")).select("f.*"), **limits)
+    sure = trusted.select("pattern", pattern_number("pattern").alias("h")) if trusted.isEmpty() else specific(texts, trusted, limits.get("min_confidence", MIN_CONFIDENCE))
+    rows = texts.mapInArrow(_scan_filled(_bits(sure)), f"doc_id long, base array<{S.SPAN_DDL}>, filled {FILLED}")
+    scanned = stored(rows.withColumn("row_id", F.monotonically_increasing_id()), "pii-scan")
+    filled = scanned.select("row_id", F.explode("filled").alias("f")).select("row_id", "f.start", "f.end", "f.plain", F.explode("f.patterns").alias("pattern"))
+    held = filled.join(sure.select("pattern"), "pattern").groupBy("row_id", "start", "end", "plain").agg(F.count("*").alias("n")).where(~F.col("plain") | (F.col("n") > 1))
+    added = held.groupBy("row_id").agg(F.collect_set(F.struct(F.lit("context").alias("kind"), "start", "end")).alias("added"))
     every = F.concat("base", F.coalesce("added", F.expr(f"CAST(array() AS array<{S.SPAN_DDL}>)")))
     keyed = F.transform(F.array_sort(F.transform(every, lambda x: F.struct(x["start"].alias("start"), _rank(x["kind"]).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     return scanned.join(added, "row_id", "left").select("doc_id", "base", keyed.alias("spans"))
