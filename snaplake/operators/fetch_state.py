@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snaplake.operators.lifecycle import recency
+from snaplake.operators.rules import may_match_place
 from snaplake.operators.upsert import publish
 
 KEYS = ("job_key", "source", "company", "list_ref")
@@ -58,6 +59,26 @@ def capped_list(rows: DataFrame, group: list[str], ref: str, order: Column, cap:
     return first.withColumn("rank", rank).where(F.col("rank") <= cap).drop("__order")
 
 
+#: What is written down for a board: days after which a text is fetched again, most listings, whether its search is trusted, and title terms of its own.
+BOARDS = "source string, company string, refresh_days int, max_jobs int, trust_search boolean, titles array<string>"
+
+
+def board_listing(listing: DataFrame, boards: DataFrame, titles: Sequence[str], places: Sequence[str], order: Column, cap: int) -> DataFrame:
+    """The listings that their boards' configuration lets through: ``source, company, list_ref, rank``.
+
+    A title must hold one of the board's ``titles``, else of the common ones, unless its search is trusted; a place must match unless it
+    can't be told yet.  Of what is left the first ``max_jobs`` of a board stay (else ``cap``), by ``order``.
+    """
+    own = boards.select("source", "company", "max_jobs", "trust_search", F.col("titles").alias("__titles"))
+    rows = listing.join(own, ["source", "company"], "left")
+    terms = F.coalesce("__titles", F.array(*map(F.lit, titles)).cast("array<string>"))
+    named = (F.size(terms) == 0) | F.exists(terms, lambda w: F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lower(w)))
+    kept = rows.where((F.coalesce("trust_search", F.lit(False)) | named) & may_match_place("location", places)).withColumns({"__order": order, "__cap": F.coalesce("max_jobs", F.lit(cap))})
+    first = kept.groupBy("source", "company", "list_ref", "__cap").agg(F.min("__order").alias("__order"))
+    rank = F.row_number().over(Window.partitionBy("source", "company").orderBy("__order", "list_ref"))
+    return first.withColumn("rank", rank).where(F.col("rank") <= F.col("__cap")).select("source", "company", "list_ref", "rank")
+
+
 def run_audit(rows: DataFrame) -> DataFrame:
     """Per board: postings, fetched in full, and reused."""
     return rows.groupBy("company", "source").agg(F.count("*").alias("postings"), F.count_if(~F.col("fetch_mode").eqNullSafe("seen")).alias("fetched_full"), F.count_if(F.col("fetch_mode") == "seen").alias("reused"))

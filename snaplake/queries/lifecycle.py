@@ -153,6 +153,18 @@ def _(s: Source):
     return fs.capped_list(s["snap"], ["source", "company"], "job_key", F.col("seq"), F.when(F.col("source") == "lever", 5).otherwise(8)).select("source", "company", "job_key", F.col("rank").cast("long").alias("rank"))
 
 
+# boards by company: 0 is trusted, 1 has a cap and terms of its own, the others have what is common
+@query("board_listing", r"""WITH b AS (SELECT *, company = 'c0' AS trusted, CASE WHEN company = 'c1' THEN 3 ELSE 6 END AS cap FROM {snap} WHERE source <> 'manual'),
+k AS (SELECT source, company, job_key AS list_ref, cap, min(seq) AS o FROM b WHERE (trusted OR CASE WHEN company = 'c1' THEN contains(coalesce(title, ''), 'click') ELSE contains(coalesce(title, ''), 'view') OR contains(coalesce(title, ''), 'purchase') END)
+  AND (coalesce(location, '') = '' OR regexp_matches(lower(location), '^\s*[0-9]+\s+locations\s*$') OR contains(lower(location), 'india')) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, company ORDER BY o, list_ref) AS rank FROM k) SELECT source, company, list_ref, rank FROM r WHERE rank <= cap""")
+def _(s: Source):
+    sources = ["workday", "oracle", "lever", "greenhouse"]
+    boards = s.spark.createDataFrame([x for v in sources for x in ((v, "c0", None, None, True, None), (v, "c1", 3, 3, False, ["Click"]))], fs.BOARDS)
+    listing = s["snap"].where("source <> 'manual'").select("source", "company", F.col("job_key").alias("list_ref"), "title", "location", "seq")
+    return fs.board_listing(listing, boards, ["View", "Purchase"], ["India"], F.col("seq"), 6).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query("run_audit", "SELECT company, source, count(*) AS postings, count(*) FILTER (fetch_mode IS DISTINCT FROM 'seen') AS fetched_full, count(*) FILTER (fetch_mode = 'seen') AS reused FROM {snap} GROUP BY company, source")
 def _(s: Source):
     return fs.run_audit(s["snap"])
