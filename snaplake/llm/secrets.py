@@ -299,13 +299,12 @@ def forms(x: np.ndarray, y: np.ndarray, seed: int = 8) -> tuple[np.ndarray, np.n
     bare = x.copy()
     bare[:, :BEFORE] = bare[:, BEFORE + SPAN :] = 0
     yes, no = x[y == 1], x[y == 0]
-    plain = plain_values(no, r)
-    more = [part for _ in range(2) for part in zip((1.0, 0.0), (z[np.resize(np.arange(len(z)), max(len(yes), len(no)))] for z in (yes, no)), strict=True)] if len(yes) and len(no) else []
     xs, ys = [x, bare], [y, y]
-    for (_, a), (_, b) in zip(more[::2], more[1::2], strict=True):
-        a, b = copies(a, b, plain, r)
-        xs += [a[: len(yes)], b[: len(no)]]
-        ys += [np.ones(len(yes)), np.zeros(len(no))]
+    if len(yes) and len(no):
+        plain = plain_values(no, r)
+        for _ in range(2):
+            xs += copies(yes, no, plain, r)
+            ys += [np.ones(len(yes)), np.zeros(len(no))]
     return np.concatenate(xs), np.concatenate(ys)
 
 
