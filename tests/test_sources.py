@@ -2,11 +2,12 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from snaplake.plans import daily
 from snaplake.sources import landing, payloads
-from snaplake.storage import drop_path, new_path
+from snaplake.storage import drop_path, new_path, only_result_stays, stored
 from snaplake.streaming import bronze
 
 
@@ -98,3 +99,13 @@ def test_facets(spark):
 
 def test_small_tables(spark):
     assert landing.small_table(spark, [("a", 1)], "n string, v int").agg(F.sum("v")).first()[0] == 1
+
+
+def test_only_the_result_of_a_block_stays(spark):
+    with only_result_stays(spark):
+        first = stored(spark.range(3), "first")
+        (file,) = first.coalesce(1).inputFiles()[:1]
+        last = stored(first.selectExpr("id + 1 AS id"), "last")
+    assert sorted(r["id"] for r in last.collect()) == [1, 2, 3]
+    with pytest.raises(Exception, match="(?i)path|exist|file"):
+        spark.read.parquet(file).count()
