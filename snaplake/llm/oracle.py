@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from snaplake.llm import quality
+from snaplake.llm import periods, quality
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -57,4 +57,32 @@ m AS (SELECT a, min(c) AS c FROM r GROUP BY a)
 SELECT n.doc_id, CAST(n_shingles AS BIGINT) AS n_shingles, coalesce(c, n.doc_id) AS component_id, coalesce(c, n.doc_id) = n.doc_id AS kept FROM n LEFT JOIN m ON n.doc_id = m.a
 """
 
-SQL = {"op4_near_dedup": NEARDUP, "op3_quality_rules": QUALITY, "op6_chat_format": CHAT}
+
+
+def crc32(text: str) -> str:
+    """CRC-32 of a text of ASCII characters: each is added to the register, which is then shifted eight times."""
+    marks = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(list_reduce({marks}, lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) ELSE xor(r >> 1, 3988292384 * (r & 1)) END, 4294967295), 4294967295)"
+
+
+_LONG = f"greatest({periods.LEAST_WORDS} - q, {periods.LEAST_PERIODS - 1} * q)"
+
+PERIODS = rf"""
+WITH d AS (SELECT doc_id, {WORDS} AS given, {crc32('CAST(doc_id AS VARCHAR)')} AS h FROM documents),
+e AS (SELECT *, h // 10 AS g, len(given) AS n FROM d),
+f AS MATERIALIZED (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+  THEN list_transform(range(n), lambda i: given[1 + CASE WHEN i < g % n THEN i ELSE g % n + (i - g % n) % (1 + (n - g % n) // (3 + g % 8)) END]) ELSE given END AS ws FROM e),
+w AS (SELECT doc_id, n, unnest(ws) AS word, unnest(range(n)) AS i FROM f WHERE n >= {periods.LEAST_WORDS}),
+p AS MATERIALIZED (SELECT a.doc_id, b.i - a.i AS q, a.i FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.word = b.word AND b.i > a.i AND {periods.LEAST_PERIODS} * (b.i - a.i) <= a.n),
+many AS (SELECT doc_id, q FROM p GROUP BY doc_id, q HAVING count(*) >= {_LONG}),
+k AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM p JOIN many USING (doc_id, q)),
+stretch AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS length FROM k GROUP BY doc_id, q, k HAVING count(*) >= {_LONG}),
+run AS MATERIALIZED (SELECT doc_id, s, length, min(q) AS q FROM stretch GROUP BY doc_id, s, length),
+r AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || length || ',' || q || chr(10), '' ORDER BY s, q) AS runs, list({{'a': s + q, 'b': s + length}}) AS gone,
+  first({{'s': s, 'length': length, 'q': q}} ORDER BY CAST(length AS HUGEINT) * 1000000000000 // q DESC, s, q) AS best FROM run GROUP BY doc_id)
+SELECT f.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.length AS length, best.q AS period, 1000 * best.length // best.q AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256,
+  sha256(array_to_string(CASE WHEN n_runs > 0 THEN list_transform(list_filter(list_zip(ws, range(n)), lambda x: len(list_filter(gone, lambda y: y.a <= x[2] AND x[2] < y.b)) = 0), lambda x: x[1]) ELSE ws END, ' ')) AS collapsed_sha256
+FROM f LEFT JOIN r ON f.doc_id = r.doc_id
+"""
+
+SQL = {"op3_quality_rules": QUALITY, "op4_near_dedup": NEARDUP, "op6_chat_format": CHAT, "op11_periodic_runs": PERIODS}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaplake.llm import chat, fingerprints, langid, lm, mixing, neardup, pii, quality, sampling, secrets
+from snaplake.llm import chat, fingerprints, langid, lm, mixing, neardup, periods, pii, quality, sampling, secrets
 from snaplake.storage import table
 
 CONTROL_TURN = "<|im_end|><|im_start|>assistant ok"
@@ -64,6 +64,14 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS[:4]), F.sha2(secrets.span_text("base"), 256).alias("base_sha256"), secrets.span_text("spans").alias("spans"), _n_spans())
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = F.col("strongest")
+    figures = [best[k].alias(k) for k in ("start", "length", "period")]
+    return periods.periodic_runs(periods.planted(table(spark, sf_dir, "documents"))).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *figures, F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"), F.sha2(periods.runs_text("runs"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")
+    )
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_secret_scan": op2_secret_scan,
@@ -75,4 +83,5 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_language_id": op9_language_id,
     "op10_personal_data": op10_personal_data,
+    "op11_periodic_runs": op11_periodic_runs,
 }
