@@ -85,4 +85,34 @@ SELECT f.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.length AS
 FROM f LEFT JOIN r ON f.doc_id = r.doc_id
 """
 
-SQL = {"op3_quality_rules": QUALITY, "op4_near_dedup": NEARDUP, "op6_chat_format": CHAT, "op11_periodic_runs": PERIODS}
+
+def _field(c: str) -> str:
+    return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ["doc_id", "source", "lang", n_chars, "text"])) + ")"
+
+
+_SIDE = "CASE WHEN s.h IS NULL THEN '-' WHEN s.i < {i} >> {n}.level THEN 'L' || s.h ELSE 'R' || s.h END"
+
+MERKLE = f"""
+WITH RECURSIVE leaf AS MATERIALIZED (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY lang) AS n, {_leaf('n_chars')} AS leaf,
+  CASE WHEN {crc32('CAST(doc_id AS VARCHAR)')} % 7 = 0 THEN {_leaf('n_chars + 1')} ELSE {_leaf('n_chars')} END AS changed FROM documents),
+node AS (SELECT lang, 0 AS level, r AS i, n, leaf AS h FROM leaf
+  UNION ALL SELECT lang, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM node WHERE n > 1 GROUP BY lang, level, n, i // 2),
+sub AS MATERIALIZED (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS r, count(*) OVER () AS n FROM node WHERE n = 1),
+top AS (SELECT 0 AS level, r AS i, n, subroot AS h FROM sub
+  UNION ALL SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY level, n, i // 2),
+height AS (SELECT DISTINCT lang, level FROM node WHERE n > 1),
+rise AS (SELECT DISTINCT level FROM top WHERE n > 1),
+low AS (SELECT l.doc_id, l.r, l.lang, list({_SIDE.format(i='l.r', n='t')} ORDER BY t.level) AS path FROM leaf l JOIN height t ON l.lang IS NOT DISTINCT FROM t.lang
+  LEFT JOIN node s ON s.lang IS NOT DISTINCT FROM l.lang AND s.level = t.level AND s.i = xor(l.r >> t.level, 1) GROUP BY l.doc_id, l.r, l.lang),
+high AS (SELECT b.lang, list({_SIDE.format(i='b.r', n='t')} ORDER BY t.level) AS path FROM sub b JOIN rise t ON true LEFT JOIN top s ON s.level = t.level AND s.i = xor(b.r >> t.level, 1) GROUP BY b.lang),
+full_ AS (SELECT l.*, b.subroot, (SELECT h FROM top WHERE n = 1) AS root, list_concat(coalesce(low.path, []), coalesce(high.path, [])) AS path FROM leaf l JOIN sub b ON l.lang IS NOT DISTINCT FROM b.lang
+  LEFT JOIN low ON low.lang IS NOT DISTINCT FROM l.lang AND low.r = l.r LEFT JOIN high ON high.lang IS NOT DISTINCT FROM l.lang),
+fold AS (SELECT *, list_reduce(path, lambda a, x: CASE x[1] WHEN 'L' THEN sha256(x[2:] || a) WHEN 'R' THEN sha256(a || x[2:]) ELSE sha256(a) END, changed) AS folded_root FROM full_)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda x: x[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM fold
+"""
+
+SQL = {"op3_quality_rules": QUALITY, "op4_near_dedup": NEARDUP, "op6_chat_format": CHAT, "op11_periodic_runs": PERIODS, "op12_merkle_manifest": MERKLE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaplake.llm import chat, fingerprints, langid, lm, mixing, neardup, periods, pii, quality, sampling, secrets
+from snaplake.llm import chat, fingerprints, langid, lm, merkle, mixing, neardup, periods, pii, quality, sampling, secrets
 from snaplake.storage import table
 
 CONTROL_TURN = "<|im_end|><|im_start|>assistant ok"
@@ -72,6 +72,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_secret_scan": op2_secret_scan,
@@ -84,4 +88,5 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_personal_data": op10_personal_data,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }

@@ -62,7 +62,7 @@ def test_a_run_at_the_limits(q):
     least = max(24, 3 * q)
     for n, want in ((least, [(2, least, q)]), (least - 1, [])):
         words = np.array([10**6, 10**7, *[i % q for i in range(n)], 10**8], np.uint64)
-        assert P.runs_of(B.mix(words), np.array([0, len(words)])) == want
+        assert P.runs_of(B.mix(words), np.array([0, len(words)])) == [want]
 
 
 def test_strongest_is_exact_and_first():
