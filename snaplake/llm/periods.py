@@ -192,10 +192,15 @@ def planted(docs: DataFrame) -> DataFrame:
     A null id changes nothing.
     """
     h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def edited(w: Column) -> Column:
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        tail = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, F.lit(1), a), F.slice(tail, F.lit(1), n - a)), " "))
+
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.when(h % 10 == 0, words).alias("w"), F.floor(h / 10).alias("g")).withColumn("n", F.size("w"))
-    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
-    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
-    source = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
-    edited = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get("w", source(i).cast("int"))), " ")
-    return rows.select("doc_id", F.when(F.col("n") > 0, edited).otherwise(F.col("text")).alias("text"))
+    changed = F.when(h % 10 == 0, F.get(F.transform(F.array(words), edited), 0))  # the lambda's argument is the text's words, cut once
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(changed, "text").alias("text"))
