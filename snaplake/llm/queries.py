@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaplake.llm import chat, fingerprints, langid, lm, merkle, mixing, neardup, periods, pii, quality, sampling, secrets
+from snaplake.llm import chat, fingerprints, langid, lm, merkle, mixing, neardup, periods, pii, quality, sampling, secrets, toxicity
 from snaplake.storage import table
 
 CONTROL_TURN = "<|im_end|><|im_start|>assistant ok"
@@ -76,6 +76,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(spark, sf_dir, "documents"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_secret_scan": op2_secret_scan,
@@ -89,4 +95,5 @@ QUERIES = {
     "op10_personal_data": op10_personal_data,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_toxicity": op13_toxicity,
 }
