@@ -26,7 +26,7 @@ from snaplake.llm import batches as B
 
 FOLDS, HELD = 3, 1
 #: Rows of each label that train at most, and words of each (evenly spread over the text; words of over LONG characters are left out of training).
-TRAINING, WORDS, LONG = 3000, 1500, 64
+TRAINING, WORDS, LONG = 2000, 1000, 64
 #: Features, embedding size, steps of BATCH rows, rate, momentum, least training texts of a feature.
 BITS, DIMENSION, STEPS, BATCH, RATE, MOMENTUM, LEAST = 17, 8, 400, 64, 1.0, 0.9, 3
 RARE, NEUTRAL = 1e-4, 0.3
@@ -64,13 +64,14 @@ def subwords(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]
 
 
 def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bucket, count) of the features of each text, by row and bucket."""
-    parts = []
-    for a in range(0, len(texts), 64):
-        keys = np.concatenate([(rows + a << BITS) + f for f, rows in subwords(texts[a : a + 64])] or [np.zeros(0, np.int64)])
-        parts.append(np.unique(keys, return_counts=True))
-    keys, counts = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
-    return keys >> BITS, keys & ((1 << BITS) - 1), counts
+    """(row, bucket, count) of the features of each text, by row and bucket, in 4 bytes each."""
+    parts: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.int32, np.int32, np.float32)]
+    for a in range(0, len(texts), 32):
+        keys, n = np.unique(np.concatenate([(r + a << BITS) + f for f, r in subwords(texts[a : a + 32])]), return_counts=True)
+        for part, values in zip(parts, (keys >> BITS, keys & ((1 << BITS) - 1), n), strict=True):
+            part.append(values.astype(part[0].dtype))
+    rows, features, counts = (np.concatenate(parts.pop(0)) for _ in range(3))  # a list goes before the next one is copied
+    return rows, features, counts
 
 
 class Model:
@@ -81,18 +82,22 @@ class Model:
         rows, features, counts = counted(texts)
         times = np.bincount(features, weights=counts, minlength=1 << BITS)
         self.weights = np.where(np.bincount(features, minlength=1 << BITS) >= LEAST, RARE / (RARE + times / max(1.0, times.sum())), 0.0)
-        share = counts * self.weights[features]
+        share = counts
+        share *= self.weights.astype(np.float32)[features]  # 0 for rare features
         total = np.bincount(rows, weights=share, minlength=len(y))
         self.neutral = max(NEUTRAL * float(np.median(total)), 1e-9)
-        keep = share > 0
-        rows, features = rows[keep], features[keep]
-        value = share[keep] / (total + self.neutral)[rows]
-        scale = 1 / max(1e-9, np.sqrt(np.mean(np.bincount(rows, weights=value**2, minlength=len(y)))))
-        used, place = np.unique(features, return_inverse=True)
+        share /= (total + self.neutral).astype(np.float32)[rows]
+        scale = 1 / max(1e-9, np.sqrt(np.mean(np.bincount(rows, weights=share**2, minlength=len(y)))))
+        share *= np.float32(scale)
+        bounds = np.searchsorted(rows, np.arange(len(y) + 1))
+        del rows
+        used = np.flatnonzero(self.weights)
+        place = np.zeros(1 << BITS, np.int32)
+        place[used] = np.arange(len(used), dtype=np.int32)
         calibrating = np.arange(len(y)) % 5 == 4
-        embedded, self.bias = _descend(place, (value * scale).astype(np.float32), np.searchsorted(rows, np.arange(len(y) + 1)), y, np.flatnonzero(~calibrating), len(used), steps, seed)
+        embedded, self.bias = _descend(place[features], share, bounds, y, np.flatnonzero(~calibrating), max(1, len(used)), steps, seed)
         self.table = np.zeros(1 << BITS)
-        self.table[used] = embedded * scale * self.weights[used]
+        self.table[used] = embedded[: len(used)] * scale * self.weights[used]
         self.slope, self.shift = 1.0, 0.0
         if len({*y[calibrating].tolist()}) == 2:
             self.slope, self.shift = _calibrated(self.margins([t for t, c in zip(texts, calibrating, strict=True) if c]), y[calibrating])
