@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,69 +78,87 @@ def pieces(column: str | Column) -> Column:
     return F.regexp_extract_all(squeezed, F.lit("[a-z0-9]+|[^a-z0-9]+"), F.lit(0))
 
 
-def occurrences(cut: str, spellings: Sequence[str]) -> Column:
-    """Where a text has known spellings: ``array<struct<at, size, term>>`` of places in the :func:`pieces` column ``cut``.
-
-    A spelling starts and ends at the edge of a word, and may hold signs or blanks.  Only places where a first word of
-    some spelling stands are looked at, in the lengths that spellings with signs or blanks have.
-    """
-    cuts = [re.findall("[a-z0-9]+|[^a-z0-9]+", s) for s in spellings]
-    for s, parts in zip(spellings, cuts, strict=True):
+def vocabulary_table(spark: SparkSession, spellings: Mapping[str, str]) -> DataFrame:
+    """``term, name`` of each spelling: lower-case, blanks squeezed, starting and ending with a letter or digit."""
+    for s in spellings:
+        parts = re.findall("[a-z0-9]+|[^a-z0-9]+", s)
         if s != " ".join(s.lower().split()) or len(parts) % 2 == 0 or not parts[0].isalnum():
             raise ValueError(f"a spelling is lower-case and starts and ends with a letter or digit: {s!r}")
-    sizes = F.array(*[F.lit(n) for n in sorted({len(parts) for parts in cuts})])
-    have = F.size(cut)
-    places = F.filter(F.when(have > 0, F.sequence(F.lit(1), have)), lambda i: F.element_at(cut, i).isin(sorted({parts[0] for parts in cuts})))
-    at = lambda i, n: F.struct(i.alias("at"), n.alias("size"), F.when(i + n - 1 <= have, F.array_join(F.slice(cut, i, n), "")).alias("term"))
-    spans = F.flatten(F.transform(places, lambda i: F.transform(sizes, lambda n: at(i, n))))
-    return F.coalesce(F.filter(spans, lambda s: s["term"].isin(list(spellings))), F.array().cast("array<struct<at: int, size: int, term: string>>"))
+    return spark.createDataFrame(list(spellings.items()), "term string, name string")
+
+
+def vocabulary_of(spark: SparkSession, terms: Mapping[str, str] | DataFrame) -> tuple[DataFrame, list[int]]:
+    """The table of a vocabulary, and the numbers of :func:`pieces` that its spellings have (as many values as the longest spelling has words)."""
+    known = terms if isinstance(terms, DataFrame) else vocabulary_table(spark, terms)
+    if not isinstance(terms, DataFrame):
+        return known, sorted({len(re.findall("[a-z0-9]+|[^a-z0-9]+", s)) for s in terms})
+    return known.select("term", "name"), sorted(r["n"] for r in known.select(F.size(pieces("term")).alias("n")).distinct().collect())
+
+
+def _spans(cut: Column, sizes: Sequence[int]) -> Column:
+    """``array<struct<at, size, term>>``: every run of ``sizes`` pieces that starts and ends with a word."""
+    first = F.when(F.get(cut, 0).rlike("^[a-z0-9]"), 1).otherwise(2)  # words and what is between them take turns
+    none = F.array().cast("array<struct<at: int, size: int, term: string>>")
 
+    def of(n: int) -> Column:
+        last = F.size(cut) - (n - 1)
+        term = (lambda i: F.element_at(cut, i)) if n == 1 else (lambda i: F.array_join(F.slice(cut, i, n), ""))
+        return F.when(last >= first, F.transform(F.sequence(first, last, F.lit(2)), lambda i: F.struct(i.alias("at"), F.lit(n).alias("size"), term(i).alias("term")))).otherwise(none)
 
-def _named(term: Column, spellings: Mapping[str, str]) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for kv in spellings.items() for x in kv]), term)
+    return F.concat(none, *[of(n) for n in sizes])
 
 
-def canonical_terms(phrases: DataFrame, column: str, vocabulary: Sequence[str], aliases: Mapping[str, str]) -> DataFrame:
+def _with_pieces(column: str | Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a text's pieces.  They are a lambda's argument, so the text is cut once however often, and wherever, they are used."""
+    return F.get(F.transform(F.array(pieces(column)), use), 0)
+
+
+def grams(column: str | Column, sizes: Sequence[int]) -> Column:
+    """The distinct runs of words of a text in the given numbers of pieces."""
+    return _with_pieces(column, lambda cut: F.array_distinct(F.transform(_spans(cut, sizes), lambda s: s["term"])))
+
+
+def canonical_terms(phrases: DataFrame, column: str, vocabulary: Sequence[str] | DataFrame, aliases: Mapping[str, str] | None = None) -> DataFrame:
     """``phrases`` with ``terms``: the known names in each phrase, or the cleaned phrase if there is none.
 
-    A phrase that is a name or an alias stands for that alone.  Else of the spellings in it the longest is taken first (equal lengths
-    by the alphabet), then every other that does not overlap a taken one; names come in reading order, each once.  Works on the
-    distinct phrases, which are joined back; the vocabulary is configuration.
+    ``vocabulary`` is a table of ``term, name``, or names with ``aliases`` for them.  A phrase that is a name or an alias stands for that alone.  Else of the
+    spellings in it the longest is taken first (equal lengths by the alphabet), then every other that does not overlap a taken one; names come in reading
+    order, each once.  Works on the distinct phrases, whose runs of words meet the vocabulary in a join, and which are joined back.
     """
-    known = {*vocabulary, *aliases.values()}
-    spelled = {name: name for name in known} | dict(aliases)
+    spark = phrases.sparkSession
+    spelled = vocabulary if isinstance(vocabulary, DataFrame) else {n: n for n in {*vocabulary, *(aliases or {}).values()}} | dict(aliases or {})
+    known, sizes = vocabulary_of(spark, spelled)
     low = F.btrim(F.regexp_replace(F.lower("phrase"), r"(?U)\s+", " "))
-    rows = phrases.select(F.col(column).alias("phrase")).where(F.col("phrase").isNotNull()).distinct().withColumn("cut", pieces("phrase"))
-    ranked = F.sort_array(F.transform(occurrences("cut", sorted(spelled)), lambda s: F.struct((-F.length(s["term"])).alias("least"), s["term"].alias("term"), s["at"].alias("at"), s["size"].alias("size"))))
-    rows = rows.withColumn("ranked", ranked)
-    none = F.array().cast("array<struct<at: int, size: int, term: string>>")
+    rows = phrases.select(F.col(column).alias("phrase")).where(F.col("phrase").isNotNull()).distinct()
+    found = rows.select("phrase", F.explode(_with_pieces("phrase", lambda cut: _spans(cut, sizes))).alias("s")).select("phrase", "s.*").join(known, "term")
+    ranked = found.groupBy("phrase").agg(F.sort_array(F.collect_list(F.struct((-F.length("term")).alias("least"), "term", "at", "size", "name"))).alias("ranked"))
+    none = F.array().cast("array<struct<at: int, size: int, name: string>>")
     apart = lambda a, b: (a["at"] + a["size"] <= b["at"]) | (b["at"] + b["size"] <= a["at"])
-    as_taken = lambda s: F.struct(s["at"].alias("at"), s["size"].alias("size"), s["term"].alias("term"))
+    as_taken = lambda s: F.struct(s["at"].alias("at"), s["size"].alias("size"), s["name"].alias("name"))
     taken = F.aggregate("ranked", none, lambda got, s: F.when(F.forall(got, lambda t: apart(t, s)), F.concat(got, F.array(as_taken(s)))).otherwise(got))
-    names = F.array_distinct(F.transform(F.sort_array(taken), lambda s: _named(s["term"], spelled)))
-    rows = rows.withColumns({"whole": with_alias("phrase", aliases), "cleaned": with_alias(F.regexp_replace(low, r"\(.*?\)", " "), aliases), "names": names})
-    found = (
-        F.when(low == "", F.array().cast("array<string>"))
-        .when(F.col("whole").isin(sorted(known)), F.array("whole"))
+    names = ranked.select(F.col("phrase").alias("__p"), F.array_distinct(F.transform(F.sort_array(taken), lambda s: s["name"])).alias("names"))
+    whole = known.select(F.col("term").alias("__whole"), F.col("name").alias("whole"))
+    clean = known.select(F.col("term").alias("__clean"), F.col("name").alias("clean"))
+    rows = rows.withColumns({"low": low, "tidy": tidy("phrase"), "cleaned": tidy(F.regexp_replace(low, r"\(.*?\)", " "))})
+    rows = rows.join(names, F.col("phrase") == F.col("__p"), "left").join(whole, F.col("tidy") == F.col("__whole"), "left").join(clean, F.col("cleaned") == F.col("__clean"), "left")
+    terms = (
+        F.when(F.col("low") == "", F.array().cast("array<string>"))
+        .when(F.col("whole").isNotNull(), F.array("whole"))
         .when(F.size("names") > 0, F.col("names"))
-        .otherwise(F.filter(F.array("cleaned"), lambda c: c != ""))
+        .otherwise(F.filter(F.array(F.coalesce("clean", "cleaned")), lambda c: c != ""))
     )
-    return phrases.join(rows.select(F.col("phrase").alias("__phrase"), found.alias("terms")), F.col(column) == F.col("__phrase"), "left").drop("__phrase")
-
-
-def mentioned(cut: str, spellings: Mapping[str, str]) -> Column:
-    """The distinct names that a text's :func:`pieces` column mentions, longer spellings and those inside them alike."""
-    return F.array_distinct(F.transform(occurrences(cut, sorted(spellings)), lambda s: _named(s["term"], spellings)))
+    return phrases.join(rows.select(F.col("phrase").alias("__phrase"), terms.alias("terms")), F.col(column) == F.col("__phrase"), "left").drop("__phrase")
 
 
-def mentions(texts: DataFrame, key: str, column: str, terms: Mapping[str, str]) -> DataFrame:
-    """Distinct ``key, term`` of the known terms that a text mentions as whole words.
+def mentions(texts: DataFrame, key: str, column: str, terms: Mapping[str, str] | DataFrame) -> DataFrame:
+    """Distinct ``key, term`` of the known terms that a text mentions as whole words, longer spellings and those inside them alike.
 
-    ``terms`` maps each spelling to its name.  A text is cut into words once, and the work after that grows with the words that begin a spelling,
-    not with words times terms.
+    ``terms`` maps each spelling to its name, as a mapping or as a table of ``term, name``.  A text is cut into words once; its distinct runs of as many words as spellings have
+    are joined to the vocabulary by hash, so the work grows with the text, whatever the number of terms.  Spark broadcasts the vocabulary if it is small.
     """
-    rows = texts.select(key, pieces(column).alias("__cut"))
-    return rows.select(key, F.explode(mentioned("__cut", terms)).alias("term")).distinct()
+    known, sizes = vocabulary_of(texts.sparkSession, terms)
+    found = texts.select(key, F.explode(grams(column, sizes)).alias("term")).join(known, "term")
+    return found.select(key, F.col("name").alias("term")).distinct()
 
 
 def known_term(column: str, vocabulary: Sequence[str]) -> Column:

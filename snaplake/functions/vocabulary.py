@@ -1,8 +1,14 @@
 """Names of skills in the data-engineering market: spellings, names, and what stands for what.
 
-Configuration, held by the driver and put into plans as literals.
+Configuration, held by the driver; plans read it as tables that meet the data in joins.
 """
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from snaplake.functions.text import vocabulary_table
+
 # Other spellings of a name, as they have to be for right results.
 ALIASES = {
     "azure databricks": "databricks", "databricks unified data analytics platform": "databricks", "databricks lakehouse": "databricks",
@@ -69,3 +75,8 @@ def tool_spellings(*more: str) -> dict[str, str]:
     """Spellings of the tools and ``more`` names, with the aliases that stand for one of them."""
     names = {*TOOLS, *more}
     return {name: name for name in [*TOOLS, *more]} | {alias: name for alias, name in ALIASES.items() if name in names}
+
+
+def market_table(spark: SparkSession, *more: str) -> DataFrame:
+    """``term, name`` of :func:`spellings`."""
+    return vocabulary_table(spark, spellings(*more))

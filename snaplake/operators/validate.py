@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snaplake.functions.text import inflated, mentioned, numbers, pieces, with_alias
+from snaplake.functions.text import vocabulary_of, grams, inflated, numbers, tidy
 
 MAX_BULLET, MAX_HEADLINE = 260, 110
 # Words of rank.
@@ -22,24 +22,44 @@ def problems(*found: Column) -> Column:
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def check_texts(rows: DataFrame, text: str, source: str, tools: Mapping[str, str], most: int = MAX_BULLET, tags: str | None = None) -> DataFrame:
+def _new_facts(rows: DataFrame, key: str, text: str, source: str, tools: Mapping[str, str] | DataFrame, tags: str | None) -> DataFrame:
+    """``key, numbers, tools``: sorted lists of what a text has and its source (or its tags) has not; no row for a text with nothing new.
+
+    Runs of words of both texts meet the vocabulary in one join; what stands in both is told apart by aggregation.
+    """
+    known, sizes = vocabulary_of(rows.sparkSession, tools)
+    fact = lambda kind, own: lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(own).alias("own"), x.alias("term"))
+    items = [F.transform(grams(text, sizes), fact("word", True)), F.transform(grams(source, sizes), fact("word", False)), F.transform(numbers(text), fact("number", True)), F.transform(numbers(source), fact("number", False))]
+    if tags is not None:
+        items.append(F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: fact("tag", False)(tidy(t))))
+    facts = rows.select(key, F.explode(F.concat(*items)).alias("f")).select(key, "f.*").join(known.withColumnRenamed("term", "__term"), (F.col("kind") != "number") & (F.col("term") == F.col("__term")), "left")
+    facts = facts.where((F.col("kind") != "word") | F.col("name").isNotNull()).withColumn("name", F.coalesce("name", "term"))
+    number = F.col("kind") == "number"
+    new = facts.groupBy(key, number.alias("number"), "name").agg(F.bool_and("own").alias("new")).where("new")
+    return new.groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("number"), F.col("name")))).alias("__numbers"), F.sort_array(F.collect_list(F.when(~F.col("number"), F.col("name")))).alias("__tools"))
+
+
+def check_texts(rows: DataFrame, text: str, source: str, tools: Mapping[str, str] | DataFrame, most: int = MAX_BULLET, tags: str | None = None, key: str | None = None) -> DataFrame:
     """``rows`` with ``problems`` and ``final``: a text with new numbers or tools, without content or too long gives way to its source.
 
-    ``tools`` maps spellings, of one word or several, to names.  Tools that the source mentions or that are listed in its ``tags`` (a
-    column of arrays of tidy names) are not new.  A row whose source is null names an unknown source and has no final text.
+    ``tools`` maps spellings, of one word or several, to names (or is a table of ``term, name``).  Tools that the source mentions or that are listed in its ``tags`` (a
+    column of arrays) are not new.  A row whose source is null names an unknown source and has no final text.  ``key`` is a column that tells rows
+    apart; without one, rows are told apart by a digest of what is checked.
     """
-    rows = rows.withColumn("__t", F.btrim(F.coalesce(text, F.lit(""))))
-    rows = rows.withColumns({"__a": pieces("__t"), "__b": pieces(F.coalesce(source, F.lit("")))})
-    allowed = mentioned("__b", tools) if tags is None else F.array_union(mentioned("__b", tools), F.coalesce(F.transform(tags, lambda t: with_alias(t, tools)), F.array().cast("array<string>")))
+    none = F.lit("")
+    told = F.col(key) if key else F.sha2(F.to_json(F.struct(F.coalesce(text, none), F.coalesce(source, none), *([tags] if tags else []))), 256)
+    rows = rows.withColumns({"__key": told, "__t": F.btrim(F.coalesce(text, none)), "__s": F.coalesce(source, none)})
+    facts = _new_facts(rows, "__key", "__t", "__s", tools, tags)
+    rows = rows.join(facts, "__key", "left")
     found = problems(
         F.when(F.col(source).isNull(), F.lit("unknown source")),
         F.when(F.col("__t") == "", F.lit("empty text")),
-        _problem("new numbers", F.array_except(numbers("__t"), numbers(F.coalesce(source, F.lit(""))))),
-        _problem("new tools", F.array_except(mentioned("__a", tools), allowed)),
+        _problem("new numbers", F.col("__numbers")),
+        _problem("new tools", F.col("__tools")),
         F.when(F.length("__t") > most, F.lit("too long")),
     )
     rows = rows.withColumn("problems", found)
-    return rows.withColumn("final", F.when(F.size("problems") > 0, F.col(source)).otherwise(F.col("__t"))).drop("__t", "__a", "__b")
+    return rows.withColumn("final", F.when(F.size("problems") > 0, F.col(source)).otherwise(F.col("__t"))).drop("__key", "__t", "__s", "__numbers", "__tools")
 
 
 def check_headlines(rows: DataFrame, headline: str, titles: str, most: int = MAX_HEADLINE) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from snaplake.functions import text as t
+from snaplake.functions import vocabulary
 from snaplake.operators import validate as v
 from snaplake.queries.registry import Source, query, text_dates
 
@@ -80,22 +82,54 @@ def _new(f: str) -> str:
     return f"array_to_string(list_sort(list_filter({a}, lambda x: NOT list_contains({b}, x))), ', ')"
 
 
-@query("validate_text", f"""WITH {PAIRS}, q AS (SELECT doc_id, source, trim(coalesce(candidate, '')) AS c FROM pr), z AS (SELECT *, {_new(_NUMS)} AS nn, {_new(_WORDS)} AS nt FROM q),
-y AS (SELECT *, list_filter([CASE WHEN source IS NULL THEN 'unknown source' END, CASE WHEN c = '' THEN 'empty text' END, CASE WHEN nn <> '' THEN 'new numbers ' || nn END, CASE WHEN nt <> '' THEN 'new tools ' || nt END, CASE WHEN length(c) > 260 THEN 'too long' END], lambda x: x IS NOT NULL) AS p FROM z)
-SELECT doc_id, array_to_string(p, '|') AS problems, CASE WHEN len(p) > 0 THEN source ELSE c END AS final FROM y""")
-def _(s: Source):
+CHECKED = f"""WITH {PAIRS}, q AS (SELECT doc_id, source, trim(coalesce(candidate, '')) AS c FROM pr), z AS (SELECT *, {_new(_NUMS)} AS nn, {_new(_WORDS)} AS nt FROM q),
+y AS (SELECT *, list_filter([CASE WHEN source IS NULL THEN 'unknown source' END, CASE WHEN c = '' THEN 'empty text' END, CASE WHEN nn <> '' THEN 'new numbers ' || nn END, CASE WHEN nt <> '' THEN 'new tools ' || nt END, CASE WHEN length(c) > 260 THEN 'too long' END], lambda x: x IS NOT NULL) AS p FROM z)"""
+
+
+def _checked(s: Source):
+    """Each document against the one before."""
     d = s["documents"]
     prev = d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("source_text"))
-    rows = d.select("doc_id", F.col("text").alias("candidate")).join(prev, "doc_id", "left")
-    return text_dates(v.check_texts(rows, "candidate", "source_text", TOOLS).select("doc_id", "problems", "final"))
+    return v.check_texts(d.select("doc_id", F.col("text").alias("candidate")).join(prev, "doc_id", "left"), "candidate", "source_text", TOOLS, key="doc_id")
 
 
-@query("validate_log", f"""WITH {PAIRS}, q AS (SELECT doc_id, source, trim(coalesce(candidate, '')) AS c FROM pr) SELECT doc_id, 'too long' AS problem FROM q WHERE length(c) > 260 UNION ALL SELECT doc_id, 'unknown source' FROM q WHERE source IS NULL""")
+@query("validate_text", f"{CHECKED} SELECT doc_id, array_to_string(p, '|') AS problems, CASE WHEN len(p) > 0 THEN source ELSE c END AS final FROM y")
 def _(s: Source):
-    d = s["documents"]
-    prev = d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("source_text"))
-    rows = v.check_texts(d.select("doc_id", F.col("text").alias("candidate")).join(prev, "doc_id", "left"), "candidate", "source_text", TOOLS)
-    return v.violations(rows, "doc_id").where(F.col("problem").isin("too long", "unknown source"))
+    return text_dates(_checked(s).select("doc_id", "problems", "final"))
+
+
+@query("validate_log", f"{CHECKED} SELECT doc_id, unnest(p) AS problem FROM y")
+def _(s: Source):
+    return v.violations(_checked(s), "doc_id")
+
+
+HEAD = "CASE event_id % 5 WHEN 0 THEN 'Senior data engineer' WHEN 1 THEN 'Lead Architect, data' WHEN 2 THEN '  ' WHEN 3 THEN repeat('engineer ', 14) ELSE 'data engineer' END"
+_RANKS = "[" + ", ".join(f"'{w}'" for w in v.RANKS) + "]"
+
+
+@query("check_headlines", f"""WITH e AS (SELECT event_id, user_id, {HEAD} AS h, CASE WHEN event_type = 'view' THEN 'senior engineer' ELSE 'engineer' END AS t FROM {{events}}),
+z AS (SELECT *, array_to_string(list_sort(list_filter({_RANKS}, lambda w: list_contains(regexp_split_to_array(lower(h), '[^a-z]+'), w) AND NOT list_contains(regexp_split_to_array(lower(t), '[^a-z]+'), w))), ', ') AS up FROM e),
+y AS (SELECT *, list_filter([CASE WHEN trim(h) = '' THEN 'empty' END, CASE WHEN up <> '' THEN 'inflated title ' || up END, CASE WHEN length(h) > 110 THEN 'too long' END], lambda x: x IS NOT NULL) AS p FROM z)
+SELECT event_id, user_id, array_to_string(p, '|') AS problems, CASE WHEN len(p) > 0 THEN t ELSE h END AS final FROM y""")
+def _(s: Source):
+    k = F.col("event_id") % 5
+    head = F.when(k == 0, "Senior data engineer").when(k == 1, "Lead Architect, data").when(k == 2, "  ").when(k == 3, F.repeat(F.lit("engineer "), F.lit(14))).otherwise("data engineer")
+    rows = s["events"].select("event_id", "user_id", head.alias("h"), F.when(F.col("event_type") == "view", "senior engineer").otherwise("engineer").alias("t"))
+    return text_dates(v.check_headlines(rows, "h", "t").select("event_id", "user_id", "problems", "final"))
+
+
+# The whole market vocabulary as a table, over all texts, each with one of its spellings added.
+MARKET = sorted(vocabulary.spellings().items())
+
+
+@query("market_mentions", f"""WITH v AS (SELECT unnest([{', '.join("'" + a + "'" for a, _ in MARKET)}]) AS term, unnest([{', '.join("'" + b + "'" for _, b in MARKET)}]) AS name),
+d AS (SELECT doc_id, ' ' || regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g') || ' ' || (SELECT term FROM (SELECT term, row_number() OVER (ORDER BY term) - 1 AS r FROM v) WHERE r = doc_id % {len(MARKET)}) || ' ' AS t FROM {{documents}})
+SELECT DISTINCT doc_id, name AS term FROM d JOIN v ON contains(t, term) AND regexp_matches(t, '(^|[^a-z0-9])' || regexp_escape(term) || '($|[^a-z0-9])')""")
+def _(s: Source):
+    known = vocabulary.market_table(s.spark)
+    ordered = known.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("r"))
+    d = s["documents"].withColumn("r", F.col("doc_id") % len(MARKET)).join(ordered, "r")
+    return t.mentions(d.select("doc_id", F.concat_ws(" ", "text", "term").alias("text")), "doc_id", "text", known)
 
 
 @query("inflation", """SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 AND event_type <> 'view' THEN 'senior' ELSE '' END AS inflated FROM {events}""")
