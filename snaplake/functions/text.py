@@ -8,6 +8,7 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,19 +73,25 @@ def with_alias(column: str | Column, aliases: Mapping[str, str]) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv]), c), c)
 
 
+def squeezed(column: str | Column) -> Column:
+    return F.btrim(F.regexp_replace(F.lower(column), r"(?U)\s+", " "))
+
+
 def pieces(column: str | Column) -> Column:
     """A lowered text, blanks squeezed, as words of ``a-z0-9`` and what stands between them, in turn."""
-    squeezed = F.btrim(F.regexp_replace(F.lower(column), r"(?U)\s+", " "))
-    return F.regexp_extract_all(squeezed, F.lit("[a-z0-9]+|[^a-z0-9]+"), F.lit(0))
+    return F.regexp_extract_all(squeezed(column), F.lit("[a-z0-9]+|[^a-z0-9]+"), F.lit(0))
 
 
 def vocabulary_table(spark: SparkSession, spellings: Mapping[str, str]) -> DataFrame:
-    """``term, name`` of each spelling: lower-case, blanks squeezed, starting and ending with a letter or digit."""
+    """``term, name`` of each spelling: lower-case, blanks squeezed, starting and ending with a letter or digit.
+
+    An Arrow table becomes a relation whose size Spark knows, so that it broadcasts a small vocabulary and shuffles a large one.
+    """
     for s in spellings:
         parts = re.findall("[a-z0-9]+|[^a-z0-9]+", s)
         if s != " ".join(s.lower().split()) or len(parts) % 2 == 0 or not parts[0].isalnum():
             raise ValueError(f"a spelling is lower-case and starts and ends with a letter or digit: {s!r}")
-    return spark.createDataFrame(list(spellings.items()), "term string, name string")
+    return spark.createDataFrame(pa.table({"term": pa.array(list(spellings), pa.string()), "name": pa.array(list(spellings.values()), pa.string())}))
 
 
 def vocabulary_of(spark: SparkSession, terms: Mapping[str, str] | DataFrame) -> tuple[DataFrame, list[int]]:
@@ -114,8 +121,12 @@ def _with_pieces(column: str | Column, use: Callable[[Column], Column]) -> Colum
 
 
 def grams(column: str | Column, sizes: Sequence[int]) -> Column:
-    """The distinct runs of words of a text in the given numbers of pieces."""
-    return _with_pieces(column, lambda cut: F.array_distinct(F.transform(_spans(cut, sizes), lambda s: s["term"])))
+    """The distinct runs of words of a text in the given numbers of pieces: a pattern for each number looks ahead from every word's start."""
+    runs = []
+    for n in sizes:
+        run = r"[a-z0-9]++" + r"[^a-z0-9]++[a-z0-9]++" * (n // 2)
+        runs.append(F.regexp_extract_all(squeezed(column), F.lit(run if n == 1 else f"(?<![a-z0-9])(?=({run}))"), F.lit(int(n > 1))))
+    return F.array_distinct(F.concat(*runs)) if runs else F.array().cast("array<string>")
 
 
 def canonical_terms(phrases: DataFrame, column: str, vocabulary: Sequence[str] | DataFrame, aliases: Mapping[str, str] | None = None) -> DataFrame:
@@ -128,7 +139,7 @@ def canonical_terms(phrases: DataFrame, column: str, vocabulary: Sequence[str] |
     spark = phrases.sparkSession
     spelled = vocabulary if isinstance(vocabulary, DataFrame) else {n: n for n in {*vocabulary, *(aliases or {}).values()}} | dict(aliases or {})
     known, sizes = vocabulary_of(spark, spelled)
-    low = F.btrim(F.regexp_replace(F.lower("phrase"), r"(?U)\s+", " "))
+    low = squeezed("phrase")
     rows = phrases.select(F.col(column).alias("phrase")).where(F.col("phrase").isNotNull()).distinct()
     found = rows.select("phrase", F.explode(_with_pieces("phrase", lambda cut: _spans(cut, sizes))).alias("s")).select("phrase", "s.*").join(known, "term")
     ranked = found.groupBy("phrase").agg(F.sort_array(F.collect_list(F.struct((-F.length("term")).alias("least"), "term", "at", "size", "name"))).alias("ranked"))

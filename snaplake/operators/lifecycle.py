@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 ATTRIBUTES = ("source", "company", "title", "location", "url")
@@ -19,11 +19,6 @@ def recency(loaded: str = "loaded_at", day: str = "snapshot_day", tiebreak: str
     return F.struct(loaded, day, tiebreak)
 
 
-def first_day(*texts: str) -> Column:
-    """The first string that is a date, or a timestamp whose date counts."""
-    return F.coalesce(*[c for t in texts for c in (F.col(t).try_cast("date"), F.col(t).try_cast("timestamp").cast("date"))])
-
-
 def latest_version(rows: DataFrame, key: str = "job_key", attributes: Sequence[str] = ATTRIBUTES, order: Column | None = None) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*attributes), order if order is not None else recency()).alias("v")).select(key, "v.*")
 
@@ -80,27 +75,56 @@ def flags(rules: Sequence[Rule]) -> Column:
     return F.filter(F.array(*[F.when(r.broken, F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
 
 
-def postings(rows: DataFrame, order: Column | None = None) -> DataFrame:
-    """One row per posting with lifetime, state, the length and version of the latest text, and flags.
+def summary(rows: DataFrame, order: Column | None = None) -> DataFrame:
+    """What is known of each posting from ``rows``, in a form that :func:`merged` can put together with what other rows say.
 
-    One shuffle by key gives everything: conditional aggregates stand for the second aggregate and its join.  Texts stay where
-    they are; :func:`with_texts` fetches those of the rows that are shown.
+    One aggregate, so one shuffle by key: the latest attributes and the latest full version each with their place in the order, the days (one value
+    each), and the last day on a board.
     """
     order = order if order is not None else recency()
     full = ~F.col("fetch_mode").eqNullSafe("seen")
-    one = rows.groupBy("job_key").agg(
-        F.max_by(F.struct(*ATTRIBUTES), order).alias("v"),
+    text = F.struct(F.length("raw_text").alias("text_chars"), "posted_at", order.alias("text_version"))
+    return rows.groupBy("job_key").agg(
+        F.max_by(F.struct(F.struct(*ATTRIBUTES).alias("v"), order.alias("version")), order).alias("latest"),
+        F.max_by(text, F.when(full, order)).alias("f"),
         F.min("snapshot_day").alias("first_seen"),
         F.max("snapshot_day").alias("last_seen"),
-        F.count_distinct("snapshot_day").alias("days_seen"),
-        F.max_by(F.struct(F.length("raw_text").alias("text_chars"), "posted_at", order.alias("text_version")), F.when(full, order)).alias("f"),
+        F.collect_set("snapshot_day").alias("days"),
         F.max(F.when(full, F.col("snapshot_day"))).alias("last_full_fetch"),
+        F.max(F.when(F.col("source") != "manual", F.col("snapshot_day"))).alias("board_day"),
+    )
+
+
+def merged(state: DataFrame, more: DataFrame) -> DataFrame:
+    """Two summaries as the summary of all their rows, whichever came first."""
+    both = state.unionByName(more)
+    return both.groupBy("job_key").agg(
+        F.max_by("latest", "latest.version").alias("latest"),
+        F.max_by("f", "f.text_version").alias("f"),
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        F.array_distinct(F.flatten(F.collect_list("days"))).alias("days"),
+        F.max("last_full_fetch").alias("last_full_fetch"),
+        F.max("board_day").alias("board_day"),
     )
-    wide = one.crossJoin(F.broadcast(latest_board_day(rows))).select("job_key", "v.*", "first_seen", "last_seen", "days_seen", "f.text_chars", "f.text_version", F.left("f.posted_at", F.lit(10)).try_cast("date").alias("posted_date"), "last_full_fetch", "board_day")
+
+
+def from_summary(one: DataFrame, board: DataFrame | None = None) -> DataFrame:
+    """Postings with state and flags; ``board`` is the one row of the latest day on a board, by default the summary's."""
+    board = board if board is not None else one.agg(F.max("board_day").alias("board_day"))
+    wide = one.drop("board_day").crossJoin(F.broadcast(board)).select("job_key", "latest.v.*", "first_seen", "last_seen", F.size("days").cast("long").alias("days_seen"), "f.text_chars", "f.text_version", F.left("f.posted_at", F.lit(10)).try_cast("date").alias("posted_date"), "last_full_fetch", "board_day")
     wide = wide.withColumn("is_open", is_open()).drop("board_day")
     return wide.withColumns({"dq_errors": flags(error_rules(chars=F.col("text_chars"))), "dq_warnings": flags(warning_rules())})
 
 
+def postings(rows: DataFrame, order: Column | None = None) -> DataFrame:
+    """One row per posting with lifetime, state, the length and version of the latest text, and flags.
+
+    One shuffle by key gives everything.  Texts stay where they are; :func:`with_texts` fetches those of the rows that are shown.
+    """
+    return from_summary(summary(rows, order), latest_board_day(rows))
+
+
 def with_texts(found: DataFrame, rows: DataFrame, order: Column | None = None) -> DataFrame:
     """Postings with ``raw_text`` in place of ``text_version``: one text of each posting is moved, whatever the days it was seen.
 
@@ -139,6 +163,16 @@ def expectation_counts(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return one.select("total", F.explode(pairs).alias("x")).select("x.rule", "x.failed", "total")
 
 
+def observed(rows: DataFrame, warn: Sequence[Rule], drop: Sequence[Rule] = ()) -> tuple[DataFrame, Observation]:
+    """``rows`` to write, without those that break a rule of ``drop``, and what the write will have seen: ``total`` and the failures of every rule.
+
+    The counts come from the write's own pass over the rows.  A condition that is null counts as kept.
+    """
+    seen = Observation()
+    counts = [F.count_if(F.coalesce(r.broken, F.lit(False))).alias(r.name) for r in (*warn, *drop)]
+    return drop_failing(rows.observe(seen, F.count("*").alias("total"), *counts), drop), seen
+
+
 def drop_failing(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Rows that break no rule; a condition that is null keeps the row."""
     for r in rules:

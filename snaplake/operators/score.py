@@ -64,6 +64,11 @@ def rounded(x: Column, places: int) -> Column:
     return F.round(x.cast("decimal(18,9)"), places).cast("double")
 
 
+def average(x: str, places: int) -> Column:
+    """The mean, half up; sums of decimals don't depend on their order."""
+    return F.round(F.avg(F.col(x).cast("decimal(18,6)")), places).cast("double")
+
+
 def fit(skills: DataFrame, meta: DataFrame, profile: Profile) -> DataFrame:
     """Score, recommendation, parts and skill lists of each posting of ``skills`` (``job_key, requirement, skill, place``, distinct by the first three).
 

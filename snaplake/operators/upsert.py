@@ -106,24 +106,45 @@ def publish(rows: DataFrame, root: str, version: str, form: str = "parquet") ->
     The pointer is a log of one-row files, numbered in the order of publication, and is written after the version is whole, so a
     reader sees the old or the new.  One writer publishes at a time.
     """
-    root, spark = root.rstrip("/"), rows.sparkSession
+    root = root.rstrip("/")
     path = f"{root}/versions/{version}"
     rows.write.mode("errorifexists").format(form).save(path)
+    _point(rows.sparkSession, root, version, form)
+    return path
+
+
+def publish_set(results: Mapping[str, DataFrame], root: str, version: str, form: str = "parquet") -> dict[str, str]:
+    """Write several results as one version: the pointer moves once, when all are whole, so no reader mixes versions."""
+    root = root.rstrip("/")
+    paths = {name: f"{root}/versions/{version}/{name}" for name in results}
+    for name, rows in results.items():
+        rows.write.mode("errorifexists").format(form).save(paths[name])
+        spark = rows.sparkSession
+    if paths:
+        _point(spark, root, version, form)
+    return paths
+
+
+def _point(spark: SparkSession, root: str, version: str, form: str) -> None:
+    seq = (last["seq"] if (last := last_published(spark, root)) else 0) + 1
+    spark.createDataFrame([(seq, version, form)], POINTER).coalesce(1).write.mode("append").json(f"{root}/pointer")
+
+
+def last_published(spark: SparkSession, root: str) -> Row | None:
+    """``seq, version, form`` of the version published last, if there is one."""
     try:
-        last = _last(spark, root)["seq"]
+        return _last(spark, root.rstrip("/"))
     except AnalysisException:  # nothing is published yet
-        last = 0
-    spark.createDataFrame([(last + 1, version, form)], POINTER).coalesce(1).write.mode("append").json(f"{root}/pointer")
-    return path
+        return None
 
 
 def _last(spark: SparkSession, root: str) -> Row:
     return spark.read.schema(POINTER).json(f"{root}/pointer").orderBy(F.desc("seq")).first()
 
 
-def published(spark: SparkSession, root: str, schema: str | None = None) -> DataFrame:
-    """The version published last, whatever its name; ``schema`` keeps columns that JSON leaves out where they are null."""
+def published(spark: SparkSession, root: str, schema: str | None = None, part: str | None = None) -> DataFrame:
+    """The version published last, whatever its name, or one ``part`` of it; ``schema`` keeps columns that JSON leaves out where they are null."""
     root = root.rstrip("/")
     last = _last(spark, root)
     reader = spark.read.schema(schema) if schema else spark.read
-    return reader.format(last["form"]).load(f"{root}/versions/{last['version']}")
+    return reader.format(last["form"]).load("/".join([root, "versions", last["version"], *([part] if part else [])]))

@@ -28,11 +28,12 @@ def _new_facts(rows: DataFrame, key: str, text: str, source: str, tools: Mapping
     Runs of words of both texts meet the vocabulary in one join; what stands in both is told apart by aggregation.
     """
     known, sizes = vocabulary_of(rows.sparkSession, tools)
-    fact = lambda kind, own: lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(own).alias("own"), x.alias("term"))
-    items = [F.transform(grams(text, sizes), fact("word", True)), F.transform(grams(source, sizes), fact("word", False)), F.transform(numbers(text), fact("number", True)), F.transform(numbers(source), fact("number", False))]
+    part = lambda kind, own, c: F.struct(F.lit(kind).alias("kind"), F.lit(own).alias("own"), F.col(c).alias("text"))
+    parts = rows.select(key, F.explode(F.array(*[part(kind, own, c) for kind in ("word", "number") for own, c in ((True, text), (False, source))])).alias("p")).select(key, "p.*")
+    facts = parts.select(key, "kind", "own", F.explode(F.when(F.col("kind") == "word", grams("text", sizes)).otherwise(numbers("text"))).alias("term"))
     if tags is not None:
-        items.append(F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: fact("tag", False)(tidy(t))))
-    facts = rows.select(key, F.explode(F.concat(*items)).alias("f")).select(key, "f.*").join(known.withColumnRenamed("term", "__term"), (F.col("kind") != "number") & (F.col("term") == F.col("__term")), "left")
+        facts = facts.unionByName(rows.select(key, F.lit("tag").alias("kind"), F.lit(False).alias("own"), F.explode(tags).alias("term")).withColumn("term", tidy("term")))
+    facts = facts.join(known.withColumnRenamed("term", "__term"), (F.col("kind") != "number") & (F.col("term") == F.col("__term")), "left")
     facts = facts.where((F.col("kind") != "word") | F.col("name").isNotNull()).withColumn("name", F.coalesce("name", "term"))
     number = F.col("kind") == "number"
     new = facts.groupBy(key, number.alias("number"), "name").agg(F.bool_and("own").alias("new")).where("new")

@@ -10,12 +10,12 @@ from pyspark.sql import types as T
 
 from snaplake.operators import lifecycle as lc
 from snaplake.sources import landing as contract
-from snaplake.streaming import bronze
+from snaplake.streaming import bronze, state
 
 
 @dataclass(frozen=True)
 class Day:
-    """What a run leaves: bronze and the audit as tables, the rest as plans over bronze."""
+    """What a run leaves: bronze, the audit and the state of postings as tables, the rest as plans over them."""
 
     bronze: DataFrame
     runs: DataFrame
@@ -26,7 +26,7 @@ class Day:
 
 
 def run(spark: SparkSession, landing: str, run_landing: str, warehouse: str, posting: T.StructType = contract.POSTING, audit: T.StructType = contract.RUN) -> Day:
-    """Stream what has landed since the last run and rebuild everything after it from the whole of bronze.
+    """Stream what has landed since the last run, and bring the state of the postings up to date with that alone.
 
     A day that lands late extends the lifetime of its postings, and as it was loaded last its attributes count as the latest.
     """
@@ -34,6 +34,6 @@ def run(spark: SparkSession, landing: str, run_landing: str, warehouse: str, pos
     rows = bronze.ingest_postings(spark, landing, f"{root}/bronze", f"{root}/bronze-checkpoint", posting)
     runs = bronze.ingest_runs(spark, run_landing, f"{root}/runs", f"{root}/runs-checkpoint", audit)
     order = F.struct("loaded_at", "snapshot_day", "source_file", "job_key")
-    every = lc.postings(rows, order)
+    every = lc.from_summary(state.follow(spark, f"{root}/bronze", f"{root}/postings", f"{root}/postings-checkpoint", order))
     good = lc.clean(every)
     return Day(rows, runs, every, good, lc.quarantine(every), lc.daily_activity(rows, good))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snaplake.operators import rules
+from snaplake.operators.score import average
 
 
 @dataclass(frozen=True)
@@ -74,7 +75,7 @@ def job_market(market: DataFrame, as_of: Column) -> MetricView:
         "best_fit_score": F.max("fit_score"),
         "older_open_postings": count_where(c("is_open") & (c("days_since_posted") > 30)),
         "strong_fit_rate": ratio(count_where(applies), count_where(enriched)),
-        "avg_fit_score": F.round(F.avg("fit_score"), 1),
+        "avg_fit_score": average("fit_score", 1),
         "median_years_required": F.percentile("years_required", 0.5),
         "companies": distinct_where("company"),
         "source_platforms": distinct_where("source", c("source") != "manual"),

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snaplake.operators.upsert import publish
+from snaplake.operators.upsert import publish_set
 from snaplake.plans import metrics
 from snaplake.plans.quality_gate import gate_state, require_passed
 
@@ -74,9 +74,9 @@ def results(market: DataFrame, demand: DataFrame, days: DataFrame, checks: DataF
 
 
 def export(results: Mapping[str, DataFrame], gate: DataFrame, root: str, version: str) -> dict[str, str]:
-    """Write each named result as a JSON version and point to it, unless the gate is shut."""
+    """Write the named results as one JSON version and point to it, unless the gate is shut."""
     require_passed(gate)
-    return {name: publish(rows, f"{root.rstrip('/')}/{name}", version, "json") for name, rows in results.items()}
+    return publish_set(results, root, version, "json")
 
 
 def first_k(rows: DataFrame, group: str, k: int, *order: Column) -> DataFrame:

@@ -11,7 +11,9 @@ from snaplake.operators import rules
 from snaplake.plans import quality_gate as gate
 from snaplake.operators.upsert import published
 from snaplake.queries.registry import Source, query, text_dates
+from snaplake.sources.landing import snapshot_day
 from snaplake.storage import new_path
+from snaplake.streaming import state
 
 ORDER = "loaded_at DESC, snapshot_day DESC, seq DESC"
 V = f"v AS (SELECT * FROM {{snap}} QUALIFY row_number() OVER (PARTITION BY job_key ORDER BY {ORDER}) = 1)"
@@ -98,7 +100,41 @@ def _(s: Source):
 @query("snapshot_day", "SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM {events}")
 def _(s: Source):
     texts = s["events"].select("event_id", F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd")).otherwise("soon").alias("a"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("b"))
-    return text_dates(texts.select("event_id", lc.first_day("a", "b").alias("day")))
+    return text_dates(texts.select("event_id", snapshot_day("a", "b").alias("day")))
+
+
+DROPPED = "title IS NULL OR trim(title) = ''"
+
+
+@query("expectations_written", f"""WITH {DOCS}, k AS (SELECT * FROM p WHERE NOT coalesce({DROPPED}, false)) SELECT 'missing_company' AS rule, count(*) FILTER (company IS NULL OR trim(company) = '') AS failed, count(*) AS total, (SELECT count(*) FROM k) AS written FROM p
+  UNION ALL SELECT 'short_description', count(*) FILTER (raw_text IS NULL OR length(raw_text) < 200), count(*), (SELECT count(*) FROM k) FROM p UNION ALL SELECT 'missing_title', count(*) FILTER ({DROPPED}), count(*), (SELECT count(*) FROM k) FROM p""")
+def _(s: Source):
+    """Rows are written without those that have no title; the counts of all rules are what that write saw."""
+    errors = {r.name: r for r in lc.error_rules()}
+    drop = [errors.pop("missing_title")]
+    rows, seen = lc.observed(_docs(s), list(errors.values()), drop)
+    path = new_path(s.spark, "expected")
+    rows.write.parquet(path)
+    counts = s.spark.createDataFrame([(k, n) for k, n in seen.get.items() if k != "total"], "rule string, failed long")
+    return counts.withColumn("total", F.lit(seen.get["total"])).crossJoin(s.spark.read.parquet(path).agg(F.count("*").alias("written")))
+
+
+LATE = ALL.replace(ORDER, "(seq % 3 = 0) DESC, snapshot_day DESC, seq DESC")
+
+
+@query("late_load", f"WITH {LATE} SELECT {SHOW.replace('raw_text, ', 'length(raw_text) AS text_chars, ', 1)} FROM allp")
+def _(s: Source):
+    """A third of the rows lands after the others, whatever their days, and so is newer; the state follows, and a batch that comes twice counts once."""
+    table, root, checkpoint = (new_path(s.spark, n) for n in ("late-bronze", "late-state", "late-checkpoint"))
+    rows = s["snap"].withColumn("load", (F.col("seq") % 3 == 0).cast("int"))
+    order = lc.recency("load")
+    for load in (0, 1):
+        rows.where(F.col("load") == load).write.mode("append").parquet(table)
+        state.follow(s.spark, table, root, checkpoint, order)
+    if state.apply_batch(rows, 0, root, order):
+        raise AssertionError("a batch was applied twice")
+    out = lc.from_summary(state.follow(s.spark, table, root, checkpoint, order))
+    return text_dates(out.withColumn("text_chars", F.col("text_chars").cast("long")).drop("text_version"))
 
 
 ACTIVITY = """daily AS (SELECT b.snapshot_day, b.company, count(DISTINCT b.job_key) AS open_postings, count(DISTINCT CASE WHEN g.first_seen = b.snapshot_day THEN b.job_key END) AS new_postings

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from snaplake.operators import lifecycle as lc
+from snaplake.operators.score import average
 from snaplake.plans import market as mk
 from snaplake.plans import metrics, snapshot
 from snaplake.queries import scoring
 from snaplake.queries.lifecycle import ACTIVITY, ALL
-from snaplake.queries.registry import Source, query, text_dates
+from snaplake.queries.registry import Source, mean_1, query, text_dates
 
 _L = "lower({c})"
 
@@ -42,7 +43,7 @@ MEASURES = {
     "postings": "count(*)", "open_postings": "count(*) FILTER (is_open)", "enriched_postings": "count(*) FILTER (is_enriched)", "enrichment_coverage": "count(*) FILTER (is_enriched) / nullif(count(*), 0)",
     "strong_fit_postings": "count(*) FILTER (recommendation = 'APPLY')", "stretch_postings": "count(*) FILTER (recommendation = 'STRETCH')", "companies_with_strong_fit": "count(DISTINCT company) FILTER (recommendation = 'APPLY')",
     "new_this_week": "count(*) FILTER (first_seen >= (SELECT as_of FROM today) - INTERVAL 7 DAY)", "best_fit_score": "max(fit_score)", "older_open_postings": "count(*) FILTER (is_open AND days_since_posted > 30)",
-    "strong_fit_rate": "count(*) FILTER (recommendation = 'APPLY') / nullif(count(*) FILTER (is_enriched), 0)", "avg_fit_score": "round(avg(fit_score), 1)", "median_years_required": "quantile_cont(years_required, 0.5)",
+    "strong_fit_rate": "count(*) FILTER (recommendation = 'APPLY') / nullif(count(*) FILTER (is_enriched), 0)", "avg_fit_score": mean_1("fit_score"), "median_years_required": "quantile_cont(years_required, 0.5)",
     "companies": "count(DISTINCT company)", "source_platforms": "count(DISTINCT source) FILTER (source <> 'manual')", "largest_company_share": "count(*) FILTER (from_largest_company) / nullif(count(*), 0)",
 }
 
@@ -134,19 +135,50 @@ def _(s: Source):
     return snapshot.sources(market(s), s.as_of())
 
 
-@query("snapshot_export", f"WITH {MARKET} SELECT city, count(*) AS open_postings FROM market WHERE is_open GROUP BY city")
-def _(s: Source):
-    """The whole snapshot behind the gate, and one of its sets read back."""
-    from snaplake.operators.upsert import published
+def _exported(s: Source, log, root: str, version: str) -> None:
+    """The whole snapshot behind the gate."""
     from snaplake.plans.quality_gate import gate_state
-    from snaplake.storage import new_path, stored
+    from snaplake.storage import stored
 
-    root, log = new_path(s.spark, "snapshot"), s["checks"].where("passed")
     demand, snap = scoring.market_demand(s).withColumn("job_key", F.col("job_key").cast("string")), s["snap"]
     # nine sets are cut from these three, which are made once
     view, demand, days = stored(market(s), "market"), stored(demand, "demand"), stored(lc.daily_activity(snap, lc.clean(lc.postings(snap))), "days")
-    snapshot.export(snapshot.results(view, demand, days, log, s.as_of(), {"tools": ["rod"], "parts": ["hot", "gear"]}), gate_state(log, F.desc("checked_at")), root, "v1")
-    return published(s.spark, f"{root}/cities").select("city", "open_postings")
+    snapshot.export(snapshot.results(view, demand, days, log, s.as_of(), {"tools": ["rod"], "parts": ["hot", "gear"]}), gate_state(log, F.desc("checked_at")), root, version)
+
+
+def _next_run(log, passed: bool):
+    """The log with one more run of each check, a day after its newest row."""
+    newest = log.groupBy("check_name").agg((F.max("checked_at") + F.expr("INTERVAL 1 DAY")).alias("checked_at"), F.max("seq").alias("seq"), F.lit(0.0).alias("value"), F.lit(passed).alias("passed"), F.bool_or("blocking").alias("blocking"))
+    return log.unionByName(newest)
+
+
+@query("snapshot_export", f"WITH {MARKET} SELECT 'cities' AS part, city AS name, count(*) AS n FROM market WHERE is_open GROUP BY city UNION ALL SELECT 'sources', source_platform, count(*) FROM market WHERE is_open AND source_platform <> 'Pasted JD' GROUP BY source_platform")
+def _(s: Source):
+    """A log whose newest run passes, though earlier ones did not: two of the nine sets, read back through their pointer."""
+    from snaplake.operators.upsert import published
+    from snaplake.storage import new_path
+
+    root = new_path(s.spark, "snapshot")
+    _exported(s, _next_run(s["checks"], True), root, "v1")
+    part = lambda p, name: published(s.spark, root, part=p).select(F.lit(p).alias("part"), F.col(name).alias("name"), F.col("open_postings").alias("n"))
+    return part("cities", "city").unionByName(part("sources", "source_platform"))
+
+
+@query("snapshot_refused", "SELECT count(*) AS failed_blocking, 'v1' AS version, 1 AS published FROM (SELECT check_name FROM {checks} GROUP BY check_name HAVING bool_or(blocking))")
+def _(s: Source):
+    """After a version is out, the newest run of every check fails: nothing is published, and readers keep what they have."""
+    from snaplake.operators.upsert import last_published
+    from snaplake.plans.quality_gate import gate_state
+    from snaplake.storage import new_path
+
+    root, good, bad = new_path(s.spark, "refused"), _next_run(s["checks"], True), _next_run(s["checks"], False)
+    snapshot.export({"quality": gate_state(good, F.desc("checked_at"))}, gate_state(good, F.desc("checked_at")), root, "v1")
+    try:
+        _exported(s, bad, root, "v2")
+    except RuntimeError:
+        last = last_published(s.spark, root)
+        return gate_state(bad, F.desc("checked_at")).select("failed_blocking", F.lit(last["version"]).alias("version"), F.lit(last["seq"]).cast("int").alias("published"))
+    raise AssertionError("published in spite of failed checks")
 
 
 ROLES = "job_key, company, title, city, round(fit_score) AS fit_score, recommendation, url"
@@ -176,9 +208,9 @@ def _(s: Source):
     return mk.largest_group(lc.clean(lc.postings(s["snap"])), "company", F.col("is_open"))
 
 
-@query("fit_summary", f"WITH {MARKET} SELECT recommendation, count(*) AS postings, round(avg(fit_score), 1) AS avg_score, max(fit_score) AS best FROM market WHERE is_enriched GROUP BY recommendation")
+@query("fit_summary", f"WITH {MARKET} SELECT recommendation, count(*) AS postings, {mean_1("fit_score")} AS avg_score, max(fit_score) AS best FROM market WHERE is_enriched GROUP BY recommendation")
 def _(s: Source):
-    return market(s).where("is_enriched").groupBy("recommendation").agg(F.count("*").alias("postings"), F.round(F.avg("fit_score"), 1).alias("avg_score"), F.max("fit_score").alias("best"))
+    return market(s).where("is_enriched").groupBy("recommendation").agg(F.count("*").alias("postings"), average("fit_score", 1).alias("avg_score"), F.max("fit_score").alias("best"))
 
 
 @query("mv_skill_demand", f"WITH {scoring.DEMAND} SELECT skill, skill_status, count(DISTINCT job_key) AS postings_asking, count(DISTINCT job_key) FILTER (requirement = 'must') AS must_have_postings FROM demand GROUP BY ALL")

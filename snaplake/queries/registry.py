@@ -58,3 +58,8 @@ def text_dates(rows: DataFrame) -> DataFrame:
         elif kind == "array":
             out[f.name] = F.array_join(f.name, "|")
     return rows.withColumns(out) if out else rows
+
+
+def mean_1(c: str) -> str:
+    """SQL of a mean to one place, half up, in whole numbers (values of at least 0 with up to six places)."""
+    return f"(2 * sum(CAST(round({c} * 1000000) AS HUGEINT)) + 100000 * count({c})) // (200000 * count({c})) / 10"

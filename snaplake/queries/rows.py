@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from snaplake.operators import rules as r
-from snaplake.queries.registry import Source, query, text_dates
+from snaplake.operators.score import average
+from snaplake.queries.registry import Source, mean_1, query, text_dates
 
 
 def _sql_cases(column: str, cases, end: str) -> str:
@@ -106,6 +107,6 @@ def _(s: Source):
     return text_dates(s["pages"].select("page_id", F.array_distinct(F.split("url", "/")).alias("parts")))
 
 
-@query("reason_counts", "SELECT event_type, count(*) AS n, round(avg(value), 1) AS avg_value, max(value) AS best, count(*) FILTER (value > 50) AS high FROM {events} GROUP BY event_type")
+@query("reason_counts", f"SELECT event_type, count(*) AS n, {mean_1('value')} AS avg_value, max(value) AS best, count(*) FILTER (value > 50) AS high FROM {{events}} GROUP BY event_type")
 def _(s: Source):
-    return s["events"].groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 1).alias("avg_value"), F.max("value").alias("best"), F.count_if(F.col("value") > 50).alias("high"))
+    return s["events"].groupBy("event_type").agg(F.count("*").alias("n"), average("value", 1).alias("avg_value"), F.max("value").alias("best"), F.count_if(F.col("value") > 50).alias("high"))

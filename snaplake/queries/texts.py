@@ -74,7 +74,7 @@ def _(s: Source):
 PAIRS = "pr AS (SELECT a.doc_id, a.text AS candidate, b.text AS source FROM {documents} a LEFT JOIN {documents} b ON a.doc_id - 1 = b.doc_id)"
 TOOLS = {"token": "token", "mail": "mail", "the": "the", "license": "license", "und": "und", "que": "que", "de la": "de la", "public license": "license", "by-nc": "by-nc"}
 _NUMS = "list_distinct(regexp_extract_all({c}, '[0-9]+(?:\\.[0-9]+)?'))"
-_WORDS = "list_distinct(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(regexp_replace(lower({{c}}), '\\s+', ' ', 'g'), '(^|[^a-z0-9]){k}($|[^a-z0-9])') THEN '{n}' END" for k, n in TOOLS.items()) + "], lambda w: w IS NOT NULL))"
+_WORDS = "list_distinct(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(regexp_replace(lower({{c}}), '\\\\s+', ' ', 'g'), '(^|[^a-z0-9]){k}($|[^a-z0-9])') THEN '{n}' END" for k, n in TOOLS.items()) + "], lambda w: w IS NOT NULL))"
 
 
 def _new(f: str) -> str:
