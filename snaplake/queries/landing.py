@@ -130,3 +130,36 @@ def _(s: Source):
 def _(s: Source):
     item = _named(Id=F.col("doc_id").cast("string"), Title=F.concat(F.lit("T"), "doc_id"), PrimaryLocation="Pune", ExternalPostedStartDate=F.concat(F.col("day").cast("string"), F.lit("T10:00:00+00:00")), ExternalDescriptionStr=MARKUP, ExternalResponsibilitiesStr=F.col("n"))
     return _records(_responses(s, _named(items=F.array(item, item))), payloads.ORACLE)
+
+
+#: Facets of one to twelve groups in groups; a third of them name the country itself.  ``<`` and ``>`` stand for braces.
+FACETS = """translate(concat('<"facets": [<"facetParameter": "top", "values": [', repeat('<"facetParameter": "in", "descriptor": "group", "values": [', CAST(page_id % 12 AS INT)),
+  '<"descriptor": "Pune, India", "id": "a', page_id, '">', CASE WHEN page_id % 3 = 0 THEN concat(', <"descriptor": " INDIA", "id": "c', page_id, '">') ELSE '' END, ', <"descriptor": "Goa (India)", "id": "b', page_id, '">, <"descriptor": "Indiana", "id": "d">',
+  repeat(']>', CAST(page_id % 12 AS INT)), ']>]>'), '<>', concat(chr(123), chr(125)))"""
+_OPENED = "unnest(CAST(x AS JSON[])) AS y, generate_subscripts(CAST(x AS JSON[]), 1) AS i"
+
+
+@query("facets", f"""WITH RECURSIVE top AS (SELECT page_id, unnest(CAST(json_extract({FACETS}, '$.facets') AS JSON[])) AS f FROM {{pages}}),
+v AS (SELECT page_id, json_extract_string(f, '$.facetParameter') AS parameter, [0] AS place, json_extract(f, '$.values') AS x FROM top
+  UNION ALL SELECT page_id, json_extract_string(y, '$.facetParameter'), list_append(place, CAST(i AS INTEGER)), json_extract(y, '$.values') FROM (SELECT page_id, place, {_OPENED} FROM v) WHERE json_extract(y, '$.values') IS NOT NULL),
+leaf AS (SELECT page_id, parameter, list_append(place, CAST(i AS INTEGER)) AS place, json_extract_string(y, '$.descriptor') AS name, json_extract_string(y, '$.id') AS id FROM (SELECT page_id, parameter, place, {_OPENED} FROM v) WHERE json_extract(y, '$.values') IS NULL),
+m AS (SELECT *, lower(trim(name)) = 'india' AS exact FROM leaf WHERE regexp_matches(lower(name), '(^|[^a-z])india($|[^a-z])'))
+SELECT page_id, min(parameter) AS parameter, coalesce(min(id) FILTER (exact), string_agg(id, '|' ORDER BY place)) AS ids, max(len(place)) - 2 AS depth FROM m GROUP BY page_id""")
+def _(s: Source):
+    raw = s["pages"].select("page_id", F.col("page_id").cast("string").alias("company"), F.expr(FACETS).alias("body"))
+    places = payloads.facet_places(raw)
+    found = payloads.country_facets(raw, places=places)
+    depth = places.groupBy("company").agg((F.max(F.size("path")) - 2).cast("long").alias("depth"))
+    return text_dates(found.join(depth, "company").select(F.col("company").cast("long").alias("page_id"), "parameter", "ids", "depth"))
+
+
+DETAIL = """concat('<h1 itemprop="title"> Page  ', page_id, ' </h1><meta itemprop="addressLocality" content="', CASE WHEN page_id % 2 = 0 THEN 'Pune' ELSE '' END, '"><meta itemprop="addressCountry" content="', CASE WHEN page_id % 3 = 0 THEN 'IN' ELSE 'Norway' END,
+  '"><meta itemprop="datePosted" content="Tue Mar ', CASE WHEN page_id % 28 < 9 THEN '0' ELSE '' END, page_id % 28 + 1, ' 00:00:00 UTC 2026"><div><span class="jobdescription">', html, '</span></div>')"""
+
+
+@query("detail_pages", """SELECT substr(sha1(lower(concat('successfactors|c', page_id % 10, '|', page_id))), 1, 16) AS job_key, CAST(page_id AS VARCHAR) AS source_id, concat('Page ', page_id) AS title,
+  concat(CASE WHEN page_id % 2 = 0 THEN 'Pune, ' ELSE '' END, CASE WHEN page_id % 3 = 0 THEN 'India' ELSE 'Norway' END) AS location, concat('https://h.example/job/x/', page_id, '/') AS url,
+  concat('2026-03-', CASE WHEN page_id % 28 < 9 THEN '0' ELSE '' END, page_id % 28 + 1) AS posted_at FROM {pages}""")
+def _(s: Source):
+    raw = s["pages"].select(F.concat(F.lit("c"), F.col("page_id") % 10).alias("company"), F.lit("h.example").alias("host"), F.concat(F.lit("/job/x/"), "page_id", F.lit("/")).alias("path"), F.expr(DETAIL).alias("html"))
+    return payloads.detail_pages(raw).select("job_key", "source_id", "title", "location", "url", "posted_at")

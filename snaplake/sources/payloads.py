@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from snaplake.functions.text import html_to_text, html_to_texts, without_boilerplate
 from snaplake.operators.rules import place, stable_key, whole_word
+from snaplake.storage import Scratch
 
 FIELDS = ["job_key", "source", "source_id", "company", "title", "location", "url", "raw_text", "posted_at", "list_ref", "fetch_mode"]
 
@@ -160,31 +161,32 @@ def detail_pages(raw: DataFrame, countries: dict[str, str] | None = None) -> Dat
     return rows.select(stable_key("source", "company", "source_id").alias("job_key"), *FIELDS[1:9], F.col("source_id").alias("list_ref"), F.lit("full").alias("fetch_mode"))
 
 
-#: Groups of facets in groups that are looked into.
-FACET_DEPTH = 6
+def facet_places(raw: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """``company, path, parameter, name, id`` of every place in nested facets (``company, body``).
 
-
-def _facet_values(depth: int) -> str:
-    """The schema of a facet's values: places, or groups that have values themselves."""
-    inner = "" if depth == 0 else f", facetParameter: string, values: array<struct<{_facet_values(depth - 1)}>>"
-    return f"descriptor: string, id: string{inner}"
-
-
-def country_facets(raw: DataFrame, country: str = "India") -> DataFrame:
-    """``company, parameter, ids``: the value that is the country, else all values of the facet that holds most places in it.
-
-    A value that has values is a group, whose own parameter is theirs; groups nest up to ``FACET_DEPTH`` times.
+    A value that has values is a group, whose own parameter is theirs.  Bodies are parsed once; each round opens the groups that the last one has found and
+    writes what is in them, until there are none, so facets may nest to any depth.
     """
-    schema = f"facets array<struct<facetParameter: string, values: array<struct<{_facet_values(FACET_DEPTH)}>>>>"
-    level = raw.select("company", F.posexplode(F.from_json("body", schema)["facets"]).alias("p", "f")).select("company", F.array("p").alias("path"), F.col("f.facetParameter").alias("parameter"), F.col("f.values").alias("values"))
-    every = None
-    for depth in range(FACET_DEPTH + 1):
+    scratch = scratch or Scratch(raw.sparkSession)
+    of = lambda c, name, kind: F.try_variant_get(c, f"$.{name}", kind)
+    level = raw.select("company", F.posexplode(of(F.try_parse_json("body"), "facets", "array<variant>")).alias("p", "f"))
+    level = level.select("company", F.array("p").alias("path"), of(F.col("f"), "facetParameter", "string").alias("parameter"), of(F.col("f"), "values", "array<variant>").alias("values"))
+    places = None
+    while True:
         one = level.select("company", "path", "parameter", F.posexplode("values").alias("q", "v")).withColumn("path", F.concat("path", F.array("q")))
-        leaf = one if depth == FACET_DEPTH else one.where(F.col("v.values").isNull())
-        leaf = leaf.select("company", "path", "parameter", F.col("v.descriptor").alias("name"), F.col("v.id").alias("id"))
-        every = leaf if every is None else every.unionByName(leaf)
-        if depth < FACET_DEPTH:
-            level = one.where(F.col("v.values").isNotNull()).select("company", "path", F.col("v.facetParameter").alias("parameter"), F.col("v.values").alias("values"))
+        one = one.select("company", "path", "parameter", *[of(F.col("v"), n, "string").alias(n) for n in ("descriptor", "id", "facetParameter")], of(F.col("v"), "values", "array<variant>").alias("values"))
+        one = scratch.stored(one, "facets")
+        leaf = one.where(F.col("values").isNull()).select("company", "path", "parameter", F.col("descriptor").alias("name"), "id")
+        places = leaf if places is None else places.unionByName(leaf)
+        groups = one.where(F.col("values").isNotNull())
+        if groups.isEmpty():
+            return places
+        level = groups.select("company", "path", F.col("facetParameter").alias("parameter"), "values")
+
+
+def country_facets(raw: DataFrame, country: str = "India", places: DataFrame | None = None) -> DataFrame:
+    """``company, parameter, ids``: the value that is the country, else all values of the facet that holds most places in it.  ``places`` are those of ``raw``, if they are known."""
+    every = facet_places(raw) if places is None else places
     every = every.withColumn("exact", F.lower(F.btrim("name")) == country.lower()).where(F.col("exact") | whole_word("name", country))
     place = F.struct("path", "id")
     per = every.groupBy("company", "parameter").agg(F.count_if(~F.col("exact")).alias("n"), F.min("path").alias("first"), F.min(F.when(F.col("exact"), place)).alias("hit"), F.sort_array(F.collect_list(F.when(~F.col("exact"), place))).alias("places"))
