@@ -134,5 +134,5 @@ def test_odd_rows(odd, none):
     assert got.count() == odd.count()
     assert {(r["doc_id"], r["component_id"]) for r in got.where("n_shingles = 0").collect()} == {(2, 2), (3, 3), (4, 4)}
     out = nd.deduplicated(odd)
-    assert out.columns == odd.columns and sorted(r["doc_id"] or -1 for r in out.collect()) == [1, 2, 3, 4, 5, 6, 7]
+    assert out.columns == odd.columns and sorted(r["doc_id"] or -1 for r in out.collect()) == [1, 2, 3, 4, 5, 6, 7, 8]
     assert nd.near_duplicates(none).count() == 0 and nd.deduplicated(none).count() == 0
