@@ -64,14 +64,17 @@ def normalised(x: np.ndarray) -> np.ndarray:
 class Model:
     """Landmarks (features by landmark) and one weight a landmark and language."""
 
-    def __init__(self, texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
+    def __init__(self, texts: list[str] | np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
+        """``texts``, or a row of packed :func:`presence` for each."""
+        features = lambda at: np.unpackbits(texts[at], axis=1).astype(np.float32) if isinstance(texts, np.ndarray) else presence([texts[i] for i in at])
         self.languages = sorted(set(languages))
         y = np.array([[1.0 if a == b else -1.0 for b in self.languages] for a in languages])
         order = {x: [i for i, a in enumerate(languages) if a == x] for x in self.languages}
         per = max(1, landmarks // max(1, len(self.languages)))
         chosen = [i for x in self.languages for i in order[x][:per]]
-        self.landmarks = normalised(presence([texts[i] for i in chosen])).T.copy()
-        kernel = np.concatenate([self._kernel(texts[i : i + 128]) for i in range(0, len(texts), 128)])
+        self.landmarks = normalised(features(chosen)).T.copy()
+        every = list(range(len(texts)))
+        kernel = np.concatenate([self._against(features(every[i : i + 128])) for i in range(0, len(every), 128)])
         inner = kernel[chosen]
         # balanced, so that a common language does not win by being common
         weight = np.array([1.0 / len(order[a]) for a in languages])[:, None]
@@ -79,7 +82,10 @@ class Model:
         self.weights = np.linalg.solve(left, kernel.T @ (weight * y))
 
     def _kernel(self, texts: list[str]) -> np.ndarray:
-        return (normalised(presence(texts)) @ self.landmarks).astype(np.float64)
+        return self._against(presence(texts))
+
+    def _against(self, features: np.ndarray) -> np.ndarray:
+        return (normalised(features) @ self.landmarks).astype(np.float64)
 
     def decide(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and softmax of the margins."""
@@ -93,7 +99,8 @@ class Model:
 def train(docs: DataFrame, rows: int = TRAINING, landmarks: int = LANDMARKS) -> Model | None:
     """Fit on at most ``rows`` labelled rows outside the held-out fold, the same number of each language, chosen by hash.
 
-    Only ids and languages are sorted; the texts of the chosen rows are fetched by a join with their ids.
+    Only ids and languages are sorted; the texts of the chosen rows are fetched by a join with their ids, and the driver gets their features: 2 KB a row,
+    however long its text.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     languages = own.select("lang").distinct().count()
@@ -104,9 +111,16 @@ def train(docs: DataFrame, rows: int = TRAINING, landmarks: int = LANDMARKS) ->
         return None
     wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long").distinct()
     got = own.join(F.broadcast(wanted), "doc_id").where(F.col("text").rlike(r"\p{L}")).groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("least"))
-    fitted = got.select("doc_id", "least.*").collect()
+    fitted = got.select("doc_id", "least.*").mapInArrow(_packed, "doc_id long, lang string, bits binary").collect()
     fitted.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
-    return Model([r["text"] for r in fitted], [r["lang"] for r in fitted], landmarks) if fitted else None
+    return Model(np.frombuffer(b"".join(r["bits"] for r in fitted), np.uint8).reshape(len(fitted), -1), [r["lang"] for r in fitted], landmarks) if fitted else None
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The features of each row's text, a bit each."""
+    for batch in batches:
+        bits = [np.packbits(presence(batch["text"].slice(lo, hi - lo).to_pylist()).astype(np.uint8), axis=1) for lo, hi in _groups(batch["text"])]
+        yield pa.record_batch([batch["doc_id"], batch["lang"], pa.array([row.tobytes() for part in bits for row in part], pa.binary())], names=["doc_id", "lang", "bits"])
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
