@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snaplake.functions.text import vocabulary_of, grams, inflated, numbers, tidy
+from snaplake.functions.text import grams, inflated, numbers, tidy, vocabulary_of
 
 MAX_BULLET, MAX_HEADLINE = 260, 110
 # Words of rank.

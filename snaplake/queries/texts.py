@@ -123,7 +123,7 @@ MARKET = sorted(vocabulary.spellings().items())
 
 
 @query("market_mentions", f"""WITH v AS (SELECT unnest([{', '.join("'" + a + "'" for a, _ in MARKET)}]) AS term, unnest([{', '.join("'" + b + "'" for _, b in MARKET)}]) AS name),
-d AS (SELECT doc_id, ' ' || regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g') || ' ' || (SELECT term FROM (SELECT term, row_number() OVER (ORDER BY term) - 1 AS r FROM v) WHERE r = doc_id % {len(MARKET)}) || ' ' AS t FROM {{documents}})
+d AS (SELECT doc_id, ' ' || regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g') || ' ' || (SELECT term FROM (SELECT term, row_number() OVER (ORDER BY term) - 1 AS r FROM v) WHERE r = doc_id % {len(MARKET)}) || ' ' AS t FROM {{documents}})
 SELECT DISTINCT doc_id, name AS term FROM d JOIN v ON contains(t, term) AND regexp_matches(t, '(^|[^a-z0-9])' || regexp_escape(term) || '($|[^a-z0-9])')""")
 def _(s: Source):
     known = vocabulary.market_table(s.spark)
