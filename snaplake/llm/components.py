@@ -1,4 +1,8 @@
-"""Connected components of a graph given as rows of edges, by minimum labels with pointer jumping."""
+"""Connected components of a graph given as rows of edges, by minimum labels with pointer jumping.
+
+Cases: loops (``a = b``) and edges with a null end are left out, repeated edges count once, and their order doesn't matter; a node without
+other edges isn't in the result; no edges give an empty table; columns other than ``a, b`` are ignored.
+"""
 
 from __future__ import annotations
 
