@@ -10,8 +10,9 @@
    that agree again and again, which are all taken as candidates of its first one.  Candidates form clusters (connected components).
 4. Clusters are compared exhaustively on full sets, by matrix products in cells of bounded rows and bytes.  In a cluster of several
    blocks each block is first compared with itself and the first block, then every candidate pair between parts that are still
-   apart is confirmed on its two sets, and only what is not linked to the cluster's largest part by then is compared with every
-   block.  Links join classes to components.
+   apart is confirmed on its two sets.  What is not linked to the cluster's largest part by then meets every class of the cluster
+   by sketches, in cells of thousands of them, and only classes that pass the test with another part go on to full sets, in the cells
+   where they passed.  Links join classes to components.
 
 A pair at the threshold misses a tree's first level with probability 0.15, so of pairs in small leaves ``TREES`` = 16
 trees lose one in 10**13.  All ``LEVELS`` = 6 are needed only among classes that agree so often that a leaf stays large; there a pair
@@ -47,6 +48,10 @@ BITS_BELOW, TOKENS_FROM, BITS = 2410, 2048, 1024
 LEAST_EQUAL = 0.71
 #: Classes and bytes of sets in one cell, at about twice of which a cluster is compared in blocks; columns of a matrix product.
 BLOCK, CELL_BYTES, COLUMNS = 256, 32 << 20, 1 << 14
+#: Blocks on a side of one cell of sketches, which so holds some 4096 classes a side, and classes of a side tested at a time.
+SIDE, AT_ONCE = 32, 64
+#: Buckets of a second vector of parities, by other bits of the shingles, for what passes the first in such a cell.
+WIDE = 2048
 #: Ids are broadcast up to this many (8 bytes each); beyond, the texts are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _FACTORS = B.mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -105,9 +110,9 @@ def paths(signatures: np.ndarray) -> np.ndarray:
 SKETCH = "doc_id long, text_key long, n_shingles long, digest binary, parities binary, thumb binary, keys array<long>"
 
 
-def parities(values: np.ndarray) -> bytes:
-    """For each bucket of shingles, whether it holds an odd number of them."""
-    odd = np.bincount((values & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+def parities(values: np.ndarray, bits: int = BITS, skip: int = 0) -> bytes:
+    """For each bucket of shingles, whether it holds an odd number of them; ``skip`` low bits of a shingle have no part in it."""
+    odd = np.bincount(((values >> np.uint64(skip)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool)).tobytes()
 
 
@@ -164,10 +169,7 @@ def _compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             ok = 100 * small >= PERCENT * large
             ok &= label[i] != label[j]  # what is connected already needs no more pairs: candidates only have to connect
             i, j, both, large = i[ok], j[ok], (small + large)[ok], large[ok]
-            # similar sets differ in at most (100 - PERCENT) / (100 + PERCENT) of their shingles
-            near = (100 + PERCENT) * np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64) <= (100 - PERCENT) * both
-            alike = (thumb[i] == thumb[j]).sum(axis=1) >= LEAST_EQUAL * COORDINATES
-            ok = np.where(large < BITS_BELOW, near, alike)
+            ok = _passes(both, large, np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64), (thumb[i] == thumb[j]).sum(axis=1))
             i, j = i[ok], j[ok]
             if len(i):
                 ends = np.concatenate([ends, [i, j]], axis=1)
@@ -175,6 +177,41 @@ def _compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array(np.minimum(cid[i], cid[j])), pa.array(np.maximum(cid[i], cid[j]))], names=["a", "b"])
 
 
+def _passes(both: np.ndarray, large: np.ndarray, differ: np.ndarray, equal: np.ndarray) -> np.ndarray:
+    """Whether pairs may be similar, by the sum and the greater of their sizes, the parities that differ and the tokens that are equal."""
+    # similar sets differ in at most (100 - PERCENT) / (100 + PERCENT) of their shingles
+    return np.where(large < BITS_BELOW, (100 + PERCENT) * differ <= (100 - PERCENT) * both, equal >= LEAST_EQUAL * COORDINATES)
+
+
+def _meeting(group: pd.DataFrame) -> pd.DataFrame:
+    """Of a cell of sketches, the classes that pass the test with one of another part: ``cid`` with the strip ``i`` and block ``j`` of the pair."""
+    loose, every = group[group["loose"]], group[~group["loose"]]
+    none_odd, none_thumb = bytes(BITS // 8), bytes(COORDINATES)
+    odd = lambda g: np.unpackbits(np.frombuffer(b"".join(v or none_odd for v in g["parities"]), np.uint8).reshape(-1, BITS // 8), axis=1).astype(np.float32)
+    thumbs = lambda g: np.frombuffer(b"".join(v or none_thumb for v in g["thumb"]), np.uint8).reshape(-1, COORDINATES)
+    odd_b, thumb_b, ones = odd(every), thumbs(every), odd(every).sum(axis=1)
+    part_b, size_b, fine_b, cid_b = (every[c].to_numpy() for c in ("part", "n_shingles", "fine", "cid"))
+    wide = lambda g: np.frombuffer(b"".join(g["wide"]), np.uint64).reshape(-1, WIDE // 64)
+    wide_b = wide(every)
+    out = [np.zeros((0, 3), np.int64)]
+    for lo in range(0, len(loose), AT_ONCE):
+        a = loose.iloc[lo : lo + AT_ONCE]
+        part, size, fine, cid = (a[c].to_numpy() for c in ("part", "n_shingles", "fine", "cid"))
+        bits = odd(a)
+        ok = (part[:, None] != part_b) & (100 * np.minimum(size[:, None], size_b) >= PERCENT * np.maximum(size[:, None], size_b))
+        differ = (bits.sum(axis=1)[:, None] + ones - 2 * (bits @ odd_b.T)).astype(np.int64)
+        large = np.maximum(size[:, None], size_b)
+        equal = (thumbs(a)[:, None, :] == thumb_b).sum(axis=2) if (large[ok] >= BITS_BELOW).any() else np.zeros(ok.shape, np.int64)
+        x, y = np.nonzero(ok & _passes(size[:, None] + size_b, large, differ, equal))
+        differ = np.bitwise_count(wide(a)[x] ^ wide_b[y]).sum(axis=1, dtype=np.int64)
+        passed = (100 + PERCENT) * differ <= (100 - PERCENT) * (size[x] + size_b[y])
+        x, y = x[passed], y[passed]
+        both = np.concatenate([np.stack([fine[x], fine_b[y], c], axis=1) for c in (cid[x], cid_b[y])])
+        out.append(np.unique(both, axis=0))
+    found = np.unique(np.concatenate(out), axis=0)
+    return pd.DataFrame({"i": found[:, 0], "j": found[:, 1], "cid": found[:, 2]})
+
+
 def _connected(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Labels of rows after joining rows ``i`` and ``j``: the least of each part."""
     while (label[i] != label[j]).any():
@@ -339,13 +376,33 @@ def links(docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     main = counted.groupBy("cluster").agg(F.max(F.struct("k", "part")).alias("top"), F.sum("k").alias("all")).select(F.col("cluster").alias("of"), F.col("top.part").alias("main"), (F.col("all") - F.col("top.k")).alias("others"))
     open_ = large.join(main.where("others > 0"), F.col("cluster") == F.col("of")).withColumn("strips", F.ceil(F.col("others") / (BLOCK // 2)).cast("long"))
     open_ = scratch.stored(open_.withColumn("strip", F.when(F.col("part") != F.col("main"), F.pmod(F.xxhash64("cid", F.lit(1)), "strips"))), "neardup-open")
-    up_to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    everyone = open_.withColumn("s", F.explode(up_to("strips"))).select("cluster", F.col("s").alias("i"), F.col("block").alias("j"), "cid", "part", "values")
-    loose = open_.where(F.col("strip").isNotNull()).withColumn("t", F.explode(up_to("blocks"))).select("cluster", F.col("strip").alias("i"), F.col("t").alias("j"), "cid", "part", "values")
-    rest = _in_cells(everyone.unionByName(loose).select(cell("i", "j").alias("cell"), "cid", "cluster", "part", "values"), "neardup-rest", scratch)
+    met = _met(open_, classes, scratch)
+    full = met.join(open_.select("cid", "cluster", "part", "values"), "cid")
+    rest = _in_cells(full.select(cell("i", "j").alias("cell"), "cid", "cluster", "part", "values"), "neardup-rest", scratch)
     return found.unionByName(star).unionByName(rest)
 
 
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bits = [parities(np.frombuffer(v.as_buffer(), np.uint64), WIDE, 20) for v in batch["values"]]
+        yield pa.record_batch([batch["cid"], pa.array(bits, pa.binary())], names=["cid", "wide"])
+
+
+def _met(rows: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``i, j, cid``: the classes of ``rows`` that may be linked with another part, by the strip and block where they meet.
+
+    Rows with a ``strip`` are loose.  Each meets every class of its cluster in one cell of ``SIDE`` strips and blocks.
+    """
+    wide = rows.select("cid", "values").mapInArrow(_wide, "cid long, wide binary")
+    sketched = scratch.stored(rows.drop("values").join(classes.select("cid", "n_shingles", "parities", "thumb"), "cid").join(wide, "cid"), "neardup-grid")
+    up_to = lambda n: F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / SIDE).cast("long") - 1)
+    side = lambda c: F.floor(F.col(c) / SIDE).cast("long")
+    what = ["cid", "part", "n_shingles", "parities", "thumb", "wide"]
+    every = sketched.select("cluster", F.explode(up_to("strips")).alias("si"), side("block").alias("sj"), F.lit(False).alias("loose"), F.col("block").alias("fine"), *what)
+    loose = sketched.where(F.col("strip").isNotNull()).select("cluster", side("strip").alias("si"), F.explode(up_to("blocks")).alias("sj"), F.lit(True).alias("loose"), F.col("strip").alias("fine"), *what)
+    return scratch.stored(every.unionByName(loose).groupBy("cluster", "si", "sj").applyInPandas(_meeting, "i long, j long, cid long"), "neardup-met")
+
+
 def _labelled(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key, n_shingles, label, component_id`` of each row, written; ``label`` numbers components, null for empty sets."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(_sketch, SKETCH)

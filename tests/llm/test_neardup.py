@@ -87,6 +87,65 @@ def test_one_large_group_of_near_copies(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def shared_pages(n, seed=3):
+    """Pages of 228 words of which 205 are shared, so that no two of them are similar, and near copies of every 50th."""
+    r = random.Random(seed)
+    head = prose(r, 205)
+    pages = [head + [f"p{i}x{k}" for k in range(23)] for i in range(n)]
+    copies = [p[:-3] + ["new", "last", "words"] for p in pages[::50]]
+    return [(i, " ".join(p)) for i, p in enumerate(pages + copies)]
+
+
+def test_group_without_links(spark, monkeypatch):
+    """Pages about the threshold: full sets are compared in proportion to their number, and no link among them is lost."""
+    sent = {}
+    cells = nd._in_cells
+    monkeypatch.setattr(nd, "_in_cells", lambda rows, name, scratch: sent.setdefault(name, []).append(rows.count()) or cells(rows, name, scratch))
+    for n in (500, 1000):
+        rows = shared_pages(n)
+        got = {d: c for d, _, c in run(spark, rows)}
+        assert got == {i: i if i < n else 50 * (i - n) for i, _ in rows}
+    assert sum(v[1] for v in sent.values()) < 2.6 * sum(v[0] for v in sent.values()) and sent["neardup-rest"][1] < 20
+
+
+def test_cells_of_sketches_refuse_no_similar_pair():
+    """In a cell every pair of different parts that is similar goes on to full sets, small and large sets alike."""
+    import pandas as pd
+
+    r = np.random.default_rng(4)
+    sets = []
+    for size in (1, 40, 400, 2300, 2500):
+        base = r.integers(0, 1 << 63, size, dtype=np.uint64)
+        for k in range(30):
+            gone = r.random(size) < k / 200
+            sets.append(np.unique(np.where(gone, r.integers(0, 1 << 63, size, dtype=np.uint64), base)))
+    rows = pd.DataFrame({"cid": range(len(sets)), "part": [k // 3 for k in range(len(sets))], "n_shingles": [len(v) for v in sets], "fine": [k % 4 for k in range(len(sets))]})
+    rows["parities"] = [nd.parities(v) if len(v) < nd.BITS_BELOW else None for v in sets]
+    rows["thumb"] = [(nd.B.mix(nd.tokens(v)) & np.uint64(255)).astype(np.uint8).tobytes() if len(v) >= nd.TOKENS_FROM else None for v in sets]
+    rows["wide"] = [nd.parities(v, nd.WIDE, 20) for v in sets]
+    loose = rows[rows["cid"] % 2 == 1]
+    got = set(map(tuple, nd._meeting(pd.concat([rows.assign(loose=False), loose.assign(loose=True)])).to_numpy().tolist()))
+    linked = nd.links_of(sets)
+    want = {(x % 4, y % 4, c) for x in loose["cid"] for y in rows["cid"] if linked[x, y] and x // 3 != y // 3 for c in (x, y)}
+    assert want <= got and len(want) > 300 and len(got) < 1.4 * len(want)
+
+
+def test_large_sets_at_the_threshold(spark):
+    """Sets above the bound of parities are tested by tokens: of pairs just above the threshold nearly all are found, and none below it."""
+    r = np.random.default_rng(11)
+    rows, want = [], 0
+    for i in range(120):
+        a = [f"{i}q{k}" for k in range(3000)]
+        b = list(a)
+        for k in range(int(r.integers(42, 49))):
+            b[20 + 60 * k] = f"e{i}x{k}"
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+        x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a, b))
+        want += 100 * len(x & y) >= 85 * len(x | y)
+    got = run(spark, rows)
+    assert 100 < want <= 120 and 0.98 * want <= sum(d != c for d, _, c in got) <= want
+
+
 def test_links_of_matches_sets():
     r = np.random.default_rng(1)
     pool = r.integers(0, 1 << 60, 200).astype(np.uint64)
