@@ -17,7 +17,7 @@ l AS (SELECT rid, doc_id, host, raw, unnest(string_split(text, chr(10))) AS line
 k AS (SELECT *, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws FROM l),
 f AS (SELECT *, array_to_string(ws, ' ') AS key FROM k WHERE len(ws) > 0),
 dl AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM f GROUP BY rid),
-seen AS (SELECT host, key, count(DISTINCT rid) AS documents, min(doc_id) AS first FROM f GROUP BY host, key),
+seen AS (SELECT host, key, count(DISTINCT doc_id) + count(DISTINCT rid) FILTER (doc_id IS NULL) AS documents, min(doc_id) AS first FROM f GROUP BY host, key),
 over AS (SELECT host, key, first FROM seen WHERE documents > {quality.LIMIT}),
 cut AS (SELECT rid, sum(len(ws)) AS removed_words FROM f JOIN over USING (host, key) WHERE doc_id IS DISTINCT FROM first GROUP BY rid),
 j AS (SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,

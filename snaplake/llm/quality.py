@@ -1,14 +1,14 @@
 """Quality rules: how often lines recur across the documents of a host.
 
 A line's key is its words (A-Z lowered) joined by one space.  Per host and line the documents that hold it are counted
-(a document counts once however often it repeats a line; exact copies are documents).  A line held by more than ``limit``
+(a ``doc_id`` counts once however often its text or rows repeat a line; exact copies with ids of their own are documents).  A line held by more than ``limit``
 documents of a host is boilerplate there, however large the host is, and is removed from every document but the host's first
 (smallest ``doc_id``) that holds it.  A document that loses more than
 ``max_removed`` percent of its words is depleted and rejected, as is one that fails the base rules.  ``line_verdicts`` judges,
 ``keep_good`` selects rows as they are, ``cleaned`` also cuts the removed lines from the texts of the rows that stay.
 
-Cases: null text has no words and fails; a null host is a host of its own; rows with the same ``doc_id`` are judged each on
-its own text; a null ``doc_id`` is never the first; empty tables give empty results; other columns pass through.
+Cases: null text has no words and fails; a null host is a host of its own; rows with the same ``doc_id`` are one document for the
+counts, and judged each on its own text; rows without ``doc_id`` count each and are never the first, and a line that only they hold stays; empty tables give empty results; other columns pass through.
 """
 
 from __future__ import annotations
@@ -140,7 +140,12 @@ def line_verdicts(docs: DataFrame, host: str = "source", limit: int = LIMIT, max
     profile = keyed.select("row", "text").mapInArrow(_profile, f"row struct<doc_id: long, host: string, digest: long>, {', '.join(k + ' long' for k in STATS)}, lines array<struct<h: long, w: long>>")
     profile = scratch.stored(profile.select(F.monotonically_increasing_id().alias("row_id"), "row.*", *STATS, "lines"), "quality-lines")
     lines = profile.select("row_id", "doc_id", "host", F.explode("lines").alias("line")).select("row_id", "doc_id", "host", "line.*")
-    over = lines.groupBy("host", "h").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first")).where(F.col("documents") > limit).select("host", "h", "first")
+    over = lines.groupBy("host", "h").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first")).where(F.col("documents") > limit)
+    # rows of one document count once: what repeated rows add to a line is taken off again
+    repeated = profile.where("doc_id IS NOT NULL").groupBy("doc_id", "host").count().where("count > 1").select("doc_id", "host")
+    again = lines.join(repeated, ["doc_id", "host"], "left_semi").groupBy("host", "h", "doc_id").agg((F.count("*") - 1).alias("more")).where("more > 0")
+    extra = again.groupBy("host", "h").agg(F.sum("more").alias("more"))
+    over = over.join(extra, ["host", "h"], "left").where(F.col("documents") - F.coalesce("more", F.lit(0)) > limit).select("host", "h", "first")
     hits = lines.join(over, ["host", "h"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
     removed = hits.groupBy("row_id").agg(F.sum("w").alias("removed_words"), F.collect_list("h").alias("cut"))
     judged = profile.drop("lines").join(removed, "row_id", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))

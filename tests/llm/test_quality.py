@@ -46,6 +46,27 @@ def test_frequent_lines(spark):
     assert [i for i in range(200, 230) if got[i]["kept"]] == [200]  # exact copies are documents: the lines of the first stay
 
 
+def test_repeated_rows_are_one_document(spark):
+    """Rows of one id count once, equal or not; rows without id count each; the SQL agrees."""
+    import duckdb
+
+    from snaplake.llm import oracle
+
+    limit, shared = quality.LIMIT, filler("s", 90)
+    rows = [(i, f"{filler(i)}\n{shared}", "a") for i in range(limit)]  # at the limit of distinct documents
+    rows += rows[:5] * 3 + [(3, f"{shared}\n{filler(77)}\n{shared}", "a"), (4, filler(4), "a")]
+    rows += [(i, f"{filler(i)}\n{shared}", "b") for i in range(500, 500 + limit)] + [(500, f"{filler(500)}\n{shared}", "b")] * 2 + [(900, f"{filler(900)}\n{shared}", "b")]  # over it
+    rows += [(None, f"{filler(600 + i)}\n{shared}", "c") for i in range(limit + 1)] + [(700 + i, f"{filler(700 + i)}\n{shared}", None) for i in range(limit)] + [(700, shared, None)]
+    got = quality.line_verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    cut = {(r["host"], r["doc_id"]) for r in got if r["removed_words"]}
+    assert cut == {("hb", i) for i in [*range(501, 500 + limit), 900]}  # in c no row has an id: no first, and the line stays
+    duck = duckdb.connect()
+    duck.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    duck.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    want = duck.sql(f"SELECT doc_id, n_words, kept, removed_words FROM ({oracle.QUALITY})").fetchall()
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["n_words"], r["kept"], r["removed_words"])) for r in got)
+
+
 def test_cleaned_texts(spark):
     """Lines above limits go from the texts that stay, in whatever case and spacing; every other byte stays."""
     shared = filler("s", 20)
