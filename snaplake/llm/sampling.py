@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from snaplake.llm import batches as B
@@ -304,37 +304,22 @@ def encode_texts(vocabulary: Vocabulary, letters: np.ndarray, texts: list[str],
     return out
 
 
-def numbered(keys: np.ndarray, last: tuple[int, int] | None) -> tuple[np.ndarray, tuple[int, int] | None]:
-    """The place of each row in its run of equal neighbours, and (key, place) of the last row; ``last`` is that of the rows before."""
-    if not len(keys):
-        return np.zeros(0, np.int64), last
-    begin = np.ones(len(keys), bool)
-    begin[1:] = keys[1:] != keys[:-1]
-    at = np.arange(len(keys))
-    place = at - np.maximum.accumulate(np.where(begin, at, 0))
-    if last is not None and last[0] == keys[0]:
-        own = int(np.flatnonzero(np.append(begin[1:], True))[0]) + 1
-        place[:own] += last[1] + 1
-    return place, (int(keys[-1]), int(place[-1]))
-
-
 def encode(docs: DataFrame, path: str = VOCABULARY, k: int = TOP_K, digests: bool = False, copies: bool = False) -> DataFrame:
     """``doc_id, rank, ids, log_prob, perturbed, inclusion``: up to ``k`` rows for each row of ``docs``, rank 0 first.
 
     With ``digests`` every sample is decoded where it is made, and ``decoded_sha256`` is the digest of that text.  With ``copies``
-    rows of one ``doc_id`` that follow each other, as a mix writes the copies of a document, have samples of their own: the key of
-    a row is its ``doc_id`` and its place in the run.
+    equal rows, as a mix writes them, have samples of their own: the key of a row is its ``doc_id`` and its number among the rows of
+    that id and text.  Such rows are alike, so whichever has a number, the result is the same for any partitioning.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
         letters, decoder = alphabet(v), Decoder(v)
-        last = None
         for batch in batches:
             keys = batch["doc_id"].fill_null(-(1 << 62)).to_numpy().astype(np.int64).view(np.uint64)
             if copies:
-                place, last = numbered(keys, last)
+                place = batch["copy"].to_numpy()
                 keys = np.where(place > 0, stream(keys, 1) + place.astype(np.uint64), keys)
             for lo, hi, _, _ in B.pieces(batch["text"], PIECE_BYTES):
                 texts = [t or "" for t in batch["text"].slice(lo, hi - lo).to_pylist()]
@@ -349,7 +334,11 @@ def encode(docs: DataFrame, path: str = VOCABULARY, k: int = TOP_K, digests: boo
                     whole = pa.record_batch(list(columns.values()), names=list(columns))
                     yield whole if x["have"].all() else whole.filter(mine)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SAMPLES + (", decoded_sha256 string" if digests else ""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if copies:
+        same = Window.partitionBy("doc_id", "digest").orderBy("doc_id")
+        rows = rows.withColumn("digest", F.xxhash64("text")).withColumn("copy", F.row_number().over(same).cast("long") - 1).drop("digest")
+    return rows.mapInArrow(run, SAMPLES + (", decoded_sha256 string" if digests else ""))
 
 
 class Decoder:
