@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snaplake.operators.upsert import upsert_all
-from snaplake.storage import stored
+from snaplake.storage import drop_path, new_path, path_exists, stored
 
 REPLY = "result string, errorMessage string"
 # The fields that a model is asked for.
 FIELDS = "title STRING, company STRING, location STRING, work_mode STRING, seniority STRING, years_min DOUBLE, must_have_skills ARRAY<STRING>, nice_to_have_skills ARRAY<STRING>, cloud ARRAY<STRING>, domain STRING, summary STRING"
 MAX_CHARS, MAX_ATTEMPTS = 12_000, 3
+#: Prompts of one chunk, which is what a lost job may ask again, and calls that one task has open at a time.
+CHUNK, IN_FLIGHT = 20_000, 8
+LOG = "asked string, run long, result string, errorMessage string"
 
 
 def gave_up(errors: DataFrame, version: str, model: str, attempts: int = MAX_ATTEMPTS) -> DataFrame:
@@ -58,20 +62,60 @@ def infer(rows: DataFrame, column: str, model: Callable[[str], str | None], name
     The result is a written table, since asking again would cost again and may answer differently.  Only the prompts leave the JVM.
     """
 
+    return stored(rows.select("*", _asking(model, 1)(column).alias("r")), name)
+
+
+def _asking(model: Callable[[str], str | None], in_flight: int) -> Callable[[str], Column]:
+    """A column of replies, for which a task has at most ``in_flight`` calls open."""
+
+    def reply(text: str) -> tuple[str | None, str | None]:
+        try:
+            return model(text), None
+        except Exception as e:  # one bad row must not fail the batch
+            return None, str(e) or type(e).__name__
+
     @F.pandas_udf(REPLY)
     def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            results, errors = [], []
-            for text in batch:
-                try:
-                    results.append(model(text))
-                    errors.append(None)
-                except Exception as e:  # one bad row must not fail the batch
-                    results.append(None)
-                    errors.append(str(e) or type(e).__name__)
-            yield pd.DataFrame({"result": pd.Series(results, dtype=object), "errorMessage": pd.Series(errors, dtype=object)})
-
-    return stored(rows.select("*", ask.asNondeterministic()(column).alias("r")), name)
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                yield pd.DataFrame(pool.map(reply, batch), columns=["result", "errorMessage"], dtype=object)
+
+    return ask.asNondeterministic()
+
+
+def infer_resumed(rows: DataFrame, column: str, model: Callable[[str], str | None], log: str, chunk: int = CHUNK, in_flight: int = IN_FLIGHT) -> DataFrame:
+    """``rows`` with ``r``, as :func:`infer` gives it, through a log of replies that outlives this run.
+
+    Replies are kept in ``log`` (a path) under their prompt's hash.  What the log has a reply for isn't asked; the rest is asked by chunks of some ``chunk``
+    prompts, each of which is one write over all executors.  So a run that dies has lost what its last chunk asked, and the next run goes on from there.
+
+    Cases: equal prompts are asked once; a prompt whose reply was an error is asked again by the next run, and the later reply counts; a reply of None is a
+    reply; a null prompt isn't asked and has the error ``no prompt``; ``rows`` keep their repeats and columns, none of which is ``r``; without rows nothing is asked.
+    The log serves one prompt version and model: another one has another path.
+    """
+    spark = rows.sparkSession
+    replies = lambda: spark.read.schema(LOG).parquet(log) if path_exists(spark, log) else spark.createDataFrame([], LOG)
+    run = (replies().agg(F.max("run")).first()[0] or 0) + 1
+    hashes = rows.where(F.col(column).isNotNull()).select(F.sha2(column, 256).alias("asked"))
+    known = replies().where("errorMessage IS NULL").select("asked")
+    chunks = -(-hashes.distinct().join(known, "asked", "left_anti").count() // chunk)
+    if chunks:
+        prompts = rows.where(F.col(column).isNotNull()).select(F.sha2(column, 256).alias("asked"), F.col(column).alias("prompt"))
+        todo = prompts.join(known, "asked", "left_anti").groupBy("asked").agg(F.any_value("prompt").alias("prompt")).withColumn("chunk", F.pmod(F.xxhash64("asked"), F.lit(chunks)))
+        path = new_path(spark, "prompts")
+        todo.repartition("chunk").write.option("compression", "zstd").partitionBy("chunk").parquet(path)
+        for folder in range(chunks):  # each reads its own folder alone
+            some = spark.read.schema("asked string, prompt string, chunk long").parquet(path).where(F.col("chunk") == folder)
+            # the calls are the work: they go to all executors
+            asked = some.repartition("asked").select("asked", F.lit(run).cast("long").alias("run"), _asking(model, in_flight)("prompt").alias("r"))
+            asked.select("asked", "run", "r.*").write.mode("append").parquet(log)
+        drop_path(spark, path)
+    width = 1 + max(map(len, rows.columns))
+    key, said = "k" * width, "s" * width  # longer than any name of the rows
+    last = replies().groupBy(F.col("asked").alias(key)).agg(F.max_by(F.struct("result", "errorMessage"), F.struct(F.col("errorMessage").isNull(), "run")).alias(said))
+    none = F.struct(F.lit(None).cast("string").alias("result"), F.lit("no prompt").alias("errorMessage"))
+    met = rows.withColumn(key, F.sha2(column, 256)).join(last, key, "left")
+    return met.select(*rows.columns, F.when(F.col(key).isNull(), none).otherwise(F.col(said)).alias("r"))
 
 
 def parsed(replies: DataFrame, fields: str = FIELDS) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from snaplake.operators import enrich as e
 from snaplake.queries.registry import Source, query, text_dates
+from snaplake.storage import new_path
 
 VERSION, MODEL = "v1", "m1"
 INSTRUCTION = "Name the requirements of this text; leave out what it does not say.\n\n"
@@ -48,9 +49,12 @@ def arithmetic_model(text: str) -> str | None:
     return reply[:20] if k % 23 == 0 else reply
 
 
+def _prompts(s: Source):
+    return _texts(s).select("job_key", "text_hash", F.concat(F.col("job_key").cast("string"), F.lit(":"), e.prompt(INSTRUCTION, "raw_text")).alias("prompt"))
+
+
 def _replies(s: Source):
-    rows = _texts(s).select("job_key", "text_hash", F.concat(F.col("job_key").cast("string"), F.lit(":"), e.prompt(INSTRUCTION, "raw_text")).alias("prompt"))
-    return e.infer(rows, "prompt", arithmetic_model, "enrichment")
+    return e.infer(_prompts(s), "prompt", arithmetic_model, "enrichment")
 
 
 @query("infer_stub", "SELECT doc_id AS job_key, doc_id % 17 <> 0 AND doc_id % 31 <> 0 AS replied, CASE WHEN doc_id % 17 = 0 THEN 'model is busy' END AS error FROM {documents}")
@@ -79,3 +83,23 @@ def _(s: Source):
 def _(s: Source):
     answers = e.parsed(_replies(s))
     return text_dates(e.failures(answers, VERSION, MODEL, F.current_timestamp()).select("job_key", "error", "prompt_version"))
+
+
+def _model_of(run: str):
+    """A model that says which run asked it, and fails on some prompts in the first."""
+
+    def model(text: str) -> str:
+        if run == "first" and int(text.split(":", 1)[0]) % 17 == 0:
+            raise RuntimeError("model is busy")
+        return run
+
+    return model
+
+
+@query("infer_resumed", "SELECT doc_id AS job_key, CASE WHEN doc_id % 3 > 0 AND doc_id % 17 > 0 THEN 'first' ELSE 'second' END AS asked_by FROM {documents}")
+def _(s: Source):
+    """A first run sees two thirds of the rows and fails on some; the second sees all rows, and asks what has no reply."""
+    log = new_path(s.spark, "replies")
+    rows = _prompts(s)
+    e.infer_resumed(rows.where("job_key % 3 > 0"), "prompt", _model_of("first"), log)
+    return e.infer_resumed(rows, "prompt", _model_of("second"), log).select("job_key", F.col("r.result").alias("asked_by"))

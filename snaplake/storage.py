@@ -76,6 +76,12 @@ class Scratch:
             drop_path(self.spark, path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table or folder is there, by Hadoop's own file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a table written by :func:`stored` or the streaming sinks, through Hadoop's own file system."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
