@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from snaplake.queries.registry import Source, query, text_dates
 from snaplake.sources import landing, payloads
-from snaplake.storage import new_path
+from snaplake.storage import new_path, stored
 from snaplake.streaming import bronze
 
 #: The folder a file lies in, which Spark adds as a column.
@@ -77,59 +77,92 @@ DAY_OF = "CAST(DATE '2026-01-01' + CAST(doc_id % 300 AS INTEGER) AS VARCHAR)"
 KEY_OF = "substr(sha1(lower(concat('{source}|c', doc_id % 10, '|', doc_id))), 1, 16) AS job_key"
 
 
-def _responses(s: Source, body) -> DataFrame:
+def _responses(s: Source, body: F.Column, whole: bool = True) -> DataFrame:
+    """Rows with ``body`` as JSON, or (not ``whole``) with the members of a struct, which hold it."""
     docs = s["documents"].select("doc_id", F.concat(F.lit("n"), F.length("text").cast("string")).alias("n"), F.date_add(F.lit("2026-01-01").cast("date"), (F.col("doc_id") % 300).cast("int")).alias("day"))
-    return docs.select(F.concat(F.lit("c"), F.col("doc_id") % 10).alias("company"), F.lit("h.example").alias("host"), F.lit("S1").alias("site"), F.to_json(body).alias("body"))
+    rows = docs.select(F.concat(F.lit("c"), F.col("doc_id") % 10).alias("company"), F.lit("h.example").alias("host"), F.lit("S1").alias("site"), body.alias("said"))
+    return rows.select("company", "host", "site", *([F.to_json("said").alias("body")] if whole else ["said.*"]))
 
 
-def _record_sql(source: str, location: str, text: str, posted: str, url: str) -> str:
-    return f"SELECT {KEY_OF.format(source=source)}, CAST(doc_id AS VARCHAR) AS source_id, concat('T', doc_id) AS title, {location} AS location, {text} AS raw_text, {posted} AS posted_at, {url} AS url, 'full' AS fetch_mode FROM (SELECT doc_id, concat('n', length(text)) AS n FROM {{documents}})"
+def _record_sql(source: str, location: str, text: str, posted: str, url: str, where: str = "true") -> str:
+    return f"SELECT {KEY_OF.format(source=source)}, CAST(doc_id AS VARCHAR) AS source_id, concat('T', doc_id) AS title, {location} AS location, {text} AS raw_text, {posted} AS posted_at, {url} AS url, 'full' AS fetch_mode FROM (SELECT doc_id, concat('n', length(text)) AS n FROM {{documents}} WHERE {where})"
 
 
-def _records(raw: DataFrame, shape: payloads.Shape) -> DataFrame:
-    return payloads.normalise(raw, shape).select("job_key", "source_id", "title", "location", "raw_text", "posted_at", "url", "fetch_mode")
+RECORD = ["job_key", "source_id", "title", "location", "raw_text", "posted_at", "url", "fetch_mode"]
 
 
 def _named(**fields) -> F.Column:
     return F.struct(*[(c if isinstance(c, F.Column) else F.lit(c)).alias(k) for k, c in fields.items()])
 
 
-MARKUP = "&lt;p&gt;a &amp;amp; b&lt;/p&gt;"
+def _markup(entity: str = "") -> F.Column:
+    return F.concat(F.lit("&lt;p&gt;a &amp;amp; b"), F.expr(entity or "''"), F.lit("&lt;/p&gt;"))
 
 
-@query("payload_lever", _record_sql("lever", "'Pune'", "concat('x < 5, > 3 ', n, chr(10), 'Need', chr(10), '- one', chr(10), '- two', chr(10), 'y &amp; z')", f"concat({DAY_OF}, 'T00:00:00+00:00')", "'u'"))
-def _(s: Source):
+def _greenhouse(markup: F.Column) -> F.Column:
+    return _named(jobs=F.array(_named(id=F.col("doc_id"), title=F.concat(F.lit(" T"), "doc_id"), updated_at=F.col("day").cast("string"), location=_named(name="Pune"), absolute_url="u", content=F.concat(markup, F.lit("<p>"), "n", F.lit("</p>")))))
+
+
+def _lever(markup: F.Column) -> F.Column:
     millis = F.unix_timestamp(F.col("day").cast("timestamp")) * 1000
     lists = F.array(_named(text="Need", content="&lt;li&gt;one&lt;/li&gt;<li>two</li>"))
-    item = _named(id=F.col("doc_id").cast("string"), text=F.concat(F.lit("T"), "doc_id"), categories=_named(location="Pune"), hostedUrl="u", descriptionPlain=F.concat(F.lit("x < 5, > 3 "), "n"), lists=lists, additionalPlain="y &amp; z", createdAt=millis)
-    return _records(_responses(s, F.array(item)), payloads.LEVER)
+    return F.array(_named(id=F.col("doc_id").cast("string"), text=F.concat(F.lit("T"), "doc_id"), categories=_named(location="Pune"), hostedUrl="u", descriptionPlain=F.concat(F.lit("x < 5, > 3 "), "n"), lists=lists, additionalPlain="y &amp; z", createdAt=millis))
 
 
-@query("payload_workday", _record_sql("workday", "CASE WHEN doc_id % 2 = 0 THEN 'Pune, India' ELSE 'Remote - India' END", "concat('a & b', chr(10), ' ', n)", DAY_OF, "'u'"))
-def _(s: Source):
+def _workday(markup: F.Column) -> F.Column:
     place = F.when(F.col("doc_id") % 2 == 0, "Pune").otherwise("Remote - India")
-    info = _named(title=F.concat(F.lit(" T"), "doc_id"), jobDescription=F.concat(F.lit(MARKUP), F.lit("<p>"), "n", F.lit("</p>")), location=place, startDate=F.col("day").cast("string"), jobReqId=F.col("doc_id").cast("string"), externalUrl="u", country=_named(descriptor="India"))
-    return _records(_responses(s, _named(jobPostingInfo=info)), payloads.WORKDAY)
+    return _named(jobPostingInfo=_named(title=F.concat(F.lit(" T"), "doc_id"), jobDescription=F.concat(markup, F.lit("<p>"), "n", F.lit("</p>")), location=place, startDate=F.col("day").cast("string"), jobReqId=F.col("doc_id").cast("string"), externalUrl="u", country=_named(descriptor="India")))
 
 
-@query("payload_amazon", _record_sql("amazon", "CASE WHEN doc_id % 2 = 0 THEN 'Pune, India' ELSE 'Pune, INDIA' END", "concat('a & b', chr(10), n, chr(10), 'q')", DAY_OF, "concat('https://www.amazon.jobs/j/', doc_id)"))
-def _(s: Source):
+def _amazon(markup: F.Column) -> F.Column:
     where = F.when(F.col("doc_id") % 2 == 0, "Pune, IND").otherwise("Pune, INDIA")
-    job = _named(id_icims=F.col("doc_id").cast("string"), title=F.concat(F.lit("T"), "doc_id"), normalized_location=where, city="Pune", country_code="IND", description=MARKUP, basic_qualifications=F.col("n"), preferred_qualifications="<b>q</b>", job_path=F.concat(F.lit("/j/"), "doc_id"), posted_date=F.date_format("day", "MMMM  d, yyyy"))
-    return _records(_responses(s, _named(jobs=F.array(job))), payloads.AMAZON)
+    return _named(jobs=F.array(_named(id_icims=F.col("doc_id").cast("string"), title=F.concat(F.lit("T"), "doc_id"), normalized_location=where, city="Pune", country_code="IND", description=markup, basic_qualifications=F.col("n"), preferred_qualifications="<b>q</b>", job_path=F.concat(F.lit("/j/"), "doc_id"), posted_date=F.date_format("day", "MMMM  d, yyyy"))))
 
 
-@query("payload_eightfold", _record_sql("eightfold", "'Pune, India'", "concat('a & b', chr(10), ' ', n)", DAY_OF, "'u'"))
-def _(s: Source):
+def _eightfold(markup: F.Column) -> F.Column:
     own = F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")).otherwise("")
-    body = _named(id=F.col("doc_id"), name=F.concat(F.lit("T"), "doc_id"), location="Pune,India", t_create=F.unix_timestamp(F.col("day").cast("timestamp")), ats_job_id=own, canonicalPositionUrl="u", job_description=F.concat(F.lit(MARKUP), F.lit("<p>"), "n", F.lit("</p>")))
-    return _records(_responses(s, body), payloads.EIGHTFOLD)
+    return _named(id=F.col("doc_id"), name=F.concat(F.lit("T"), "doc_id"), location="Pune,India", t_create=F.unix_timestamp(F.col("day").cast("timestamp")), ats_job_id=own, canonicalPositionUrl="u", job_description=F.concat(markup, F.lit("<p>"), "n", F.lit("</p>")))
+
+
+def _oracle(markup: F.Column) -> F.Column:
+    item = _named(Id=F.col("doc_id").cast("string"), Title=F.concat(F.lit("T"), "doc_id"), PrimaryLocation="Pune", ExternalPostedStartDate=F.concat(F.col("day").cast("string"), F.lit("T10:00:00+00:00")), ExternalDescriptionStr=markup, ExternalResponsibilitiesStr=F.col("n"))
+    return _named(items=F.array(item, item))
+
+
+#: For each shape: what a response says, and the SQL of location, text (``<m>`` stands for what the markup says), day and address.
+BODIES = {
+    "greenhouse": (_greenhouse, "'Pune'", "concat(<m>, chr(10), ' ', n)", DAY_OF, "'u'"),
+    "lever": (_lever, "'Pune'", "concat('x < 5, > 3 ', n, chr(10), 'Need', chr(10), '- one', chr(10), '- two', chr(10), 'y &amp; z')", f"concat({DAY_OF}, 'T00:00:00+00:00')", "'u'"),
+    "workday": (_workday, "CASE WHEN doc_id % 2 = 0 THEN 'Pune, India' ELSE 'Remote - India' END", "concat(<m>, chr(10), ' ', n)", DAY_OF, "'u'"),
+    "amazon": (_amazon, "CASE WHEN doc_id % 2 = 0 THEN 'Pune, India' ELSE 'Pune, INDIA' END", "concat(<m>, chr(10), n, chr(10), 'q')", DAY_OF, "concat('https://www.amazon.jobs/j/', doc_id)"),
+    "eightfold": (_eightfold, "'Pune, India'", "concat(<m>, chr(10), ' ', n)", DAY_OF, "'u'"),
+    "oracle": (_oracle, "'Pune'", "concat(<m>, chr(10), n)", DAY_OF, "concat('https://h.example/hcmUI/CandidateExperience/en/sites/S1/job/', doc_id)"),
+}
+
+
+def _payload(name: str) -> None:
+    body, place, text, *rest = BODIES[name]
+
+    @query(f"payload_{name}", _record_sql(name, place, text.replace("<m>", "'a & b'"), *rest))
+    def _(s: Source):
+        return payloads.normalise(_responses(s, body(_markup())), payloads.SHAPES[name]).select(*RECORD)
+
+
+for _name in list(BODIES)[1:]:
+    _payload(_name)
+
+# every document is a response of one of the six shapes, whose markup has a numbered entity of its own
+_MIXED = [(k, v, f"doc_id % {len(BODIES)} = {i}") for i, (k, v) in enumerate(BODIES.items())]
 
 
-@query("payload_oracle", _record_sql("oracle", "'Pune'", "concat('a & b', chr(10), n)", DAY_OF, "concat('https://h.example/hcmUI/CandidateExperience/en/sites/S1/job/', doc_id)"))
+@query("payload_mixed", " UNION ALL ".join(_record_sql(k, v[1], v[2].replace("<m>", "concat('a & b', chr(CAST(65 + doc_id % 26 AS INTEGER)))"), *v[3:], where) for k, v, where in _MIXED))
 def _(s: Source):
-    item = _named(Id=F.col("doc_id").cast("string"), Title=F.concat(F.lit("T"), "doc_id"), PrimaryLocation="Pune", ExternalPostedStartDate=F.concat(F.col("day").cast("string"), F.lit("T10:00:00+00:00")), ExternalDescriptionStr=MARKUP, ExternalResponsibilitiesStr=F.col("n"))
-    return _records(_responses(s, _named(items=F.array(item, item))), payloads.ORACLE)
+    """One landed table of all shapes."""
+    entity = _markup("concat('&#', 65 + doc_id % 26, ';')")
+    said = F.coalesce(*[F.when(F.expr(where), F.to_json(v[0](entity))) for _, v, where in _MIXED])
+    source = F.coalesce(*[F.when(F.expr(where), k) for k, _, where in _MIXED])
+    landed = stored(_responses(s, F.struct(source.alias("source"), said.alias("body")), whole=False), "responses")
+    return payloads.normalise_all(landed).select(*RECORD)
 
 
 #: Facets of one to twelve groups in groups; a third of them name the country itself.  ``<`` and ``>`` stand for braces.

@@ -1,12 +1,12 @@
 """Vendor payloads to one record shape.
 
-Each shape is a schema, a path to its items and a column for each field.  Raw responses land as rows ``company, host, site, url, body``;
-:func:`normalise` turns them into records.  Nothing here calls a network.
+Each shape is a schema, a path to its items, the markup in them and a column for each field.  Raw responses land as rows ``company, host, site, source, body``;
+:func:`normalise_all` turns them into records.  Nothing here calls a network.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,29 +23,49 @@ def _blank(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")).cast("string")
 
 
-def _joined(*parts: Column) -> Column:
+def _joined(parts: Column) -> Column:
     """Parts that say something, a line each."""
-    return F.array_join(F.filter(F.array(*parts), lambda p: p != ""), "\n")
+    return F.array_join(F.filter(parts, lambda p: p != ""), "\n")
 
 
 @dataclass(frozen=True)
 class Shape:
-    """``schema`` of the body, ``items`` (a column that explodes to ``i``; None: the body is the item), and the fields."""
+    """``schema`` of the body ``b``, its ``items`` (an array), the ``markup`` in an item ``i`` (an array of strings), and the fields of an item whose markup has become the texts ``t``."""
 
     source: str
     schema: str
-    items: Callable[[], Column] | None
-    fields: Callable[[], dict[str, Column]]
+    items: Callable[[str], Column]
+    markup: Callable[[str], Column]
+    fields: Callable[[str, Column], dict[str, Column]]
 
 
 def normalise(raw: DataFrame, shape: Shape) -> DataFrame:
     """Records of one shape; a body without items gives none."""
-    rows = raw.withColumn("b", F.from_json("body", shape.schema)).where(F.col("b").isNotNull())
-    rows = rows.withColumn("i", F.explode_outer(shape.items())).where(F.col("i").isNotNull()) if shape.items else rows.withColumn("i", F.col("b"))
-    f = shape.fields()
-    rows = rows.select("company", F.lit(shape.source).alias("source"), *[c.alias(n) for n, c in f.items()])
-    rows = rows.withColumns({"title": F.btrim(_blank("title")), "location": F.btrim(_blank("location")), "url": _blank("url"), "raw_text": _blank("raw_text"), "source_id": F.coalesce(F.col("source_id").cast("string"), F.lit("None"))})
-    return rows.select(stable_key("source", "company", "source_id").alias("job_key"), "source", "source_id", "company", "title", "location", "url", "raw_text", F.col("posted_at").cast("string"), F.col("source_id").alias("list_ref"), F.lit("full").alias("fetch_mode"))
+    return normalise_all(raw.withColumn("source", F.lit(shape.source)), [shape])
+
+
+def normalise_all(raw: DataFrame, shapes: Sequence[Shape] | None = None) -> DataFrame:
+    """Records of responses whose ``source`` names their shape: one read, one explode and one pass over all markup, however many shapes there are.
+
+    Each body is parsed by its own shape's schema alone.  Items of all shapes share one column, with a member for each shape.
+    A source without a shape and a body without items give no record; other columns of ``raw`` than ``company, host, site, source, body`` are left out.
+    """
+    shapes = list(SHAPES.values()) if shapes is None else list(shapes)
+    kept = ["source", *[c for c in ("company", "host", "site") if c in raw.columns]]
+    bodies = raw.select(*kept, *[F.when(F.col("source") == s.source, F.from_json("body", s.schema)).alias(f"b_{s.source}") for s in shapes])
+    item = {s.source: bodies.select(s.items(f"b_{s.source}").alias("x")).schema["x"].dataType.elementType for s in shapes}
+    member = lambda s, x: F.struct(*[(x if o is s else F.lit(None).cast(item[o.source])).alias(o.source) for o in shapes])
+    rows = bodies.select(*kept, F.explode(_by_source(shapes, lambda s: F.transform(F.filter(s.items(f"b_{s.source}"), lambda x: x.isNotNull()), lambda x: member(s, x)))).alias("i"))
+    rows = rows.withColumn("t", html_to_texts(_by_source(shapes, lambda s: s.markup(f"i.{s.source}"))))
+    fields = {s.source: s.fields(f"i.{s.source}", F.col("t")) for s in shapes}
+    of = lambda n: _by_source(shapes, lambda s: fields[s.source][n].cast("string"))
+    rows = rows.select("company", "source", *[F.btrim(_blank(of(n))).alias(n) for n in ("title", "location")], *[_blank(of(n)).alias(n) for n in ("url", "raw_text")], F.coalesce(of("source_id"), F.lit("None")).alias("source_id"), of("posted_at").alias("posted_at"))
+    return rows.select(stable_key("source", "company", "source_id").alias("job_key"), "source", "source_id", "company", "title", "location", "url", "raw_text", "posted_at", F.col("source_id").alias("list_ref"), F.lit("full").alias("fetch_mode"))
+
+
+def _by_source(shapes: Sequence[Shape], column: Callable[[Shape], Column]) -> Column:
+    """The column of the shape that a row's ``source`` names."""
+    return F.coalesce(*[F.when(F.col("source") == s.source, column(s)) for s in shapes])
 
 
 def _utc(seconds: Column) -> Column:
@@ -59,73 +79,82 @@ def _iso(millis: Column) -> Column:
 GREENHOUSE = Shape(
     "greenhouse",
     "jobs array<struct<id: bigint, title: string, updated_at: string, location: struct<name: string>, absolute_url: string, content: string>>",
-    lambda: F.col("b.jobs"),
-    lambda: {"source_id": F.col("i.id"), "title": F.col("i.title"), "location": F.col("i.location.name"), "url": F.col("i.absolute_url"), "raw_text": html_to_text("i.content"), "posted_at": F.col("i.updated_at")},
+    lambda b: F.col(f"{b}.jobs"),
+    lambda i: F.array(f"{i}.content"),
+    lambda i, t: {"source_id": F.col(f"{i}.id"), "title": F.col(f"{i}.title"), "location": F.col(f"{i}.location.name"), "url": F.col(f"{i}.absolute_url"), "raw_text": t[0], "posted_at": F.col(f"{i}.updated_at")},
 )
 
 
-def _lever_fields() -> dict[str, Column]:
-    given = F.coalesce("i.lists", F.array().cast("array<struct<text: string, content: string>>"))
+def _lever_lists(i: str) -> Column:
+    return F.coalesce(f"{i}.lists", F.array().cast("array<struct<text: string, content: string>>"))
+
+
+def _lever_fields(i: str, contents: Column) -> dict[str, Column]:
     # list contents are markup; plain parts are not, and a sign like < in them is part of the text
-    contents = html_to_texts(F.transform(given, lambda p: p["content"]))
-    lists = F.flatten(F.zip_with(F.transform(given, lambda p: _blank(p["text"])), contents, lambda a, b: F.array(a, b)))
-    body = F.concat(F.array(_blank("i.descriptionPlain")), lists, F.array(_blank("i.additionalPlain")))
-    return {"source_id": F.col("i.id"), "title": F.col("i.text"), "location": F.col("i.categories.location"), "url": F.col("i.hostedUrl"), "raw_text": F.array_join(F.filter(body, lambda p: p != ""), "\n"), "posted_at": F.when(F.col("i.createdAt") != 0, _iso(F.col("i.createdAt")))}
+    lists = F.flatten(F.zip_with(F.transform(_lever_lists(i), lambda p: _blank(p["text"])), contents, lambda a, b: F.array(a, b)))
+    body = F.concat(F.array(_blank(f"{i}.descriptionPlain")), lists, F.array(_blank(f"{i}.additionalPlain")))
+    at = F.col(f"{i}.createdAt")
+    return {"source_id": F.col(f"{i}.id"), "title": F.col(f"{i}.text"), "location": F.col(f"{i}.categories.location"), "url": F.col(f"{i}.hostedUrl"), "raw_text": F.array_join(F.filter(body, lambda p: p != ""), "\n"), "posted_at": F.when(at != 0, _iso(at))}
 
 
 LEVER = Shape(
     "lever",
     "array<struct<id: string, text: string, categories: struct<location: string>, hostedUrl: string, descriptionPlain: string, lists: array<struct<text: string, content: string>>, additionalPlain: string, createdAt: bigint>>",
-    lambda: F.col("b"),
+    lambda b: F.col(b),
+    lambda i: F.transform(_lever_lists(i), lambda p: p["content"]),
     _lever_fields,
 )
 
 WORKDAY = Shape(
     "workday",
     "jobPostingInfo struct<title: string, jobDescription: string, location: string, startDate: string, jobReqId: string, jobPostingId: string, externalUrl: string, country: struct<descriptor: string>>",
-    lambda: F.array("b.jobPostingInfo"),
-    lambda: {
-        "source_id": F.coalesce("i.jobReqId", "i.jobPostingId"), "title": F.col("i.title"), "location": place("i.location", "i.country.descriptor"), "url": F.col("i.externalUrl"),
-        "raw_text": without_boilerplate(html_to_text("i.jobDescription"), [F.concat(F.lit("About "), F.col("company")), "Equal Employment Opportunity", "Equal Opportunity Employer"]), "posted_at": F.col("i.startDate"),
+    lambda b: F.array(f"{b}.jobPostingInfo"),
+    lambda i: F.array(f"{i}.jobDescription"),
+    lambda i, t: {
+        "source_id": F.coalesce(f"{i}.jobReqId", f"{i}.jobPostingId"), "title": F.col(f"{i}.title"), "location": place(f"{i}.location", f"{i}.country.descriptor"), "url": F.col(f"{i}.externalUrl"),
+        "raw_text": without_boilerplate(t[0], [F.concat(F.lit("About "), F.col("company")), "Equal Employment Opportunity", "Equal Opportunity Employer"]), "posted_at": F.col(f"{i}.startDate"),
     },
 )
 
 
-def _amazon_fields() -> dict[str, Column]:
-    where = F.coalesce(F.nullif("i.normalized_location", F.lit("")), "i.location", F.lit(""))
-    abroad = (F.col("i.country_code") == "IND") & ~F.contains(F.lower(where), F.lit("india"))
+def _amazon_fields(i: str, t: Column) -> dict[str, Column]:
+    where = F.coalesce(F.nullif(f"{i}.normalized_location", F.lit("")), f"{i}.location", F.lit(""))
+    abroad = (F.col(f"{i}.country_code") == "IND") & ~F.contains(F.lower(where), F.lit("india"))
     return {
-        "source_id": F.coalesce("i.id_icims", "i.id"), "title": F.col("i.title"), "location": F.when(abroad, F.concat(F.coalesce(F.nullif("i.city", F.lit("")), where), F.lit(", India"))).otherwise(where),
-        "url": F.concat(F.lit("https://www.amazon.jobs"), _blank("i.job_path")), "raw_text": _joined(*[html_to_text(f"i.{c}") for c in ("description", "basic_qualifications", "preferred_qualifications")]),
-        "posted_at": F.try_to_timestamp(F.regexp_replace(F.btrim("i.posted_date"), r"\s+", " "), F.lit("MMMM d, yyyy")).cast("date"),
+        "source_id": F.coalesce(f"{i}.id_icims", f"{i}.id"), "title": F.col(f"{i}.title"), "location": F.when(abroad, F.concat(F.coalesce(F.nullif(f"{i}.city", F.lit("")), where), F.lit(", India"))).otherwise(where),
+        "url": F.concat(F.lit("https://www.amazon.jobs"), _blank(f"{i}.job_path")), "raw_text": _joined(t),
+        "posted_at": F.try_to_timestamp(F.regexp_replace(F.btrim(f"{i}.posted_date"), r"\s+", " "), F.lit("MMMM d, yyyy")).cast("date"),
     }
 
 
 AMAZON = Shape(
     "amazon",
     "jobs array<struct<id_icims: string, id: string, title: string, normalized_location: string, location: string, city: string, country_code: string, description: string, basic_qualifications: string, preferred_qualifications: string, job_path: string, posted_date: string>>",
-    lambda: F.col("b.jobs"),
+    lambda b: F.col(f"{b}.jobs"),
+    lambda i: F.array(*[f"{i}.{c}" for c in ("description", "basic_qualifications", "preferred_qualifications")]),
     _amazon_fields,
 )
 
 EIGHTFOLD = Shape(
     "eightfold",
     "id bigint, name string, location string, t_create bigint, ats_job_id string, canonicalPositionUrl string, job_description string",
-    None,
-    lambda: {
-        "source_id": F.coalesce(F.nullif("i.ats_job_id", F.lit("")), F.col("i.id").cast("string")), "title": F.col("i.name"), "location": F.replace(F.replace(_blank("i.location"), F.lit(","), F.lit(", ")), F.lit("  "), F.lit(" ")), "url": F.col("i.canonicalPositionUrl"),
-        "raw_text": without_boilerplate(html_to_text("i.job_description"), [F.concat(F.lit("At "), F.col("company"), F.lit(", we")), "We are an equal opportunity employer"]), "posted_at": F.when(F.col("i.t_create") != 0, _utc(F.col("i.t_create"))),
+    lambda b: F.array(b),
+    lambda i: F.array(f"{i}.job_description"),
+    lambda i, t: {
+        "source_id": F.coalesce(F.nullif(f"{i}.ats_job_id", F.lit("")), F.col(f"{i}.id").cast("string")), "title": F.col(f"{i}.name"), "location": F.replace(F.replace(_blank(f"{i}.location"), F.lit(","), F.lit(", ")), F.lit("  "), F.lit(" ")), "url": F.col(f"{i}.canonicalPositionUrl"),
+        "raw_text": without_boilerplate(t[0], [F.concat(F.lit("At "), F.col("company"), F.lit(", we")), "We are an equal opportunity employer"]), "posted_at": F.when(F.col(f"{i}.t_create") != 0, _utc(F.col(f"{i}.t_create"))),
     },
 )
 
 ORACLE = Shape(
     "oracle",
     "items array<struct<Id: string, Title: string, PrimaryLocation: string, ExternalPostedStartDate: string, ExternalDescriptionStr: string, ExternalResponsibilitiesStr: string, ExternalQualificationsStr: string>>",
-    lambda: F.slice("b.items", 1, 1),
-    lambda: {
-        "source_id": F.col("i.Id"), "title": F.col("i.Title"), "location": F.col("i.PrimaryLocation"), "url": F.concat(F.lit("https://"), F.col("host"), F.lit("/hcmUI/CandidateExperience/en/sites/"), F.col("site"), F.lit("/job/"), F.col("i.Id")),
-        "raw_text": without_boilerplate(_joined(*[html_to_text(f"i.External{p}Str") for p in ("Description", "Responsibilities", "Qualifications")]), [F.concat(F.lit("About "), F.col("company")), "About Us", "Equal Opportunity Employer"]),
-        "posted_at": F.nullif(F.left(_blank("i.ExternalPostedStartDate"), F.lit(10)), F.lit("")),
+    lambda b: F.slice(f"{b}.items", 1, 1),
+    lambda i: F.array(*[f"{i}.External{p}Str" for p in ("Description", "Responsibilities", "Qualifications")]),
+    lambda i, t: {
+        "source_id": F.col(f"{i}.Id"), "title": F.col(f"{i}.Title"), "location": F.col(f"{i}.PrimaryLocation"), "url": F.concat(F.lit("https://"), F.col("host"), F.lit("/hcmUI/CandidateExperience/en/sites/"), F.col("site"), F.lit("/job/"), F.col(f"{i}.Id")),
+        "raw_text": without_boilerplate(_joined(t), [F.concat(F.lit("About "), F.col("company")), "About Us", "Equal Opportunity Employer"]),
+        "posted_at": F.nullif(F.left(_blank(f"{i}.ExternalPostedStartDate"), F.lit(10)), F.lit("")),
     },
 )
 

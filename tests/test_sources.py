@@ -76,6 +76,31 @@ def test_board_shapes(spark):
     assert (o["raw_text"], o["posted_at"], o["url"][-6:]) == ("a\nb", "2026-01-05", "/job/9")
 
 
+def test_all_shapes_at_once(spark, capsys):
+    """A mixed landing table gives what each shape gives alone, in one read, one explode and one pass over the markup."""
+    bodies = [
+        ("greenhouse", {"jobs": [{"id": 7, "title": " Dev ", "content": "&lt;p&gt;hi &amp;amp; ho&lt;/p&gt;"}, None, {"id": 8}]}), ("greenhouse", {"jobs": []}), ("greenhouse", {}),
+        ("lever", [{"id": "x", "text": "T", "lists": [{"text": "Need", "content": "<li>a &amp; b</li>"}]}, {"id": "y"}]), ("lever", []),
+        ("workday", {"jobPostingInfo": {"title": "T", "location": "Pune", "jobReqId": "R1", "country": {"descriptor": "India"}, "jobDescription": "<p>x</p>"}}), ("workday", {"other": 1}),
+        ("amazon", {"jobs": [{"id_icims": "1", "description": "d &lt;b&gt;e", "basic_qualifications": None, "preferred_qualifications": "f", "posted_date": "January  5, 2026"}]}),
+        ("eightfold", {"id": 3, "name": "N", "location": "Mumbai,India", "t_create": 1767225600, "job_description": "x"}),
+        ("oracle", {"items": [{"Id": "9", "ExternalDescriptionStr": "a"}, {"Id": "10"}]}), ("nobody", {"jobs": [{"id": 1}]}),
+    ]
+    made = [("Acme", "h.example", "S1", k, json.dumps(b), "extra") for k, b in bodies] + [("Acme", None, None, "lever", None, None), (None, "h", "s", "greenhouse", "{broken", None), ("c", "h", "s", None, "{}", None)]
+    path = new_path(spark, "mixed")
+    spark.createDataFrame(made, "company string, host string, site string, source string, body string, t string").write.parquet(path)
+    raw = spark.read.parquet(path)
+    got = payloads.normalise_all(raw)
+    say = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    alone = [r for k, shape in payloads.SHAPES.items() for r in say(payloads.normalise(raw.where(raw.source == k).drop("t"), shape))]
+    assert say(got) == sorted(alone, key=repr) and len(alone) == 8
+    assert {r["source_id"]: r["raw_text"] for r in got.collect()}["7"] == "hi & ho"
+    got.explain("formatted")
+    plan = capsys.readouterr().out.split("(1)")[0]
+    assert [plan.count(x) for x in ("Scan parquet", "Generate", "ArrowEvalPython", "Exchange")] == [1, 1, 1, 0]
+    assert payloads.normalise_all(raw.limit(0)).count() == 0
+
+
 def test_html_shapes(spark):
     page = '<style>.jobTitle-link</style><tr class="data-row"><a class="jobTitle-link" href="/job/1/">A &amp; B</a><span class="jobLocation"> Pune </span></tr><tr class="data-row"><b>no link</b></tr>'
     got = payloads.search_rows(spark.createDataFrame([("c", page)], "company string, html string"), "html").collect()
