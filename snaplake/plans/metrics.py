@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -60,28 +60,80 @@ def ratio(a: Column, b: Column) -> Column:
 def job_market(market: DataFrame, as_of: Column) -> MetricView:
     """Postings, fit and experience over a market view (a row per posting)."""
     c = F.col
+    dims = {n: c(n) for n in ("company", *STATED)} | {"first_seen_week": F.date_trunc("WEEK", c("first_seen")).cast("date"), "source_platform": rules.labelled("source", rules.PLATFORMS)}
+    return MetricView(market, dims, _market_measures(count_where, average("fit_score", 1), F.max("fit_score"), F.percentile("years_required", 0.5), *_ages(as_of)))
+
+
+#: Dimensions that a market view has as columns.
+STATED = ("city", "domain", "seniority", "work_mode", "recommendation", "is_open", "is_enriched", "from_largest_company", "posting_age", "title")
+#: What measures look at, so that every cube has it.
+_LOOKED_AT = ("company", "source", "recommendation", "is_open", "is_enriched", "from_largest_company", "years_required")
+
+
+def _ages(as_of: Column) -> tuple[Column, Column]:
+    """Whether a posting is new this week, and whether it is an older one."""
+    return F.col("first_seen") >= F.date_sub(as_of, 7), F.col("days_since_posted") > 30
+
+
+def _market_measures(count: Callable[..., Column], mean_fit: Column, best_fit: Column, median_years: Column, is_new: Column, is_older: Column) -> dict[str, Column]:
+    """The measures, given how postings are counted and how states are merged."""
+    c = F.col
     applies, enriched, largest = c("recommendation") == "APPLY", c("is_enriched"), c("from_largest_company")
-    dims = {n: c(n) for n in ("company", "city", "domain", "seniority", "work_mode", "recommendation", "is_open", "is_enriched", "from_largest_company", "posting_age", "title")}
-    dims |= {"first_seen_week": F.date_trunc("WEEK", c("first_seen")).cast("date"), "source_platform": rules.labelled("source", rules.PLATFORMS)}
-    measures = {
-        "postings": count_where(),
-        "open_postings": count_where(c("is_open")),
-        "enriched_postings": count_where(enriched),
-        "enrichment_coverage": ratio(count_where(enriched), count_where()),
-        "strong_fit_postings": count_where(applies),
-        "stretch_postings": count_where(c("recommendation") == "STRETCH"),
+    return {
+        "postings": count(),
+        "open_postings": count(c("is_open")),
+        "enriched_postings": count(enriched),
+        "enrichment_coverage": ratio(count(enriched), count()),
+        "strong_fit_postings": count(applies),
+        "stretch_postings": count(c("recommendation") == "STRETCH"),
         "companies_with_strong_fit": distinct_where("company", applies),
-        "new_this_week": count_where(c("first_seen") >= F.date_sub(as_of, 7)),
-        "best_fit_score": F.max("fit_score"),
-        "older_open_postings": count_where(c("is_open") & (c("days_since_posted") > 30)),
-        "strong_fit_rate": ratio(count_where(applies), count_where(enriched)),
-        "avg_fit_score": average("fit_score", 1),
-        "median_years_required": F.percentile("years_required", 0.5),
+        "new_this_week": count(is_new),
+        "best_fit_score": best_fit,
+        "older_open_postings": count(c("is_open") & is_older),
+        "strong_fit_rate": ratio(count(applies), count(enriched)),
+        "avg_fit_score": mean_fit,
+        "median_years_required": median_years,
         "companies": distinct_where("company"),
         "source_platforms": distinct_where("source", c("source") != "manual"),
-        "largest_company_share": ratio(count_where(largest), count_where()),
+        "largest_company_share": ratio(count(largest), count()),
     }
-    return MetricView(market, dims, measures)
+
+
+def market_cube(market: DataFrame, as_of: Column, dims: Sequence[str] = (*STATED, "first_seen_week")) -> DataFrame:
+    """One aggregate of a market view at the grain of ``dims``, from which all measures roll up.
+
+    Companies, platforms and stated years belong to the grain, so distinct counts and the median need no set and no sketch: they are exact at any coarser grain.
+    Rows are at most the postings; leave ``title`` out where no panel shows it.
+    """
+    is_new, is_older = _ages(as_of)
+    week = F.date_trunc("WEEK", F.col("first_seen")).cast("date").alias("first_seen_week")
+    grain = [week if d == "first_seen_week" else F.col(d) for d in dict.fromkeys((*_LOOKED_AT, *dims))]
+    fit = F.col("fit_score").cast("decimal(18,6)")
+    return market.groupBy(*grain, is_new.alias("is_new"), is_older.alias("is_older")).agg(F.count("*").alias("rows"), F.sum(fit).alias("fit_sum"), F.count("fit_score").alias("fit_count"), F.max("fit_score").alias("fit_max"))
+
+
+def market_from_cube(cube: DataFrame) -> MetricView:
+    """The measures of :func:`job_market` from a :func:`market_cube`, which is read in place of the market."""
+    c = F.col
+    count = lambda condition=None: F.coalesce(F.sum(c("rows") if condition is None else F.when(condition, c("rows"))), F.lit(0))
+    mean = F.round(F.sum("fit_sum").cast("decimal(26,6)") / F.nullif(F.sum("fit_count").cast("decimal(12,0)"), F.lit(0).cast("decimal(12,0)")), 1).cast("double")
+    dims = {d: c(d) for d in ("company", *STATED, "first_seen_week") if d in cube.columns} | {"source_platform": rules.labelled("source", rules.PLATFORMS)}
+    return MetricView(cube, dims, _market_measures(count, mean, F.max("fit_max"), F.percentile("years_required", 0.5, c("rows")), c("is_new"), c("is_older")))
+
+
+def long_panels(view: MetricView, panels: Mapping[str, tuple[Sequence[str], Sequence[str], str | None]]) -> DataFrame:
+    """``panel, grain, measure, value`` of all ``panels`` (dimensions, measures, filter) of a view: one table for a page of them.
+
+    ``grain`` joins the values of the dimensions by ``|``, with ``-`` for null.
+    """
+    out = None
+    for name, (dims, measures, where) in panels.items():
+        rows = view.query(dims, measures, where)
+        grain = F.concat_ws("|", *[F.coalesce(F.col(d).cast("string"), F.lit("-")) for d in dims])
+        values = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])
+        one = rows.select(F.lit(name).alias("panel"), grain.alias("grain"), F.inline(values))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def skill_demand(demand: DataFrame) -> MetricView:

@@ -11,6 +11,7 @@ from snaplake.plans import metrics, snapshot
 from snaplake.queries import scoring
 from snaplake.queries.lifecycle import ACTIVITY, ALL
 from snaplake.queries.registry import Source, mean_1, query, text_dates
+from snaplake.storage import new_path, stored
 
 _L = "lower({c})"
 
@@ -58,7 +59,11 @@ def _(s: Source):
     return text_dates(market(s))
 
 
+PANELS: dict[str, tuple[list[str], list[str], str | None]] = {}
+
+
 def _panel(name: str, dims: list[str], measures: list[str], where: str | None = None) -> None:
+    PANELS[name] = (dims, measures, where)
     shown = [f"CAST(CAST({d} AS DATE) AS VARCHAR) AS {d}" if d == "first_seen_week" else d for d in dims]
     columns = ", ".join([*shown, *(f"{MEASURES[m]} AS {m}" for m in measures)])
     sql = f"WITH {MARKET} SELECT {columns} FROM market" + (f" WHERE {where}" if where else "") + (f" GROUP BY {', '.join(dims)}" if dims else "")
@@ -92,6 +97,22 @@ _panel("panel_median_by_fit", ["recommendation", "seniority"], ["median_years_re
 _panel("panel_kpi_open", [], ["open_postings", "companies", "strong_fit_rate", "enrichment_coverage", "largest_company_share"], "is_open")
 _panel("panel_coverage_by_company", ["company"], ["enrichment_coverage", "companies_with_strong_fit"])
 
+
+
+def _long_sql(name: str, dims: list[str], measures: list[str], where: str | None) -> str:
+    shown = [f"coalesce(CAST({f'CAST({d} AS DATE)' if d == 'first_seen_week' else d} AS VARCHAR), '-')" for d in dims]
+    values = ", ".join(f"CAST({MEASURES[m]} AS DOUBLE)" for m in measures)
+    made = f"SELECT concat_ws('|', {', '.join(shown) or chr(39) * 2}) AS grain, [{values}] AS v FROM market" + (f" WHERE {where}" if where else "") + (f" GROUP BY {', '.join(dims)}" if dims else "")
+    return f"SELECT '{name}' AS panel, grain, unnest([{', '.join(f"'{m}'" for m in measures)}]) AS measure, unnest(v) AS value FROM ({made})"
+
+
+@query("market_panels", f"WITH {MARKET.replace('market AS (', 'market AS MATERIALIZED (')} " + " UNION ALL ".join(_long_sql(k, *v) for k, v in PANELS.items()))
+def _(s: Source):
+    """All panels from one pass over the market."""
+    cube = stored(metrics.market_cube(market(s), s.as_of()), "market-cube")
+    return metrics.long_panels(metrics.market_from_cube(cube), PANELS)
+
+
 DAILY = f"{ALL}, {ACTIVITY}"
 
 
@@ -138,8 +159,6 @@ def _(s: Source):
 def _exported(s: Source, log, root: str, version: str) -> None:
     """The whole snapshot behind the gate."""
     from snaplake.plans.quality_gate import gate_state
-    from snaplake.storage import stored
-
     demand, snap = scoring.market_demand(s).withColumn("job_key", F.col("job_key").cast("string")), s["snap"]
     # nine sets are cut from these three, which are made once
     view, demand, days = stored(market(s), "market"), stored(demand, "demand"), stored(lc.daily_activity(snap, lc.clean(lc.postings(snap))), "days")
@@ -156,8 +175,6 @@ def _next_run(log, passed: bool):
 def _(s: Source):
     """A log whose newest run passes, though earlier ones did not: two of the nine sets, read back through their pointer."""
     from snaplake.operators.upsert import published
-    from snaplake.storage import new_path
-
     root = new_path(s.spark, "snapshot")
     _exported(s, _next_run(s["checks"], True), root, "v1")
     part = lambda p, name: published(s.spark, root, part=p).select(F.lit(p).alias("part"), F.col(name).alias("name"), F.col("open_postings").alias("n"))
@@ -169,8 +186,6 @@ def _(s: Source):
     """After a version is out, the newest run of every check fails: nothing is published, and readers keep what they have."""
     from snaplake.operators.upsert import last_published
     from snaplake.plans.quality_gate import gate_state
-    from snaplake.storage import new_path
-
     root, good, bad = new_path(s.spark, "refused"), _next_run(s["checks"], True), _next_run(s["checks"], False)
     snapshot.export({"quality": gate_state(good, F.desc("checked_at"))}, gate_state(good, F.desc("checked_at")), root, "v1")
     try:

@@ -257,6 +257,54 @@ def test_additive_measures_agree_at_any_grain(spark, sf_dir):
         assert tuple(parts) == tuple(total)
 
 
+MARKET = "company string, city string, domain string, seniority string, work_mode string, recommendation string, is_open boolean, is_enriched boolean, from_largest_company boolean, posting_age string, title string, source string, first_seen date, days_since_posted int, fit_score double, years_required double"
+
+
+def market_rows(spark, n):
+    pick = lambda i, *of: of[i % len(of)]
+    rows = [
+        (pick(i, "a", "b", None, "c"), pick(i, "Pune", None, "Goa"), pick(i, "X", "Y"), None, "", pick(i, "APPLY", "SKIP", None, "STRETCH", "SKIP"), pick(i, True, True, False), pick(i, True, False), pick(i, True, False, False, False), "new", f"t{i % 9}",
+         pick(i, "lever", "manual", "workday"), dt.date(2026, 1, 1 + i % 20), i % 60, pick(i, 42.3, 42.4, None, 70.0, 0.0), pick(i, 3.0, None, 5.0, 8.0, 1.5))
+        for i in range(n)
+    ]
+    return spark.createDataFrame(rows, MARKET)
+
+
+def test_a_cube_gives_what_the_market_gives(spark):
+    """Every measure at every kind of grain, with null dimensions and values, from one aggregate."""
+    rows, as_of = market_rows(spark, 240), F.lit(dt.date(2026, 1, 20))
+    direct, cube = metrics.job_market(rows, as_of), metrics.market_from_cube(metrics.market_cube(rows, as_of))
+    everything = list(direct.measures)
+    say = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    for dims, where in ([], None), (["city"], None), (["company", "seniority"], "is_open"), (["first_seen_week", "source_platform"], "is_enriched AND NOT from_largest_company"), (["title", "posting_age"], "city = 'Pune'"), ([], "city = 'Oslo'"):
+        got = say(cube.query(dims, everything, where))
+        assert got == say(direct.query(dims, everything, where)) and got
+    # a mean that lies on a tie goes up in both
+    tie = rows.where("fit_score IN (42.3, 42.4)")
+    assert metrics.market_from_cube(metrics.market_cube(tie, as_of)).query([], ["avg_fit_score"]).first()[0] == 42.4
+    few = metrics.market_from_cube(metrics.market_cube(rows, as_of, ["city"]))
+    assert say(few.query(["city"], everything)) == say(direct.query(["city"], everything))
+    with pytest.raises(KeyError):
+        few.query(["title"], ["postings"])
+    empty = rows.limit(0)
+    assert say(metrics.market_from_cube(metrics.market_cube(empty, as_of)).query([], everything)) == say(metrics.job_market(empty, as_of).query([], everything))
+
+
+def test_panels_read_the_market_once(spark, sf_dir, capsys):
+    from snaplake.queries.market import PANELS, market
+    from snaplake.queries.registry import Source
+    from snaplake.storage import stored
+
+    s = Source(spark, sf_dir)
+    made = metrics.market_cube(market(s), s.as_of())
+    made.explain("formatted")
+    assert capsys.readouterr().out.split("(1)")[0].count("Scan parquet") <= 5  # snapshots twice, and each of what is joined to them
+    panels = metrics.long_panels(metrics.market_from_cube(stored(made, "cube")), PANELS)
+    panels.explain("formatted")
+    said = capsys.readouterr().out
+    assert "events" not in said and {r["panel"] for r in panels.select("panel").distinct().collect()} == set(PANELS)
+
+
 def test_gate_and_export(spark):
     log = spark.createDataFrame([("a", 1, True, True), ("a", 2, False, True), ("b", 1, False, False)], "check_name string, checked_at int, passed boolean, blocking boolean")
     shut = quality_gate.gate_state(log, F.desc("checked_at"))
