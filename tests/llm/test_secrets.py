@@ -143,3 +143,25 @@ def test_odd_rows(odd, none):
     got = s.find_secrets(odd)
     assert got.count() == odd.count() and s.find_secrets(none).count() == 0
     assert s.redact(odd).count() == odd.count() and s.redact(odd).columns == odd.columns and s.redact(none).count() == 0
+
+
+def test_every_finding_is_learnt_from(spark, monkeypatch):
+    """All distinct findings are in a shard or held out, and each shard has both labels, however many shards there are."""
+    scanned = s.scan(spark.createDataFrame(docs_of(400), "doc_id long, text string"))
+    distinct = {(f["label"], bytes(f["views"][0])) for r in scanned.collect() for f in r["found"] if f["label"] is not None}
+    dealt, held, round_, scores = [], [], s._round, s._scores
+
+    def one_round(rows, net, *rest):
+        if not dealt:
+            dealt.extend(rows.collect())
+        return round_(rows, net, *rest)
+
+    monkeypatch.setattr(s, "_round", one_round)
+    monkeypatch.setattr(s, "_scores", lambda rows, *rest: (held.extend(rows.collect()), scores(rows, *rest))[1])
+    net = s.train(scanned, shard=30, steps=4)
+    fitted, out = ({(r["label"], bytes(r["view"])) for r in rows} for rows in (dealt, held))
+    assert fitted | out == distinct and not fitted & out and len(distinct) > 250
+    shards = {k: {r["label"] for r in dealt if r["shard"] == k} for k in {r["shard"] for r in dealt}}
+    assert len(shards) > 3 and all(v == {0, 1} for v in shards.values())
+    again = s.train(scanned, shard=30, steps=4)
+    assert (net.flat() == again.flat()).all() and net.threshold == again.threshold
