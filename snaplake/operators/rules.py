@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,16 +113,23 @@ def level(stated: str, title: str) -> Column:
     return F.coalesce(ordered_case(regex_cases(stated, LEVELS_STATED)), ordered_case(regex_cases(title, LEVELS_IN_TITLE)), F.lit("Not stated"))
 
 
+def found(low: Column, pattern: str) -> Column:
+    """Whether a lowered text has one of a pattern's alternatives: words are looked for as bytes, and other alternatives are tried only where the longest word that they need is."""
+    tests = []
+    for part in re.split(r"\|(?![^(]*\))", pattern):
+        needs = max(re.sub(r"\(.*?\)|\[.*?\]|.\?", "|", part).split("|"), key=len)
+        known = re.fullmatch(r"(?:\([^()*+{}\\.]*\)|[^()*+{}\\.])+", part) and re.fullmatch("[a-z0-9 -]+", needs)
+        tests.append(low.rlike(part) if not known else F.contains(low, F.lit(part)) if needs == part else F.contains(low, F.lit(needs)) & low.rlike(part))
+    return reduce(lambda a, b: a | b, tests)
+
+
 def industry(text: str) -> Column:
     """One industry if one matches; several are "Multiple industries"; none may still be technology, or nothing stated."""
-    found = F.filter(F.array(*[F.when(c, F.lit(label)) for label, c in regex_cases(text, INDUSTRIES)]), lambda x: x.isNotNull())
-    return (
-        F.when(F.size(found) > 1, "Multiple industries")
-        .when(F.size(found) == 1, F.get(found, F.lit(0)))
-        .when(F.lower(text).rlike(TECHNOLOGY), "Technology & software")
-        .when(F.col(text).isNull() | F.trim(F.lower(text)).isin(NOT_STATED), "Not stated")
-        .otherwise("Other")
-    )
+    low = F.lower(text)
+    named = F.concat_ws("|", *[F.when(found(low, pattern), F.lit(label)) for label, pattern in INDUSTRIES])
+    one = F.nullif(F.regexp_replace(named, r"^.*\|.*$", "Multiple industries"), F.lit(""))
+    rest = F.when(found(low, TECHNOLOGY), "Technology & software").when(F.col(text).isNull() | F.trim(low).isin(NOT_STATED), "Not stated").otherwise("Other")
+    return F.coalesce(one, rest)
 
 
 def age_bucket(days: Column) -> Column:
