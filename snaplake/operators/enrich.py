@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +19,8 @@ FIELDS = "title STRING, company STRING, location STRING, work_mode STRING, senio
 MAX_CHARS, MAX_ATTEMPTS = 12_000, 3
 #: Prompts of one chunk, which is what a lost job may ask again, and calls that one task has open at a time.
 CHUNK, IN_FLIGHT = 20_000, 8
+#: Prompts that a task holds as Python strings at a time; the others of an Arrow batch stay in Arrow's memory.
+AT_ONCE = 64
 LOG = "asked string, run long, result string, errorMessage string"
 
 
@@ -74,11 +76,12 @@ def _asking(model: Callable[[str], str | None], in_flight: int) -> Callable[[str
         except Exception as e:  # one bad row must not fail the batch
             return None, str(e) or type(e).__name__
 
-    @F.pandas_udf(REPLY)
-    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(REPLY)
+    def ask(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         with ThreadPoolExecutor(in_flight) as pool:
             for batch in batches:
-                yield pd.DataFrame(pool.map(reply, batch), columns=["result", "errorMessage"], dtype=object)
+                said = [r for i in range(0, len(batch), AT_ONCE) for r in pool.map(reply, batch.slice(i, AT_ONCE).to_pylist())]
+                yield pa.StructArray.from_arrays([pa.array([r[k] for r in said], pa.string()) for k in (0, 1)], ["result", "errorMessage"])
 
     return ask.asNondeterministic()
 
