@@ -333,3 +333,52 @@ def test_replies(spark):
 
     got = {r["job_key"]: r["error"] for r in enrich.parsed(enrich.infer(rows, "p", model)).collect()}
     assert got == {1: None, 2: "empty response", 3: "response was not valid JSON", 4: "boom"}
+
+
+def test_entities_leave_alone(spark):
+    """Only runs with an ``&`` go to Python, and what comes back is what ``html.unescape`` makes of the whole text, twice."""
+    import html
+    import random
+
+    r = random.Random(1)
+    bits = ["&", "&amp;", "&amp", "lt;", "&lt;", "&gt", "#38;", "&#x26;", "&#60;", "&#", "&notit;", " ", "\t", "<", "a", "\U0001f600", "b;", ";", "&nbsp;", "&Tab;", "&amp;amp;lt;", "\n", "&" + "z" * 40 + ";"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 14))) for _ in range(2000)] + ["x" * 1000 + "&amp; y"]
+    rows = spark.createDataFrame([(x, [x, "", x]) for x in texts], "h string, l array<string>")
+    put = lambda x: t._put(x, t._decoded(t._entities(x)))
+    assert all(g == html.unescape(html.unescape(h)) for h, g in rows.select("h", put(F.col("h"))).collect())
+    assert all(g == [one, "", one] for one, g in rows.select(t.html_to_text("h"), t.html_to_texts(F.col("l"))).collect())
+    assert rows.select(F.max(F.length(F.array_join(t._entities(F.col("h")), "")))).first()[0] < 1000
+
+
+def test_industries_are_what_the_patterns_say(spark):
+    """Words looked for as bytes find what the patterns find."""
+    import re
+
+    from snaplake.operators import rules
+
+    words = ["Health", "e-commerce", "ecommerce", "commerce", "iam", "xiam", "IAM.", "oil", "ai", "said", "it services", "n/a", "", "cloud", "é", "capital market", "none"]
+    texts = [a + sep + b for a in words for b in words for sep in (" ", "", "\n")]
+    for pattern in [p for _, p in rules.INDUSTRIES] + [rules.TECHNOLOGY, r"a\.c|x+y|(p|q)r{2}"]:
+        got = spark.createDataFrame([(x,) for x in texts], "x string").select("x", rules.found(F.lower("x"), pattern)).collect()
+        assert all(g == bool(re.search(pattern, x.lower())) for x, g in got), pattern
+    plan = spark._jvm.PythonSQLUtils.explainString(spark.createDataFrame([("a",)], "x string").select(rules.industry("x"))._jdf.queryExecution(), "simple")
+    assert "bank|financ" not in plan
+
+
+def test_only_likely_runs_are_made(spark):
+    """A text's runs that start with no spelling's first word are not made."""
+    known = t.vocabulary_table(spark, {"ci/cd": "ci/cd", "spark sql": "spark sql", "spark": "spark"})
+    rows = spark.createDataFrame([("-ci/cd, spark sql xspark ci spark",), ("no word of it",), ("",), (None,)], "x string")
+    got = [r[0] and sorted(r[0]) for r in rows.select(t.likely_runs("x", known)).collect()]
+    assert got == [["ci spark", "ci/cd", "spark", "spark sql"], [], [], None]
+
+
+def test_prompts_are_held_a_few_at_a_time(spark):
+    """A null prompt gets an error as any that the model refuses; replies keep their rows over many pieces of a batch."""
+    def model(x):
+        return None if x.endswith("7") else x + "!"
+
+    rows = spark.range(500).select("id", F.when(F.col("id") != 3, F.col("id").cast("string")).alias("p")).coalesce(1)
+    got = {r["id"]: tuple(r["r"]) for r in enrich.infer(rows, "p", model).collect()}
+    assert len(got) == 500 and got[3][0] is None and "NoneType" in got[3][1]
+    assert all(got[i] == (None if i % 10 == 7 else f"{i}!", None) for i in range(500) if i != 3) and enrich.AT_ONCE < 500
