@@ -19,12 +19,15 @@ class MetricView:
     ``query`` groups by some dimensions and evaluates some measures in one aggregate.  Only names that are
     defined may be used, in ``where`` as well, so a metric cannot be bent by a column that it does not publish.
     Where the source has one row per ``key``, counts of distinct keys are sums of flags, which combine before the shuffle.
+    Where it has several, ``once`` (the key, and what is to be known of each) makes one row per key of every group first, and the measures look at these:
+    rows dealt by that key are not shuffled again, and several distinct counts need no copy of a row each.
     """
 
     source: DataFrame
     dimensions: Mapping[str, Column]
     measures: Mapping[str, Column]
     comments: Mapping[str, str] = field(default_factory=dict)
+    once: tuple[str, Mapping[str, Column]] | None = None
 
     def query(self, dims: Sequence[str] = (), measures: Sequence[str] = (), where: str | None = None) -> DataFrame:
         for name in dims:
@@ -39,6 +42,10 @@ class MetricView:
             rows.sparkSession.createDataFrame([], shown.schema).where(where)  # fails on a name that is not a dimension
             rows = rows.withColumns(dict(self.dimensions)).where(where)
         keys = [self.dimensions[d].alias(d) for d in dims]
+        if self.once:
+            key, known = self.once
+            rows = rows.groupBy(*keys, F.col(key).alias("__key")).agg(*[c.alias(n) for n, c in known.items()])
+            keys = [F.col(d) for d in dims]
         return rows.groupBy(*keys).agg(*[self.measures[m].alias(m) for m in measures])
 
 
@@ -141,7 +148,7 @@ def skill_demand(demand: DataFrame) -> MetricView:
     c = F.col
     status = F.when(c("in_profile"), "Have it").when(c("on_learning_list"), "Learning").otherwise("Gap")
     dims = {n: c(n) for n in ("skill", "requirement", "domain", "location", "is_open", "in_profile", "known_skill")} | {"skill_status": status}
-    return MetricView(demand, dims, {"postings_asking": distinct_where("job_key"), "must_have_postings": distinct_where("job_key", c("requirement") == "must")})
+    return MetricView(demand, dims, {"postings_asking": F.count("__key"), "must_have_postings": F.count(F.when(c("__must"), c("__key")))}, once=("job_key", {"__must": F.max(c("requirement") == "must")}))
 
 
 def market_daily(daily: DataFrame) -> MetricView:

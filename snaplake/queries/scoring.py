@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from snaplake.functions.text import canonical_terms
 from snaplake.operators import score as sc
 from snaplake.queries.registry import Source, query, text_dates
+from snaplake.storage import pieces
 
 ADJECTIVES = ["cold", "old", "blue", "new", "large", "small", "red", "hot"]
 NOUNS = ["rod", "plate", "widget", "ring", "bolt", "gear"]  # two nouns of the tables are unknown terms
@@ -23,9 +24,15 @@ DEMAND = f"""{ROWS}, demand AS (SELECT rr.job_key, requirement, skill, m.domain,
   CASE WHEN skill IN {HAVE} THEN 'Have it' WHEN skill IN {LEARN} THEN 'Learning' ELSE 'Gap' END AS skill_status FROM rr JOIN {{reqmeta}} m USING (job_key))"""
 
 
+def _pieces(s: Source) -> int:
+    """Partitions for what is dealt by posting."""
+    return pieces(s["lineitem"], s["orders"])
+
+
 def skills(s: Source):
-    """Distinct skills of each posting and requirement."""
-    return s["req"].select("job_key", "requirement", F.explode(F.array("s1", "s2")).alias("skill")).distinct()
+    """Distinct skills of each posting and requirement; dealt by posting once, before they are told apart, and all that follows keeps to it."""
+    dealt = s["req"].select("job_key", "requirement", "s1", "s2").repartition(_pieces(s), "job_key")
+    return dealt.select("job_key", "requirement", F.explode(F.array("s1", "s2")).alias("skill")).distinct()
 
 
 def market_demand(s: Source):

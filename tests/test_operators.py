@@ -9,7 +9,7 @@ from snaplake.functions import text as t
 from snaplake.functions import vocabulary
 from snaplake.operators import enrich, fetch_state, lifecycle, rules, score, upsert, validate
 from snaplake.plans import metrics, quality_gate, snapshot
-from snaplake.storage import new_path
+from snaplake.storage import new_path, pieces
 
 DAY = dt.date(2026, 1, 10)
 SNAP = "job_key string, source string, company string, title string, location string, url string, raw_text string, posted_at string, snapshot_day date, loaded_at timestamp, seq long, fetch_mode string"
@@ -382,3 +382,29 @@ def test_prompts_are_held_a_few_at_a_time(spark):
     got = {r["id"]: tuple(r["r"]) for r in enrich.infer(rows, "p", model).collect()}
     assert len(got) == 500 and got[3][0] is None and "NoneType" in got[3][1]
     assert all(got[i] == (None if i % 10 == 7 else f"{i}!", None) for i in range(500) if i != 3) and enrich.AT_ONCE < 500
+
+
+def test_skills_are_dealt_once(spark, sf_dir):
+    """Once dealt by posting, skills are told apart, joined and counted where they are; only counts of skills are shuffled again, and no row is copied for a second count."""
+    from snaplake.queries import QUERIES
+
+    for name in ("mv_skill_demand",):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        above, found, _ = plan.partition("REPARTITION_BY_NUM")
+        assert found and "Expand" not in plan and [x for x in above.split("\n") if "Exchange hash" in x][1:] == [x for x in above.split("\n") if "Exchange hashpartitioning(job_key" in x], plan
+
+
+def test_pieces_grow_with_tables(spark):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [pieces(spark.range(0), rows=10), pieces(spark.range(5), spark.range(10 * least), rows=10), pieces(spark.range(5), spark.range(1001), rows=10)] == [least, least, 101]
+
+
+def test_skill_demand_of_odd_rows(spark):
+    rows = [("a", "x", "must", "d"), ("a", "x", "nice", "d"), ("a", "y", "nice", "d"), ("a", "x", "must", "e"), ("b", "x", None, None), (None, "x", "must", "d"), (None, "y", "must", None)]
+    made = spark.createDataFrame(rows, "job_key string, skill string, requirement string, domain string").selectExpr("*", "skill = 'x' AS in_profile", "true AS on_learning_list", "'' AS location", "true AS is_open", "true AS known_skill")
+    view = metrics.skill_demand(made)
+    ask = lambda dims, where=None: sorted(map(tuple, view.query(dims, ["postings_asking", "must_have_postings"], where).collect()), key=repr)
+    assert ask(["skill", "skill_status"]) == [("x", "Have it", 2, 1), ("y", "Learning", 1, 0)]
+    assert ask(["domain"]) == [("d", 1, 1), ("e", 1, 1), (None, 1, 0)]
+    assert ask([]) == [(2, 1)] and ask([], "skill = 'y'") == [(1, 0)] and ask([], "skill = 'z'") == [(0, 0)]
+    assert view.query(["skill"], ["postings_asking"]).columns == ["skill", "postings_asking"]
