@@ -388,7 +388,7 @@ def test_skills_are_dealt_once(spark, sf_dir):
     """Once dealt by posting, skills are told apart, joined and counted where they are; only counts of skills are shuffled again, and no row is copied for a second count."""
     from snaplake.queries import QUERIES
 
-    for name in ("mv_skill_demand",):
+    for name in ("mv_skill_demand", "mv_skill_by_domain"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         above, found, _ = plan.partition("REPARTITION_BY_NUM")
         assert found and "Expand" not in plan and [x for x in above.split("\n") if "Exchange hash" in x][1:] == [x for x in above.split("\n") if "Exchange hashpartitioning(job_key" in x], plan
