@@ -102,9 +102,14 @@ def fit(skills: DataFrame, meta: DataFrame, profile: Profile) -> DataFrame:
     return rows.select("job_key", "fit_score", verdict.alias("recommendation"), rounded(F.col("must_part"), 3).alias("must_coverage"), rounded(F.col("nice_part"), 3).alias("nice_coverage"), "years_part", "location_part", "domain_part", F.col("matched").alias("matched_skills"), F.col("missing").alias("missing_skills"), gaps.alias("learning_gaps"))
 
 
-def canonical_skills(phrases: DataFrame, vocabulary: Sequence[str], aliases: Mapping[str, str]) -> DataFrame:
-    """``job_key, requirement, skill, place`` from rows ``job_key, requirement, place, phrase``: the known names in each posting's phrases, each once, where first seen."""
-    found = canonical_terms(phrases, "phrase", vocabulary, aliases).select("job_key", "requirement", "place", F.posexplode("terms").alias("within", "skill"))
+def canonical_skills(phrases: DataFrame, vocabulary: Sequence[str], aliases: Mapping[str, str], parts: int | None = None) -> DataFrame:
+    """``job_key, requirement, skill, place`` from rows ``job_key, requirement, place, phrase``: the known names in each posting's phrases, each once, where first seen.
+
+    With ``parts`` phrases are dealt by posting into so many partitions before names are told apart, and :func:`fit` goes on there.
+    """
+    named = canonical_terms(phrases, "phrase", vocabulary, aliases).select("job_key", "requirement", "place", "terms")
+    named = named.repartition(parts, "job_key") if parts else named
+    found = named.select("job_key", "requirement", "place", F.posexplode("terms").alias("within", "skill"))
     return found.groupBy("job_key", "requirement", "skill").agg(F.min(F.struct("place", "within")).alias("place"))
 
 

@@ -106,7 +106,7 @@ SELECT job_key, fit_score, CASE WHEN fit_score >= 70 AND years_part >= 0.6 AND l
   CAST(round(CAST(must_part AS DECIMAL(18,9)), 3) AS DOUBLE) AS must_coverage, CAST(round(CAST(nice_part AS DECIMAL(18,9)), 3) AS DOUBLE) AS nice_coverage, CAST(years_part AS DOUBLE) AS years_part, CAST(location_part AS DOUBLE) AS location_part, CAST(domain_part AS DOUBLE) AS domain_part, matched_skills, missing_skills, learning_gaps FROM z""")
 def _(s: Source):
     phrases = s["req"].select("job_key", "requirement", F.col("line").alias("place"), F.upper("phrase").alias("phrase"))
-    return text_dates(sc.fit(sc.canonical_skills(phrases, PROFILE.vocabulary, {}), s["reqmeta"].withColumn("work_mode", F.lit("")), PROFILE))
+    return text_dates(sc.fit(sc.canonical_skills(phrases, PROFILE.vocabulary, {}, _pieces(s)), s["reqmeta"].withColumn("work_mode", F.lit("")), PROFILE))
 
 
 @query("phrase_canon", f"""SELECT p_partkey, p_name, CASE WHEN len(list_filter(string_split(p_name, ' '), lambda w: w IN {KNOWN})) = 0 THEN p_name ELSE array_to_string(list_filter(string_split(p_name, ' '), lambda w: w IN {KNOWN}), '|') END AS terms FROM {{part}}""")

@@ -408,3 +408,16 @@ def test_skill_demand_of_odd_rows(spark):
     assert ask(["domain"]) == [("d", 1, 1), ("e", 1, 1), (None, 1, 0)]
     assert ask([]) == [(2, 1)] and ask([], "skill = 'y'") == [(1, 0)] and ask([], "skill = 'z'") == [(0, 0)]
     assert view.query(["skill"], ["postings_asking"]).columns == ["skill", "postings_asking"]
+
+
+def test_fit_is_dealt_by_posting(spark, sf_dir):
+    """Rows that share a phrase are not gathered: the few phrases are sent to them; then a posting's names are told apart, ordered and scored in one place."""
+    from snaplake.queries import QUERIES
+
+    rows = QUERIES["fit_score"](spark, sf_dir)
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    joins = [x for x in plan.split("\n") if "Join" in x and "__phrase" in x]
+    assert joins and all("BroadcastHashJoin" in x for x in joins), plan
+    names = plan[: plan.index("REPARTITION_BY_NUM")]
+    assert "hashpartitioning(job_key" in plan and "requirement" in names and not [x for x in names.split("\n") if "hashpartitioning" in x and "requirement" in x], plan
