@@ -157,12 +157,14 @@ def _(s: Source):
 
 
 def _exported(s: Source, log, root: str, version: str) -> None:
-    """The whole snapshot behind the gate."""
-    from snaplake.plans.quality_gate import gate_state
+    """The whole snapshot behind the gate, which is asked before anything is made, and by the export again."""
+    from snaplake.plans.quality_gate import gate_state, require_passed
+    gate = gate_state(log, F.desc("checked_at"))
+    require_passed(gate)
     demand, snap = scoring.market_demand(s).withColumn("job_key", F.col("job_key").cast("string")), s["snap"]
     # nine sets are cut from these three, which are made once
     view, demand, days = stored(market(s), "market"), stored(demand, "demand"), stored(lc.daily_activity(snap, lc.clean(lc.postings(snap))), "days")
-    snapshot.export(snapshot.results(view, demand, days, log, s.as_of(), {"tools": ["rod"], "parts": ["hot", "gear"]}), gate_state(log, F.desc("checked_at")), root, version)
+    snapshot.export(snapshot.results(view, demand, days, log, s.as_of(), {"tools": ["rod"], "parts": ["hot", "gear"]}), gate, root, version)
 
 
 def _next_run(log, passed: bool):
