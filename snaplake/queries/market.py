@@ -161,9 +161,10 @@ def _exported(s: Source, log, root: str, version: str) -> None:
     from snaplake.plans.quality_gate import gate_state, require_passed
     gate = gate_state(log, F.desc("checked_at"))
     require_passed(gate)
-    demand, snap = scoring.market_demand(s).withColumn("job_key", F.col("job_key").cast("string")), s["snap"]
-    # nine sets are cut from these three, which are made once
-    view, demand, days = stored(market(s), "market"), stored(demand, "demand"), stored(lc.daily_activity(snap, lc.clean(lc.postings(snap))), "days")
+    # nine sets are cut from these three, which are made once; the sets of skills look at each posting once, so a skill may come again
+    demand = scoring.market_demand(s, scoring.asked(s)).withColumn("job_key", F.col("job_key").cast("string"))
+    view, demand = stored(market(s), "market"), stored(demand, "demand")
+    days = stored(lc.daily_activity(s["snap"], view), "days")
     snapshot.export(snapshot.results(view, demand, days, log, s.as_of(), {"tools": ["rod"], "parts": ["hot", "gear"]}), gate, root, version)
 
 

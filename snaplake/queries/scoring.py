@@ -29,14 +29,19 @@ def _pieces(s: Source) -> int:
     return pieces(s["lineitem"], s["orders"])
 
 
-def skills(s: Source):
-    """Distinct skills of each posting and requirement; dealt by posting once, before they are told apart, and all that follows keeps to it."""
+def asked(s: Source):
+    """Skills of each posting and requirement as its lines name them, so a skill may come again; dealt by posting once, and all that follows keeps to it."""
     dealt = s["req"].select("job_key", "requirement", "s1", "s2").repartition(_pieces(s), "job_key")
-    return dealt.select("job_key", "requirement", F.explode(F.array("s1", "s2")).alias("skill")).distinct()
+    return dealt.select("job_key", "requirement", F.explode(F.array("s1", "s2")).alias("skill"))
+
+
+def skills(s: Source):
+    """Distinct skills of each posting and requirement."""
+    return asked(s).distinct()
 
 
-def market_demand(s: Source):
-    rows = sc.demand_rows(skills(s), PROFILE)
+def market_demand(s: Source, named=None):
+    rows = sc.demand_rows(skills(s) if named is None else named, PROFILE)
     return rows.join(s["reqmeta"].select("job_key", "domain", "location", "is_open"), "job_key")
 
 

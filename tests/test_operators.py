@@ -421,3 +421,26 @@ def test_fit_is_dealt_by_posting(spark, sf_dir):
     assert joins and all("BroadcastHashJoin" in x for x in joins), plan
     names = plan[: plan.index("REPARTITION_BY_NUM")]
     assert "hashpartitioning(job_key" in plan and "requirement" in names and not [x for x in names.split("\n") if "hashpartitioning" in x and "requirement" in x], plan
+
+
+def test_refusal_makes_nothing(spark, sf_dir, monkeypatch):
+    from snaplake.queries import QUERIES, market
+
+    monkeypatch.setattr(market, "market", lambda s: pytest.fail("made for nobody"))
+    assert QUERIES["snapshot_refused"](spark, sf_dir).first()["published"] == 1
+
+
+def test_export_makes_postings_once(spark, sf_dir, monkeypatch):
+    """Postings are rebuilt once for all sets, and skills that lines repeat change none of them."""
+    from snaplake.queries import QUERIES, scoring
+    from snaplake.queries.registry import Source
+
+    made, of = [], lifecycle.postings
+    monkeypatch.setattr(lifecycle, "postings", lambda *a, **k: made.append(1) or of(*a, **k))
+    QUERIES["snapshot_export"](spark, sf_dir)
+    assert len(made) == 1
+    s, groups = Source(spark, sf_dir), {"tools": ["rod"], "parts": ["hot", "gear"]}
+    often, once = scoring.market_demand(s, scoring.asked(s)), scoring.market_demand(s)
+    assert often.count() > once.count() and snapshot.skills(often).collect() == snapshot.skills(once).collect()
+    rows = s["reqmeta"].withColumn("is_enriched", F.lit(True))
+    assert snapshot.skill_flags(rows, often, groups).collect() == snapshot.skill_flags(rows, once, groups).collect()
