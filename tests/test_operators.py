@@ -444,3 +444,10 @@ def test_export_makes_postings_once(spark, sf_dir, monkeypatch):
     assert often.count() > once.count() and snapshot.skills(often).collect() == snapshot.skills(once).collect()
     rows = s["reqmeta"].withColumn("is_enriched", F.lit(True))
     assert snapshot.skill_flags(rows, often, groups).collect() == snapshot.skill_flags(rows, once, groups).collect()
+
+
+def test_top_members_are_told_apart_in_place(spark, sf_dir):
+    from snaplake.queries import QUERIES
+
+    plan = QUERIES["top20_members"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and not [x for x in plan.split("\n") if "Exchange hashpartitioning(job_key" in x and "requirement" in x.partition("), ")[0]], plan
