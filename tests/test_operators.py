@@ -451,3 +451,19 @@ def test_top_members_are_told_apart_in_place(spark, sf_dir):
 
     plan = QUERIES["top20_members"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 2 and not [x for x in plan.split("\n") if "Exchange hashpartitioning(job_key" in x and "requirement" in x.partition("), ")[0]], plan
+
+
+@pytest.mark.parametrize("name", ["mv_skill_by_domain"])
+def test_large_joins_are_dealt(spark, sf_dir, monkeypatch, name):
+    """Lines meet parts, and postings companies, in partitions of bounded rows where the second table is large, a small one is sent to all; rows are the same."""
+    from snaplake import fixtures, storage
+    from snaplake.queries import QUERIES
+
+    ask = lambda: sorted(map(tuple, QUERIES[name](spark, sf_dir).collect()))
+    dealt = lambda: [x for x in QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().split("\n") if "REPARTITION_BY_NUM" in x]
+    keys = ("l_partkey", "p_partkey", "o_custkey", "c_custkey")
+    sent = ask()
+    assert sent and not any(k in x for x in dealt() for k in keys)
+    monkeypatch.setattr(fixtures, "dealt_alike", lambda *sides: storage.dealt_alike(*sides, rows=100))
+    assert all(any(f"({k}#" in x and ", 60)" in x or f"({k}#" in x and ", 15)" in x for x in dealt()) for k in keys), dealt()
+    assert ask() == sent
