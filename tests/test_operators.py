@@ -453,7 +453,7 @@ def test_top_members_are_told_apart_in_place(spark, sf_dir):
     assert plan.count("REPARTITION_BY_NUM") == 2 and not [x for x in plan.split("\n") if "Exchange hashpartitioning(job_key" in x and "requirement" in x.partition("), ")[0]], plan
 
 
-@pytest.mark.parametrize("name", ["mv_skill_by_domain"])
+@pytest.mark.parametrize("name", ["mv_skill_by_domain", "top20_members"])
 def test_large_joins_are_dealt(spark, sf_dir, monkeypatch, name):
     """Lines meet parts, and postings companies, in partitions of bounded rows where the second table is large, a small one is sent to all; rows are the same."""
     from snaplake import fixtures, storage
