@@ -32,7 +32,9 @@ from snaplake.llm.lattice import MARKER, OWN_MARKER, Lattices, Vocabulary
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 TOP_K = 3
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
+#: Edges of lattices that a task keeps, 24 bytes each and 4 for each node.
+EDGES = 6_000_000
 SAMPLES = "doc_id long, rank int, ids array<int>, log_prob double, perturbed double, inclusion double"
 
 
@@ -56,10 +58,126 @@ def uniform(seed: np.ndarray, place: np.ndarray | int) -> np.ndarray:
     return ((h >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
+class Shelf:
+    """Lattices of the chunks that a task has met, so that a chunk that comes again is looked up and not built again.
+
+    A chunk's edges lie together, end by end, so a walk finds all of a chunk in one place.  A node is the number of the first edge that
+    ends in it, the root is -1; ``upto`` sums the shares of a node's edges, and has no end at the last.  What is held has no
+    say in a sample: a chunk's lattice is the same wherever it is built.  Once there are ``limit`` edges, all are dropped
+    before the next texts, so memory is bounded by these and what one piece of texts adds.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, alphabet: np.ndarray, limit: int = EDGES):
+        self.vocabulary, self.alphabet, self.limit = vocabulary, alphabet, limit
+        self.first_edge = np.zeros(1, np.int32)
+        self.origin, self.piece = np.empty(0, np.int32), np.empty(0, np.int32)
+        self.share, self.upto = np.empty(0), np.empty(0)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.finals = np.zeros(1 << 12, np.uint64), np.full(1 << 12, -1, np.int32)
+        self.chunks = self.nodes = self.edges = 0
+        self.spelled: dict[tuple[int, ...], int] = {}
+        self.spelling, self.spelling_size = np.zeros((0, 4), np.int32), np.zeros(0, np.int64)
+
+    def look_up(self, hashes: np.ndarray) -> np.ndarray:
+        """The last node of each chunk, -1 where it is not held."""
+        shift, last = np.uint64(64 - len(self.keys).bit_length() + 1), len(self.keys) - 1
+        at = (hashes >> shift).astype(np.int64)
+        out = self.finals[at]
+        open_ = np.flatnonzero((out >= 0) & (self.keys[at] != hashes))
+        at = at[open_]
+        while len(open_):
+            at = (at + 1) & last
+            now = self.finals[at]
+            out[open_] = now
+            on = (now >= 0) & (self.keys[at] != hashes[open_])
+            open_, at = open_[on], at[on]
+        return out
+
+    def _enter(self, hashes: np.ndarray, finals: np.ndarray) -> None:
+        """Hold different chunks that are not held yet; the table stays at most half full."""
+        self.chunks += len(hashes)
+        if 2 * self.chunks > len(self.keys):
+            held = np.flatnonzero(self.finals >= 0)
+            hashes, finals = np.concatenate([self.keys[held], hashes]), np.concatenate([self.finals[held], finals])
+            size = 1 << (2 * self.chunks).bit_length()
+            self.keys, self.finals = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+        shift, last = np.uint64(64 - len(self.keys).bit_length() + 1), len(self.keys) - 1
+        at = (hashes >> shift).astype(np.int64)
+        while len(at):
+            free = np.flatnonzero(self.finals[at] < 0)
+            self.finals[at[free]] = finals[free]  # of several for a place the last stays
+            won = self.finals[at] == finals
+            self.keys[at[won]] = hashes[won]
+            hashes, finals, at = hashes[~won], finals[~won], (at[~won] + 1) & last
+
+    def find(self, hashes: np.ndarray, code: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The last nodes of the chunks ``code[first:first + size]``; those not held are built."""
+        out = self.look_up(hashes)
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            new, at, kind = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            at = missing[at]
+            finals = self._build(code[ragged(first[at], size[at])], size[at])
+            self._enter(new, finals)
+            out[missing] = finals[kind]
+        return out
+
+    def _build(self, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+        lattices = Lattices(self.vocabulary, flat, size)
+        roots, edges = int(lattices.many[0]), lattices.edges[1:]
+        chunk = np.repeat(np.arange(roots), lattices.lengths)
+        end = np.arange(1, len(chunk) + 1) - np.repeat(np.cumsum(lattices.lengths) - lattices.lengths, lattices.lengths)
+        node = lattices.base[end] + chunk
+        counts = np.concatenate([np.diff(e[3]) for e in edges])
+        first, counts = (np.cumsum(counts) - counts)[node - roots], counts[node - roots]
+        order = ragged(first, counts)
+        origin, piece, share = (np.concatenate([e[i] for e in edges])[order] for i in range(3))
+        begin = np.cumsum(counts) - counts
+        number = np.full(len(lattices.alpha), -1)
+        number[node] = begin + self.edges
+        # sums of a node's shares, edge by edge, so that they are the same whatever else is built
+        upto = share.copy()
+        more, j = begin[counts > 1], 1
+        sizes = counts[counts > 1]
+        while len(more):
+            upto[more + j] += upto[more + j - 1]
+            j += 1
+            more, sizes = more[sizes > j], sizes[sizes > j]
+        upto[begin + counts - 1] = np.inf
+        n = len(self.vocabulary.pieces)
+        if lattices.unknown:
+            known = np.array([self.spelled.setdefault(tuple(x), len(self.spelled)) for x in lattices.unknown])
+            far = np.flatnonzero(piece >= n)
+            piece[far] = n + known[piece[far] - n]
+            fresh = list(self.spelled)[len(self.spelling) :]
+            table = np.array([x + (0,) * (4 - len(x)) for x in fresh], np.int32).reshape(-1, 4)
+            self.spelling = np.concatenate([self.spelling, table])
+            self.spelling_size = np.concatenate([self.spelling_size, np.array([len(x) for x in fresh], np.int64)])
+        self.first_edge = _put(self.first_edge, self.nodes, np.append(begin, len(share)) + self.edges)
+        self.origin = _put(self.origin, self.edges, number[origin])
+        self.piece, self.share, self.upto = _put(self.piece, self.edges, piece), _put(self.share, self.edges, share), _put(self.upto, self.edges, upto)
+        finals = np.empty(len(size), np.int32)
+        finals[lattices.order] = number[lattices.final]
+        self.nodes += len(node)
+        self.edges += len(share)
+        return finals
+
+
+def _put(held: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    """``held`` with ``values`` from ``at`` on, in a larger array if they don't fit."""
+    if at + len(values) > len(held):
+        held, old = np.empty(max(at + len(values), 2 * len(held)), held.dtype), held
+        held[:at] = old[:at]
+    held[at : at + len(values)] = values
+    return held
+
+
 class Chunks:
-    """Occurrences of chunks in texts, and the lattices of the distinct ones."""
+    """Occurrences of chunks in texts, and the lattices of the distinct ones, which ``shelf`` holds."""
 
-    def __init__(self, vocabulary: Vocabulary, alphabet: np.ndarray, texts: list[str]):
+    def __init__(self, shelf: Shelf, texts: list[str]):
         joined = "".join(" " + t for t in texts if t)
         code = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
         lengths = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
@@ -67,7 +185,7 @@ class Chunks:
         space = code == 32
         code = np.where(code == ord(MARKER), np.uint32(OWN_MARKER), code)
         code[space] = ord(MARKER)
-        alone = alphabet[np.minimum(code, len(alphabet) - 1)] == 0
+        alone = shelf.alphabet[np.minimum(code, len(shelf.alphabet) - 1)] == 0
         begin = np.ones(len(code), bool)
         if len(code):
             begin[1:] = (space[1:] & ~space[:-1]) | alone[1:] | alone[:-1]
@@ -75,62 +193,62 @@ class Chunks:
         first = np.flatnonzero(begin)
         size = np.diff(np.append(first, len(code)))
         hashes = B.run_hashes(B.mix(code.astype(np.uint64) + np.uint64(1)), first, first + size)
-        _, at, kind = np.unique(hashes, return_index=True, return_inverse=True)
-        flat = code[ragged(first[at], size[at])]
-        self.lattices = Lattices(vocabulary, flat, size[at])
-        place = np.empty(len(at), np.int64)
-        place[self.lattices.order] = np.arange(len(at))
-        self.final = self.lattices.final[place[kind]]
+        if shelf.edges >= shelf.limit:
+            shelf.clear()
+        self.final = shelf.find(hashes, code, first, size)
         self.text_first = np.searchsorted(first, edge)
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.text_first))
         self.place = np.arange(len(first)) - self.text_first[self.text] if len(first) else np.zeros(0, np.int64)
-        edges = self.lattices.edges[1:]
-        self.roots = int(self.lattices.many[0])
-        take = lambda i, t: np.concatenate([e[i] for e in edges]).astype(t) if edges else np.zeros(0, t)
-        self.origin, self.piece, self.share = take(0, np.int64), take(1, np.int64), take(2, np.float64)
-        counts = np.concatenate([np.zeros(self.roots, np.int64), *(np.diff(e[3]) for e in edges)]) if edges else np.zeros(self.roots, np.int64)
-        self.first_edge = np.concatenate([[0], np.cumsum(counts)])
-        total = np.cumsum(self.share)
-        self.upto = total - np.repeat(np.concatenate([[0.0], total])[self.first_edge[:-1]], counts)
-        self.log_share = np.log(np.maximum(self.share, 1e-300))
-        # nothing is left where the node has no other edge; a share that is rounded to 1 leaves nothing either
-        rest = 1.0 - self.share
-        self.log_rest = np.where(rest > 1e-15, np.log(np.maximum(rest, 1e-300)), -np.inf)
+        self.first_edge, self.origin, self.piece, self.share, self.upto = shelf.first_edge[: shelf.nodes + 1], shelf.origin, shelf.piece, shelf.share, shelf.upto
+        self.spelling, self.spelling_size = shelf.spelling, shelf.spelling_size
 
 
-def _walk(c: Chunks, node: np.ndarray, seed: np.ndarray, turn: int, chunk: tuple[np.ndarray, np.ndarray], skip: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Sample the edges from each node back to its chunk's root: their numbers, and (cursor, edge) step by step.
+def _walk(c: Chunks, node: np.ndarray, seed: np.ndarray, turn: int, chunk: tuple[np.ndarray, np.ndarray], skip: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+    """Sample the edges from each node back to its chunk's root: their numbers, and (cursor, edge, share, piece) step by step.
 
-    ``chunk``: the text of each cursor, and the place of its chunk there.
+    ``chunk``: the text of each cursor, and the place of its chunk there.  Cursors go in order of their nodes, so what the shelf
+    holds is read from one end to the other.
     """
     counts, steps = np.zeros(len(node), np.int64), []
     own = B.mix(stream(seed, turn)[chunk[0]] + chunk[1].astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-    live = np.flatnonzero(node >= c.roots)
-    node = node[live]
+    live = np.argsort(node)
+    live = live[np.count_nonzero(node < 0) :]
+    node, own, skip = node[live], own[live], skip[live]
     k = 0
     while len(live):
-        lo, hi = c.first_edge[node], c.first_edge[node + 1] - 1
-        edge = lo.copy()
-        many = np.flatnonzero(hi > lo)
-        u = uniform(own[live[many]], skip[live[many]] + k)
+        u = uniform(own, skip + k)
+        edge = node.copy()
+        many = np.flatnonzero(u > c.upto[edge])
         while len(many):
-            on = (u > c.upto[edge[many]]) & (edge[many] < hi[many])
-            many, u = many[on], u[on]
             edge[many] += 1
-        steps.append((live, edge))
-        counts[live] += 1
+            many = many[u[many] > c.upto[edge[many]]]
+        steps.append((live, edge, c.share[edge], c.piece[edge]))
         node = c.origin[edge]
-        go = node >= c.roots
-        live, node = live[go], node[go]
         k += 1
+        counts[live[np.flatnonzero(node < 0)]] = k
+        go = np.flatnonzero(node >= 0)
+        live, node, own, skip = live[go], node[go], own[go], skip[go]
     return counts, steps
 
 
+def _fill(path: tuple[np.ndarray, ...], first: np.ndarray, steps: list[tuple[np.ndarray, ...]]) -> None:
+    """Write the steps of a walk to ``path``, from where each cursor's begin."""
+    for step, (cursor, *values) in enumerate(steps):
+        at = first[cursor] + step
+        for column, value in zip(path, values, strict=True):
+            column[at] = value
+
+
+def _path(n: int) -> tuple[np.ndarray, ...]:
+    return np.empty(n, np.int32), np.empty(n), np.empty(n, np.int32)
+
+
 class _Sample:
-    """Edges of one segmentation of every text that has it, chunk by chunk; where it branched off; what that lattice node excludes."""
+    """Edges of one segmentation of every text that has it, chunk by chunk, with their shares and pieces (``path``); where it branched off; what that lattice node excludes."""
 
-    def __init__(self, edges, first, value, start, barred):
-        self.edges, self.first, self.value, self.start, self.barred = edges, first, value, start, barred
+    def __init__(self, path, first, value, start, barred):
+        self.path, self.first, self.value, self.start, self.barred = path, first, value, start, barred
+        self.edges, self.share, self.piece = path
         self.bounds = self.log_prob = self.gumbel = None
 
     def split(self, c: Chunks, turn: int, seed: np.ndarray) -> None:
@@ -138,23 +256,27 @@ class _Sample:
         self.bounds = self.first[c.text_first]
         counts = np.diff(self.bounds)
         text = np.repeat(np.arange(len(counts)), counts)
-        logs = c.log_share[self.edges]
-        run = np.concatenate([[0.0], np.cumsum(logs)])
-        before = run[:-1] - run[self.bounds[:-1]][text]
+        share = self.share
+        run = np.concatenate([[0.0], np.cumsum(np.log(np.maximum(share, 1e-300)))])
         self.log_prob = run[self.bounds[1:]] - run[self.bounds[:-1]]
-        rest = c.log_rest[self.edges]
+        # what lies before the decision at which a text branched off is another part's
+        place = np.arange(len(text)) - self.bounds[text]
+        own = np.flatnonzero(place >= self.start[text])
+        text, place = text[own], place[own]
+        # nothing is left where the node has no other edge; a share that is rounded to 1 leaves nothing either
+        left = 1.0 - share[own]
         at = np.flatnonzero((self.start >= 0) & (self.start < counts))
+        branch = np.searchsorted(own, self.bounds[at] + self.start[at])
         for column in range(self.barred.shape[1]):
-            some = at[self.barred[at, column] >= 0]
-            where = self.bounds[some] + self.start[some]
-            left = np.exp(rest[where]) - c.share[self.barred[some, column]]
-            rest[where] = np.where(left > 1e-15, np.log(np.maximum(left, 1e-300)), -np.inf)
-        place = np.arange(len(text)) - self.bounds[text]
-        rest[place < self.start[text]] = -np.inf
-        with np.errstate(over="ignore", invalid="ignore"):
-            mass = before + rest
+            some = self.barred[at, column] >= 0
+            left[branch[some]] -= c.share[self.barred[at[some], column]]
+        some = np.flatnonzero(left > 1e-15)
+        text, place, own = text[some], place[some], own[some]
+        with np.errstate(over="ignore"):
+            mass = run[own] - run[self.bounds[text]] + np.log(left[some])
             noise = -np.log(uniform(stream(seed, turn, 1)[text], place))
-            self.gumbel = np.where(np.isfinite(rest), mass - np.log(np.exp(mass - self.value[text]) + noise), -np.inf)
+            self.gumbel = np.full(len(share), -np.inf)
+            self.gumbel[own] = mass - np.log(np.exp(mass - self.value[text]) + noise)
 
     def best(self) -> np.ndarray:
         """The highest maximum of each text, -inf where there is no part."""
@@ -171,11 +293,10 @@ def top_k(c: Chunks, keys: np.ndarray, k: int) -> tuple[list[_Sample], list[np.n
     chunks = len(c.text)
     counts, steps = _walk(c, c.final, seed, 0, (c.text, c.place), np.zeros(chunks, np.int64))
     first = np.concatenate([[0], np.cumsum(counts)])
-    edges = np.empty(first[-1], np.int32)
-    for step, (cursor, edge) in enumerate(steps):
-        edges[first[cursor] + step] = edge
+    path = _path(first[-1])
+    _fill(path, first, steps)
     value = -np.log(-np.log(uniform(stream(seed, 0, 2), 0)))
-    samples = [_Sample(edges, first, value, np.full(texts, -1), np.full((texts, k), -1))]
+    samples = [_Sample(path, first, value, np.full(texts, -1), np.full((texts, k), -1))]
     have = [np.ones(texts, bool)]
     samples[0].split(c, 0, seed)
     for turn in range(1, k + 1):
@@ -236,23 +357,23 @@ def _branch(c: Chunks, samples: list[_Sample], source: np.ndarray, value: np.nda
     more, steps = _walk(c, node, seed, turn, (c.text[fresh], c.place[fresh]), skip)
     counts = np.zeros(len(chunk), np.int64)
     counts[fresh] = more + skip
-    copies = []
     for s, sample in enumerate(samples):
         old = np.flatnonzero((active & (source == s))[c.text] & (chunk < branch_chunk[c.text]))
         counts[old] = np.diff(sample.first)[old]
-        copies.append(old)
     first = np.concatenate([[0], np.cumsum(counts)])
-    edges = np.empty(first[-1], np.int32)
-    for step, (cursor, e) in enumerate(steps):
-        edges[first[fresh[cursor]] + skip[cursor] + step] = e
+    path = _path(first[-1])
+    _fill(path, first[fresh] + skip, steps)
     for s, sample in enumerate(samples):
-        old = copies[s]
-        edges[ragged(first[old], counts[old])] = sample.edges[ragged(sample.first[old], counts[old])]
         mine = np.flatnonzero(active & (source == s))
         b = branch_chunk[mine]
-        edges[ragged(first[b], before[mine])] = sample.edges[ragged(sample.first[b], before[mine])]
-        edges[first[b] + before[mine]] = edge[mine]
-    out = _Sample(edges, first, np.where(active, value, 0.0), np.where(active, at, 0), barred)
+        # a text's chunks before the branch, and the edges before it there, lie together
+        begin, size = c.text_first[mine], first[b] + before[mine] - first[c.text_first[mine]]
+        to, from_ = ragged(first[begin], size), ragged(sample.first[begin], size)
+        for column, old in zip(path, sample.path, strict=True):
+            column[to] = old[from_]
+        for column, of_edge in zip(path, (edge[mine], c.share[edge[mine]], c.piece[edge[mine]]), strict=True):
+            column[first[b] + before[mine]] = of_edge
+    out = _Sample(path, first, np.where(active, value, 0.0), np.where(active, at, 0), barred)
     out.split(c, turn, seed)
     return out
 
@@ -261,24 +382,19 @@ def piece_ids(c: Chunks, sample: _Sample, vocabulary: Vocabulary) -> tuple[np.nd
     """Piece ids of a sample's texts in reading order, and where each text's begin."""
     counts = np.diff(sample.first)
     back = np.repeat(sample.first[:-1] + sample.first[1:] - 1, counts) - np.arange(len(sample.edges))
-    piece = c.piece[sample.edges[back]]
+    piece = sample.piece[back]
     n = len(vocabulary.pieces)
-    spelled = c.lattices.unknown
-    size = np.ones(len(piece), np.int64)
     far = np.flatnonzero(piece >= n)
-    if len(far):
-        lengths = np.array([len(x) for x in spelled])
-        size[far] = lengths[piece[far] - n]
+    if not len(far):
+        return piece, sample.bounds
+    size = np.ones(len(piece), np.int64)
+    size[far] = c.spelling_size[piece[far] - n]
     begin = np.concatenate([[0], np.cumsum(size)])
     ids = np.empty(begin[-1], np.int32)
-    ids[begin[:-1]] = np.where(piece < n, piece, 0)
-    if len(far):
-        table = np.zeros((len(spelled), 4), np.int32)
-        for i, x in enumerate(spelled):
-            table[i, : len(x)] = x
-        for j in range(4):
-            some = far[size[far] > j]
-            ids[begin[some] + j] = table[piece[some] - n, j]
+    ids[begin[:-1]] = piece
+    for j in range(4):
+        some = far[size[far] > j]
+        ids[begin[some] + j] = c.spelling[piece[some] - n, j]
     return ids, begin[sample.bounds]
 
 
@@ -291,9 +407,9 @@ def alphabet(vocabulary: Vocabulary) -> np.ndarray:
     return out
 
 
-def encode_texts(vocabulary: Vocabulary, letters: np.ndarray, texts: list[str], keys: np.ndarray, k: int) -> list[dict]:
+def encode_texts(vocabulary: Vocabulary, letters: np.ndarray, texts: list[str], keys: np.ndarray, k: int, shelf: Shelf | None = None) -> list[dict]:
     """For each rank: which texts have it, their ids and offsets, log probabilities, perturbed values and inclusion."""
-    c = Chunks(vocabulary, letters, texts)
+    c = Chunks(Shelf(vocabulary, letters) if shelf is None else shelf, texts)
     samples, have, below = top_k(c, keys, k)
     out = []
     for sample, mine in zip(samples, have, strict=True):
@@ -316,6 +432,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, k: int = TOP_K, digests: boo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
         letters, decoder = alphabet(v), Decoder(v)
+        shelf = Shelf(v, letters)
         for batch in batches:
             keys = batch["doc_id"].fill_null(-(1 << 62)).to_numpy().astype(np.int64).view(np.uint64)
             if copies:
@@ -324,7 +441,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, k: int = TOP_K, digests: boo
             for lo, hi, _, _ in B.pieces(batch["text"], PIECE_BYTES):
                 texts = [t or "" for t in batch["text"].slice(lo, hi - lo).to_pylist()]
                 ids = batch["doc_id"].slice(lo, hi - lo)
-                for rank, x in enumerate(encode_texts(v, letters, texts, keys[lo:hi], k)):
+                for rank, x in enumerate(encode_texts(v, letters, texts, keys[lo:hi], k, shelf)):
                     mine = pa.array(x["have"])
                     lists = pa.ListArray.from_arrays(pa.array(x["offsets"].astype(np.int32)), pa.array(x["ids"]))
                     columns = {"doc_id": ids, "rank": pa.array(np.full(hi - lo, rank, np.int32)), "ids": lists} | {c: pa.array(x[c]) for c in ("log_prob", "perturbed", "inclusion")}

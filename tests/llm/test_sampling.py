@@ -87,6 +87,26 @@ def test_samples_do_not_depend_on_neighbours(vocabulary):
         assert [cut(x, i) for x in together] == [cut(x, 0) for x in alone]
 
 
+def test_chunks_are_built_once_and_samples_are_the_same(vocabulary, monkeypatch):
+    """What a task has met is looked up, whatever the limit; what it holds has no say in the samples."""
+    texts = [t for t in TEXTS if len(t) < 100] + [f"some words {i} of the text 日{chr(0x4E00 + i)}" for i in range(40)]
+    keys, letters, built = np.arange(len(texts), dtype=np.uint64), s.alphabet(vocabulary), []
+    lattices = s.Lattices
+    monkeypatch.setattr(s, "Lattices", lambda v, flat, size: built.append(len(size)) or lattices(v, flat, size))
+    want = s.encode_texts(vocabulary, letters, texts, keys, 3)
+    distinct, all_held, emptied = sum(built), s.Shelf(vocabulary, letters), s.Shelf(vocabulary, letters, 60)
+    for shelf in (all_held, emptied):
+        built.clear()
+        for _ in range(2):
+            for i in range(0, len(texts), 3):
+                got = s.encode_texts(vocabulary, letters, texts[i : i + 3], keys[i : i + 3], 3, shelf)
+                for x, y in zip(want, got, strict=True):
+                    for j, y_has in enumerate(y["have"]):
+                        assert y_has == x["have"][i + j] and (not y_has or cut(x, i + j) == cut(y, j) and np.allclose([x[c][i + j] for c in ("log_prob", "perturbed", "inclusion")], [y[c][j] for c in ("log_prob", "perturbed", "inclusion")]))
+        assert (sum(built) == distinct) == (shelf is all_held)
+    assert all_held.chunks == distinct and emptied.edges < all_held.edges
+
+
 def test_odd_rows(odd, none):
     got = s.encode(odd).collect()
     by = Counter(r["doc_id"] for r in got)
